@@ -7,8 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridweave.llm import exact_dedup, simhash
+from gridweave.llm import bpe, exact_dedup, mixing, quality, simhash
 from gridweave.llm.text import table
+from gridweave.plans.staging import materialise
+
+
+def op1_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every placement of a document in the mix, with its source's exponent and weight."""
+    target = mixing.Target(max_repetition=4.0)
+    counts = materialise(mixing.token_counts(table(spark, sf_dir, "documents")), "counts")
+    sources = mixing.weights(counts, target)
+    placed = mixing.placements(counts, sources, target).join(sources.select("mark", "exponent", "weight"), "mark")
+    return placed.select(
+        F.col("id").alias("doc_id"), "source", "n_tokens", "epoch", "block", F.col("at").alias("token_offset"), "mix_key", "exponent", "weight"
+    )
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +39,25 @@ FROM t
 """
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token count and digests of ids and decoded text of every document."""
+    decoded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), vocab="byte_bpe_50k.json"))
+    return decoded.select(F.col("id").alias("doc_id"), *bpe.digests(decoded))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document by the network fitted on the rows that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    network = quality.train(docs, table(spark, sf_dir, "labels"))
+    held_out = F.crc32(F.col("id").cast("string").cast("binary")) % 4 == 2
+    return quality.score(docs, network).select(
+        F.col("id").alias("doc_id"),
+        held_out.alias("held_out"),
+        "score",
+        F.when(F.col("score") >= network.s.threshold, 1).otherwise(0).alias("predicted"),
+    )
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash component of every document: three-word shingles, two bits or fewer apart."""
     made = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=2)
@@ -34,7 +65,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_temperature_mix": op1_temperature_mix,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_bpe": op4_bpe,
+    "op5_quality": op5_quality,
     "op10_simhash": op10_simhash,
 }
 SQL = {"op3_exact_dedup": OP3_SQL}
