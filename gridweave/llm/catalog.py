@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridweave.llm import bpe, exact_dedup, mixing, quality, simhash
+from gridweave.llm import bpe, exact_dedup, html_text, mixing, quality, simhash, topk, url_filter, warc
 from gridweave.llm.text import table
 from gridweave.plans.staging import materialise
 
@@ -23,6 +23,35 @@ def op1_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: The rules that the query judges by.
+URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, deciding rule and verdict of every page."""
+    judged = url_filter.judge(table(spark, sf_dir, "pages"), url_filter.rule_table(spark, URL_RULES))
+    return judged.select("page.page_id", "judged.host", "judged.path", "judged.rule", "judged.verdict")
+
+
+OP2_SQL = """
+WITH r(verdict, rhost, rpath) AS (
+    VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'),
+        ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')
+), p AS (
+    SELECT row_number() OVER () AS n, page_id,
+        coalesce(translate(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+        coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path
+    FROM pages
+), m AS (
+    SELECT n, arg_max(rhost || rpath, length(rhost || rpath) * 1000 + length(rhost)) AS rule,
+        arg_max(verdict, length(rhost || rpath) * 1000 + length(rhost)) AS verdict
+    FROM p JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)
+    GROUP BY n
+)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN m USING (n)
+"""
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fate of every document under exact de-duplication; the largest doc_id stays."""
     made = exact_dedup.dedup_decisions(table(spark, sf_dir, "documents"), keep="largest")
@@ -58,6 +87,49 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    found = html_text.extract(table(spark, sf_dir, "pages"))
+    return found.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five vectors of the largest inner product with each vector whose id is divisible by 50."""
+    vectors = topk.quantised(table(spark, sf_dir, "embeddings"), scale=256)
+    return topk.top_k(vectors.where("id % 50 = 0"), vectors, k=5)
+
+
+OP7_SQL = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS w
+    FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+    SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.w, c.w) AS BIGINT) AS score
+    FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the archives hold that are written from every page and read back."""
+    return warc.round_trip(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
+OP9_SQL = """
+WITH p AS (
+    SELECT page_id, coalesce(html, '') AS x, strlen(coalesce(html, '')) AS n,
+        min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first_id
+    FROM pages
+)
+SELECT page_id, n AS payload_bytes, sha256(x) AS payload_digest,
+    CASE WHEN n >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN n >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+FROM p
+"""
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash component of every document: three-word shingles, two bits or fewer apart."""
     made = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=2)
@@ -66,12 +138,16 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_temperature_mix": op1_temperature_mix,
+    "op2_url_filter": op2_url_filter,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_bpe": op4_bpe,
     "op5_quality": op5_quality,
+    "op6_html_text": op6_html_text,
+    "op7_topk": op7_topk,
+    "op9_warc": op9_warc,
     "op10_simhash": op10_simhash,
 }
-SQL = {"op3_exact_dedup": OP3_SQL}
+SQL = {"op2_url_filter": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op7_topk": OP7_SQL, "op9_warc": OP9_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
