@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridweave.llm import bpe, exact_dedup, html_text, mixing, quality, simhash, topk, url_filter, warc
+from gridweave.llm import bpe, exact_dedup, html_text, mixing, quality, simhash, suffix_dedup, topk, url_filter, warc
 from gridweave.llm.text import table
 from gridweave.plans.staging import materialise
 
@@ -112,6 +112,18 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 """
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every document when bytes under strings of 200 bytes that start elsewhere too go."""
+    made = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=200)
+    return made.select(
+        F.col("id").alias("doc_id"),
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("starts").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the archives hold that are written from every page and read back."""
     return warc.round_trip(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
@@ -144,6 +156,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality": op5_quality,
     "op6_html_text": op6_html_text,
     "op7_topk": op7_topk,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_warc": op9_warc,
     "op10_simhash": op10_simhash,
 }
