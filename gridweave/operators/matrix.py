@@ -84,4 +84,4 @@ def codelet_matrix(spark, codes: Sequence[tuple[int, float]], height: int, width
     panel = spark.createDataFrame(runs, "code long, first long, stop long")
     column = panel.select("code", F.explode(F.sequence("first", F.col("stop") - 1)).alias("j")).where(F.col("j") < width)
     rows = F.filter(F.sequence(F.lit(0), F.lit(height - 1)), lambda b: F.getbit("code", b) == 1)
-    return column.select(F.explode(rows).cast("long").alias("i"), "j", F.lit(1.0).alias("v"))
+    return column.select(F.explode(rows).alias("i"), "j").select(F.col("i").cast("long").alias("i"), "j", F.lit(1.0).alias("v"))

@@ -422,10 +422,10 @@ def pattern_prob_random(spark, d):
 
 @query(
     f"""WITH h AS ({_HIST}), t AS (SELECT sum(cnt) AS t FROM h) SELECT CAST(x AS INTEGER) AS pattern,
-    round(bit_count(x) * (coalesce(cnt, 0) / t - 0.7 ** ({PANEL} - bit_count(x)) * 0.3 ** bit_count(x)), 9) AS distance FROM (SELECT CAST(unnest(range(256)) AS INTEGER) AS x) LEFT JOIN h ON pattern = x, t"""
+    round(bit_count(x) * (coalesce(cnt, 0) / t - 0.7 ** ({PANEL} - bit_count(x)) * 0.3 ** bit_count(x)), 9) + 0.0 AS distance FROM (SELECT CAST(unnest(range(256)) AS INTEGER) AS x) LEFT JOIN h ON pattern = x, t"""
 )
 def distance_from_random(spark, d):
-    return patterns.distance_from_random(_hist(spark, d), 0.7, PANEL).select("pattern", r("distance", 9).alias("distance"))
+    return patterns.distance_from_random(_hist(spark, d), 0.7, PANEL).select("pattern", (r("distance", 9) + F.lit(0.0)).alias("distance"))
 
 
 @query(f"SELECT pattern AS kernel, count(*) AS instances, CAST(sum(bit_count(pattern)) AS BIGINT) AS nnz, CAST(0 AS BIGINT) AS padding FROM ({_CODES}) GROUP BY 1")
