@@ -187,3 +187,39 @@ def seeded_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
 def split_list(df: DataFrame, key: str, parts: int, seed: int = 42) -> DataFrame:
     """Adds ``part``: keys dealt into ``parts`` shares by a hash."""
     return df.withColumn("part", F.pmod(F.xxhash64(F.lit(seed), key), F.lit(parts)).cast("int"))
+
+
+def less_baseline(df: DataFrame, keys: Sequence[str], is_baseline: Column, value: str, out: str) -> DataFrame:
+    """Adds ``value`` less that of the group's baseline; null without one."""
+    return df.withColumn(out, F.col(value) - baseline_time(keys, is_baseline, value))
+
+
+def fastest_entry(times: Column) -> Column:
+    """``(time, name)`` of the least value of a map from names to times; null values are left out."""
+    entries = F.filter(F.map_entries(times), lambda x: x["value"].isNotNull())
+    return F.array_min(F.transform(entries, lambda x: F.struct(x["value"].alias("time"), x["key"].alias("name"))))
+
+
+def layer_speedups(layers: DataFrame, baseline: str) -> DataFrame:
+    """``layers(name, threads, layer, layer_time)`` with running times, and their ratio to the baseline's."""
+    running = cumulative(layers, ["name", "threads"], "layer", "layer_time", "running")
+    base = F.min(F.when(F.col("name") == baseline, F.col("running"))).over(Window.partitionBy("threads", "layer"))
+    return running.withColumn("speedup", F.try_divide(base, F.col("running")))
+
+
+def leading_features(df: DataFrame, features: Sequence[str], k: int = 8) -> DataFrame:
+    """``(feature, weight)``: the ``k`` largest weights, by size, of the first principal direction of
+    the standardised features: one aggregate for the moments, then a small eigenproblem."""
+    import numpy as np
+
+    n = len(features)
+    pairs = [(a, b) for a in range(n) for b in range(a, n)]
+    row = df.agg(*[F.corr(features[a], features[b]).alias(f"c{a}_{b}") for a, b in pairs]).first()
+    corr = np.eye(n)
+    for a, b in pairs:
+        value = row[f"c{a}_{b}"]
+        corr[a, b] = corr[b, a] = 0.0 if value is None or np.isnan(value) else value
+    direction = np.linalg.eigh(corr)[1][:, -1]
+    direction *= np.sign(direction[np.abs(direction).argmax()])
+    order = np.argsort(-np.abs(direction), kind="stable")[:k]
+    return df.sparkSession.createDataFrame([(features[i], float(direction[i])) for i in order], "feature string, weight double")

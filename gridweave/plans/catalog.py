@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridweave.functions import scalar
-from gridweave.operators import linalg, matrix, patterns, results, structure
+from gridweave.operators import hybrid, linalg, matrix, patterns, results, structure
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -383,6 +383,46 @@ def greedy_reorder(spark, d):
     return structure.greedy_order(matrix_a(spark, d), 16)
 
 
+_DENSE = f"SELECT ti, tj, nnz FROM ({_STATS}) WHERE nnz > 0.25 * {HEIGHT * WIDTH}"
+_RUNS = f"SELECT ti, min(tj) AS tj, count(*) AS tiles, CAST(sum(nnz) AS BIGINT) AS nnz FROM (SELECT *, tj - row_number() OVER (PARTITION BY ti ORDER BY tj) AS g FROM ({_DENSE})) GROUP BY ti, g"
+
+
+def _dense(spark, d):
+    return hybrid.dense_tiles(_stats(spark, d)[0], HEIGHT, WIDTH, 0.25)
+
+
+@query(_RUNS)
+def dense_row_rectangles(spark, d):
+    return hybrid.row_rectangles(_dense(spark, d))
+
+
+@query(
+    f"""SELECT min(ti) AS ti, tj, count(*) AS rows, tiles, CAST(sum(nnz) AS BIGINT) AS nnz
+    FROM (SELECT *, ti - row_number() OVER (PARTITION BY tj, tiles ORDER BY ti) AS g FROM ({_RUNS})) GROUP BY tj, tiles, g"""
+)
+def dense_merged_rectangles(spark, d):
+    return hybrid.merged_rectangles(_dense(spark, d))
+
+
+@query(
+    f"""WITH s AS ({_STATS}), r AS (SELECT greatest(ceil({{M}} / {HEIGHT}.0) - 1 - ti, ceil({{K}} / {WIDTH}.0) - 1 - tj) AS ring, sum(nnz) AS nnz FROM s GROUP BY 1),
+    h AS (SELECT ring, sum(nnz) OVER (ORDER BY ring) AS held FROM r) SELECT CAST(min(ring) + 1 AS BIGINT) AS side, CAST(min(held) AS BIGINT) AS nnz FROM h WHERE held >= 0.5 * (SELECT sum(nnz) FROM s)"""
+)
+def dense_corner_square(spark, d):
+    m, k = sizes(spark, d)
+    return hybrid.corner_square(_stats(spark, d)[0], -(-m // HEIGHT), -(-k // WIDTH), 0.5)
+
+
+@query(
+    f"""SELECT CAST(t AS DOUBLE) AS threshold, count(*) FILTER (nnz > t * {HEIGHT * WIDTH}) AS dense_tiles, CAST(sum(CASE WHEN nnz > t * {HEIGHT * WIDTH} THEN nnz ELSE 0 END) AS BIGINT) AS dense_nnz,
+    CAST(sum(CASE WHEN nnz > t * {HEIGHT * WIDTH} THEN {HEIGHT * WIDTH} - nnz ELSE 0 END) AS BIGINT) AS padding, round(sum(CASE WHEN nnz > t * {HEIGHT * WIDTH} THEN nnz ELSE 0 END) / sum(nnz), 6) AS dense_ratio
+    FROM ({_STATS}), (VALUES (0.2), (0.25), (0.35)) v(t) GROUP BY 1"""
+)
+def hybrid_record(spark, d):
+    made = hybrid.hybrid_record(_stats(spark, d)[0], HEIGHT, WIDTH, [0.2, 0.25, 0.35])
+    return made.withColumn("dense_ratio", r("dense_ratio"))
+
+
 # ---- patterns ---------------------------------------------------------------------------------
 
 _CODES = f"SELECT i // {PANEL} AS p, j, CAST(bit_or(1 << CAST(i % {PANEL} AS INTEGER)) AS INTEGER) AS pattern FROM {{A}} GROUP BY 1, 2"
@@ -858,6 +898,36 @@ def count_by_shape(spark, d):
     return table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("f"), F.col("l_linestatus").alias("s")).agg(F.count(F.lit(1)).alias("cnt"), F.count_distinct("l_suppkey").alias("suppliers"))
 
 
+@query("SELECT user_id, name, round(time - min(CASE WHEN name = 'view' THEN time END) OVER (PARTITION BY user_id), 6) AS extra FROM {LOG}")
+def subtract_baseline(spark, d):
+    made = results.less_baseline(log(spark, d), ["user_id"], F.col("name") == "view", "time", "extra")
+    return made.select("user_id", "name", r("extra").alias("extra"))
+
+
+@query("SELECT user_id, min(time) AS time, arg_min(name, (time, name)) AS name FROM {LOG} GROUP BY 1")
+def map_argmin(spark, d):
+    """Fastest method out of a map from methods to times."""
+    maps = log(spark, d).groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("name", "time"))).alias("times"))
+    return maps.select("user_id", results.fastest_entry(F.col("times")).alias("x")).select("user_id", "x.time", "x.name")
+
+
+@query(
+    """WITH l AS (SELECT event_type AS name, user_id % 3 AS threads, user_id AS layer, sum(value) AS t FROM events GROUP BY 1, 2, 3), c AS (SELECT name, threads, layer, sum(t) OVER (PARTITION BY name, threads ORDER BY layer) AS running FROM l)
+    SELECT name, threads, layer, round(running, 4) AS running, round(min(CASE WHEN name = 'view' THEN running END) OVER (PARTITION BY threads, layer) / running, 6) AS speedup FROM c"""
+)
+def layer_speedups(spark, d):
+    layers = table(spark, d, "events").groupBy(F.col("event_type").alias("name"), (F.col("user_id") % 3).alias("threads"), F.col("user_id").alias("layer")).agg(F.sum("value").alias("layer_time"))
+    made = results.layer_speedups(layers, "view")
+    return made.select("name", "threads", "layer", r("running", 4).alias("running"), r("speedup").alias("speedup"))
+
+
+@query()
+def leading_features(spark, d):
+    """Weights of lineitem's columns in their first principal direction."""
+    made = results.leading_features(table(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"], 3)
+    return made.withColumn("weight", r("weight", 4))
+
+
 @query()
 def seeded_sample(spark, d):
     """Rows of twenty users drawn by a hash."""
