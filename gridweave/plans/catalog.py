@@ -566,13 +566,13 @@ def patterns_of_bits(spark, d):
 
 
 @query(
-    """SELECT l_returnflag AS f, count(DISTINCT (l_suppkey, l_partkey)) AS nnz, round(1 - count(DISTINCT (l_suppkey, l_partkey)) / ({M} * {K}), 4) AS sparsity
+    """SELECT l_returnflag AS f, count(DISTINCT (l_suppkey, l_partkey)) AS nnz, round(1 - count(DISTINCT (l_suppkey, l_partkey)) / ({M} * {K}), 6) AS sparsity
     FROM lineitem GROUP BY 1"""
 )
 def sparsity_props(spark, d):
     m, k = sizes(spark, d)
     nnz = table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("f")).agg(F.count_distinct("l_suppkey", "l_partkey").alias("nnz"))
-    return nnz.select("f", "nnz", r(scalar.sparsity(F.col("nnz"), F.lit(m), F.lit(k)), 4).alias("sparsity"))
+    return nnz.select("f", "nnz", r(scalar.sparsity(F.col("nnz"), F.lit(m), F.lit(k))).alias("sparsity"))
 
 
 @query("SELECT p_partkey, round(CASE WHEN p_size < 25 THEN -1 ELSE 1 END * greatest(p_size, 25) / least(p_size, 25), 6) AS aspect FROM part")
@@ -728,12 +728,12 @@ def drop_duplicates(spark, d):
     return kept
 
 
-_DENS = "(SELECT i, round(1 - count(*) / {K}, 3) AS s FROM {A} GROUP BY 1)"
+_DENS = "(SELECT i, round(1 - count(*) / {K}, 6) AS s FROM {A} GROUP BY 1)"
 
 
 def _row_sparsity(spark, d):
     k = sizes(spark, d)[1]
-    return matrix_a(spark, d).groupBy("i").agg(r(1 - F.count(F.lit(1)) / F.lit(k), 3).alias("s"))
+    return matrix_a(spark, d).groupBy("i").agg(r(1 - F.count(F.lit(1)) / F.lit(k)).alias("s"))
 
 
 @query(f"SELECT i, s, CASE WHEN s > 0 AND s <= 0.7 THEN 0 WHEN s > 0.7 AND s <= 0.8 THEN 1 WHEN s > 0.8 AND s <= 0.9 THEN 2 WHEN s > 0.9 AND s <= 1 THEN 3 END AS bucket FROM {_DENS}")
