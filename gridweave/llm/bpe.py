@@ -25,13 +25,15 @@ import json
 import os
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridweave.llm.text import small_batches
+
 #: Characters of a row, and bytes of a leaf.
 CHUNK = 1 << 15
 LEAF = 1 << 12
@@ -43,32 +45,50 @@ LAST_SAFE_CUT = re.compile(r".*\S(?=[ \n])", re.DOTALL)
 
 
 class Vocabulary:
-    """A byte-level BPE vocabulary with the encoders built from it."""
+    """A byte-level BPE vocabulary; its encoders are built when they are first used."""
 
     def __init__(self, path: str):
         import public_tokenizers
-        import regex
-        import tiktoken
-        from tokenizers import Tokenizer
 
-        if os.path.sep not in path:
-            path = public_tokenizers.path(path)
-        with open(path, encoding="utf-8") as f:
+        self.path = path if os.path.sep in path else public_tokenizers.path(path)
+        with open(self.path, encoding="utf-8") as f:
             spec = json.load(f)
         self.to_char, to_byte = _alphabet()
         vocab = spec["model"]["vocab"]
         added = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
         self.special = {k.encode(): v for k, v in added.items()}
-        ranks = {bytes(to_byte[c] for c in token): i for token, i in vocab.items() if token not in added}
-        self.bytes_of = [b""] * (max([*ranks.values(), *added.values()]) + 1)
-        for token, i in [*ranks.items(), *self.special.items()]:
+        self.bytes_of = [b""] * (max([*vocab.values(), *added.values()]) + 1)
+        for token, i in vocab.items():
+            self.bytes_of[i] = token.encode() if token in added else bytes(to_byte[c] for c in token)
+        for token, i in self.special.items():
             self.bytes_of[i] = token
-        self.model = Tokenizer.from_file(path).model
-        self.words = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.pattern = regex.compile(public_tokenizers.PATTERN)
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.special_ids = added
 
+    @cached_property
+    def model(self):
+        """Merges alone."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path).model
+
+    @cached_property
+    def words(self):
+        """Pattern and merges, for text whose pre-tokens are short."""
+        import public_tokenizers
+        import tiktoken
+
+        special = set(self.special.values())
+        ranks = {token: i for i, token in enumerate(self.bytes_of) if token and i not in special}
+        return tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    @cached_property
+    def pattern(self):
+        import public_tokenizers
+        import regex
+
+        return regex.compile(public_tokenizers.PATTERN)
+
     def encode_piece(self, data: bytes) -> list[int]:
         """Merges alone, for the bytes of one pre-token or a part of it."""
         return [t.id for t in self.model.tokenize(data.decode("latin-1").translate(self.to_char))]
@@ -192,11 +212,13 @@ def cut(vocab: Vocabulary, text: str) -> Iterator[tuple[int, str, bytes]]:
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab: str = "byte_bpe_50k.json") -> DataFrame:
     """``(id, ids)`` for every row; ids are little-endian unsigned 32-bit integers."""
     id_type = docs.schema[id_col].dataType.simpleString()
+    small_batches(docs.sparkSession)
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"))
     short = rows.where(F.length("text") <= CHUNK)
-    # A row's number in its scan: stable, as files are split the same way each time.
-    long = rows.withColumn("row", F.monotonically_increasing_id()).where(F.length("text") > CHUNK)
+    # Pieces are told apart by id and text, which no retry of a task can change; pieces of rows that
+    # repeat both are the same, and are counted when they are put together.
+    long = rows.where(F.length("text") > CHUNK).withColumn("row", F.sha2(F.col("text").cast("binary"), 256))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(vocab)
@@ -206,7 +228,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(vocab)
-        schema = pa.schema([("row", pa.int64()), ("seq", pa.int64()), ("stretch", pa.int64()), ("kind", pa.string()), ("payload", pa.binary())])
+        schema = pa.schema([("row", pa.string()), ("seq", pa.int64()), ("stretch", pa.int64()), ("kind", pa.string()), ("payload", pa.binary())])
         for batch in batches:
             for id_, text_, row in zip(batch.column(0), batch.column(1), batch.column(2)):
                 out = [(row.as_py(), seq, *piece) for seq, piece in enumerate(cut(v, text_.as_py()))]
@@ -227,6 +249,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
     def assemble(group: pa.Table) -> pa.Table:
         v = vocabulary(vocab)
         group = group.sort_by("seq")
+        copies = sum(x == 0 for x in group["seq"].to_pylist())
+        group = group.take(pa.array(range(0, group.num_rows, copies)))
         out: list[int] = []
         parts: list[list[int]] = []
         last = 0
@@ -240,11 +264,12 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
             else:
                 out += ids
         out += v.join_all(parts)
-        return pa.table({"id": group["id"].slice(0, 1), "ids": pa.array([np.array(out, "<u4").tobytes()], pa.binary())})
+        ids = np.array(out, "<u4").tobytes()
+        return pa.table({"id": group["id"].take(pa.array([0] * copies)), "ids": pa.array([ids] * copies, pa.binary())})
 
-    columns = f"id {id_type}, row bigint, seq bigint, stretch bigint, kind string, payload binary"
+    columns = f"id {id_type}, row string, seq bigint, stretch bigint, kind string, payload binary"
     coded = long.mapInArrow(pieces, columns).repartition("row", "seq").mapInArrow(leaf, columns)
-    joined = coded.groupBy("row").applyInArrow(assemble, f"id {id_type}, ids binary")
+    joined = coded.groupBy("id", "row").applyInArrow(assemble, f"id {id_type}, ids binary")
     return short.mapInArrow(whole, f"id {id_type}, ids binary").unionByName(joined)
 
 

@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridweave.llm.text import small_batches
+
 # Fixed values of the HTML language.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript iframe xmp noembed noframes template textarea title svg math object select".split())
@@ -233,6 +235,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     id_type, url_type = (pages.schema[c].dataType.simpleString() for c in (id_col, url_col))
     rows = pages.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").alias("url"), F.coalesce(F.col(f"`{html_col}`"), F.lit("")).alias("html"))
 
+    small_batches(pages.sparkSession)
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [main_text(x.as_py()) for x in batch.column(2)]

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridweave.llm.text import small_batches
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -210,6 +212,7 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), id_col:
 def score(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, score)`` for every row."""
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("text"))
+    small_batches(docs.sparkSession)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -222,6 +225,7 @@ def score(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: s
 def keep_good(docs: DataFrame, network: Network, text_col: str = "text") -> DataFrame:
     """``docs`` without the rows scored under the threshold; columns and types unchanged."""
     at = docs.columns.index(text_col)
+    small_batches(docs.sparkSession)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -31,6 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridweave.llm.text import small_batches
 from gridweave.operators.graph import components
 from gridweave.operators.membership import drop_ids
 from gridweave.plans.staging import checkpoint, materialise
@@ -66,6 +67,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``(id, fp)`` for each row; ``fp`` is the fingerprint's 64 bits as a signed long."""
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("text"))
     schema = f"id {docs.schema[id_col].dataType.simpleString()}, fp bigint"
+    small_batches(docs.sparkSession)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

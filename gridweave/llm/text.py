@@ -17,3 +17,20 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(
         F.translate(text, UPPER, UPPER.lower())
     )
+
+
+#: Rows and bytes of an Arrow batch of whole documents.
+BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches, where they are larger, to a size that suits whole documents.
+
+    The defaults count rows of any length, and each batch is held several times: by the JVM that
+    sends it, by the worker, and as the worker's answer.
+    """
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = int(str(spark.conf.get(key)).removesuffix("b"))
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridweave.llm.text import small_batches
 from gridweave.operators.membership import build_filter, maybe
 from gridweave.plans.staging import materialise, new_path
 
@@ -69,9 +70,8 @@ def record_chunks(id_, url, payload: memoryview, digest: str, refers_to, chunk_b
 
 
 def decided(pages: DataFrame, id_col: str, url_col: str, payload_col: str, min_revisit: int) -> DataFrame:
-    """``(record, id, url, payload, digest, refers_to)`` for each row."""
+    """``(id, url, payload, digest, refers_to)`` for each row."""
     rows = pages.select(
-        F.monotonically_increasing_id().alias("record"),
         F.col(f"`{id_col}`").alias("id"),
         F.col(f"`{url_col}`").alias("url"),
         F.coalesce(F.col(f"`{payload_col}`").cast("binary"), F.lit(b"")).alias("payload"),
@@ -84,9 +84,8 @@ def decided(pages: DataFrame, id_col: str, url_col: str, payload_col: str, min_r
         return rows.withColumn("refers_to", alone)
     bits, words = build_filter(groups, "digest", n)
     test = maybe(F.col("digest"), bits, words) & (F.length("payload") >= min_revisit)
-    # Both parts read the scan anew; row numbers are the same, as files are split the same way.
     met = rows.where(test).join(groups, "digest", "left").withColumn("refers_to", F.when(~F.col("id").eqNullSafe(F.col("first_id")), F.col("first_id")))
-    columns = ["record", "id", "url", "payload", "digest", "refers_to"]
+    columns = ["id", "url", "payload", "digest", "refers_to"]
     return rows.where(~test).withColumn("refers_to", alone).select(columns).unionByName(met.select(columns))
 
 
@@ -117,8 +116,11 @@ def write_archives(
         if out:
             yield flush()
 
+    small_batches(pages.sparkSession)
     rows = decided(pages, id_col, url_col, payload_col, min_revisit)
-    rows.select("record", "id", "url", "payload", "digest", "refers_to").mapInArrow(scan, TABLE).write.parquet(path)
+    # A record's number tells its chunks from others; one task writes all of them.
+    numbered = rows.select(F.monotonically_increasing_id().alias("record"), "id", "url", "payload", "digest", "refers_to")
+    numbered.mapInArrow(scan, TABLE).write.parquet(path)
 
 
 class RecordReader:
