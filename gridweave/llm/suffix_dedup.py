@@ -38,6 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridweave.llm.text import small_batches
 from gridweave.operators.membership import build_filter, maybe
 from gridweave.plans.staging import materialise, new_path
 
@@ -285,14 +286,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row for each row of ``docs``: ``id, n_bytes, starts, ends, kept``: the removed spans, as
     arrays of their first bytes and of the bytes after their last, and what stays."""
     spark = docs.sparkSession
+    small_batches(spark)
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(
-        F.monotonically_increasing_id().alias("row"),
         F.col(f"`{id_col}`").alias("id"),
         F.coalesce(F.col(f"`{text_col}`").cast("binary"), F.lit(b"")).alias("text"),
     ).withColumn("digest", F.sha2("text", 256))
-    groups = rows.groupBy("digest").agg(F.min("row").alias("first_row"), F.count(F.lit(1)).alias("n"))
-    groups = materialise(groups.where("n > 1").select("digest", "first_row"), "equal-texts")
+    groups = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
+    groups = materialise(groups.where("n > 1"), "equal-texts")
     n_groups = groups.count()
     distinct = rows.select("id", "text", F.lit(True).alias("emit"))
     copies = None
@@ -300,11 +301,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         bits, words = build_filter(groups, "digest", n_groups)
         test = maybe(F.col("digest"), bits, words)
         met = rows.where(test).join(groups, "digest", "left")
-        alone = met.where("first_row is null or row = first_row").select("id", "text", F.col("first_row").isNull().alias("emit"))
-        distinct = rows.where(~test).select("id", "text", F.lit(True).alias("emit")).unionByName(alone)
+        alone = rows.where(~test).select("id", "text").unionByName(met.where("n is null").select("id", "text"))
+        # One text of each group stands for its copies; it has no row of its own in the result.
+        shared = met.where("n is not null").groupBy("digest").agg(F.first("text").alias("text"))
+        distinct = alone.withColumn("emit", F.lit(True)).unionByName(
+            shared.select(F.lit(None).cast(id_type).alias("id"), "text", F.lit(False).alias("emit"))
+        )
         size = F.octet_length("text").cast("bigint")
         whole = size >= length
-        copies = met.where("first_row is not null").select(
+        copies = met.where("n is not null").select(
             "id",
             size.alias("n_bytes"),
             F.when(whole, F.array(F.lit(0).cast("bigint"))).otherwise(F.array().cast("array<bigint>")).alias("starts"),

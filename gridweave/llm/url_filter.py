@@ -234,10 +234,10 @@ def judge(
 
 def _judge_by_join(rows: DataFrame, listed: DataFrame, default: str) -> DataFrame:
     """The same verdicts for rule lists whose filters are too large to broadcast."""
-    numbered = rows.withColumn("row", F.monotonically_increasing_id())
-    fitting = numbered.select("row", F.posexplode("keys").alias("at", "rule")).join(listed.select("rule", "verdict"), "rule")
-    best = fitting.groupBy("row").agg(F.min_by(F.struct("rule", "verdict"), "at").alias("best"))
-    return numbered.join(best, "row", "left").select(
+    places = rows.select("host", "path", "keys").distinct()
+    fitting = places.select("host", "path", F.posexplode("keys").alias("at", "rule")).join(listed.select("rule", "verdict"), "rule")
+    best = fitting.groupBy("host", "path").agg(F.min_by(F.struct("rule", "verdict"), "at").alias("best"))
+    return rows.join(best, ["host", "path"], "left").select(
         "page",
         F.struct("host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict")).alias("judged"),
     )
