@@ -132,7 +132,8 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, block: int = BL
     sent = packed(asked, n_query_blocks).select(
         F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_blocks - 1).cast("bigint"))).alias("block"), *[F.col(c).alias(f"q_{c}") for c in names]
     )
-    met = packed(stored, n_blocks).join(sent, "block")
+    # Blocks of queries grow with the input: they are shuffled, never broadcast.
+    met = packed(stored, n_blocks).hint("merge").join(sent, "block")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
