@@ -35,8 +35,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Folders made by this driver, until they are released.
+_made: list[str] = []
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/gridweave-{label}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark)}/gridweave-{label}-{uuid.uuid4().hex}")
+    return _made[-1]
 
 
 def materialise(df: DataFrame, label: str, **options: str) -> DataFrame:
@@ -46,8 +51,16 @@ def materialise(df: DataFrame, label: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def discard(spark: SparkSession, path: str) -> None:
-    """Delete a folder made by :func:`new_path`."""
+def release(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Delete folders made by :func:`new_path`, all of this driver's if none are named.
+
+    Results are lazy: call it when those that read the folders have been written.
+    """
     jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    for path in list(_made) if paths is None else paths:
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        if path in _made:
+            _made.remove(path)
+    for name in [t.name for t in spark.catalog.listTables() if t.name.startswith("gridweave_")] if paths is None else []:
+        spark.sql(f"DROP TABLE {name}")

@@ -178,3 +178,16 @@ def test_filter_has_no_misses(spark):
     assert counts[True, True] == 5000 and (True, False) not in counts and counts[False, False] > 9500
     rest = membership.drop_ids(spark.range(10).withColumnRenamed("id", "k").unionByName(spark.createDataFrame([(None,)], "k long")), "k", keys, 5000)
     assert sorted(x[0] for x in rest.collect() if x[0] is not None) == [1, 2, 4, 5, 7, 8] and rest.where("k is null").count() == 1
+
+
+def test_released_folders_are_gone(spark):
+    import os
+
+    from gridweave.plans import staging
+
+    path = staging.new_path(spark, "test")
+    spark.range(3).write.parquet(path)
+    local = path.removeprefix("file:")
+    assert os.path.isdir(local)
+    staging.release(spark, [path])
+    assert not os.path.isdir(local) and path not in staging._made
