@@ -97,6 +97,9 @@ class Vocabulary:
         table = self.bytes_of
         return b"".join([table[i] for i in ids])
 
+    def text_for(self, ids: list[int]) -> str:
+        return self.bytes_for(ids).decode("utf-8", "replace")
+
     def join(self, left: list[int], right: list[int]) -> list[int]:
         """The encoding of two neighbouring pieces of one pre-token, from their own encodings."""
         if not left or not right:
@@ -209,8 +212,11 @@ def cut(vocab: Vocabulary, text: str) -> Iterator[tuple[int, str, bytes]]:
             yield 0, "text", part[at:].encode()
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab: str = "byte_bpe_50k.json") -> DataFrame:
-    """``(id, ids)`` for every row; ids are little-endian unsigned 32-bit integers."""
+def encode(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab: str = "byte_bpe_50k.json", decoded: bool = False
+) -> DataFrame:
+    """``(id, ids)`` for every row; ids are little-endian unsigned 32-bit integers. With ``decoded``
+    also ``text``, what the ids decode to, without a second pass through Python."""
     id_type = docs.schema[id_col].dataType.simpleString()
     small_batches(docs.sparkSession)
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
@@ -220,11 +226,18 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
     # repeat both are the same, and are counted when they are put together.
     long = rows.where(F.length("text") > CHUNK).withColumn("row", F.sha2(F.col("text").cast("binary"), 256))
 
+    result = f"id {id_type}, ids binary" + ", text string" * decoded
+
+    def columns_of(v: Vocabulary, coded: list[list[int]]) -> dict[str, pa.Array]:
+        made = {"ids": pa.array([np.array(ids, "<u4").tobytes() for ids in coded], pa.binary())}
+        if decoded:
+            made["text"] = pa.array([v.text_for(ids) for ids in coded], pa.string())
+        return made
+
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(vocab)
         for batch in batches:
-            ids = [np.array(v.encode(x.as_py()), "<u4").tobytes() for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["id", "ids"])
+            yield pa.RecordBatch.from_pydict({"id": batch.column(0), **columns_of(v, [v.encode(x.as_py()) for x in batch.column(1)])})
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(vocab)
@@ -264,13 +277,12 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
             else:
                 out += ids
         out += v.join_all(parts)
-        ids = np.array(out, "<u4").tobytes()
-        return pa.table({"id": group["id"].take(pa.array([0] * copies)), "ids": pa.array([ids] * copies, pa.binary())})
+        return pa.table({"id": group["id"].take(pa.array([0] * copies)), **columns_of(v, [out] * copies)})
 
     columns = f"id {id_type}, row string, seq bigint, stretch bigint, kind string, payload binary"
     coded = long.mapInArrow(pieces, columns).repartition("row", "seq").mapInArrow(leaf, columns)
-    joined = coded.groupBy("id", "row").applyInArrow(assemble, f"id {id_type}, ids binary")
-    return short.mapInArrow(whole, f"id {id_type}, ids binary").unionByName(joined)
+    joined = coded.groupBy("id", "row").applyInArrow(assemble, result)
+    return short.mapInArrow(whole, result).unionByName(joined)
 
 
 def decode(encoded: DataFrame, vocab: str = "byte_bpe_50k.json") -> DataFrame:
@@ -281,7 +293,7 @@ def decode(encoded: DataFrame, vocab: str = "byte_bpe_50k.json") -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(vocab)
         for batch in batches:
-            texts = [v.bytes_for(np.frombuffer(x.as_py(), "<u4").tolist()).decode("utf-8", "replace") for x in batch.column(1)]
+            texts = [v.text_for(np.frombuffer(x.as_py(), "<u4").tolist()) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string())], names=["id", "ids", "text"])
 
     return encoded.select("id", "ids").mapInArrow(scan, f"id {id_type}, ids binary, text string")

@@ -70,7 +70,7 @@ FROM t
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token count and digests of ids and decoded text of every document."""
-    decoded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), vocab="byte_bpe_50k.json"))
+    decoded = bpe.encode(table(spark, sf_dir, "documents"), vocab="byte_bpe_50k.json", decoded=True)
     return decoded.select(F.col("id").alias("doc_id"), *bpe.digests(decoded))
 
 
