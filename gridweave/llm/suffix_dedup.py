@@ -18,7 +18,7 @@ one task holds is a block of texts or a bucket of keys.
 
 Names of strings are made by doubling, as in suffix sorting: the name of ``2 n`` bytes mixes those of
 its halves. They have 64 bits, and the bucket adds bits of another name, so two different strings meet under one
-key with a chance of about 1e-7 for each bucket of a million keys. A block sends a key once, however
+key with a chance of about 1e-8 for each bucket of a quarter million keys. A block sends a key once, however
 often it holds it; answers are one bit for each key.
 
 Defined results: a null text counts as empty. Texts shorter than ``length`` keep all bytes. Matches
@@ -45,7 +45,7 @@ from gridweave.plans.staging import materialise, new_path
 LENGTH = 200
 BLOCK_BYTES = 2 << 20
 #: Expected keys of a bucket; a bucket of suffixes may hold four times as many.
-BUCKET_KEYS = 1_000_000
+BUCKET_KEYS = 250_000
 KEYS = "bucket int, block bigint, keys binary"
 ANSWERS = "block bigint, bucket int, mask binary"
 ODD_A, ODD_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
