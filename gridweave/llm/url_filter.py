@@ -133,8 +133,8 @@ def build_level(keys: DataFrame, level: int, n_keys: int, rate: float) -> Level:
         .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("bit") % 64).cast("int"))).alias("value"))
     )
     out = np.zeros(-(-bits // 64), dtype=np.int64)
-    for row in words.toLocalIterator():  # at most as many rows as the filter has words
-        out[row["word"]] = row["value"]
+    found = words.toArrow()  # at most as many rows as the filter has words
+    out[found["word"].to_numpy()] = found["value"].to_numpy()
     return Level(bits, probes, out.view(np.uint64))
 
 
