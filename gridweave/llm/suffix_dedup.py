@@ -130,7 +130,10 @@ class Keyed:
         one, other = names(block.data, length) if len(places) else (np.zeros(0, np.uint64),) * 2
         one, other = one[places], other[places]
         bucket = (((other >> np.uint64(32)) * np.uint64(n_buckets)) >> np.uint64(32)).astype(np.int32)
-        order = np.lexsort((one, bucket))
+        # By key, then by bucket in a stable sort of small integers, which numpy does by radix.
+        order = np.argsort(one)
+        small = bucket[order].astype(np.uint16) if n_buckets <= 1 << 16 else bucket[order]
+        order = order[np.argsort(small, kind="stable")]
         one, bucket = one[order], bucket[order]
         new = np.ones(len(order), dtype=bool)
         new[1:] = (one[1:] != one[:-1]) | (bucket[1:] != bucket[:-1])
@@ -295,26 +298,26 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     groups = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
     groups = materialise(groups.where("n > 1"), "equal-texts")
     n_groups = groups.count()
-    distinct = rows.select("id", "text", F.lit(True).alias("emit"))
+    distinct = rows.select("digest", "id", "text", F.lit(True).alias("emit"))
     copies = None
     if n_groups:
         bits, words = build_filter(groups, "digest", n_groups)
         test = maybe(F.col("digest"), bits, words)
-        met = rows.where(test).join(groups, "digest", "left")
-        alone = rows.where(~test).select("id", "text").unionByName(met.where("n is null").select("id", "text"))
-        # One text of each group stands for its copies; it has no row of its own in the result.
-        shared = met.where("n is not null").groupBy("digest").agg(F.first("text").alias("text"))
-        distinct = alone.withColumn("emit", F.lit(True)).unionByName(
-            shared.select(F.lit(None).cast(id_type).alias("id"), "text", F.lit(False).alias("emit"))
-        )
+        # Aggregated before the shuffle, so a hot text travels once from each task. Texts of groups stand
+        # for their copies and have no row of their own; a false hit of the filter is a text like any other.
+        hits = rows.where(test).groupBy("digest").agg(F.first(F.struct("id", "text")).alias("x"), F.count(F.lit(1)).alias("n"))
+        distinct = distinct.where(~test).select("id", "text", "emit").unionByName(hits.select("x.id", "x.text", (F.col("n") == 1).alias("emit")))
         size = F.octet_length("text").cast("bigint")
-        whole = size >= length
-        copies = met.where("n is not null").select(
+        whole = F.col("n_bytes") >= length
+        # Only short copies keep bytes: no long text takes part in this join.
+        copied = rows.where(test).select("id", "digest", size.alias("n_bytes"), F.when(size < length, F.col("text")).otherwise(F.lit(b"")).alias("kept"))
+        none = F.array().cast("array<bigint>")
+        copies = copied.join(groups, "digest", "left_semi").select(
             "id",
-            size.alias("n_bytes"),
-            F.when(whole, F.array(F.lit(0).cast("bigint"))).otherwise(F.array().cast("array<bigint>")).alias("starts"),
-            F.when(whole, F.array(size)).otherwise(F.array().cast("array<bigint>")).alias("ends"),
-            F.when(whole, F.lit(b"")).otherwise(F.col("text")).alias("kept"),
+            "n_bytes",
+            F.when(whole, F.array(F.lit(0).cast("bigint"))).otherwise(none).alias("starts"),
+            F.when(whole, F.array("n_bytes")).otherwise(none).alias("ends"),
+            "kept",
         )
 
     path, table = new_path(spark, "blocks"), f"gridweave_blocks_{uuid.uuid4().hex}"
