@@ -529,15 +529,15 @@ def set_cover(spark, d):
     hist = patterns.histogram(matrix_a(spark, d), *sizes(spark, d), 4).where("pattern > 0").orderBy("pattern")
     shares = {x["pattern"]: x["cnt"] for x in hist.collect()}  # at most 15 rows
     total, seen = sum(shares.values()), sorted(shares)
-    sets = []
-    for group in patterns.bounded_powerset(range(len(seen)), 3):
-        union, share = 0, 0.0
-        for g in group:
-            union |= seen[g]
-            share += shares[seen[g]] / total
-        sets.append((sum(1 << g for g in group), patterns.N_CHECK + share * 128 * (patterns.N_BASE + patterns.N_ENTRY * union.bit_count())))
-    chosen, cost = patterns.exact_cover((1 << len(seen)) - 1, sets)
-    rows = [(k, [seen[b] for b in range(len(seen)) if sets[c][0] >> b & 1], round(cost, 6)) for k, c in enumerate(sorted(chosen))]
+    unions, counts, costs = [0], [0], [0.0]
+    for mask in range(1, 1 << len(seen)):  # every group: its first pattern, and the rest before it
+        pattern, rest = seen[(mask & -mask).bit_length() - 1], mask & (mask - 1)
+        unions.append(unions[rest] | pattern)
+        counts.append(counts[rest] + shares[pattern])
+        costs.append(patterns.N_CHECK + counts[mask] / total * 128 * (patterns.N_BASE + patterns.N_ENTRY * unions[mask].bit_count()))
+    chosen, cost = patterns.cheapest_partition(len(seen), costs)
+    groups = sorted(([p for b, p in enumerate(seen) if mask >> b & 1] for mask in chosen), key=lambda g: (len(g), g))
+    rows = [(k, g, round(cost, 6)) for k, g in enumerate(groups)]
     return spark.createDataFrame(rows, "group_id int, patterns array<int>, total_cost double")
 
 
