@@ -936,9 +936,8 @@ def seeded_sample(spark, d):
 
 @query()
 def method_components(spark, d):
-    """Groups of parts that share a supplier with the next part, as connected components."""
+    """Groups of suppliers and parts that lineitems connect, as connected components of all entries."""
     from gridweave.operators.graph import components
 
-    a = matrix_a(spark, d).where("v > 100").select(F.col("i").cast("long").alias("i"), (F.lit(1 << 40) + F.col("j")).cast("long").alias("j"))
-    found = components(a.select(F.col("i").alias("u"), F.col("j").alias("v")))
-    return found.groupBy("root").agg(F.count(F.lit(1)).alias("nodes"))
+    a = matrix_a(spark, d).select(F.col("i").cast("long").alias("u"), (F.lit(1 << 40) + F.col("j")).cast("long").alias("v"))
+    return components(a).groupBy("root").agg(F.count(F.lit(1)).alias("nodes"))

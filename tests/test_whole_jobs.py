@@ -57,3 +57,22 @@ def test_cheapest_partition():
 
 def test_large_groups_are_tried():
     assert patterns.cheapest_partition(5, [0.0] + [1.0] * 31) == ([31], 1.0)
+
+
+def test_method_components(spark, tmp_path):
+    rng = random.Random(3)
+    entries = sorted({(rng.randrange(40), rng.randrange(60)) for _ in range(45)})
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for i, j in entries:
+        parent[root((1, j))] = root((0, i))
+    sizes = {}
+    for x in list(parent):
+        sizes[root(x)] = sizes.get(root(x), 0) + 1
+    got = catalog.queries()["method_components"](spark, tables(spark, tmp_path, entries)).collect()
+    assert len(sizes) > 3 and sorted(x["nodes"] for x in got) == sorted(sizes.values())
