@@ -262,6 +262,22 @@ def row_pairs(nz: DataFrame, rows: DataFrame) -> DataFrame:
     ).select("i1", "i2", "both", "size1", "size2")
 
 
+def panel_pairs(nz: DataFrame, m: int, height: int = 16) -> DataFrame:
+    """``(p, i1, i2, both, size1, size2)`` for all pairs of rows inside each panel of ``height`` rows of
+    the whole matrix, those without a shared column (``both`` 0) and empty rows included.
+
+    The join is on panel and column, so a column adds at most ``height * (height - 1) / 2`` pairs a panel.
+    """
+    panel = F.floor(F.col("i") / height).cast("long").alias("p")
+    mine = nz.select(panel, F.col("i").cast("long").alias("i"), "j")
+    left, right = mine.select("p", "j", F.col("i").alias("i1")), mine.select("p", "j", F.col("i").alias("i2"))
+    both = left.join(right, ["p", "j"]).where("i1 < i2").groupBy("i1", "i2").agg(F.count(F.lit(1)).alias("both"))
+    sizes = line_counts(nz, m, "i").select(F.col("line").cast("long").alias("i"), "n").select(panel, "i", "n")
+    first = sizes.select("p", F.col("i").alias("i1"), F.col("n").alias("size1"))
+    pairs = first.join(sizes.select("p", F.col("i").alias("i2"), F.col("n").alias("size2")), "p").where("i1 < i2")
+    return pairs.join(both, ["i1", "i2"], "left").select("p", "i1", "i2", F.coalesce("both", F.lit(0)).alias("both"), "size1", "size2")
+
+
 def greedy_order(nz: DataFrame, height: int) -> DataFrame:
     """Rows of each panel of ``height`` rows in nearest-neighbour order: from its first row on, always
     the nearest row not yet placed, by Hamming distance, ties to the smaller row. ``(p, i, place)``.

@@ -362,6 +362,13 @@ def hamming_pairs(spark, d):
     return structure.row_pairs(a, first).select("i1", "i2", structure.hamming(F.col("both"), F.col("size1"), F.col("size2")).alias("hamming"))
 
 
+@query()
+def hamming_panels(spark, d):
+    """Hamming distance of every pair of rows inside each panel of 16 rows of the whole matrix."""
+    pairs = structure.panel_pairs(matrix_a(spark, d), sizes(spark, d)[0], 16)
+    return pairs.select("p", "i1", "i2", structure.hamming(F.col("both"), F.col("size1"), F.col("size2")).alias("hamming"))
+
+
 @query("SELECT i // 16 AS p, round((count(*) - count(DISTINCT j)) / count(*), 6) AS overlap FROM {A} GROUP BY 1")
 def overlap_panel(spark, d):
     return structure.panel_overlap(matrix_a(spark, d), 16).select("p", r("overlap").alias("overlap"))

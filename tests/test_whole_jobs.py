@@ -76,3 +76,13 @@ def test_method_components(spark, tmp_path):
         sizes[root(x)] = sizes.get(root(x), 0) + 1
     got = catalog.queries()["method_components"](spark, tables(spark, tmp_path, entries)).collect()
     assert len(sizes) > 3 and sorted(x["nodes"] for x in got) == sorted(sizes.values())
+
+
+def test_hamming_panels(spark, tmp_path):
+    rng = random.Random(4)
+    entries = sorted({(rng.randrange(37), rng.randrange(60)) for _ in range(150)} | {(39, 0)})
+    cols = [{j for i, j in entries if i == k} for k in range(40)]
+    want = {(a // 16, a, b, len(cols[a] ^ cols[b])) for a in range(40) for b in range(a + 1, 40) if a // 16 == b // 16}
+    got = catalog.queries()["hamming_panels"](spark, tables(spark, tmp_path, entries)).collect()
+    assert len(got) == len(want) and {tuple(x) for x in got} == want
+    assert not all(cols) and any(not cols[a] & cols[b] for _, a, b, _ in want)
