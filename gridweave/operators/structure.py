@@ -262,9 +262,9 @@ def row_pairs(nz: DataFrame, rows: DataFrame) -> DataFrame:
     ).select("i1", "i2", "both", "size1", "size2")
 
 
-def panel_pairs(nz: DataFrame, m: int, height: int = 16) -> DataFrame:
+def panel_pairs(nz: DataFrame, m: int | None, height: int = 16) -> DataFrame:
     """``(p, i1, i2, both, size1, size2)`` for all pairs of rows inside each panel of ``height`` rows of
-    the whole matrix, those without a shared column (``both`` 0) and empty rows included.
+    the whole matrix, those without a shared column (``both`` 0) and, if ``m`` is given, empty rows included.
 
     The join is on panel and column, so a column adds at most ``height * (height - 1) / 2`` pairs a panel.
     """
@@ -272,7 +272,10 @@ def panel_pairs(nz: DataFrame, m: int, height: int = 16) -> DataFrame:
     mine = nz.select(panel, F.col("i").cast("long").alias("i"), "j")
     left, right = mine.select("p", "j", F.col("i").alias("i1")), mine.select("p", "j", F.col("i").alias("i2"))
     both = left.join(right, ["p", "j"]).where("i1 < i2").groupBy("i1", "i2").agg(F.count(F.lit(1)).alias("both"))
-    sizes = line_counts(nz, m, "i").select(F.col("line").cast("long").alias("i"), "n").select(panel, "i", "n")
+    if m is None:
+        sizes = mine.groupBy("p", "i").agg(F.count(F.lit(1)).alias("n"))
+    else:
+        sizes = line_counts(nz, m, "i").select(F.col("line").cast("long").alias("i"), "n").select(panel, "i", "n")
     first = sizes.select("p", F.col("i").alias("i1"), F.col("n").alias("size1"))
     pairs = first.join(sizes.select("p", F.col("i").alias("i2"), F.col("n").alias("size2")), "p").where("i1 < i2")
     return pairs.join(both, ["i1", "i2"], "left").select("p", "i1", "i2", F.coalesce("both", F.lit(0)).alias("both"), "size1", "size2")
@@ -282,20 +285,23 @@ def greedy_order(nz: DataFrame, height: int) -> DataFrame:
     """Rows of each panel of ``height`` rows in nearest-neighbour order: from its first row on, always
     the nearest row not yet placed, by Hamming distance, ties to the smaller row. ``(p, i, place)``.
 
-    The walk is sequential, so it runs panel by panel; a panel's rows are its bound.
+    The walk is sequential, so it runs panel by panel; it sees the distances of a panel's pairs only.
     """
     import pandas as pd
 
     def walk(panel: pd.DataFrame) -> pd.DataFrame:
-        rows = {int(r.i): set(r.cols) for r in panel.itertuples()}
-        order = [min(rows)] if rows else []
-        left = sorted(set(rows) - set(order))
+        distance = {(int(r.i1), int(r.i2)): int(r.distance) for r in panel.itertuples()}
+        left = sorted({r for pair in distance for r in pair})
+        order = [left.pop(0)]
         while left:
-            here = rows[order[-1]]
-            nearest = min(left, key=lambda r: (len(here ^ rows[r]), r))
+            here = order[-1]
+            nearest = min(left, key=lambda r: (distance[min(here, r), max(here, r)], r))
             order.append(nearest)
             left.remove(nearest)
         return pd.DataFrame({"p": int(panel.p.iloc[0]), "i": order, "place": range(len(order))})
 
-    rows = nz.groupBy("i").agg(F.collect_set("j").alias("cols")).withColumn("p", F.floor(F.col("i") / height).cast("long"))
-    return rows.groupBy("p").applyInPandas(walk, "p long, i long, place int")
+    rows = nz.select(F.col("i").cast("long").alias("i"), "j").distinct()
+    pairs = panel_pairs(rows, None, height).select("p", "i1", "i2", hamming(F.col("both"), F.col("size1"), F.col("size2")).alias("distance"))
+    alone = rows.groupBy("i").agg(F.lit(0).cast("long").alias("distance"))  # panels of one row have no pair
+    alone = alone.select(F.floor(F.col("i") / height).cast("long").alias("p"), F.col("i").alias("i1"), F.col("i").alias("i2"), "distance")
+    return pairs.unionByName(alone).groupBy("p").applyInPandas(walk, "p long, i long, place int")

@@ -5,7 +5,7 @@ from collections import Counter
 
 import pytest
 
-from gridweave.operators import patterns
+from gridweave.operators import patterns, structure
 from gridweave.plans import catalog
 
 
@@ -86,3 +86,21 @@ def test_hamming_panels(spark, tmp_path):
     got = catalog.queries()["hamming_panels"](spark, tables(spark, tmp_path, entries)).collect()
     assert len(got) == len(want) and {tuple(x) for x in got} == want
     assert not all(cols) and any(not cols[a] & cols[b] for _, a, b, _ in want)
+
+
+def test_greedy_order_sees_distances_only(spark, monkeypatch):
+    rng = random.Random(6)
+    entries = [(rng.randrange(37), rng.randrange(20)) for _ in range(200)] + [(48, 0)]
+    cols = {k: {j for i, j in entries if i == k} for k, _ in entries}
+    want = set()
+    for p in {k // 16 for k in cols}:
+        left = sorted(k for k in cols if k // 16 == p)
+        order = [left.pop(0)]
+        while left:
+            order.append(min(left, key=lambda r: (len(cols[order[-1]] ^ cols[r]), r)))
+            left.remove(order[-1])
+        want |= {(p, k, place) for place, k in enumerate(order)}
+    asked, real = [], structure.panel_pairs
+    monkeypatch.setattr(structure, "panel_pairs", lambda *a: asked.append(a) or real(*a))
+    made = structure.greedy_order(spark.createDataFrame(entries, "i long, j long"), 16)
+    assert {tuple(x) for x in made.collect()} == want and asked
