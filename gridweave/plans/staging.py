@@ -35,8 +35,9 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-#: Folders made by this driver, until they are released.
+#: Folders and tables made by this driver, until they are released.
 _made: list[str] = []
+_tables: dict[str, str] = {}
 
 
 def new_path(spark: SparkSession, label: str) -> str:
@@ -44,6 +45,14 @@ def new_path(spark: SparkSession, label: str) -> str:
     return _made[-1]
 
 
+def new_table(spark: SparkSession, label: str) -> tuple[str, str]:
+    """A new folder in the shared folder, and the name of a table to be saved there: bucketed
+    files are known to the catalogue only."""
+    path, table = new_path(spark, label), f"gridweave_{label}_{uuid.uuid4().hex}"
+    _tables[path] = table
+    return path, table
+
+
 def materialise(df: DataFrame, label: str, **options: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back."""
     path = new_path(df.sparkSession, label)
@@ -52,15 +61,16 @@ def materialise(df: DataFrame, label: str, **options: str) -> DataFrame:
 
 
 def release(spark: SparkSession, paths: list[str] | None = None) -> None:
-    """Delete folders made by :func:`new_path`, all of this driver's if none are named.
+    """Delete folders made by :func:`new_path`, all of this driver's if none are named, and the tables
+    of :func:`new_table` in them.
 
     Results are lazy: call it when those that read the folders have been written.
     """
     jvm = spark.sparkContext._jvm
     for path in list(_made) if paths is None else paths:
+        if path in _tables:
+            spark.sql(f"DROP TABLE IF EXISTS {_tables.pop(path)}")
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
         if path in _made:
             _made.remove(path)
-    for name in [t.name for t in spark.catalog.listTables() if t.name.startswith("gridweave_")] if paths is None else []:
-        spark.sql(f"DROP TABLE {name}")
