@@ -1,34 +1,43 @@
-"""Removal of repeated byte strings by a difference-cover, blockwise sort of suffixes.
+"""Removal of repeated byte strings: blockwise suffix buckets over difference-cover samples, byte-exact.
 
 A byte goes if some string of ``length`` bytes over it also starts anywhere else. Only the first
-``length`` bytes of a suffix decide, so suffixes are sorted by these, one bucket at a time; all that
-one task holds is a block of texts or a bucket of keys.
+``length`` bytes of a suffix decide. All that one task holds is a block of texts or a bucket of keys.
 
 1. Texts that equal another are told apart by their digest; one of each group goes on. A copy of at
    least ``length`` bytes is repeated as a whole, a shorter one not at all.
 2. Texts are packed into blocks of about ``BLOCK_BYTES``, written once and bucketed by block number,
-   so that later rounds meet their answers without another shuffle of the texts.
+   so that later rounds meet their answers without another shuffle of the texts. A longer text is
+   split into blocks that overlap by ``length - 1`` bytes, so every suffix starts in one block.
 3. Cover samples: suffixes at offsets whose residue modulo ``v`` is in a difference cover of ``v``.
    For any two suffixes some shift below ``v`` leads both to samples, and if they share ``length``
-   bytes, those samples share ``length - v + 1``. Sample keys are sent to their buckets; a bucket
-   sorts its keys at once and answers which ones more than one place has. Suffixes that no repeated
-   sample follows within ``v`` bytes are settled: nothing can tie with them.
-4. The other suffixes are sent to buckets by their leading ``length`` bytes, and answered likewise.
-5. Answers mark repeated suffixes; the bytes they cover form the removed spans.
-
-Names of strings are made by doubling, as in suffix sorting: the name of ``2 n`` bytes mixes those of
-its halves. They have 64 bits, and the bucket adds bits of another name, so two different strings meet under one
-key with a chance of about 1e-8 for each bucket of a quarter million keys. A block sends a key once, however
-often it holds it; answers are one bit for each key.
+   bytes, those samples share ``length - v + 1``. Sample keys are sorted in their buckets, which
+   answer the ones that more than one place has. Suffixes that no tied sample follows within ``v``
+   bytes are settled: nothing can tie with them.
+4. Keys of the other suffixes are sorted in their buckets, each with the byte before and the byte
+   after its string. A bucket answers which keys tie, and which tied keys are edges: those whose
+   holders differ in a neighbouring byte, or stand at an end of their text.
+5. The strings of edges, and one string every ``length`` bytes between two edges, are sent whole;
+   a bucket sorts them by their bytes, and neighbours that share all ``length`` bytes are repeated.
+
+Keys only save work: what goes is what step 5 has compared byte for byte, and nothing is missed if
+keys of different strings are equal. Equal strings have equal keys, so a repeated string that is no
+edge has a neighbour on either side that is repeated too, up to the next edges, which all holders
+have at the same distance: they send the same strings, and those cover all bytes between. Clashes
+make more edges and so more strings, never another result.
+
+Ranks of cover samples decide here which suffixes can tie, not how ties are ordered: a string ends after
+``length`` bytes, so a tie goes on from the sample at shift ``s`` for just ``length - s`` bytes, which a
+rank of one depth cannot say. Strings are bounded, so their bytes are sorted instead.
 
 Defined results: a null text counts as empty. Texts shorter than ``length`` keep all bytes. Matches
 never cross texts. Rows that repeat an id are judged row by row; equal rows are copies. Removing
-bytes can leave text that is no UTF-8, so what stays is binary. Empty input gives an empty result.
+bytes can leave text that is no UTF-8, so what stays is binary. Extra columns are not read and may
+have any name. A row holds a text and what stays of it, so texts go up to Spark's 2 GB of a value.
+Empty input gives an empty result.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -40,15 +49,20 @@ from pyspark.sql import functions as F
 
 from gridweave.llm.text import small_batches
 from gridweave.operators.membership import build_filter, maybe
-from gridweave.plans.staging import materialise, new_path
+from gridweave.plans.staging import materialise, new_table
 
 LENGTH = 200
 BLOCK_BYTES = 2 << 20
-#: Expected keys of a bucket; a bucket of suffixes may hold four times as many.
-BUCKET_KEYS = 250_000
-KEYS = "bucket int, block bigint, keys binary"
-ANSWERS = "block bigint, bucket int, mask binary"
-ODD_A, ODD_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+#: Bytes of texts whose blocks make one bucket of the table of blocks, so one task.
+TABLE_BUCKET_BYTES = 32 << 20
+#: Expected samples, and most suffixes and strings, of a bucket.
+SAMPLES, SUFFIXES, STRINGS = 1 << 20, 1 << 22, 1 << 20
+#: Bits of a sample's key and of a suffix's key; two bytes of a suffix's word are its neighbours.
+SAMPLE_BITS, SUFFIX_BITS = 40, 48
+SENT = "bucket bigint, block bigint, keys binary, flags binary"
+ANSWERS = "block bigint, bucket bigint, mask binary, more binary"
+BASE, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+BYTE_WORDS = np.random.default_rng(200).integers(0, 1 << 64, size=256, dtype=np.uint64)
 
 
 @lru_cache(maxsize=8)
@@ -76,37 +90,15 @@ def cover_for(length: int) -> tuple[int, tuple[int, ...]]:
     return difference_cover(primes[-1]) if primes else (1, (0,))
 
 
-def _mix(a: np.ndarray, b: np.ndarray, odd: np.uint64) -> np.ndarray:
-    h = a * odd
-    h ^= h >> np.uint64(29)
-    h += b
-    h *= ODD_B
-    h ^= h >> np.uint64(32)
-    return h
-
-
-def names(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two names of the ``length`` bytes from each place; for the last ``length - 1`` places they
-    name what follows the data too and must not be used."""
-    padded = np.concatenate((data, np.zeros(length + 8, dtype=np.uint8)))
-    word = np.ndarray((len(padded) - 7,), dtype="<u8", buffer=padded, strides=(1,)).astype(np.uint64)
-    if length < 8:
-        word &= np.uint64((1 << (8 * length)) - 1)
-        first, size = _mix(word, word, ODD_A), length
-        second = first
-    else:
-        first, size = _mix(word, word, ODD_A), 8
-        second = first
-        while size * 2 <= length:
-            first, second = _mix(first[:-size], first[size:], ODD_A), first
-            size *= 2
-    n, gap = len(data), length - size
-    one = _mix(first[:n], first[gap : gap + n], ODD_A)
-    half = max(1, size // 2) if size > 8 else 0
-    other = _mix(second[gap : gap + n], second[:n], ODD_B)
-    if half:
-        other = _mix(other, _mix(second[half : half + n], second[gap + half : gap + half + n], ODD_B), ODD_A)
-    return one, other
+@lru_cache(maxsize=2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of BASE modulo 2^64, and of its inverse."""
+    out = []
+    for base in (int(BASE), pow(int(BASE), -1, 1 << 64)):
+        powers = np.full(n, np.uint64(base))
+        powers[0] = 1
+        out.append(np.cumprod(powers))
+    return out[0], out[1]
 
 
 class Block:
@@ -118,171 +110,372 @@ class Block:
         self.data = np.frombuffer(zstandard.decompress(payload, max_output_size=max(1, sum(sizes))), dtype=np.uint8)
         self.sizes = np.array(sizes, dtype=np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
-        self.offset = np.arange(len(self.data), dtype=np.int32) - np.repeat(self.starts, self.sizes).astype(np.int32)
+
+    def measure(self) -> None:
+        n = len(self.data)
+        self.offset = np.arange(n, dtype=np.int32) - np.repeat(self.starts, self.sizes).astype(np.int32)
         self.left = np.repeat(self.sizes, self.sizes).astype(np.int32) - self.offset
+        powers, self.inverse = _powers(1 << max(10, n.bit_length()))
+        self.sums = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum(BYTE_WORDS[self.data] * powers[:n], out=self.sums[1:])
+
+    def names(self, places: np.ndarray, length: int) -> np.ndarray:
+        """A 64-bit name of the ``length`` bytes from each place."""
+        h = (self.sums[places + length] - self.sums[places]) * self.inverse[places]
+        h ^= h >> np.uint64(31)
+        h *= MIX
+        h ^= h >> np.uint64(29)
+        return h
+
+
+def bucket_of(names: np.ndarray, n_buckets: int) -> np.ndarray:
+    return (((names >> np.uint64(32)) * np.uint64(n_buckets)) >> np.uint64(32)).astype(np.int64)
+
+
+def _slices(bucket: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """``(bucket, from, to)`` of an ascending array."""
+    if len(bucket):
+        edges = np.flatnonzero(np.diff(bucket)) + 1
+        for a, b in zip(np.append(0, edges), np.append(edges, len(bucket))):
+            yield int(bucket[a]), int(a), int(b)
+
+
+def _flags(bucket: np.ndarray, answers: list[dict] | None, column: str = "mask") -> np.ndarray:
+    """The bits that buckets answered for ascending ``bucket``."""
+    out = np.zeros(len(bucket), dtype=bool)
+    masks = {x["bucket"]: x[column] for x in answers or []}
+    for b, start, end in _slices(bucket):
+        if b in masks:
+            out[start:end] = np.unpackbits(np.frombuffer(masks[b], np.uint8), count=end - start).astype(bool)
+    return out
 
 
 class Keyed:
-    """Places of a block with the keys of ``length`` bytes; distinct keys sorted by bucket."""
+    """Places of a block with their keys; distinct keys, sorted by bucket and key."""
 
-    def __init__(self, block: Block, places: np.ndarray, length: int, n_buckets: int):
+    def __init__(self, block: Block, places: np.ndarray, length: int, n_buckets: int, bits: int):
         self.places = places
-        one, other = names(block.data, length) if len(places) else (np.zeros(0, np.uint64),) * 2
-        one, other = one[places], other[places]
-        bucket = (((other >> np.uint64(32)) * np.uint64(n_buckets)) >> np.uint64(32)).astype(np.int32)
-        # By key, then by bucket in a stable sort of small integers, which numpy does by radix.
-        order = np.argsort(one)
-        small = bucket[order].astype(np.uint16) if n_buckets <= 1 << 16 else bucket[order]
-        order = order[np.argsort(small, kind="stable")]
-        one, bucket = one[order], bucket[order]
-        new = np.ones(len(order), dtype=bool)
-        new[1:] = (one[1:] != one[:-1]) | (bucket[1:] != bucket[:-1])
+        names = block.names(places, length)
+        bucket, key = bucket_of(names, n_buckets), names & np.uint64((1 << bits) - 1)
+        if n_buckets <= 1 << (64 - bits):
+            self.order = np.argsort((bucket.astype(np.uint64) << np.uint64(bits)) | key)
+        else:
+            self.order = np.lexsort((key, bucket))
+        key, bucket = key[self.order], bucket[self.order]
+        new = np.ones(len(key), dtype=bool)
+        new[1:] = (key[1:] != key[:-1]) | (bucket[1:] != bucket[:-1])
+        self.first = np.flatnonzero(new)
         rank = np.cumsum(new) - 1
-        self.rank = np.empty(len(order), dtype=np.int64)
-        self.rank[order] = rank
-        self.keys, self.bucket = one[new], bucket[new]
-        self.several = np.bincount(rank, minlength=len(self.keys)) > 1
-
-    def slices(self) -> Iterator[tuple[int, int, int]]:
-        """``(bucket, from, to)`` of the distinct keys."""
-        if len(self.keys):
-            edges = np.flatnonzero(np.diff(self.bucket)) + 1
-            for a, b in zip(np.append(0, edges), np.append(edges, len(self.keys))):
-                yield int(self.bucket[a]), int(a), int(b)
-
-    def repeated(self, answers: list[dict] | None) -> np.ndarray:
-        """For each place, whether its key occurs at another place of this block or any other."""
-        flags = self.several.copy()
-        masks = {x["bucket"]: x["mask"] for x in answers or []}
-        for bucket, a, b in self.slices():
-            if bucket in masks:
-                flags[a:b] |= np.unpackbits(np.frombuffer(masks[bucket], np.uint8), count=b - a).astype(bool)
-        return flags[self.rank]
+        self.rank = np.empty(len(key), dtype=np.int64)
+        self.rank[self.order] = rank
+        self.keys, self.bucket = key[new], bucket[new]
+        self.several = np.diff(np.append(self.first, len(key))) > 1
 
 
 class Job:
     """Parameters of a run, and what each round does to a block."""
 
-    def __init__(self, length: int, n_cover: int, n_suffix: int):
-        self.length, self.n_cover, self.n_suffix = length, n_cover, n_suffix
+    def __init__(self, length: int, n_samples: int, n_suffixes: int, n_strings: int, sample_bits: int, suffix_bits: int):
+        self.length, self.n_samples, self.n_suffixes, self.n_strings = length, n_samples, n_suffixes, n_strings
+        self.sample_bits, self.suffix_bits = sample_bits, suffix_bits
         self.v, self.cover = cover_for(length)
         self.sampled = np.zeros(self.v, dtype=bool)
         self.sampled[list(self.cover)] = True
 
-    def samples(self, block: Block) -> Keyed:
+    def _samples(self, block: Block) -> Keyed:
+        block.measure()
         depth = self.length - self.v + 1
         places = np.flatnonzero(self.sampled[block.offset % self.v] & (block.left >= depth))
-        return Keyed(block, places, depth, self.n_cover)
-
-    def suffixes(self, block: Block, sample_answers: list[dict] | None) -> Keyed:
-        """Suffixes that a repeated sample follows within ``v`` bytes."""
-        samples = self.samples(block)
-        hit = samples.places[samples.repeated(sample_answers)]
+        return Keyed(block, places, depth, self.n_samples, self.sample_bits)
+
+    def samples(self, block: Block, number: int) -> Iterator[tuple]:
+        """Round 1: ``(bucket, keys, flags)`` of distinct sample keys."""
+        found = self._samples(block)
+        low = np.ascontiguousarray(found.keys.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, : SAMPLE_BITS // 8]
+        for bucket, a, b in _slices(found.bucket):
+            yield bucket, low[a:b].tobytes(), b""
+
+    def _suffixes(self, block: Block, answers: list[dict] | None) -> tuple[Keyed, np.ndarray, np.ndarray]:
+        """Suffixes that a tied sample follows within ``v`` bytes; of each distinct key a word of the
+        key and the neighbouring bytes, and whether its places here make it an edge."""
+        samples = self._samples(block)
+        hit = samples.places[(samples.several | _flags(samples.bucket, answers))[samples.rank]]
         change = np.zeros(len(block.data) + 1, dtype=np.int32)
-        np.add.at(change, np.maximum(hit - (self.v - 1), hit - block.offset[hit]), 1)
+        np.add.at(change, hit - np.minimum(self.v - 1, block.offset[hit]), 1)
         np.add.at(change, hit + 1, -1)
-        open_ = (np.cumsum(change[:-1]) > 0) & (block.left >= self.length)
-        return Keyed(block, np.flatnonzero(open_), self.length, self.n_suffix)
+        places = np.flatnonzero((np.cumsum(change[:-1]) > 0) & (block.left >= self.length))
+        found = Keyed(block, places, self.length, self.n_suffixes, self.suffix_bits)
+        if not len(places):
+            return found, found.keys, np.zeros(0, dtype=bool)
+        at = places[found.order]
+        data = np.append(block.data, np.uint8(0))
+        around = (data[at - 1].astype(np.uint64) << np.uint64(8)) | data[at + self.length]
+        ends = (block.offset[at] == 0) | (block.left[at] == self.length)
+        least = np.minimum.reduceat(around, found.first)
+        edge = (least != np.maximum.reduceat(around, found.first)) | np.logical_or.reduceat(ends, found.first)
+        return found, (found.keys << np.uint64(16)) | least, edge
+
+    def suffixes(self, block: Block, number: int, sample_answers: list[dict] | None) -> Iterator[tuple]:
+        """Round 2: ``(bucket, words, edges)`` of distinct suffix keys."""
+        found, words, edge = self._suffixes(block, sample_answers)
+        for bucket, a, b in _slices(found.bucket):
+            yield bucket, words[a:b].astype("<u8").tobytes(), np.packbits(edge[a:b]).tobytes()
+
+    def strings(self, block: Block, number: int, sample_answers: list[dict] | None, suffix_answers: list[dict] | None) -> Iterator[tuple]:
+        """Round 3: ``(bucket, strings, b"")`` of distinct strings, and one row, with a bucket of its
+        own, that says which places they stand for."""
+        import zstandard
 
-    def removed(self, block: Block, sample_answers: list[dict] | None, suffix_answers: list[dict] | None) -> np.ndarray:
+        found, _, edge = self._suffixes(block, sample_answers)
+        tied = (found.several | _flags(found.bucket, suffix_answers))[found.rank]
+        edge = (edge | _flags(found.bucket, suffix_answers, "more"))[found.rank] & tied
+        where = np.where(edge, np.arange(len(edge)), len(edge))
+        following = np.minimum.accumulate(where[::-1])[::-1]
+        known = following < len(edge)
+        far = np.zeros(len(edge), dtype=np.int64)
+        far[known] = found.places[following[known]] - found.places[known]
+        picked = found.places[tied & (edge | (known & (far % self.length == 0)))]
+        bucket = bucket_of(block.names(picked, self.length), self.n_strings)
+        text = np.zeros((0, self.length), np.uint8)
+        if len(picked):
+            text = np.lib.stride_tricks.sliding_window_view(block.data, self.length)[picked]
+        order = np.argsort(text.reshape(-1).view(f"S{self.length}"), kind="stable")
+        order = order[np.argsort(bucket[order], kind="stable")]
+        text, bucket, picked = text[order], bucket[order], picked[order]
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = (text[1:] != text[:-1]).any(axis=1)
+        rank, text, bucket = np.cumsum(new) - 1, text[new], bucket[new]
+        for b, start, end in _slices(bucket):
+            yield b, zstandard.compress(text[start:end].tobytes(), 1), b""
+        sizes = np.array([len(picked), len(bucket)], dtype="<i8")
+        yield -1 - number, b"".join(x.astype("<i8").tobytes() for x in (sizes, picked, rank, bucket)), b""
+
+    def removed(self, block: Block, answers: list[dict] | None) -> np.ndarray:
         """For each byte, whether it goes."""
-        suffixes = self.suffixes(block, sample_answers)
-        hit = suffixes.places[suffixes.repeated(suffix_answers)]
         change = np.zeros(len(block.data) + 1, dtype=np.int32)
-        change[hit] += 1
-        np.add.at(change, hit + self.length, -1)
+        state = next((x["mask"] for x in answers or [] if x["bucket"] < 0), None)
+        if state is not None:
+            numbers = np.frombuffer(state, "<i8")
+            n, m = numbers[:2]
+            places, rank, bucket = numbers[2 : 2 + n], numbers[2 + n : 2 + 2 * n], numbers[2 + 2 * n :]
+            repeated = (np.bincount(rank, minlength=m) > 1) | _flags(bucket, answers)
+            hit = places[repeated[rank]]
+            change[hit] += 1
+            np.add.at(change, hit + self.length, -1)
         return np.cumsum(change[:-1]) > 0
 
 
-def _pack_blocks(rows: DataFrame, id_type: str) -> DataFrame:
-    """``rows(id, text, emit)`` packed into compressed blocks."""
+def _pack_blocks(rows: DataFrame, id_type: str, length: int) -> DataFrame:
+    """``rows(id, digest, text, emit)`` packed into compressed blocks. A block of a part of a long text
+    has the text's digest in ``part`` and the part's place in ``base``."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        first, made = TaskContext.get().partitionId() << 32, 0
+        number, id_kind = TaskContext.get().partitionId() << 32, None
         ids: list = []
-        texts: list[bytes] = []
+        texts: list = []
         emits: list[bool] = []
-        size, id_kind = 0, None
-
-        def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([first + made], pa.int64()),
-                    pa.array([size], pa.int64()),
-                    pa.array([ids], pa.list_(id_kind)),
-                    pa.array([emits], pa.list_(pa.bool_())),
-                    pa.array([[len(x) for x in texts]], pa.list_(pa.int64())),
-                    pa.array([zstandard.compress(b"".join(texts), 1)], pa.binary()),
-                ],
-                names=["block", "size", "ids", "emits", "sizes", "payload"],
-            )
+        size = 0
+
+        def block(ids, texts, emits, part=None, base=0) -> pa.RecordBatch:
+            nonlocal number
+            number += 1
+            columns = {
+                "block": pa.array([number], pa.int64()),
+                "part": pa.array([part], pa.string()),
+                "base": pa.array([base], pa.int64()),
+                "ids": pa.array([ids], pa.list_(id_kind)),
+                "emits": pa.array([emits], pa.list_(pa.bool_())),
+                "sizes": pa.array([[len(x) for x in texts]], pa.list_(pa.int64())),
+                "payload": pa.array([zstandard.compress(b"".join(texts), 1)], pa.binary()),
+            }
+            return pa.RecordBatch.from_pydict(columns)
 
         for batch in batches:
             id_kind = batch.column(0).type
-            for id_, text, emit in zip(*batch.columns):
+            for id_, digest, text, emit in zip(*batch.columns):
+                whole = memoryview(text.as_buffer())
+                if len(whole) > BLOCK_BYTES:
+                    for base in range(0, len(whole), BLOCK_BYTES):
+                        yield block([id_.as_py()], [whole[base : base + BLOCK_BYTES + length - 1]], [emit.as_py()], digest.as_py(), base)
+                    continue
                 ids.append(id_.as_py())
-                texts.append(text.as_py())
+                texts.append(bytes(whole))
                 emits.append(emit.as_py())
-                size += len(texts[-1])
+                size += len(whole)
                 if size >= BLOCK_BYTES:
-                    yield flush()
-                    ids, texts, emits, size, made = [], [], [], 0, made + 1
+                    yield block(ids, texts, emits)
+                    ids, texts, emits, size = [], [], [], 0
         if ids:
-            yield flush()
+            yield block(ids, texts, emits)
+
+    schema = f"block bigint, part string, base bigint, ids array<{id_type}>, emits array<boolean>, sizes array<bigint>, payload binary"
+    return rows.select("id", "digest", "text", "emit").mapInArrow(scan, schema)
+
+
+def _answer_samples(group: pa.Table) -> pa.Table:
+    """Sorts one bucket's keys and marks those that more than one block has. A block sends a key once."""
+    width = SAMPLE_BITS // 8
+    low = np.frombuffer(b"".join(group["keys"].to_pylist()), np.uint8).reshape(-1, width)
+    keys = np.zeros((len(low), 8), np.uint8)
+    keys[:, :width] = low
+    keys = keys.view("<u8").reshape(-1)
+    order = np.argsort(keys)
+    keys = keys[order]
+    same = keys[1:] == keys[:-1]
+    tied = np.zeros(len(keys), dtype=bool)
+    tied[order[1:][same]] = True
+    tied[order[:-1][same]] = True
+    return _masks(group, [len(x) // width for x in group["keys"].to_pylist()], tied, tied & False)
+
+
+def _answer_suffixes(group: pa.Table) -> pa.Table:
+    """Sorts one bucket's words; a key is tied if more than one block has it, and an edge if its words
+    differ in a neighbouring byte or a block says so."""
+    sizes = [len(x) // 8 for x in group["keys"].to_pylist()]
+    words = np.frombuffer(b"".join(group["keys"].to_pylist()), "<u8")
+    marked = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(group["flags"].to_pylist(), sizes)]).astype(bool)
+    order = np.argsort(words)
+    words, marked = words[order], marked[order]
+    keys = words >> np.uint64(16)
+    new = np.ones(len(keys), dtype=bool)
+    new[1:] = keys[1:] != keys[:-1]
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(keys)) - 1
+    several = last > first
+    edge = several & ((words[first] != words[last]) | np.logical_or.reduceat(marked, first))
+    rank = np.cumsum(new) - 1
+    tied_at, edge_at = np.zeros(len(keys), dtype=bool), np.zeros(len(keys), dtype=bool)
+    tied_at[order], edge_at[order] = several[rank], edge[rank]
+    return _masks(group, sizes, tied_at, edge_at)
+
+
+def _answer_strings(length: int):
+    def answer(group: pa.Table) -> pa.Table:
+        """Sorts one bucket's strings by their bytes and marks those that more than one block has."""
+        import zstandard
 
-    schema = f"block bigint, size bigint, ids array<{id_type}>, emits array<boolean>, sizes array<bigint>, payload binary"
-    return rows.select("id", "text", "emit").mapInArrow(scan, schema)
+        if group["bucket"][0].as_py() < 0:
+            return pa.table({"block": group["block"], "bucket": group["bucket"], "mask": group["keys"], "more": group["flags"]})
+        parts = [zstandard.decompress(x) for x in group["keys"].to_pylist()]
+        text = np.frombuffer(b"".join(parts), f"S{length}")
+        order = np.argsort(text, kind="stable")
+        same = text[order[1:]] == text[order[:-1]]
+        repeated = np.zeros(len(text), dtype=bool)
+        repeated[order[1:][same]] = True
+        repeated[order[:-1][same]] = True
+        return _masks(group, [len(x) // length for x in parts], repeated, repeated & False)
+
+    return answer
+
+
+def _masks(group: pa.Table, sizes: list[int], mask: np.ndarray, more: np.ndarray) -> pa.Table:
+    """One row for each of a bucket's blocks that has a bit to be told."""
+    ends = np.cumsum(sizes)
+    spans = [(k, end - size, end) for k, (size, end) in enumerate(zip(sizes, ends)) if mask[end - size : end].any()]
+    keep = pa.array([k for k, _, _ in spans], pa.int64())
+    return pa.table(
+        {
+            "block": group["block"].take(keep),
+            "bucket": group["bucket"].take(keep),
+            "mask": pa.array([np.packbits(mask[a:b]).tobytes() for _, a, b in spans], pa.binary()),
+            "more": pa.array([np.packbits(more[a:b]).tobytes() for _, a, b in spans], pa.binary()),
+        }
+    )
 
 
-def _sent(blocks: DataFrame, keyed, answered: list[str]) -> DataFrame:
-    """Keys of each block, one row for each bucket; ``keyed(block, *answers)`` gives them."""
+def _round(blocks: DataFrame, send, answered: list[str], answer, name: str) -> DataFrame:
+    """``blocks`` with one more column of answers, ``name``."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                found = keyed(Block(row["payload"], row["sizes"]), *[row[x] for x in answered])
-                parts = list(found.slices())
+                sent = list(send(Block(row["payload"], row["sizes"]), row["block"], *[row[x] for x in answered]))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([b for b, _, _ in parts], pa.int32()),
-                        pa.array([row["block"]] * len(parts), pa.int64()),
-                        pa.array([found.keys[a:b].tobytes() for _, a, b in parts], pa.binary()),
+                        pa.array([x[0] for x in sent], pa.int64()),
+                        pa.array([row["block"]] * len(sent), pa.int64()),
+                        pa.array([x[1] for x in sent], pa.binary()),
+                        pa.array([x[2] for x in sent], pa.binary()),
                     ],
-                    names=["bucket", "block", "keys"],
+                    names=["bucket", "block", "keys", "flags"],
                 )
 
-    return blocks.select("block", "sizes", "payload", *answered).mapInArrow(scan, KEYS)
+    answers = blocks.select("block", "sizes", "payload", *answered).mapInArrow(scan, SENT).groupBy("bucket").applyInArrow(answer, ANSWERS)
+    by_block = answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "mask", "more")).alias(name))
+    return blocks.join(materialise(by_block, name), "block", "left")
 
 
-def _answer(group: pa.Table) -> pa.Table:
-    """Sorts one bucket and marks keys that more than one block has. A block sends a key once."""
-    parts = [np.frombuffer(x, dtype=np.uint64) for x in group["keys"].to_pylist()]
-    keys = np.concatenate(parts)
-    order = np.argsort(keys)
-    keys = keys[order]
-    same = keys[1:] == keys[:-1]
-    flags = np.zeros(len(keys), dtype=bool)
-    flags[order[1:][same]] = True
-    flags[order[:-1][same]] = True
-    ends = np.cumsum([len(x) for x in parts])
-    masks = [flags[b - len(x) : b] for x, b in zip(parts, ends)]
-    keep = [k for k, mask in enumerate(masks) if mask.any()]
-    return pa.table(
-        {
-            "block": group["block"].take(pa.array(keep, pa.int64())),
-            "bucket": group["bucket"].take(pa.array(keep, pa.int64())),
-            "mask": pa.array([np.packbits(masks[k]).tobytes() for k in keep], pa.binary()),
-        }
-    )
+def _settle(blocks: DataFrame, job: Job, id_type: str) -> DataFrame:
+    """``id, n_bytes, starts, ends, kept`` of whole texts."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            id_kind = batch.column(0).type.value_type
+            for row in batch.to_pylist():
+                block = Block(row["payload"], row["sizes"])
+                gone = job.removed(block, row["answers"])
+                out: list[list] = [[], [], [], [], []]
+                for id_, emit, start, size in zip(row["ids"], row["emits"], block.starts.tolist(), row["sizes"]):
+                    if emit:
+                        starts, ends = _spans(gone[start : start + size])
+                        text = block.data[start : start + size]
+                        for column, value in zip(out, (id_, size, starts, ends, (text[~gone[start : start + size]] if len(starts) else text).tobytes())):
+                            column.append(value)
+                types = (id_kind, pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], names=["id", "n_bytes", "starts", "ends", "kept"])
 
+    schema = f"id {id_type}, n_bytes bigint, starts array<bigint>, ends array<bigint>, kept binary"
+    return blocks.where("part is null").select("ids", "emits", "sizes", "payload", "answers").mapInArrow(scan, schema)
 
-def _round(blocks: DataFrame, keyed, answered: list[str], name: str) -> DataFrame:
-    """``blocks`` with one more column of answers, ``name``."""
-    answers = _sent(blocks, keyed, answered).groupBy("bucket").applyInArrow(_answer, ANSWERS)
-    by_block = answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "mask")).alias(name))
-    return blocks.join(materialise(by_block, name), "block", "left")
+
+def _settle_parts(blocks: DataFrame, job: Job, id_type: str) -> DataFrame:
+    """The same of texts that are split into blocks: what goes in each part, put together by text."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            id_kind = batch.column(2).type.value_type
+            for row in batch.to_pylist():
+                block = Block(row["payload"], row["sizes"])
+                starts, ends = _spans(job.removed(block, row["answers"]))
+                columns = [
+                    pa.array([row["part"]], pa.string()),
+                    pa.array([row["base"]], pa.int64()),
+                    pa.array(row["ids"], id_kind),
+                    pa.array([starts + row["base"]], pa.list_(pa.int64())),
+                    pa.array([ends + row["base"]], pa.list_(pa.int64())),
+                    pa.array([block.data.tobytes()], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["part", "base", "id", "starts", "ends", "bytes"])
+
+    def merge(group: pa.Table) -> pa.Table:
+        group = group.sort_by("base")
+        parts = group["bytes"].to_pylist()
+        data = np.frombuffer(b"".join([x[:BLOCK_BYTES] for x in parts[:-1]] + parts[-1:]), np.uint8)
+        change = np.zeros(len(data) + 1, dtype=np.int32)
+        for column, step in (("starts", 1), ("ends", -1)):
+            np.add.at(change, np.concatenate([np.array(x, dtype=np.int64) for x in group[column].to_pylist()]), step)
+        gone = np.cumsum(change[:-1]) > 0
+        starts, ends = _spans(gone)
+        return pa.table(
+            {
+                "id": group["id"].slice(0, 1),
+                "n_bytes": pa.array([len(data)], pa.int64()),
+                "starts": pa.array([starts], pa.list_(pa.int64())),
+                "ends": pa.array([ends], pa.list_(pa.int64())),
+                "kept": pa.array([data[~gone].tobytes()], pa.binary()),
+            }
+        )
+
+    columns = f"part string, base bigint, id {id_type}, starts array<bigint>, ends array<bigint>, bytes binary"
+    rows = blocks.where("part is not null and emits[0]").select("part", "base", "ids", "sizes", "payload", "answers").mapInArrow(scan, columns)
+    return rows.groupBy("part").applyInArrow(merge, f"id {id_type}, n_bytes bigint, starts array<bigint>, ends array<bigint>, kept binary")
+
+
+def _spans(gone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    edges = np.flatnonzero(np.diff(np.concatenate(([False], gone, [False])).astype(np.int8)))
+    return edges[::2], edges[1::2]
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
@@ -295,9 +488,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.col(f"`{id_col}`").alias("id"),
         F.coalesce(F.col(f"`{text_col}`").cast("binary"), F.lit(b"")).alias("text"),
     ).withColumn("digest", F.sha2("text", 256))
-    groups = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
-    groups = materialise(groups.where("n > 1"), "equal-texts")
-    n_groups = groups.count()
+    size = F.octet_length("text").cast("bigint")
+    groups = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    groups = materialise(groups, "equal-texts")
+    n_groups, total = groups.count(), rows.agg(F.coalesce(F.sum(size), F.lit(0)).alias("total")).first()["total"]
     distinct = rows.select("digest", "id", "text", F.lit(True).alias("emit"))
     copies = None
     if n_groups:
@@ -306,8 +500,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         # Aggregated before the shuffle, so a hot text travels once from each task. Texts of groups stand
         # for their copies and have no row of their own; a false hit of the filter is a text like any other.
         hits = rows.where(test).groupBy("digest").agg(F.first(F.struct("id", "text")).alias("x"), F.count(F.lit(1)).alias("n"))
-        distinct = distinct.where(~test).select("id", "text", "emit").unionByName(hits.select("x.id", "x.text", (F.col("n") == 1).alias("emit")))
-        size = F.octet_length("text").cast("bigint")
+        distinct = distinct.where(~test).unionByName(hits.select("digest", "x.id", "x.text", (F.col("n") == 1).alias("emit")))
         whole = F.col("n_bytes") >= length
         # Only short copies keep bytes: no long text takes part in this join.
         copied = rows.where(test).select("id", "digest", size.alias("n_bytes"), F.when(size < length, F.col("text")).otherwise(F.lit(b"")).alias("kept"))
@@ -320,35 +513,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             "kept",
         )
 
-    path, table = new_path(spark, "blocks"), f"gridweave_blocks_{uuid.uuid4().hex}"
-    n_files = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    packed = _pack_blocks(distinct, id_type)
+    path, table = new_table(spark, "blocks")
+    n_files = 1 + max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // TABLE_BUCKET_BYTES)
+    packed = _pack_blocks(distinct, id_type, length).repartition(n_files, "block")
     packed.write.bucketBy(n_files, "block").format("parquet").option("path", path).saveAsTable(table)
-    blocks = spark.table(table)
-    total = blocks.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"]
     v, cover = cover_for(length)
-    job = Job(length, 1 + total * len(cover) // v // BUCKET_KEYS, 1 + total // (4 * BUCKET_KEYS))
-
-    blocks = _round(blocks, job.samples, [], "sample_answers")
-    blocks = _round(blocks, job.suffixes, ["sample_answers"], "suffix_answers")
-
-    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            id_kind = batch.column(0).type.value_type
-            for row in batch.to_pylist():
-                block = Block(row["payload"], row["sizes"])
-                gone = job.removed(block, row["sample_answers"], row["suffix_answers"])
-                out: list[list] = [[], [], [], [], []]
-                for id_, emit, start, size in zip(row["ids"], row["emits"], block.starts.tolist(), row["sizes"]):
-                    if emit:
-                        mine = gone[start : start + size]
-                        edges = np.flatnonzero(np.diff(np.concatenate(([False], mine, [False])).astype(np.int8)))
-                        text = block.data[start : start + size]
-                        for column, value in zip(out, (id_, size, edges[::2], edges[1::2], (text[~mine] if len(edges) else text).tobytes())):
-                            column.append(value)
-                types = (id_kind, pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], names=["id", "n_bytes", "starts", "ends", "kept"])
-
-    schema = f"id {id_type}, n_bytes bigint, starts array<bigint>, ends array<bigint>, kept binary"
-    settled = blocks.select("ids", "emits", "sizes", "payload", "sample_answers", "suffix_answers").mapInArrow(settle, schema)
+    job = Job(length, 1 + total * len(cover) // v // SAMPLES, 1 + total // SUFFIXES, 1 + total // STRINGS, SAMPLE_BITS, SUFFIX_BITS)
+    blocks = spark.table(table)
+    blocks = _round(blocks, job.samples, [], _answer_samples, "sample_answers")
+    blocks = _round(blocks, job.suffixes, ["sample_answers"], _answer_suffixes, "suffix_answers")
+    blocks = _round(blocks, job.strings, ["sample_answers", "suffix_answers"], _answer_strings(length), "answers")
+    settled = _settle(blocks, job, id_type).unionByName(_settle_parts(blocks, job, id_type))
     return settled.unionByName(copies) if copies is not None else settled

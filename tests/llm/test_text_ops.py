@@ -207,23 +207,61 @@ def brute_removed(texts, length):
     return out
 
 
-@pytest.mark.parametrize("length", [1, 7, 8, 16, 21, 50])
-def test_removed_bytes(spark, monkeypatch, length):
+def rows_of(got):
+    return sorted(((x["id"], x["n_bytes"], x["starts"], x["ends"], bytes(x["kept"])) for x in got), key=key)
+
+
+def brute_rows(ids, texts, length):
+    want = []
+    for i, text, gone in zip(ids, texts, brute_removed([(t or "").encode() for t in texts], length)):
+        edges = np.flatnonzero(np.diff(np.concatenate(([False], gone, [False])).astype(int))).tolist()
+        data = np.frombuffer((text or "").encode(), np.uint8)
+        want.append((i, len(data), edges[::2], edges[1::2], data[~gone].tobytes()))
+    return sorted(want, key=key)
+
+
+@pytest.mark.parametrize("length,bits", [(1, None), (7, None), (16, None), (50, None), (200, None), (21, 3), (200, 3)])
+def test_removed_bytes(spark, monkeypatch, length, bits):
+    """Blocks and buckets of a few hundred bytes; with ``bits``, keys of different strings clash all the time."""
     monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 600)
-    monkeypatch.setattr(suffix_dedup, "BUCKET_KEYS", 300)
+    for name in ("SAMPLES", "SUFFIXES", "STRINGS"):
+        monkeypatch.setattr(suffix_dedup, name, 3000)
+    if bits:
+        monkeypatch.setattr(suffix_dedup, "SAMPLE_BITS", bits)
+        monkeypatch.setattr(suffix_dedup, "SUFFIX_BITS", bits)
     rng = random.Random(length)
-    shared = bytes(rng.choices(b"abcd", k=90)).decode()
+    shared = "".join(rng.choices("abcd", k=90))
     texts = ["".join(rng.choices("abcd", k=rng.choice([0, 1, 30, 200]))) for _ in range(30)]
     texts += [texts[5] + shared, shared + texts[6], "é" * 60, shared, shared, "x" * 120, None, ""]
+    # Passages in texts longer than a block, at every distance from the blocks' ends, and near copies.
+    passage = "".join(rng.choices("abcdefgh", k=450))
+    texts += ["".join(rng.choices("abcdefgh", k=n)) + passage[k : k + 330] + "".join(rng.choices("abcdefgh", k=900)) for k, n in enumerate((0, 1, 180, 399, 400, 401, 599, 600, 700))]
+    texts += [passage[:k] + "!" + passage[k + 1 :] for k in (3, 120, 224, 225, 440)]
     rows = [(k if k != 3 else None, t, k) for k, t in enumerate(texts)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, row int").repartition(3)
-    got = suffix_dedup.remove_repeats(docs, length=length).collect()
-    want = []
-    for (i, text, _), gone in zip(rows, brute_removed([(t or "").encode() for t in texts], length)):
-        edges = np.flatnonzero(np.diff(np.concatenate(([False], gone, [False])).astype(int))).tolist()
-        data = np.frombuffer((text or "").encode(), np.uint8)
-        want.append((i, len(data), edges[::2], edges[1::2], data[~gone].tobytes()))
-    assert sorted(((x[0], x[1], x[2], x[3], bytes(x[4])) for x in got), key=key) == sorted(want, key=key)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, block int").repartition(3)
+    assert rows_of(suffix_dedup.remove_repeats(docs, length=length).collect()) == brute_rows([r[0] for r in rows], texts, length)
+
+
+def test_removed_bytes_of_the_tables(spark, small_dir):
+    """The query's own length and cover, on the texts of the smallest tables."""
+    docs = spark.read.parquet(f"{small_dir}/documents.parquet").select("doc_id", "text", F.lit(1).alias("id"), F.lit(2).alias("digest"))
+    rows = docs.collect()
+    assert rows_of(suffix_dedup.remove_repeats(docs).collect()) == brute_rows([r[0] for r in rows], [r[1] for r in rows], 200)
+
+
+def test_very_long_text(spark):
+    """A text of several blocks that repeats itself and shares a passage with a short one."""
+    rng = np.random.default_rng(3)
+    long = rng.integers(97, 123, 5 << 20, dtype=np.uint8)
+    long[4_000_000:4_001_000] = long[1_000_000:1_001_000]
+    cut = 2 << 20
+    docs = spark.createDataFrame([(1, long.tobytes().decode()), (2, long[cut - 150 : cut + 150].tobytes().decode())], "doc_id long, text string")
+    got = {x["id"]: x for x in suffix_dedup.remove_repeats(docs).collect()}
+    assert got[1]["starts"] == [1_000_000, cut - 150, 4_000_000] and got[1]["ends"] == [1_001_000, cut + 150, 4_001_000]
+    gone = np.zeros(len(long), bool)
+    for a, b in zip(got[1]["starts"], got[1]["ends"]):
+        gone[a:b] = True
+    assert bytes(got[1]["kept"]) == long[~gone].tobytes() and bytes(got[2]["kept"]) == b""
 
 
 def test_repeats_without_rows(spark):
@@ -238,13 +276,16 @@ def test_difference_cover(q):
         suffix_dedup.difference_cover(4)
 
 
-def test_names_tell_strings_apart():
-    data = np.frombuffer(bytes(random.Random(1).choices(b"ab", k=3000)), np.uint8)
+def test_names_go_by_the_bytes():
+    import zstandard
+
+    data = bytes(random.Random(1).choices(b"ab", k=3000))
+    block = suffix_dedup.Block(zstandard.compress(data), [3000])
+    block.measure()
     for length in (1, 5, 8, 12, 68, 200):
-        one, other = suffix_dedup.names(data, length)
-        n = len(data) - length + 1
-        strings = [data[i : i + length].tobytes() for i in range(n)]
-        assert len(set(strings)) == len(set(zip(strings, one[:n].tolist(), other[:n].tolist()))) == len(set(one[:n].tolist()))
+        names = block.names(np.arange(len(data) - length + 1), length)
+        strings = [data[i : i + length] for i in range(len(names))]
+        assert len(set(strings)) == len(set(zip(strings, names.tolist()))) == len(set(names.tolist()))
 
 
 def test_kept_digest_of_whole_copies(spark):
