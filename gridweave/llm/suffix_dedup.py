@@ -56,7 +56,7 @@ BLOCK_BYTES = 2 << 20
 #: Bytes of texts whose blocks make one bucket of the table of blocks, so one task.
 TABLE_BUCKET_BYTES = 32 << 20
 #: Expected samples, and most suffixes and strings, of a bucket.
-SAMPLES, SUFFIXES, STRINGS = 1 << 20, 1 << 22, 1 << 20
+SAMPLES, SUFFIXES, STRINGS = 1 << 20, 1 << 21, 1 << 20
 #: Bits of a sample's key and of a suffix's key; two bytes of a suffix's word are its neighbours.
 SAMPLE_BITS, SUFFIX_BITS = 40, 48
 SENT = "bucket bigint, block bigint, keys binary, flags binary"
@@ -115,7 +115,7 @@ class Block:
         n = len(self.data)
         self.offset = np.arange(n, dtype=np.int32) - np.repeat(self.starts, self.sizes).astype(np.int32)
         self.left = np.repeat(self.sizes, self.sizes).astype(np.int32) - self.offset
-        powers, self.inverse = _powers(1 << max(10, n.bit_length()))
+        powers, self.inverse = _powers(((n >> 18) + 1) << 18)
         self.sums = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum(BYTE_WORDS[self.data] * powers[:n], out=self.sums[1:])
 
@@ -385,8 +385,8 @@ def _masks(group: pa.Table, sizes: list[int], mask: np.ndarray, more: np.ndarray
     )
 
 
-def _round(blocks: DataFrame, send, answered: list[str], answer, name: str) -> DataFrame:
-    """``blocks`` with one more column of answers, ``name``."""
+def _round(blocks: DataFrame, send, answered: list[str], answer, name: str, n_tasks: int) -> DataFrame:
+    """``blocks`` with one more column of answers, ``name``; buckets are dealt over ``n_tasks`` tasks."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -402,7 +402,8 @@ def _round(blocks: DataFrame, send, answered: list[str], answer, name: str) -> D
                     names=["bucket", "block", "keys", "flags"],
                 )
 
-    answers = blocks.select("block", "sizes", "payload", *answered).mapInArrow(scan, SENT).groupBy("bucket").applyInArrow(answer, ANSWERS)
+    sent = blocks.select("block", "sizes", "payload", *answered).mapInArrow(scan, SENT)
+    answers = sent.repartition(n_tasks, "bucket").groupBy("bucket").applyInArrow(answer, ANSWERS)
     by_block = answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "mask", "more")).alias(name))
     return blocks.join(materialise(by_block, name), "block", "left")
 
@@ -520,8 +521,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     v, cover = cover_for(length)
     job = Job(length, 1 + total * len(cover) // v // SAMPLES, 1 + total // SUFFIXES, 1 + total // STRINGS, SAMPLE_BITS, SUFFIX_BITS)
     blocks = spark.table(table)
-    blocks = _round(blocks, job.samples, [], _answer_samples, "sample_answers")
-    blocks = _round(blocks, job.suffixes, ["sample_answers"], _answer_suffixes, "suffix_answers")
-    blocks = _round(blocks, job.strings, ["sample_answers", "suffix_answers"], _answer_strings(length), "answers")
+    blocks = _round(blocks, job.samples, [], _answer_samples, "sample_answers", n_files)
+    blocks = _round(blocks, job.suffixes, ["sample_answers"], _answer_suffixes, "suffix_answers", n_files)
+    blocks = _round(blocks, job.strings, ["sample_answers", "suffix_answers"], _answer_strings(length), "answers", n_files)
     settled = _settle(blocks, job, id_type).unionByName(_settle_parts(blocks, job, id_type))
     return settled.unionByName(copies) if copies is not None else settled
