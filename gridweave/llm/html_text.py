@@ -4,18 +4,25 @@ Every element gets the characters and tags below it, in all and inside links. It
 is its characters per tag, times a logarithm that grows with the characters and tags outside links
 and whose base grows with the share of link text, on the page and in the element. An element's
 density sum adds up the densities of its children; runs of its own text count as children. The
-element of the largest sum is the core of the text. The threshold is the smallest density on the way
-from the core up to the body: neighbours of that way whose density reaches it belong to the text as
-well, and so does all of an ``article`` or ``main`` element that holds the core.
+element of the largest sum is the core of the text.
 
-Parts that are no main text by their kind are left out before anything is counted: scripts, styles,
-navigation, footers, asides, forms, page headers, and elements that name themselves advertisement,
-menu, notice, comments and so on in ``class``, ``id`` or ``role``.
+If the core lies in an ``article`` or ``main`` element, the outermost one is the text; if the core holds
+such elements, the one of the largest density sum is. Otherwise the core is, with its neighbours on the way up to the body whose density reaches the threshold, which is
+the smallest density on that way; a neighbour that is a container must hold two blocks of text, as a
+lone one beside the core is a notice. In either case parts go that links alone fill: blocks with two
+links or more whose density is zero when link text is taken off.
+
+Left out before anything is counted are elements that the HTML language defines as no main text:
+navigation, menus, footers, asides, forms, dialogs, headers outside an article, articles inside an
+article (readers' comments), scripts, styles and content that is not shown. No name in ``class``,
+``id`` or ``role`` is looked at.
 
 Defined results: a null or empty page gives the empty text. Character references are decoded; white
 space inside a block becomes one space; blocks are joined in page order by an empty line. Broken
 markup is read like a browser would: open paragraphs end at the next block, unknown end tags are
-skipped, an unended comment or script takes the rest of the page. Repeated rows give repeated results.
+skipped, an unended comment or script takes the rest of the page. A page is read in one piece, in
+memory of some ten times its size. Repeated rows give repeated results. Extra columns are not read and
+may have any name.
 """
 
 from __future__ import annotations
@@ -33,7 +40,7 @@ from gridweave.llm.text import small_batches
 
 # Fixed values of the HTML language.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript iframe xmp noembed noframes template textarea title svg math object select".split())
+RAW = frozenset("script style noscript iframe noembed noframes template textarea title svg object select canvas audio video".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
     " header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split()
@@ -42,21 +49,22 @@ BLOCKS = frozenset(
 ENDS_ITEM = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 WALLS = frozenset("ul ol dl table body article main section div".split())
 
-# Names of parts that are no main text: elements, and words in class, id and role.
-NO_TEXT_TAGS = frozenset("nav footer aside form menu button dialog canvas audio video".split())
-NO_TEXT_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner promo promotion sponsor sponsored nav navbar navigation menu breadcrumb"
-    " breadcrumbs masthead topbar header footer sidebar aside cookie cookies consent gdpr notice notices alert popup modal overlay subscribe"
-    " subscription newsletter signup login share sharing social related recommended recommendations comment comments commentlist discussion"
-    " replies disqus respond widget toolbar pagination pager complementary contentinfo".split()
-)
-HEADER_WORDS = frozenset({"header", "masthead"})
+# Elements that are no main text by what the language says of them.
+NO_TEXT_TAGS = frozenset("nav menu footer aside form dialog".split())
 TEXT_ROOTS = frozenset({"article", "main"})
+#: Neighbours of the core that need no second block in them to be text.
+TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure".split())
 
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
 LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
-NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
-WORD = re.compile(r"[a-z]+")
+
+def density(chars: int, tags: int, link_chars: int, link_tags: int, page_share: float) -> float:
+    """Composite density of an element."""
+    if chars == 0:
+        return 0.0
+    tags, link_tags, plain, link_chars = max(tags, 1), max(link_tags, 1), max(chars - link_chars, 1), max(link_chars, 1)
+    base = math.log(chars / plain * link_chars + page_share * chars + math.e)
+    return chars / tags * max(0.0, math.log(chars / link_chars * tags / link_tags)) / math.log(base)
 
 
 class Page:
@@ -68,31 +76,23 @@ class Page:
         self.runs: list[tuple[int, str | None]] = []  # element and text; None ends a block
         self._read(source)
 
-    def _open(self, tag: str, parent: int, attributes: str) -> int:
+    def _open(self, tag: str, parent: int) -> int:
         self.tags.append(tag)
         self.parents.append(parent)
         self.ends.append(0)
         self.link.append(self.link[parent] or tag == "a")
-        self.skipped.append(self.skipped[parent] or self._is_no_text(tag, parent, attributes))
+        self.skipped.append(self.skipped[parent] or tag in NO_TEXT_TAGS or (tag in ("header", "article") and self._is_apart(tag, parent)))
         return len(self.tags) - 1
 
-    def _is_no_text(self, tag: str, parent: int, attributes: str) -> bool:
-        if tag in NO_TEXT_TAGS:
-            return True
-        if tag in ("html", "body", "article", "main"):
-            return False
-        words = {w for m in NAMES.finditer(attributes) for w in WORD.findall((m[1] or m[2] or m[3] or "").lower())} if "=" in attributes else set()
-        if tag == "header":
-            words.add("header")
-        words &= NO_TEXT_WORDS
-        if not words:
-            return False
-        if words <= HEADER_WORDS:  # an article's own header holds its title
-            while parent > 0:
-                if self.tags[parent] in TEXT_ROOTS:
-                    return False
-                parent = self.parents[parent]
-        return True
+    def _is_apart(self, tag: str, node: int) -> bool:
+        """A header is one of the page if no article or main is around it; an article is a comment if
+        another article is."""
+        around = TEXT_ROOTS if tag == "header" else {"article"}
+        while node > 0:
+            if self.tags[node] in around:
+                return tag == "article"
+            node = self.parents[node]
+        return tag == "header"
 
     def _read(self, source: str) -> None:
         stack, at, n, runs = [0], 0, len(source), self.runs
@@ -128,17 +128,17 @@ class Page:
             elif tag in VOID:
                 runs.append((stack[-1], None if tag == "hr" else " "))
             elif tag not in ("html", "head"):
-                self._start(stack, tag, m[3])
+                self._start(stack, tag)
         while stack:
             self.ends[stack.pop()] = len(self.tags)
         runs.append((0, None))
 
-    def _start(self, stack: list[int], tag: str, attributes: str) -> None:
+    def _start(self, stack: list[int], tag: str) -> None:
         if tag in BLOCKS:
             self._pop_to(stack, {"p"}, WALLS)
         if tag in ENDS_ITEM:
             self._pop_to(stack, ENDS_ITEM[tag], WALLS - ENDS_ITEM[tag])
-        node = self._open(tag, stack[-1], attributes)
+        node = self._open(tag, stack[-1])
         stack.append(node)
         if tag in BLOCKS:
             self.runs.append((node, None))
@@ -161,7 +161,8 @@ class Page:
             if tag in walls:
                 return
 
-    def main_text(self) -> str:
+    def densities(self) -> tuple[list[float], list[float]]:
+        """Composite density and density sum of each element."""
         count = len(self.tags)
         chars, tags, link_chars, link_tags = [0] * count, [0] * count, [0] * count, [0] * count
         own = [0] * count
@@ -181,33 +182,62 @@ class Page:
             tags[up] += tags[node] + 1
             link_tags[up] += link_tags[node] + (self.tags[node] == "a")
         page_share = link_chars[0] / max(1, chars[0])
-
-        def density(c: int, t: int, lc: int, lt: int) -> float:
-            if c == 0:
-                return 0.0
-            t, lt, plain, lc = max(t, 1), max(lt, 1), max(c - lc, 1), max(lc, 1)
-            base = math.log(c / plain * lc + page_share * c + math.e)
-            return c / t * max(0.0, math.log(c / lc * t / lt)) / math.log(base)
-
-        dense = [density(*x) for x in zip(chars, tags, link_chars, link_tags)]
-        total = [density(own[k], 1, own[k] if self.link[k] else 0, 1) for k in range(count)]
+        dense = [density(*x, page_share) for x in zip(chars, tags, link_chars, link_tags)]
+        total = [density(own[k], 1, own[k] if self.link[k] else 0, 1, page_share) for k in range(count)]
         for node in range(1, count):
             if not self.skipped[node]:
                 total[self.parents[node]] += dense[node]
-        core = max(range(count), key=lambda k: (total[k], -k))
+        return dense, total
+
+    def _drop_link_blocks(self) -> None:
+        """Skips the largest blocks whose words are all in links, two or more."""
+        count = len(self.tags)
+        plain, links = [0] * count, [0] * count
+        for node, text in self.runs:
+            if text and not self.link[node] and not self.skipped[node]:
+                plain[node] += sum(map(str.isalnum, text))
+        for node in range(count - 1, 0, -1):
+            if not self.skipped[node]:
+                plain[self.parents[node]] += plain[node]
+                links[self.parents[node]] += links[node] + (self.tags[node] == "a")
+        for node in range(1, count):
+            up = self.parents[node]
+            self.skipped[node] = self.skipped[node] or self.skipped[up] or (self.tags[node] in BLOCKS and plain[node] == 0 and links[node] > 1)
+
+    def _text_blocks(self) -> list[int]:
+        """Blocks of text that start in each element."""
+        found, open_ = [0] * len(self.tags), False
+        for node, text in self.runs:
+            if text is None:
+                open_ = False
+            elif text.strip() and not open_ and not self.skipped[node]:
+                found[node], open_ = found[node] + 1, True
+        for node in range(len(found) - 1, 0, -1):
+            found[self.parents[node]] += found[node]
+        return found
+
+    def main_text(self) -> str:
+        dense, total = self.densities()
+        core = max(range(len(total)), key=lambda k: (total[k], -k))
         way = [core]
         while way[-1] > 0:
             way.append(self.parents[way[-1]])
         root = next((k for k in reversed(way) if self.tags[k] in TEXT_ROOTS), None)
+        if root is None:  # the core may hold the article and what stands around it
+            inside = [k for k in range(core, self.ends[core]) if self.tags[k] in TEXT_ROOTS and not self.skipped[k] and total[k] > 0]
+            root = max(inside, key=lambda k: (total[k], -k), default=core)
+        spans = [(root, self.ends[root])]
         threshold = min(dense[k] for k in way)
-        spans = [(root, self.ends[root])] if root is not None else [(core, self.ends[core])]
-        if root is None:
+        if self.tags[root] not in TEXT_ROOTS and threshold > 0:
+            blocks = self._text_blocks()
             for child, up in zip(way, way[1:]):
                 node = up + 1
                 while node < self.ends[up]:
-                    if node != child and not self.skipped[node] and self.tags[node] in BLOCKS and dense[node] >= threshold > 0:
+                    kind = self.tags[node] in TEXT_BLOCKS or (self.tags[node] in BLOCKS and blocks[node] > 1)
+                    if node != child and kind and not self.skipped[node] and dense[node] >= threshold:
                         spans.append((node, self.ends[node]))
                     node = self.ends[node]
+        self._drop_link_blocks()
         return self._blocks(sorted(spans))
 
     def _blocks(self, spans: list[tuple[int, int]]) -> str:

@@ -1,5 +1,7 @@
 import hashlib
+import math
 import random
+from html.parser import HTMLParser
 
 import numpy as np
 import public_tokenizers
@@ -80,18 +82,39 @@ def test_long_unsplit_text():
 # ---- quality ----------------------------------------------------------------------------------
 
 
-def test_level_of_repeats():
-    assert quality.self_similarity(np.frombuffer(b"", np.uint8)).size == 0
-    assert quality.self_similarity(np.frombuffer(b"abc", np.uint8)).tolist() == [0, 0, 0]
-    noisy = np.frombuffer(bytes(random.Random(1).choices(range(97, 123), k=400)), np.uint8)
-    again = np.frombuffer(b"banana split " * 30, np.uint8)
-    assert quality.self_similarity(noisy).max() <= 2 and quality.self_similarity(again)[20:300].min() >= 14
+def naive_score(net, text):
+    """Convolution, pooling and combination in plain loops."""
+    data, s = text or b"\0", net.s
+    half = s.chunk // 2
+    logits = []
+    for at in range(0, max(1, len(data) - half), half):
+        pooled = []
+        for f in range(s.filters):
+            best = -math.inf
+            for i in range(at, min(at + s.chunk, len(data))):
+                taps = [float(net.taps[k, data[i + k], f]) for k in range(s.width) if i + k < len(data) and data[i + k]]
+                best = max(best, float(net.bias[f]) + sum(taps))
+            pooled.append(max(best, 0.0))
+        logits.append(sum(x * float(w) for x, w in zip(pooled, net.out)) + float(net.out_bias[0]))
+    p = [1 / (1 + math.exp(-z)) for z in logits]
+    a, b, c = net.combine
+    return 1 / (1 + math.exp(-(a * sum(p) / len(p) + b * min(p) + c)))
+
+
+def test_scores_of_a_naive_network(monkeypatch):
+    monkeypatch.setattr(quality, "SEGMENT", 64)
+    rng = random.Random(9)
+    texts = [bytes(rng.choices(b"abc \0\xc3", k=n)) for n in (0, 1, 7, 8, 15, 16, 17, 24, 63, 64, 65, 300)]
+    net = quality.Network(quality.Settings(chunk=16, filters=3, steps=8, batch=4))
+    net.fit(texts, np.array([k % 2 for k in range(len(texts))], dtype=np.float32))
+    assert net.constant is None
+    for text in texts:
+        assert net.score(text) == pytest.approx(naive_score(net, text), abs=1e-5)
 
 
 def test_every_byte_counts():
     net = quality.Network(quality.Settings())
     net.taps[:] = 0
-    net.level[:] = 0
     net.taps[0, ord("#"), 0] = 5
     net.out[:] = 0
     net.out[0] = 1
@@ -102,6 +125,12 @@ def test_every_byte_counts():
     assert net.chunk_logits(b"a" * 100_000).max() == 0
 
 
+@pytest.mark.parametrize("n", [0, 1, 7, 8, 9, 16, 17, 24, 25, 100])
+def test_chunks_cover_the_text(n):
+    starts = list(quality.chunk_starts(n, 16))
+    assert starts[0] == 0 and starts[-1] + 16 >= n and all(b - a == 8 for a, b in zip(starts, starts[1:]))
+
+
 def labelled(spark, n=240):
     rng = random.Random(3)
     docs, labels = [], []
@@ -131,11 +160,11 @@ def test_held_out_accuracy(spark):
 def test_held_out_rows_are_not_learned_from(spark):
     docs, labels = labelled(spark)
     s = quality.Settings()
-    ids = [x["id"] for x in quality.training_chunks(docs, labels, s, "doc_id", "text", "quality").select("id").distinct().collect()]
+    ids = [x["id"] for x in quality.training_rows(docs, labels, s, "doc_id", "text", "quality").select("id").distinct().collect()]
     import zlib
 
     assert ids and all(zlib.crc32(str(i).encode()) % 4 != 2 for i in ids)
-    few = quality.training_chunks(docs, labels, quality.Settings(rows_per_class=5), "doc_id", "text", "quality")
+    few = quality.training_rows(docs, labels, quality.Settings(rows_per_class=5), "doc_id", "text", "quality")
     assert few.select("id").distinct().count() <= 10
 
 
@@ -160,7 +189,7 @@ LONG = "Some words of an article that go on for quite a while, as they do. " * 3
         (f"<body><nav><a href=x>Home</a></nav><article><h1>T</h1><p>{LONG}</p><p>Two&nbsp;&lt;b&gt;</p></article><footer>f</footer></body>", f"T\n\n{LONG.strip()}\n\nTwo <b>"),
         (f"<body><article><p><b>{LONG}<br><p>Next\n  line</article><div class='comments'><p>{LONG}</p></div>", f"{LONG.strip()}\n\nNext line"),
         (f"<main><header><h1>Title</h1></header><p>{LONG}</p><form>Name <input></form><aside>{LONG}</aside></main>", f"Title\n\n{LONG.strip()}"),
-        (f"<div id=page><div class='site-header'>Top</div><div><p>{LONG}</p><p>{LONG}</p></div><div class='cookie-notice'>{LONG}</div></div>", f"{LONG.strip()}\n\n{LONG.strip()}"),
+        (f"<div id=page><header>Top</header><div><p>{LONG}</p><p>{LONG}</p></div><aside>{LONG}</aside></div>", f"{LONG.strip()}\n\n{LONG.strip()}"),
         (f"<article><p>{LONG}<script>if (a < b) x('</p>')</script><style>p{{}}</style><!-- <p>no</p> --> end</p></article>", f"{LONG}end"),
         (f"<article><ul><li>one<li>two</ul><p>a<i>b</i>c</p>{LONG}</article>", f"one\n\ntwo\n\nabc\n\n{LONG.strip()}"),
         (f"<article><p>{LONG}</p><p>2 < 3 and <3", f"{LONG.strip()}\n\n2 < 3 and <3"),
@@ -182,6 +211,124 @@ def test_links_make_a_part_less_dense():
     assert html_text.main_text(html) == "\n\n".join([LONG.strip()] * 3)
 
 
+@pytest.mark.parametrize(
+    "part,want",
+    [
+        (f'<section id="related-work"><p>{LONG}</p></section>', LONG.strip()),
+        ('<div class="share-price-table"><p>42 points</p></div>', "42 points"),
+        ('<p class="notice-board-history">Boards of wood.</p>', "Boards of wood."),
+        ("<p>where <math><mi>x</mi></math> is small</p>", "where x is small"),
+        ("<p>press <button>OK</button> now</p>", "press OK now"),
+        ("<div><a href=1>Buy now</a> | <a href=2>Click</a> | <a href=3>More</a></div>", None),
+        (f"<article><p>{LONG}</p></article>", None),
+        ("<p>See <a href=1>one</a> and <a href=2>two</a></p>", "See one and two"),
+        ("<p><a href=1>The paper</a></p>", "The paper"),
+        (f"<form><p>{LONG}</p></form><aside>{LONG}</aside><nav>{LONG}</nav><script>{LONG}</script>", None),
+    ],
+)
+def test_parts_of_an_article(part, want):
+    """What stays and goes inside an article: by tags and density, never by names."""
+    html = f"<body><div class=ad>{LONG}</div><article><h1>T</h1><p>{LONG}</p>{part}<p>Last.</p></article><div><p>{LONG}</p></div></body>"
+    assert html_text.main_text(html) == "\n\n".join(x for x in ("T", LONG.strip(), want, "Last.") if x)
+
+
+def test_the_denser_of_two_articles():
+    html = f"<body><article><p>{LONG}</p></article><article><p>{LONG}</p><p>{LONG}</p></article></body>"
+    assert html_text.main_text(html) == f"{LONG.strip()}\n\n{LONG.strip()}"
+
+
+def test_sections_without_an_article():
+    """Neighbours over the threshold are text; a lone block beside the core is not."""
+    two = f"<div><p>{LONG}</p><p>{LONG}</p></div>"
+    html = f"<body><div><div>{''.join(f'<p>{LONG}</p>' for _ in range(4))}</div>{two}</div><div>{LONG}</div></body>"
+    assert html_text.main_text(html) == "\n\n".join([LONG.strip()] * 6)
+
+
+class Tree(HTMLParser):
+    """A plain tree of a well-formed page."""
+
+    def __init__(self, html):
+        super().__init__(convert_charrefs=False)
+        self.nodes = [("html", [])]
+        self.open = [self.nodes[0]]
+        self.feed(html)
+
+    def handle_starttag(self, tag, attrs):
+        node = (tag, [])
+        self.open[-1][1].append(node)
+        self.nodes.append(node)
+        self.open.append(node)
+
+    def handle_endtag(self, tag):
+        self.open.pop()
+
+    def handle_data(self, data):
+        self.open[-1][1].append(data)
+
+
+def naive_densities(html):
+    """Counts and composite densities by recursion over a tree, each element for itself."""
+    tree = Tree(html)
+
+    def counts(node, linked):
+        c = t = lc = lt = 0
+        for child in node[1]:
+            if isinstance(child, str):
+                c += len(child.strip())
+                lc += len(child.strip()) if linked else 0
+            elif child[0] not in ("nav", "footer", "aside", "form"):
+                got = counts(child, linked or child[0] == "a")
+                c, t, lc, lt = c + got[0], t + got[1] + 1, lc + got[2], lt + got[3] + (child[0] == "a")
+        return c, t, lc, lt
+
+    def linked_nodes(node, linked, skipped, out):
+        linked, skipped = linked or node[0] == "a", skipped or node[0] in ("nav", "footer", "aside", "form")
+        out.append((node, linked, skipped))
+        for child in node[1]:
+            if not isinstance(child, str):
+                linked_nodes(child, linked, skipped, out)
+        return out
+
+    everything = linked_nodes(tree.nodes[0], False, False, [])
+    page = counts(tree.nodes[0], False)
+    share = page[2] / max(1, page[0])
+
+    def composite(c, t, lc, lt):
+        if not c:
+            return 0.0
+        plain = max(1, c - lc)
+        inner = math.log((c / plain) * max(1, lc) + (share * c) + math.e)
+        return (c / max(1, t)) * max(0.0, math.log((c / max(1, lc)) * (max(1, t) / max(1, lt)), inner))
+
+    dense = {id(n): 0.0 if s else composite(*counts(n, k)) for n, k, s in everything}
+    total = []
+    for node, linked, skipped in everything:
+        own = sum(len(x.strip()) for x in node[1] if isinstance(x, str))
+        mine = 0.0 if skipped else composite(own, 1, own if linked else 0, 1)
+        total.append(mine + sum(dense[id(x)] for x in node[1] if not isinstance(x, str)) if not skipped else 0.0)
+    return [dense[id(n)] for n, _, _ in everything], total
+
+
+def test_densities_of_a_naive_tree():
+    rng = random.Random(12)
+
+    def part(depth):
+        if depth == 0 or rng.random() < 0.3:
+            return "word " * rng.randint(0, 30)
+        tag = rng.choice(["div", "section", "a", "b", "span", "nav", "em", "footer"])
+        return f"<{tag}>" + "".join(part(depth - 1) for _ in range(rng.randint(0, 4))) + f"</{tag}>"
+
+    for _ in range(60):
+        html = "<body>" + "".join(part(5) for _ in range(4)) + "</body>"
+        got, want = html_text.Page(html).densities(), naive_densities(html)
+        assert got[0] == pytest.approx(want[0]) and got[1] == pytest.approx(want[1])
+
+
+def test_a_page_of_megabytes():
+    html = "<body><article>" + f"<p>{LONG}</p>" * 8000 + "</article></body>"
+    assert html_text.main_text(html) == "\n\n".join([LONG.strip()] * 8000)
+
+
 def test_extract(spark):
     pages = spark.createDataFrame([(1, "u", f"<p>{LONG}</p>", "t"), (2, None, None, "t"), (None, "v", "", "t"), (1, "u", f"<p>{LONG}</p>", "t")], "page_id long, url string, html string, text string")
     got = sorted(map(tuple, html_text.extract(pages).collect()), key=key)
