@@ -1,19 +1,20 @@
 """Quality classifier: a byte-level convolutional network in numpy.
 
-Input of a position: its bytes, and a level from 0 to 15 that says how much of the 64 bytes around
-it repeats what stood up to 32 bytes before. Learned filters, ``width`` bytes wide, are table
-look-ups over the bytes plus one over the level. A document is covered whole by chunks of ``chunk``
-bytes that overlap by half; each filter is max-pooled over a chunk, rectified, and the pooled values
-give the chunk's probability. Mean and smallest chunk probability combine into the document's.
+Learned filters, ``width`` bytes wide, are table look-ups over the bytes. A document is covered whole
+by chunks of ``chunk`` bytes that overlap by half; each filter is max-pooled over a chunk, rectified,
+and the pooled values give the chunk's probability. Mean and smallest chunk probability combine into
+the document's.
 
 The network is fitted on a bounded sample of labelled rows: at most ``rows_per_class`` rows of each
-label, chosen by a hash of the id, and ``chunks_per_row`` chunks of each, placed by a hash. Scoring
-reads every byte of every text.
+label, chosen by a hash of the id, and at most ``sample_bytes`` bytes of whole texts; a row that would
+exceed these is left out. Every chunk of a sampled row is learned from at least once. Scoring reads
+every byte of every text.
 
 Defined results: a null text counts as empty; an empty text is one chunk of padding. Rows that
-repeat an id are scored alike. If the labelled rows hold label 0 only, every score is 0; if they hold
-label 1 only, or none, it is 1, so nothing is rejected. Labels other than 0 and 1, null labels and
-null ids are not learned from.
+repeat an id are scored alike, and the first of them by text is learned from. If the labelled rows hold
+label 0 only, every score is 0; if they hold label 1 only, or none, it is 1, so nothing is rejected.
+Labels other than 0 and 1, null labels and null ids are not learned from; of two labels of an id the
+smaller counts. Extra columns are not read and may have any name.
 """
 
 from __future__ import annotations
@@ -35,8 +36,8 @@ class Settings:
     filters: int = 12
     chunk: int = 1024
     rows_per_class: int = 1500
-    chunks_per_row: int = 4
-    steps: int = 400
+    sample_bytes: int = 64 << 20
+    steps: int = 500
     batch: int = 64
     rate: float = 0.02
     decay: float = 1e-4
@@ -44,27 +45,10 @@ class Settings:
     threshold: float = 0.7
 
 
-#: The self-similarity channel: farthest lag, shortest lag, window, top level.
-FAR_LAG, NEAR_LAG, SPAN, TOP = 32, 3, 64, 15
-#: Positions scored at a time.
+#: Positions scored at a time; a multiple of half a chunk.
 SEGMENT = 1 << 16
 
 
-def self_similarity(data: np.ndarray) -> np.ndarray:
-    """Level 0..TOP for each byte: the share of the SPAN bytes from it whose four-byte gram also
-    starts NEAR_LAG to FAR_LAG bytes before."""
-    n = len(data)
-    repeats = np.zeros(n + SPAN, dtype=np.int32)
-    if n >= 4 + NEAR_LAG:
-        grams = np.ndarray((n - 3,), dtype="<u4", buffer=np.ascontiguousarray(data), strides=(1,)).copy()
-        seen = np.zeros(n - 3, dtype=bool)
-        for lag in range(NEAR_LAG, min(FAR_LAG, n - 4) + 1):
-            seen[lag:] |= grams[lag:] == grams[:-lag]
-        repeats[: n - 3] = seen
-    total = np.concatenate(([0], np.cumsum(repeats, dtype=np.int64)))
-    return ((total[SPAN : SPAN + n] - total[:n]) * TOP // SPAN).astype(np.uint8)
-
-
 class Network:
     """Look-up filters, pooling and the output unit. Byte 0 is padding and adds nothing."""
 
@@ -73,17 +57,15 @@ class Network:
         self.s = s
         self.taps = rng.normal(0, 0.1, (s.width, 256, s.filters)).astype(np.float32)
         self.taps[:, 0] = 0
-        self.level = rng.normal(0, 0.1, (TOP + 1, s.filters)).astype(np.float32)
         self.bias = np.zeros(s.filters, dtype=np.float32)
         self.out = rng.normal(0, 0.3, s.filters).astype(np.float32)
         self.out_bias = np.zeros(1, dtype=np.float32)
         self.combine = np.array([4.0, 2.0, -3.0])
         self.constant: float | None = None
 
-    def respond(self, data: np.ndarray, level: np.ndarray) -> np.ndarray:
-        """Filter responses at each position of ``level``; ``data`` has width - 1 bytes more."""
-        n = len(level)
-        got = self.level[level] + self.bias
+    def respond(self, data: np.ndarray, n: int) -> np.ndarray:
+        """Filter responses at ``n`` positions; ``data`` has width - 1 bytes more."""
+        got = np.broadcast_to(self.bias, (n, self.s.filters)).copy()
         for k in range(self.s.width):
             got += self.taps[k].take(data[k : k + n], axis=0)
         return got
@@ -91,13 +73,12 @@ class Network:
     def chunk_logits(self, text: bytes) -> np.ndarray:
         s, half = self.s, self.s.chunk // 2
         raw = np.frombuffer(text or b"\0", dtype=np.uint8)
-        level = self_similarity(raw)
         data = np.concatenate((raw, np.zeros(s.width - 1, dtype=np.uint8)))
         tops = []
         for at in range(0, len(raw), SEGMENT):
-            part = level[at : at + SEGMENT]
-            got = self.respond(data[at : at + len(part) + s.width - 1], part)
-            tops.append(np.maximum.reduceat(got, np.arange(0, len(part), half), axis=0))
+            n = min(SEGMENT, len(raw) - at)
+            got = self.respond(data[at : at + n + s.width - 1], n)
+            tops.append(np.maximum.reduceat(got, np.arange(0, n, half), axis=0))
         top = np.concatenate(tops)
         if len(top) > 1:  # a chunk is two halves; the next chunk shares one of them
             top = np.maximum(top[:-1], top[1:])
@@ -113,20 +94,17 @@ class Network:
         mean, low = self.document_features(text)
         return float(1 / (1 + np.exp(-(self.combine[0] * mean + self.combine[1] * low + self.combine[2]))))
 
-    def fit(self, chunks: list[bytes], labels: np.ndarray, documents: list[int]) -> Network:
-        """Adam on the chunks' cross-entropy; the gradient passes through the pooled positions only."""
-        s = self.s
+    def fit(self, texts: list[bytes], labels: np.ndarray) -> Network:
+        """Adam on the cross-entropy of all chunks of ``texts``; the gradient passes through the pooled
+        positions only."""
+        s, size = self.s, self.s.chunk
         if len(set(labels.tolist())) < 2:
             self.constant = float(labels.all())
             return self
-        n, size = len(chunks), s.chunk
-        data = np.zeros((n, size + s.width - 1), dtype=np.uint8)
-        level = np.zeros((n, size), dtype=np.uint8)
-        length = np.zeros(n, dtype=np.int64)
-        for i, chunk in enumerate(chunks):
-            raw = np.frombuffer((chunk or b"\0")[:size], dtype=np.uint8)
-            data[i, : len(raw)], level[i, : len(raw)], length[i] = raw, self_similarity(raw), len(raw)
-        names = ("taps", "level", "bias", "out", "out_bias")
+        texts = [x or b"\0" for x in texts]
+        places = [(k, at) for k, x in enumerate(texts) for at in chunk_starts(len(x), size)]
+        n = len(places)
+        names = ("taps", "bias", "out", "out_bias")
         first = {k: np.zeros_like(getattr(self, k)) for k in names}
         second = {k: np.zeros_like(getattr(self, k)) for k in names}
         rng, step, unit = np.random.default_rng(s.seed), 0, np.arange(s.filters)
@@ -134,12 +112,17 @@ class Network:
         while step < s.steps:
             order = rng.permutation(n)
             for at in range(0, n, s.batch):
-                pick = order[at : at + s.batch]
-                x, v, y = data[pick], level[pick], labels[pick]
-                got = self.level[v] + self.bias
+                pick = [places[k] for k in order[at : at + s.batch]]
+                x = np.zeros((len(pick), size + s.width - 1), dtype=np.uint8)
+                length = np.zeros(len(pick), dtype=np.int64)
+                for row, (k, start) in enumerate(pick):
+                    raw = np.frombuffer(texts[k][start : start + x.shape[1]], dtype=np.uint8)
+                    x[row, : len(raw)], length[row] = raw, min(size, len(texts[k]) - start)
+                y = labels[[k for k, _ in pick]]
+                got = np.broadcast_to(self.bias, (len(pick), size, s.filters)).copy()
                 for k in range(s.width):
                     got += self.taps[k].take(x[:, k : k + size], axis=0)
-                got[np.broadcast_to(outside >= length[pick][:, None, None], got.shape)] = -np.inf
+                got[np.broadcast_to(outside >= length[:, None, None], got.shape)] = -np.inf
                 where = got.argmax(axis=1)
                 top = np.take_along_axis(got, where[:, None], axis=1)[:, 0]
                 pooled = np.maximum(top, 0)
@@ -148,8 +131,6 @@ class Network:
                 dtop = dz[:, None] * self.out * (top > 0)
                 grad = {"out": pooled.T @ dz, "out_bias": dz.sum(keepdims=True), "bias": dtop.sum(axis=0)}
                 rows = np.arange(len(pick))[:, None]
-                grad["level"] = np.zeros_like(self.level)
-                np.add.at(grad["level"], (v[rows, where], unit[None]), dtop)
                 grad["taps"] = np.zeros_like(self.taps)
                 for k in range(s.width):
                     np.add.at(grad["taps"][k], (x[rows, where + k], unit[None]), dtop)
@@ -161,26 +142,27 @@ class Network:
                     rate = s.rate * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
                     setattr(self, k, (getattr(self, k) - rate * first[k] / (np.sqrt(second[k]) + 1e-8)).astype(np.float32))
                 self.taps[:, 0] = 0
-        self._fit_combination(chunks, labels, documents)
+        self._fit_combination(texts, labels)
         return self
 
-    def _fit_combination(self, chunks: list[bytes], labels: np.ndarray, documents: list[int]) -> None:
+    def _fit_combination(self, texts: list[bytes], labels: np.ndarray) -> None:
         """Logistic regression on each sampled document's mean and smallest chunk probability."""
-        found: dict[int, tuple[list[float], float]] = {}
-        for chunk, label, document in zip(chunks, labels, documents):
-            found.setdefault(document, ([], float(label)))[0].append(self.document_features(chunk)[0])
-        x = np.array([[np.mean(p), np.min(p), 1.0] for p, _ in found.values()])
-        y = np.array([label for _, label in found.values()])
+        x = np.array([[*self.document_features(text), 1.0] for text in texts])
         w = self.combine.copy()
         for _ in range(30):  # Newton steps with a small ridge
             p = 1 / (1 + np.exp(-x @ w))
             hessian = (x * (p * (1 - p))[:, None]).T @ x + np.eye(3) * 0.1
-            w -= np.linalg.solve(hessian, x.T @ (p - y) + 0.1 * w)
+            w -= np.linalg.solve(hessian, x.T @ (p - labels) + 0.1 * w)
         self.combine = w
 
 
-def training_chunks(docs: DataFrame, labels: DataFrame, s: Settings, id_col: str, text_col: str, label_col: str) -> DataFrame:
-    """``(id, at, label, bytes)``: the bounded sample of chunks that the network is fitted on."""
+def chunk_starts(n: int, chunk: int) -> range:
+    """Where the chunks of ``n`` bytes start: halves overlap, and the last chunk ends with the text."""
+    return range(0, max(1, n - chunk // 2), chunk // 2)
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, s: Settings, id_col: str, text_col: str, label_col: str) -> DataFrame:
+    """``(id, label, text)``: the labelled rows that the network may be fitted on, in a fixed order."""
     key = F.col("id").cast("string")
     rows = (
         labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("label"))
@@ -193,20 +175,22 @@ def training_chunks(docs: DataFrame, labels: DataFrame, s: Settings, id_col: str
         part = rows.where(F.col("label") == label).orderBy(F.xxhash64(F.lit(s.seed), "id"), "id").limit(s.rows_per_class)
         picked = part if picked is None else picked.unionByName(part)
     # Bounded by 2 * rows_per_class rows of 12 bytes.
-    found = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("text")).join(
-        F.broadcast(picked), "id"
-    )
-    total = F.greatest(F.lit(1), F.ceil(F.length("text") / s.chunk)).cast("bigint")
-    starts = F.array_distinct(F.array(*[F.pmod(F.xxhash64(F.lit(k), "id"), total) for k in range(s.chunks_per_row)]))
-    return found.withColumn("at", F.explode(starts)).select(
-        "id", "at", "label", F.substring("text", F.col("at") * s.chunk + 1, F.lit(s.chunk)).alias("bytes")
-    )
+    text = F.coalesce(F.col(f"`{text_col}`").cast("binary"), F.lit(b"")).alias("text")
+    found = docs.select(F.col(f"`{id_col}`").alias("id"), text).join(F.broadcast(picked), "id").select("id", "label", "text")
+    return found.repartition(8, "id").sortWithinPartitions(F.xxhash64(F.lit(s.seed), "id"), "id", "text")
 
 
 def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Network:
-    """Fit on the driver: the sample is bounded by ``2 * rows_per_class * chunks_per_row`` chunks."""
-    rows = sorted(map(tuple, training_chunks(docs, labels, s, id_col, text_col, label_col).dropDuplicates(["id", "at"]).collect()))
-    return Network(s).fit([bytes(r[3]) for r in rows], np.array([r[2] for r in rows], dtype=np.float32), [r[0] for r in rows])
+    """Fit on the driver, on at most ``2 * rows_per_class`` rows of ``sample_bytes`` bytes together."""
+    texts, marks, size, last = [], [], 0, object()
+    for row in training_rows(docs, labels, s, id_col, text_col, label_col).toLocalIterator():
+        if row["id"] == last or size + len(row["text"]) > s.sample_bytes:
+            continue
+        last = row["id"]
+        texts.append(bytes(row["text"]))
+        marks.append(row["label"])
+        size += len(texts[-1])
+    return Network(s).fit(texts, np.array(marks, dtype=np.float32))
 
 
 def score(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
