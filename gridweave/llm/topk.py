@@ -7,15 +7,17 @@ scores; a partition selects each query's best of the block, and the blocks' winn
 ranked window. Every query meets every candidate once; nothing is pruned or approximated.
 
 Blocks bound the memory of a task: ``query_block * block`` scores and two posting lists. Blocks of
-queries, packed as one row each, are sent to the blocks of candidates by an equi-join on the number
-of the block; neither side passes through the driver.
+queries, packed as one row each, are sent to every block of candidates; rows are sorted so that a
+block of candidates comes first and is read once, and the blocks of queries stream past it. Neither
+side passes through the driver.
 
 Defined results: a vector that is null, or holds a null or a non-finite component, takes no part, nor
 does a row whose id is null. An id names a vector: rows that share the query's id are not its
 candidates, and a repeated query id is asked once, with its smallest vector. Equal scores rank by the
 smaller id; candidates that repeat an id and a score take a rank each. Missing terms of shorter
-vectors count as zero. Scores are exact integers; one beyond 64 bits is an error. A query without
-candidates has no rows.
+vectors count as zero. Scores are exact integers; a component or a score beyond 64 bits is an error.
+Ids are integers; one that does not cast to a long is an error. Extra columns are not read and may have
+any name. A query without candidates has no rows.
 """
 
 from __future__ import annotations
@@ -24,35 +26,42 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridweave.llm.text import small_batches
 from gridweave.plans.staging import materialise
 
 #: Rows of a block of candidates and of a block of queries.
 BLOCK = 1024
 QUERY_BLOCK = 256
 PACKED = "block bigint, n int, ids binary, terms binary, starts binary, rows binary, weights binary"
+PARTS = ["ids", "terms", "starts", "rows", "weights"]
 
 
 def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256) -> DataFrame:
     """``(id, weights)`` with ``floor(scale * x)`` of each component, for the vectors that take part."""
     vector = F.transform(F.col(f"`{vector_col}`"), lambda x: x.cast("double"))
+
+    def whole(x: Column) -> Column:
+        scaled = x * F.lit(float(scale))
+        return F.when(F.abs(scaled) < F.lit(2.0**63), F.floor(scaled).cast("bigint")).otherwise(F.raise_error(F.lit("a component does not fit 64 bits")).cast("bigint"))
+
     usable = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     return (
         vectors.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), vector.alias("vector"))
         .where("id is not null and vector is not null")
         .where(usable)
-        .select("id", F.transform("vector", lambda x: F.floor(x * F.lit(scale)).cast("bigint")).alias("weights"))
+        .select("id", F.transform("vector", whole).alias("weights"))
     )
 
 
 def _pack(key: tuple, group: pa.Table) -> pa.Table:
     """A block as one row: ids in ascending order and, by term, its rows and non-zero weights."""
     group = group.sort_by("id").combine_chunks()
-    lists = group["weights"].to_pylist()
-    lengths = np.array([len(x) for x in lists], dtype=np.int64)
-    flat = np.array([x for row in lists for x in row], dtype=np.int64)
+    lists = group["weights"].chunk(0)
+    lengths = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+    flat = lists.flatten().to_numpy().astype(np.int64)
     rows = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
     terms = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     keep = flat != 0
@@ -116,6 +125,18 @@ def _best(scores: np.ndarray, ids: np.ndarray, own: int, k: int) -> np.ndarray:
     return others
 
 
+def _winners(queries: _Postings, candidates: _Postings, k: int) -> pa.RecordBatch:
+    """The k best of a block of candidates for each query of a block."""
+    scores = _scores(queries, candidates)
+    out: list[list] = [[], [], []]
+    for at, own in enumerate(queries.ids):
+        best = _best(scores[at], candidates.ids, own, k)
+        out[0] += [own] * len(best)
+        out[1] += candidates.ids[best].tolist()
+        out[2] += scores[at, best].tolist()
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["query_id", "vec_id", "score"])
+
+
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """``query_id, rank, vec_id, score`` of the k best candidates of each query; both sides come as
     ``(id, weights array<bigint>)``."""
@@ -128,28 +149,23 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, block: int = BL
         dealt = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n)))
         return materialise(dealt.groupBy("block").applyInArrow(_pack, PACKED), "packed")
 
-    names = ("n", "ids", "terms", "starts", "rows", "weights")
-    sent = packed(asked, n_query_blocks).select(
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_blocks - 1).cast("bigint"))).alias("block"), *[F.col(c).alias(f"q_{c}") for c in names]
-    )
-    # Blocks of queries grow with the input: they are shuffled, never broadcast.
-    met = packed(stored, n_blocks).hint("merge").join(sent, "block")
+    blocks = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_blocks - 1).cast("bigint"))).alias("block")
+    sent = packed(asked, n_query_blocks).select(blocks, F.lit(True).alias("asks"), *PARTS)
+    both = packed(stored, n_blocks).select("block", F.lit(False).alias("asks"), *PARTS).unionByName(sent)
+    small_batches(queries.sparkSession)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, candidates = None, None
         for batch in batches:
-            for row in batch.to_pylist():
-                c = _Postings(*(row[x] for x in names[1:]))
-                q = _Postings(*(row[f"q_{x}"] for x in names[1:]))
-                scores = _scores(q, c)
-                out: list[list] = [[], [], []]
-                for at, own in enumerate(q.ids):
-                    best = _best(scores[at], c.ids, own, k)
-                    out[0] += [own] * len(best)
-                    out[1] += c.ids[best].tolist()
-                    out[2] += scores[at, best].tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["query_id", "vec_id", "score"])
-
-    columns = ["ids", "terms", "starts", "rows", "weights"]
-    found = met.select(*columns, *[f"q_{c}" for c in columns]).mapInArrow(search, "query_id bigint, vec_id bigint, score bigint")
+            for row in range(batch.num_rows):
+                number, asks, *parts = (column[row].as_py() for column in batch.columns)
+                if not asks:
+                    block, candidates = number, _Postings(*parts)
+                elif number == block:
+                    yield _winners(_Postings(*parts), candidates, k)
+
+    # As many partitions as blocks of candidates, so that a task has about one; more come by turns.
+    met = both.repartition(n_blocks, "block").sortWithinPartitions("block", "asks")
+    found = met.select("block", "asks", *PARTS).mapInArrow(search, "query_id bigint, vec_id bigint, score bigint")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

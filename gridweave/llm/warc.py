@@ -6,19 +6,23 @@ holds at most ``chunk_bytes`` of the payload, and carries the SHA-256 of the pay
 Writer and reader handle a chunk at a time: no record is put together in memory.
 
 Of records with equal payloads of at least ``min_revisit`` bytes, that of the smallest id is a
-``response``; the others are ``revisit`` records that name it and hold HTTP headers only. Digests that
-occur once are told apart by a filter, so that only payloads of groups are shuffled.
+``response``; the others are ``revisit`` records that name it and hold HTTP headers only. Which is
+which is settled on ids and digests; a payload is shuffled only if its record may be the response of
+a group, so the payloads of a hot group's revisits never are.
 
-Defined results: a null payload counts as empty. A null id is written as ``none`` and read back as
+Defined results: a null payload counts as empty. A null id is written without a name and read back as
 null; it never is the record that others refer to, unless the group has no other, in which case all
 of the group are responses. Rows that repeat the smallest id and its payload are responses each. White
-space in a URL is written percent-encoded.
+space in a URL is written percent-encoded. Ids may have any type whose values Spark casts to strings
+and back; the smallest is the smallest of that type. Extra columns are not read and may have any name.
+A payload is one value of a row, so it goes up to Spark's 2 GB; records are never put together.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -37,14 +41,21 @@ TABLE = "record bigint, chunk bigint, n_chunks bigint, bytes binary, digest_so_f
 END = b"\r\n\r\n"
 
 
-def _head(id_, url: str | None, digest: str, size: int, refers_to) -> bytes:
+def _urn(id_: str | None) -> str:
+    return "<urn:page>" if id_ is None else f"<urn:page:{quote(id_, safe='')}>"
+
+
+def _id(urn: str | None) -> str | None:
+    return unquote(urn.removeprefix("<urn:page:").removesuffix(">")) if urn and urn.startswith("<urn:page:") else None
+
+
+def _head(id_: str | None, url: str | None, digest: str, size: int, refers_to: str | None) -> bytes:
     """WARC and HTTP headers of a record."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
-    name = "none" if id_ is None else id_
     lines = [
         "WARC/1.1",
         "WARC-Type: " + ("response" if refers_to is None else "revisit"),
-        f"WARC-Record-ID: <urn:page:{name}>",
+        f"WARC-Record-ID: {_urn(id_)}",
         "WARC-Date: 1970-01-01T00:00:00Z",
         f"WARC-Payload-Digest: sha256:{digest}",
         "Content-Type: application/http; msgtype=response",
@@ -52,41 +63,56 @@ def _head(id_, url: str | None, digest: str, size: int, refers_to) -> bytes:
     if url is not None:
         lines.append("WARC-Target-URI: " + "".join(f"%{ord(c):02X}" if c in " \t\r\n\v\f" else c for c in url))
     if refers_to is not None:
-        lines += [f"WARC-Refers-To: <urn:page:{refers_to}>", f"WARC-Profile: {PROFILE}"]
+        lines += [f"WARC-Refers-To: {_urn(refers_to)}", f"WARC-Profile: {PROFILE}"]
     lines.append(f"Content-Length: {len(http) + (size if refers_to is None else 0)}")
     return "\r\n".join(lines).encode() + END + http
 
 
-def record_chunks(id_, url, payload: memoryview, digest: str, refers_to, chunk_bytes: int) -> Iterator[tuple[int, int, bytes, str]]:
-    """``(chunk, n_chunks, bytes, digest_so_far)`` of one record."""
+def record_chunks(id_: str | None, url: str | None, payload: memoryview, size: int, digest: str, refers_to: str | None, chunk_bytes: int) -> Iterator[tuple[int, int, bytes, str]]:
+    """``(chunk, n_chunks, bytes, digest_so_far)`` of one record, whose payload has ``size`` bytes."""
     body = payload if refers_to is None else payload[:0]
     n = max(1, -(-len(body) // chunk_bytes))
     running = hashlib.sha256()
     for k in range(n):
         part = body[k * chunk_bytes : (k + 1) * chunk_bytes]
         running.update(part)
-        data = (_head(id_, url, digest, len(payload), refers_to) if k == 0 else b"") + bytes(part) + (END if k == n - 1 else b"")
+        data = (_head(id_, url, digest, size, refers_to) if k == 0 else b"") + bytes(part) + (END if k == n - 1 else b"")
         yield k, n, data, running.hexdigest()
 
 
 def decided(pages: DataFrame, id_col: str, url_col: str, payload_col: str, min_revisit: int) -> DataFrame:
-    """``(id, url, payload, digest, refers_to)`` for each row."""
+    """``(id, url, payload, n_bytes, digest, refers_to)`` for each row; revisits come without payload."""
+    payload = F.coalesce(F.col(f"`{payload_col}`").cast("binary"), F.lit(b""))
     rows = pages.select(
         F.col(f"`{id_col}`").alias("id"),
         F.col(f"`{url_col}`").alias("url"),
-        F.coalesce(F.col(f"`{payload_col}`").cast("binary"), F.lit(b"")).alias("payload"),
-    ).withColumn("digest", F.sha2("payload", 256))
-    groups = rows.where(F.length("payload") >= min_revisit).groupBy("digest").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n"))
+        payload.alias("payload"),
+        F.octet_length(payload).cast("bigint").alias("n_bytes"),
+        F.sha2(payload, 256).alias("digest"),
+    )
+    long = F.col("n_bytes") >= min_revisit
+    groups = rows.where(long).groupBy("digest").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n"))
     groups = materialise(groups.where("n > 1").select("digest", "first_id"), "equal-payloads")
     n = groups.count()
     alone = F.lit(None).cast(pages.schema[id_col].dataType)
+    columns = ["id", "url", "payload", "n_bytes", "digest", "refers_to"]
     if not n:
-        return rows.withColumn("refers_to", alone)
+        return rows.withColumn("refers_to", alone).select(columns)
     bits, words = build_filter(groups, "digest", n)
-    test = maybe(F.col("digest"), bits, words) & (F.length("payload") >= min_revisit)
-    met = rows.where(test).join(groups, "digest", "left").withColumn("refers_to", F.when(~F.col("id").eqNullSafe(F.col("first_id")), F.col("first_id")))
-    columns = ["id", "url", "payload", "digest", "refers_to"]
-    return rows.where(~test).withColumn("refers_to", alone).select(columns).unionByName(met.select(columns))
+    test = maybe(F.col("digest"), bits, words) & long
+    # Without payloads: which rows of the likely groups are revisits.
+    refers_to = F.when(~F.col("id").eqNullSafe(F.col("first_id")), F.col("first_id"))
+    narrow = rows.where(test).select("id", "url", "n_bytes", "digest").join(groups, "digest", "left").withColumn("refers_to", refers_to)
+    narrow = materialise(narrow.drop("first_id"), "decided")
+    revisits = narrow.where("refers_to is not null").withColumn("payload", F.lit(b""))
+    # The others keep their payloads; rows that repeat an id and a payload are kept by one key.
+    key = F.xxhash64("digest", "id")
+    kept = materialise(narrow.where("refers_to is null").select("digest", "id", key.alias("key")).distinct(), "responses")
+    key_bits, key_words = build_filter(kept, "key", kept.count())
+    likely = rows.where(test & maybe(key, key_bits, key_words)).alias("r")
+    same = (F.col("r.digest") == F.col("k.digest")) & F.col("r.id").eqNullSafe(F.col("k.id"))
+    responses = likely.join(kept.alias("k"), same, "left_semi").withColumn("refers_to", alone)
+    return rows.where(~test).withColumn("refers_to", alone).select(columns).unionByName(revisits.select(columns)).unionByName(responses.select(columns))
 
 
 def write_archives(
@@ -105,9 +131,9 @@ def write_archives(
             return pa.RecordBatch.from_arrays(arrays, names=["record", "chunk", "n_chunks", "bytes", "digest_so_far"])
 
         for batch in batches:
-            for record, id_, url, payload, digest, refers_to in zip(*batch.columns):
+            for record, id_, url, payload, size_, digest, refers_to in zip(*batch.columns):
                 view = memoryview(payload.as_buffer())
-                for chunk in record_chunks(id_.as_py(), url.as_py(), view, digest.as_py(), refers_to.as_py(), chunk_bytes):
+                for chunk in record_chunks(id_.as_py(), url.as_py(), view, size_.as_py(), digest.as_py(), refers_to.as_py(), chunk_bytes):
                     out.append((record.as_py(), *chunk))
                     size += len(chunk[2])
                     if size >= BATCH_BYTES:
@@ -119,7 +145,10 @@ def write_archives(
     small_batches(pages.sparkSession)
     rows = decided(pages, id_col, url_col, payload_col, min_revisit)
     # A record's number tells its chunks from others; one task writes all of them.
-    numbered = rows.select(F.monotonically_increasing_id().alias("record"), "id", "url", "payload", "digest", "refers_to")
+    named = [F.col(c).cast("string").alias(c) for c in ("id", "url")]
+    numbered = rows.select(
+        F.monotonically_increasing_id().alias("record"), *named, "payload", "n_bytes", "digest", F.col("refers_to").cast("string").alias("refers_to")
+    )
     numbered.mapInArrow(scan, TABLE).write.parquet(path)
 
 
@@ -164,19 +193,18 @@ class RecordReader:
         kind, digest = self.warc["WARC-Type"], self.warc["WARC-Payload-Digest"].removeprefix("sha256:")
         if kind == "response" and self.running.hexdigest() != digest:
             raise ValueError("a payload does not have the digest that its header states")
-        named = [self.warc.get(k, "<urn:page:none>").removeprefix("<urn:page:").removesuffix(">") for k in ("WARC-Record-ID", "WARC-Refers-To")]
-        id_, refers_to = (None if x == "none" else int(x) for x in named)
-        return id_, int(self.http["Content-Length"]), digest, kind, refers_to
+        return _id(self.warc.get("WARC-Record-ID")), int(self.http["Content-Length"]), digest, kind, _id(self.warc.get("WARC-Refers-To"))
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each record: ``id, payload_bytes, payload_digest, record_type, refers_to``.
+def read_archives(spark: SparkSession, path: str, id_type: str = "bigint") -> DataFrame:
+    """One row for each record: ``id, payload_bytes, payload_digest, record_type, refers_to``; ids and
+    references are cast to ``id_type``.
 
     Chunks of oversized records are brought together by record and read in order.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
+        types = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string())
         reader, current = RecordReader(), None
         for batch in batches:
             out = []
@@ -190,14 +218,15 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, names=["id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
     table = spark.read.schema(TABLE).parquet(path)
-    result = "id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
+    result = "id string, payload_bytes bigint, payload_digest string, record_type string, refers_to string"
     small = table.where("n_chunks = 1").mapInArrow(scan, result)
     large = table.where("n_chunks > 1").repartition("record").sortWithinPartitions("record", "chunk").mapInArrow(scan, result)
-    return small.unionByName(large)
+    named = {c: F.col(c).cast(id_type) for c in ("id", "refers_to")}
+    return small.unionByName(large).withColumns(named)
 
 
 def round_trip(pages: DataFrame, **options) -> DataFrame:
     """Write ``pages`` to a new archive in the shared folder and read it back."""
     path = new_path(pages.sparkSession, "warc")
     write_archives(pages, path, **options)
-    return read_archives(pages.sparkSession, path)
+    return read_archives(pages.sparkSession, path, pages.schema[options.get("id_col", "page_id")].dataType.simpleString())

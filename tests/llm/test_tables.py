@@ -181,6 +181,14 @@ def test_top_k_of_few_and_none(spark):
         topk.top_k(big, big.withColumn("weights", F.array(F.lit(1 << 40)))).collect()
 
 
+def test_components_beyond_a_long(spark):
+    rows = spark.createDataFrame([(1, [1e300]), (2, [1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="64 bits"):
+        topk.quantised(rows).collect()
+    rows = spark.createDataFrame([(1, [9e15]), (2, [-9e15])], "vec_id long, embedding array<double>")
+    assert [x["weights"] for x in topk.quantised(rows).sort("id").collect()] == [[9 * 10**15 * 256], [-9 * 10**15 * 256]]
+
+
 # ---- WARC -------------------------------------------------------------------------------------
 
 
@@ -189,6 +197,7 @@ def test_round_trip(spark, chunk):
     big, exact, under = "x\r\n\r\n" * 300, "e" * 100, "u" * 99
     rows = [(5, "u", big), (3, "http://a b\r\nX: y", big), (None, None, big), (7, "é", exact), (6, "u", exact), (8, "u", under), (9, "u", under)]
     rows += [(10, "u", None), (11, "u", ""), (12, "u", "ü" * 70), (3, "v", big), (13, "u", "solo" * 50)]
+    rows += [(k, "hot", big) for k in range(100, 160)]
     pages = spark.createDataFrame([(*r, 1, "d") for r in rows], "page_id long, url string, html string, record int, digest string").repartition(2)
     got = warc.round_trip(pages, chunk_bytes=chunk).collect()
     want = []
@@ -202,7 +211,7 @@ def test_round_trip(spark, chunk):
 
 def test_damaged_archives_are_noticed():
     reader = warc.RecordReader()
-    chunks = list(warc.record_chunks(1, "u", memoryview(b"payload" * 30), hashlib.sha256(b"payload" * 30).hexdigest(), None, 50))
+    chunks = list(warc.record_chunks("1", "u", memoryview(b"payload" * 30), 210, hashlib.sha256(b"payload" * 30).hexdigest(), None, 50))
     assert len(chunks) == 5
     reader.feed(0, chunks[0][2], chunks[0][3])
     with pytest.raises(ValueError):
@@ -214,5 +223,19 @@ def test_damaged_archives_are_noticed():
         reader.feed(0, chunks[0][2][:-1] + b"?", chunks[0][3])
 
 
+def test_ids_that_are_no_numbers(spark):
+    rows = [("b >\r\nx: é", "u", "p" * 100), ("none", "u", "p" * 100), ("", "u", "q" * 100), (None, "u", "p" * 100)]
+    got = warc.round_trip(spark.createDataFrame(rows, "name string, url string, html string"), id_col="name").select("id", "record_type", "refers_to").collect()
+    want = [(rows[0][0], "response", None), ("none", "revisit", rows[0][0]), ("", "response", None), (None, "revisit", rows[0][0])]
+    assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
+
+
+def test_payloads_of_hot_revisits_are_not_joined(spark):
+    pages = spark.createDataFrame([(k, "u", "same" * 100) for k in range(50)] + [(99, "u", "other" * 50)], "page_id long, url string, html string")
+    made = warc.decided(pages, "page_id", "url", "html", 100).collect()
+    assert sorted((x["id"], len(x["payload"])) for x in made if x["payload"]) == [(0, 400), (99, 250)]
+    assert {x["n_bytes"] for x in made} == {400, 250}
+
+
 def test_archive_without_rows(spark):
     assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
