@@ -2,7 +2,7 @@ import random
 
 import pytest
 import xxhash
-from fixtures import SCHEMA, documents, frame, lowered
+from fixtures import documents, frame, lowered
 from pyspark.sql import functions as F
 
 from gridweave.llm import exact_dedup, simhash
@@ -46,14 +46,30 @@ def test_exact_without_rows(spark):
 
 
 def test_index_merges_runs(spark):
-    index = exact_dedup.DigestIndex(spark, fanout=2)
-    index.append(spark.createDataFrame([("a", 5), ("b", 7)], "digest string, id long"))
-    assert len(index.fresh) == 1
-    index.append(spark.createDataFrame([("a", 3), ("c", 1)], "digest string, id long"))
-    assert not index.fresh and len(index.merged) == 1
-    assert [tuple(x) for x in index.lookup(["a"]).collect()] == [("a", 3, 5, 2)]
-    index.append(spark.createDataFrame([("c", 9)], "digest string, id long"))
-    assert sorted(tuple(x) for x in index.hits().collect()) == [("a", 3, 5, 2), ("c", 1, 9, 2)]
+    """Runs are flushed, looked up through their filters and compacted, more than once."""
+    rng = random.Random(2)
+    index = exact_dedup.DigestIndex(spark, fanout=3)
+    seen, counts = {}, []
+    for _ in range(5):
+        batch = [(f"d{rng.randint(0, 60)}", rng.randint(0, 999)) for _ in range(40)]
+        frame_ = spark.createDataFrame(batch, "digest string, id long")
+        known = {x["digest"] for x in index.lookup(frame_.select("digest").distinct()).collect()}
+        assert known == {d for d, _ in batch} & set(seen)
+        index.append(frame_)
+        counts.append(len(index.runs))
+        for d, i in batch:
+            low, high, n = seen.get(d, (i, i, 0))
+            seen[d] = (min(low, i), max(high, i), n + 1)
+    assert counts == [1, 2, 1, 2, 1]
+    assert {x[0]: tuple(x[1:]) for x in index.compact().rows.collect()} == seen
+    assert {x["digest"] for x in index.hits().collect()} == {d for d, x in seen.items() if x[2] > 1}
+    assert exact_dedup.DigestIndex(spark).hits().count() == 0
+
+
+def test_copies_of_a_hot_group_are_not_shuffled(spark):
+    rows = [(k, "the same text", "en", "s", 1, "x", "y", 5, 6, "z", 7, 8, 9) for k in range(500)]
+    kept = exact_dedup.exact_dedup(frame(spark, rows + documents()))
+    assert [x["doc_id"] for x in kept.where("text = 'the same text'").collect()] == [499]
 
 
 def brute_fingerprint(text, shingle=3):
@@ -141,7 +157,3 @@ def test_near_without_rows(spark):
     assert simhash.near_dedup(frame(spark, [])).count() == 0
     with pytest.raises(ValueError):
         simhash.links(spark.createDataFrame([], "fp long"), radius=3)
-
-
-def test_schema_is_what_the_fixture_says(spark):
-    assert frame(spark).columns == [c.split()[0] for c in SCHEMA.split(", ")]
