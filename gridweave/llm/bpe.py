@@ -1,22 +1,30 @@
-"""BPE encoding and decoding; long texts by tree concatenation.
+"""BPE encoding and decoding by tree concatenation.
 
-A text of at most ``CHUNK`` characters is encoded where it is read. A longer one becomes several
-rows that Spark spreads over all tasks. It is cut where white space follows another character: no
-pre-token spans such a place, and what the pattern matches after it depends on nothing before it, so
-those pieces simply follow one another. A stretch without such a place is cut into its pre-tokens,
-and a pre-token of more than ``LEAF`` bytes is cut in halves until each is small: the leaves.
+A text of more than ``LEAF`` characters is cut in halves, and these again, wherever the middle falls,
+until each part is a leaf. Leaves are encoded on their own by a public tokenizer library and joined
+pairwise up the tree. Every node holds exactly what its own text, taken alone, is encoded to.
 
-Leaves are encoded on their own and joined pairwise up the tree. At a join, the last tokens of the
-left side and the first of the right are encoded again as one text; the window doubles until its
-first token is the left side's and its last token the right side's, or covers both sides. Then all
-neighbouring tokens are compatible, each pair being what the encoder makes of its own bytes, and a
-byte-pair encoding is the only sequence with that property.
+A join encodes a window anew, from some tokens before the cut to some tokens after it. It starts and
+ends where a space stands before another character: there a pre-token starts whatever precedes, as
+no alternative of the pattern runs on over such a place. The window grows until it agrees with both
+sides: its first pre-tokens are the left side's and its last ones the right side's, token for token.
+
+Where text has no such place for ``2 * LEAF`` bytes, the cut lies in a long pre-token, and the
+merges themselves are joined: the pattern finds the pre-token over the cut, and the tokens of its two
+parts are joined by windows of tokens that double until their first token is the left side's and
+their last one the right side's. Then all neighbouring tokens are compatible, each pair being what the
+encoder makes of its own bytes, and a byte-pair encoding is the only sequence with that property.
+
+A text of at most ``CHUNK`` characters is encoded where it is read. A longer one becomes several rows,
+one for each of its subtrees of that size, that Spark spreads over all tasks; they are joined by text.
 
 Vocabularies are tokenizer JSON files of byte-level BPE, named by a path or by their name in the
 package of public tokenizers; every executor reads its own copy.
 
 Defined results: a null text counts as empty and has no tokens. The text of a special token counts
-as that token, as in the library. Rows that repeat an id are encoded row by row.
+as that token, as in the library. Rows that repeat an id are encoded row by row. The ids of a text
+are one value of a row, four bytes for each token, so texts go up to Spark's 2 GB of a value. Extra
+columns are not read and may have any name.
 """
 
 from __future__ import annotations
@@ -34,14 +42,11 @@ from pyspark.sql import functions as F
 
 from gridweave.llm.text import small_batches
 
-#: Characters of a row, and bytes of a leaf.
+#: Characters of a row that is one subtree, and of a leaf.
 CHUNK = 1 << 15
-LEAF = 1 << 12
+LEAF = 1 << 11
 #: Tokens of each side in the first window of a join.
 WINDOW = 8
-#: A place where text can be cut: the space or line break that follows another character.
-SAFE_CUT = re.compile(r"\S(?=[ \n])")
-LAST_SAFE_CUT = re.compile(r".*\S(?=[ \n])", re.DOTALL)
 
 
 class Vocabulary:
@@ -89,19 +94,29 @@ class Vocabulary:
 
         return regex.compile(public_tokenizers.PATTERN)
 
+    @cached_property
+    def starts_word(self) -> np.ndarray:
+        """By token: whether it is a space and at least one whole character that is none."""
+        out = np.zeros(len(self.bytes_of), dtype=bool)
+        special = set(self.special_ids.values())
+        for i, token in enumerate(self.bytes_of):
+            rest = token[1:].decode("utf-8", "ignore")
+            out[i] = token[:1] == b" " and bool(rest) and rest[0].encode() == token[1 : 1 + len(rest[0].encode())] and not rest[0].isspace() and i not in special
+        return out
+
     def encode_piece(self, data: bytes) -> list[int]:
         """Merges alone, for the bytes of one pre-token or a part of it."""
         return [t.id for t in self.model.tokenize(data.decode("latin-1").translate(self.to_char))]
 
-    def bytes_for(self, ids: list[int]) -> bytes:
+    def bytes_for(self, ids) -> bytes:
         table = self.bytes_of
-        return b"".join([table[i] for i in ids])
+        return b"".join([table[i] for i in (ids.tolist() if isinstance(ids, np.ndarray) else ids)])
 
-    def text_for(self, ids: list[int]) -> str:
+    def text_for(self, ids) -> str:
         return self.bytes_for(ids).decode("utf-8", "replace")
 
-    def join(self, left: list[int], right: list[int]) -> list[int]:
-        """The encoding of two neighbouring pieces of one pre-token, from their own encodings."""
+    def join_merges(self, left: list[int], right: list[int]) -> list[int]:
+        """The encoding of two neighbouring parts of one pre-token, from their own encodings."""
         if not left or not right:
             return left + right
         size = WINDOW
@@ -114,32 +129,103 @@ class Vocabulary:
                 return left[:i] + window + right[j:]
             size *= 2
 
-    def join_all(self, parts: list[list[int]]) -> list[int]:
+    def encode_pretoken(self, data: bytes) -> list[int]:
+        """Merges alone; halves of a long pre-token are encoded apart and joined."""
+        if len(data) <= LEAF:
+            return self.encode_piece(data)
+        half = len(data) // 2
+        return self.join_merges(self.encode_pretoken(data[:half]), self.encode_pretoken(data[half:]))
+
+    def _word_starts(self, ids: np.ndarray) -> np.ndarray:
+        return np.flatnonzero(self.starts_word[ids])
+
+    def join(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The encoding of two neighbouring texts put together, from their own encodings."""
+        if not len(left) or not len(right):
+            return np.concatenate((left, right))
+        size = WINDOW
+        while True:
+            low, high = max(0, len(left) - 4 * size), min(len(right), 4 * size)
+            # Places in the last and the first tokens; the window takes at least ``size`` of each side.
+            before, after = self._word_starts(left[low:]) + low, self._word_starts(right[:high])
+            i = next((int(x) for x in before[::-1] if x <= len(left) - size), 0 if low == 0 else None)
+            j = next((int(x) for x in after if x >= size), len(right) if high == len(right) else None)
+            if i is not None and j is not None:
+                joined = self._join_window(left, right, i, j, before, after)
+                if joined is not None:
+                    return joined
+            if low == 0 and high == len(right) or sum(map(len, map(self.bytes_of.__getitem__, left[low:].tolist()))) > 2 * LEAF or size * 4 > 2 * LEAF:
+                return self._join_unsplit(left, right)
+            size *= 2
+
+    def _join_window(self, left: np.ndarray, right: np.ndarray, i: int, j: int, before: np.ndarray, after: np.ndarray) -> np.ndarray | None:
+        """The joined tokens if the window ``left[i:], right[:j]`` agrees with both sides."""
+        head, tail = before[before > i], after[after < j]
+        first, last = (int(head[0]) if len(head) else None), (int(tail[-1]) if len(tail) else None)
+        whole_left, whole_right = i == 0, j == len(right)
+        if (not whole_left and first is None) or (not whole_right and last is None):
+            return None
+        data = self.bytes_for(left[i:]) + self.bytes_for(right[:j])
+        if len(data) > 4 * LEAF:
+            return None
+        window = np.array(self.words.encode_ordinary(data.decode()), "<u4")
+        if not whole_left and not np.array_equal(window[: first - i], left[i:first]):
+            return None
+        if not whole_right and not np.array_equal(window[len(window) - (j - last) :], right[last:j]):
+            return None
+        return np.concatenate((left[:i], window, right[j:]))
+
+    def _join_unsplit(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """A join whose cut lies in a long pre-token, or in texts without a place to start a window."""
+        before, after = self._word_starts(left), self._word_starts(right)
+        # The last word of the left side may end in the cut: one more is taken with it.
+        i = int(before[-2]) if len(before) > 1 else 0
+        j = int(after[1]) if len(after) > 1 else len(right)
+        tail, head = left[i:], right[:j]
+        one, two = self.bytes_for(tail).decode(), self.bytes_for(head).decode()
+        text, cut = one + two, len(one)
+        out: list[int] = []
+        for m in self.pattern.finditer(text):
+            a, b = m.span()
+            data = m[0].encode()
+            mine = one[a:cut]
+            # Either part was one pre-token of its own side if the pattern takes it whole there.
+            if len(data) > LEAF and a < cut < b and self.pattern.match(one, a)[0] == mine and self.pattern.match(two)[0] == two[: b - cut]:
+                ids = self.join_merges(self._last_bytes(tail, len(mine.encode())), self._first_bytes(head, len(two[: b - cut].encode())))
+            else:
+                ids = self.encode_pretoken(data)
+            out += ids
+        return np.concatenate((left[:i], np.array(out, "<u4"), right[j:]))
+
+    def _last_bytes(self, ids: np.ndarray, n: int) -> list[int]:
+        """The last tokens, which are ``n`` bytes together."""
+        sizes = np.cumsum([len(self.bytes_of[i]) for i in ids[::-1].tolist()])
+        return ids[len(ids) - 1 - int(np.searchsorted(sizes, n)) :].tolist()
+
+    def _first_bytes(self, ids: np.ndarray, n: int) -> list[int]:
+        sizes = np.cumsum([len(self.bytes_of[i]) for i in ids.tolist()])
+        return ids[: int(np.searchsorted(sizes, n)) + 1].tolist()
+
+    def join_all(self, parts: list[np.ndarray]) -> np.ndarray:
         """Joins neighbours pairwise until one encoding is left."""
         while len(parts) > 1:
             parts = [self.join(*parts[k : k + 2]) if k + 1 < len(parts) else parts[k] for k in range(0, len(parts), 2)]
-        return parts[0] if parts else []
+        return parts[0] if parts else np.zeros(0, "<u4")
 
-    def encode_pretoken(self, data: bytes) -> list[int]:
-        if len(data) <= LEAF:
-            return self.encode_piece(data)
-        return self.join_all([self.encode_piece(x) for x in leaves(data)])
+    def encode_text(self, text: str) -> np.ndarray:
+        """A text without special tokens: a leaf, or its halves joined."""
+        if len(text) <= LEAF:
+            return np.array(self.words.encode_ordinary(text), "<u4")
+        half = len(text) // 2
+        return self.join(self.encode_text(text[:half]), self.encode_text(text[half:]))
 
     def sections(self, text: str) -> list[str]:
         """The text around special tokens and, between, the special tokens."""
         return self.split_special.split(text) if self.split_special else [text]
 
-    def encode(self, text: str) -> list[int]:
-        ids: list[int] = []
-        for k, part in enumerate(self.sections(text)):
-            if k % 2:
-                ids.append(self.special_ids[part])
-            elif not has_long_run(part):
-                ids += self.words.encode_ordinary(part)
-            else:
-                for m in self.pattern.finditer(part):
-                    ids += self.encode_pretoken(m[0].encode())
-        return ids
+    def encode(self, text: str) -> np.ndarray:
+        parts = [np.array([self.special_ids[x]], "<u4") if k % 2 else self.encode_text(x) for k, x in enumerate(self.sections(text))]
+        return np.concatenate(parts)
 
 
 def _alphabet() -> tuple[dict[int, str], dict[str, int]]:
@@ -156,60 +242,25 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def has_long_run(text: str) -> bool:
-    """True if some pre-token may have more than LEAF characters: runs of white space or of other
-    characters are at least as long as the pre-tokens in them."""
-    if len(text) <= LEAF:
-        return False
-    words = text.split()
-    longest = max(map(len, words), default=0)
-    blanks = len(text) - sum(map(len, words)) - max(0, len(words) - 1)
-    return longest > LEAF or blanks > LEAF
-
-
-def leaves(data: bytes) -> list[bytes]:
-    """Halves of halves of ``data``, none longer than LEAF."""
-    if len(data) <= LEAF:
-        return [data]
-    half = len(data) // 2
-    return leaves(data[:half]) + leaves(data[half:])
-
-
-def cut(vocab: Vocabulary, text: str) -> Iterator[tuple[int, str, bytes]]:
-    """``(stretch, kind, payload)`` rows of a long text, in order. Kinds: ``text`` to encode with the
-    pattern, ``leaf`` of the pre-token that its stretch numbers, ``ids`` as they are."""
-    stretch = 0
-    for k, part in enumerate(vocab.sections(text)):
-        if k % 2:
-            yield 0, "ids", np.array([vocab.special_ids[part]], "<u4").tobytes()
-            continue
-        at = 0
-        while len(part) - at > CHUNK:
-            found = LAST_SAFE_CUT.match(part, at, at + CHUNK)
-            if found:
-                yield 0, "text", part[at : found.end()].encode()
-                at = found.end()
-                continue
-            found = SAFE_CUT.search(part, at + CHUNK - 1)
-            end = found.end() if found else len(part)
-            ids: list[int] = []
-            # The end of a stretch is a safe cut, so its pre-tokens are those of the whole text.
-            for m in vocab.pattern.finditer(part, at, end):
-                data = m[0].encode()
-                if len(data) <= LEAF:
-                    ids += vocab.encode_piece(data)
-                    continue
-                if ids:
-                    yield 0, "ids", np.array(ids, "<u4").tobytes()
-                    ids = []
-                stretch += 1
-                for leaf in leaves(data):
-                    yield stretch, "leaf", leaf
-            if ids:
-                yield 0, "ids", np.array(ids, "<u4").tobytes()
-            at = end
-        if at < len(part):
-            yield 0, "text", part[at:].encode()
+def subtrees(text: str) -> Iterator[str]:
+    """Halves of halves of ``text``, none longer than CHUNK, in order."""
+    if len(text) <= CHUNK:
+        yield text
+        return
+    half = len(text) // 2
+    yield from subtrees(text[:half])
+    yield from subtrees(text[half:])
+
+
+def cut(vocab: Vocabulary, text: str) -> Iterator[tuple[int, bool, bytes]]:
+    """``(section, special, payload)`` rows of a long text, in order: text that one task encodes, or
+    the ids of a special token. Subtrees of one section are to be joined."""
+    for section, part in enumerate(vocab.sections(text)):
+        if section % 2:
+            yield section, True, np.array([vocab.special_ids[part]], "<u4").tobytes()
+        else:
+            for subtree in subtrees(part):
+                yield section, False, subtree.encode()
 
 
 def encode(
@@ -228,8 +279,8 @@ def encode(
 
     result = f"id {id_type}, ids binary" + ", text string" * decoded
 
-    def columns_of(v: Vocabulary, coded: list[list[int]]) -> dict[str, pa.Array]:
-        made = {"ids": pa.array([np.array(ids, "<u4").tobytes() for ids in coded], pa.binary())}
+    def columns_of(v: Vocabulary, coded: list[np.ndarray]) -> dict[str, pa.Array]:
+        made = {"ids": pa.array([ids.tobytes() for ids in coded], pa.binary())}
         if decoded:
             made["text"] = pa.array([v.text_for(ids) for ids in coded], pa.string())
         return made
@@ -241,22 +292,18 @@ def encode(
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(vocab)
-        schema = pa.schema([("row", pa.string()), ("seq", pa.int64()), ("stretch", pa.int64()), ("kind", pa.string()), ("payload", pa.binary())])
+        schema = pa.schema([("row", pa.string()), ("seq", pa.int64()), ("section", pa.int64()), ("special", pa.bool_()), ("payload", pa.binary())])
         for batch in batches:
             for id_, text_, row in zip(batch.column(0), batch.column(1), batch.column(2)):
                 out = [(row.as_py(), seq, *piece) for seq, piece in enumerate(cut(v, text_.as_py()))]
                 columns = [pa.array(c, f.type) for c, f in zip(zip(*out), schema)]
                 yield pa.RecordBatch.from_arrays([pa.array([id_.as_py()] * len(out), batch.column(0).type), *columns], names=["id", *schema.names])
 
-    def leaf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def subtree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(vocab)
         for batch in batches:
-            coded = []
-            for kind, payload in zip(batch.column("kind").to_pylist(), batch.column("payload").to_pylist()):
-                if kind != "ids":
-                    ids = v.encode(payload.decode()) if kind == "text" else v.encode_piece(payload)
-                    payload = np.array(ids, "<u4").tobytes()
-                coded.append(payload)
+            payloads = zip(batch.column("special").to_pylist(), batch.column("payload").to_pylist())
+            coded = [x if special else v.encode_text(x.decode()).tobytes() for special, x in payloads]
             yield batch.set_column(batch.schema.get_field_index("payload"), "payload", pa.array(coded, pa.binary()))
 
     def assemble(group: pa.Table) -> pa.Table:
@@ -264,23 +311,14 @@ def encode(
         group = group.sort_by("seq")
         copies = sum(x == 0 for x in group["seq"].to_pylist())
         group = group.take(pa.array(range(0, group.num_rows, copies)))
-        out: list[int] = []
-        parts: list[list[int]] = []
-        last = 0
-        for stretch, payload in zip(group["stretch"].to_pylist(), group["payload"].to_pylist()):
-            if stretch != last and parts:
-                out += v.join_all(parts)
-                parts = []
-            last, ids = stretch, np.frombuffer(payload, "<u4").tolist()
-            if stretch:
-                parts.append(ids)
-            else:
-                out += ids
-        out += v.join_all(parts)
+        sections: dict[int, list[np.ndarray]] = {}
+        for section, payload in zip(group["section"].to_pylist(), group["payload"]):
+            sections.setdefault(section, []).append(np.frombuffer(payload.as_buffer(), "<u4"))
+        out = np.concatenate([v.join_all(parts) for parts in sections.values()])
         return pa.table({"id": group["id"].take(pa.array([0] * copies)), **columns_of(v, [out] * copies)})
 
-    columns = f"id {id_type}, row string, seq bigint, stretch bigint, kind string, payload binary"
-    coded = long.mapInArrow(pieces, columns).repartition("row", "seq").mapInArrow(leaf, columns)
+    columns = f"id {id_type}, row string, seq bigint, section bigint, special boolean, payload binary"
+    coded = long.mapInArrow(pieces, columns).repartition("row", "seq").mapInArrow(subtree, columns)
     joined = coded.groupBy("id", "row").applyInArrow(assemble, result)
     return short.mapInArrow(whole, result).unionByName(joined)
 
@@ -293,7 +331,7 @@ def decode(encoded: DataFrame, vocab: str = "byte_bpe_50k.json") -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(vocab)
         for batch in batches:
-            texts = [v.text_for(np.frombuffer(x.as_py(), "<u4").tolist()) for x in batch.column(1)]
+            texts = [v.text_for(np.frombuffer(x.as_py(), "<u4")) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string())], names=["id", "ids", "text"])
 
     return encoded.select("id", "ids").mapInArrow(scan, f"id {id_type}, ids binary, text string")

@@ -47,36 +47,53 @@ def tiny(monkeypatch):
 
 
 def pieces_encoded(v, text):
-    out, parts, last = [], [], 0
-    for stretch, kind, payload in bpe.cut(v, text):
-        if stretch != last and parts:
-            out, parts = out + v.join_all(parts), []
-        last = stretch
-        ids = np.frombuffer(payload, "<u4").tolist() if kind == "ids" else v.encode(payload.decode()) if kind == "text" else v.encode_piece(payload)
-        if stretch:
-            parts.append(ids)
-        else:
-            out += ids
-    return out + v.join_all(parts)
-
-
-def test_tree_concatenation_is_exact(tiny):
-    rng = random.Random(2)
-    alphabets = ["ab", "etaoin shrdlu", "aé漢 \n", "'s l!l\"9 ", "   \n\t x", "\x1c\x85 a", "th<|endoftext|>"]
-    for k in range(400):
+    """What the tasks of a long text do, one after the other."""
+    sections = {}
+    for section, special, payload in bpe.cut(v, text):
+        sections.setdefault(section, []).append(np.frombuffer(payload, "<u4") if special else v.encode_text(payload.decode()))
+    return np.concatenate([v.join_all(x) for x in sections.values()]).tolist()
+
+
+@pytest.mark.parametrize("leaf,window", [(5, 1), (24, 2), (60, 8)])
+def test_tree_concatenation_is_exact(tiny, monkeypatch, leaf, window):
+    monkeypatch.setattr(bpe, "LEAF", leaf)
+    monkeypatch.setattr(bpe, "WINDOW", window)
+    rng = random.Random(leaf)
+    alphabets = ["ab", "etaoin shrdlu", "aé漢 \n", "'s l!l\"9 ", "   \n\t x", "\x1c\x85 a", "th<|endoftext|>", "re've 'll d", "a \u00a0\u3000b"]
+    for k in range(1500):
         alphabet = alphabets[k % len(alphabets)]
-        text = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 90)))
+        text = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 90 if k % 5 else 600)))
         if k % 9 == 0:
             text = text[:20] + "<|endoftext|>" + text[20:]
         want = LIBRARY.encode(text, add_special_tokens=False).ids
-        assert tiny.encode(text) == want and pieces_encoded(tiny, text) == want, repr(text)
+        assert tiny.encode(text).tolist() == want and pieces_encoded(tiny, text) == want, repr(text)
 
 
-def test_long_unsplit_text():
+@pytest.mark.parametrize("text", ["ab" * 40000, "x" + " " * 50000 + "y", "!?" * 30000 + "'s", "é" * 30000, "word " * 20000, "a" * 9000 + " b c " + "d" * 9000])
+def test_long_unsplit_text(text):
     v = bpe.vocabulary("byte_bpe_50k.json")
-    for text in ("ab" * 40000, "x" + " " * 50000 + "y", "!?" * 30000 + "'s", "é" * 30000):
-        want = LIBRARY.encode(text, add_special_tokens=False).ids
-        assert v.encode(text) == want and pieces_encoded(v, text) == want
+    want = LIBRARY.encode(text, add_special_tokens=False).ids
+    assert v.encode(text).tolist() == want and pieces_encoded(v, text) == want
+
+
+def test_texts_of_the_tables_are_joined(spark, small_dir, monkeypatch):
+    """Real joins: many, nearly all settled by a window, and none of them changes a token."""
+    v, count = bpe.vocabulary("byte_bpe_50k.json"), {"join": 0, "unsplit": 0}
+    join, unsplit = bpe.Vocabulary.join, bpe.Vocabulary._join_unsplit
+
+    def counted(name, f):
+        def run(*args):
+            count[name] += 1
+            return f(*args)
+
+        return run
+
+    monkeypatch.setattr(bpe.Vocabulary, "join", counted("join", join))
+    monkeypatch.setattr(bpe.Vocabulary, "_join_unsplit", counted("unsplit", unsplit))
+    texts = [x["text"] or "" for x in spark.read.parquet(f"{small_dir}/documents.parquet").select("text").collect()]
+    for text in texts:
+        assert v.encode(text).tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+    assert count["join"] > 50 and count["unsplit"] < count["join"] / 10
 
 
 # ---- quality ----------------------------------------------------------------------------------
