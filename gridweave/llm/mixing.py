@@ -16,8 +16,11 @@ repeats documents of small sources and drops none.
 
 Defined results: tokens are runs of characters other than ASCII white space; a null text has none. A
 null source is a source of its own. Documents without tokens cost nothing: they are placed in whole
-epochs, and once where their source has no tokens at all. Rows that repeat an id are placed one after
-the other. Empty input gives an empty result.
+epochs, and once where their source has no tokens at all. Rows that repeat an id, or have none, are
+placed one after the other; where the last epoch ends among rows of equal id, source and text, it takes
+as many rows as fit, all with the other columns of one of them. Equal hashes are ordered by id, tokens
+and a hash of the text. Empty input gives an empty result. Extra columns are carried along and may have
+any name. Texts are counted where they are read, whatever their length.
 """
 
 from __future__ import annotations
@@ -50,13 +53,14 @@ class Target:
 
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """``(id, source, mark, n_tokens)``: mark tells a null source from every string."""
-    source = F.col(f"`{source_col}`").cast("string")
+    """``(id, source, mark, n_tokens, text_hash)``: mark tells a null source from every string."""
+    source, text = F.col(f"`{source_col}`").cast("string"), F.col(f"`{text_col}`")
     return docs.select(
         F.col(f"`{id_col}`").alias("id"),
         source.alias("source"),
         _mark(source).alias("mark"),
-        F.coalesce(F.regexp_count(F.col(f"`{text_col}`"), F.lit(WORD)), F.lit(0)).cast("bigint").alias("n_tokens"),
+        F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint").alias("n_tokens"),
+        F.xxhash64(text).alias("text_hash"),
     )
 
 
@@ -136,7 +140,7 @@ def _small(sources: DataFrame) -> DataFrame:
 
 
 def placements(counts: DataFrame, sources: DataFrame, target: Target = Target()) -> DataFrame:
-    """One row for each placement: ``id, source, mark, n_tokens, epoch, block, at`` and ``mix_key``.
+    """One row for each placement: ``id, source, mark, n_tokens, text_hash, epoch, block, at`` and ``mix_key``.
 
     ``at`` is the token offset in the source's stream; sorting by ``mix_key`` interleaves the sources
     in proportion to their weights.
@@ -163,8 +167,8 @@ def placements(counts: DataFrame, sources: DataFrame, target: Target = Target())
         "mark", "block", "epoch", "whole", "part", "tokens", "budget",
         (F.col("group_at") + F.coalesce(F.sum("block_tokens").over(inside), F.lit(0))).alias("block_at"),
     )
-    each = docs.select("id", "source", "mark", "n_tokens", "block").join(placed, ["mark", "block"])
-    within = Window.partitionBy("mark", "block", "epoch").orderBy(F.xxhash64(seed, "epoch", "id"), "id", "n_tokens")
+    each = docs.select("id", "source", "mark", "n_tokens", "text_hash", "block").join(placed, ["mark", "block"])
+    within = Window.partitionBy("mark", "block", "epoch").orderBy(F.xxhash64(seed, "epoch", "id"), "id", "n_tokens", "text_hash")
     end = F.col("block_at") + F.sum("n_tokens").over(within.rowsBetween(Window.unboundedPreceding, 0))
     at = F.col("end") - F.col("n_tokens") + (F.col("epoch") - 1) * F.col("tokens")
     return (
@@ -172,7 +176,7 @@ def placements(counts: DataFrame, sources: DataFrame, target: Target = Target())
         .where((F.col("epoch") <= F.col("whole")) | ((F.col("end") <= F.col("part")) & (F.col("n_tokens") > 0)))
         .withColumn("at", at)
         .withColumn("mix_key", F.coalesce(F.try_divide(F.col("at").cast("double"), F.col("budget")), F.lit(0.0)))
-        .select("id", "source", "mark", "n_tokens", "epoch", "block", "at", "mix_key")
+        .select("id", "source", "mark", "n_tokens", "text_hash", "epoch", "block", "at", "mix_key")
     )
 
 
@@ -191,17 +195,21 @@ def mixed(docs: DataFrame, target: Target = Target(), id_col: str = "doc_id", te
         .select(F.explode(F.array_repeat("doc", F.col("whole"))).alias("doc"))
         .select("doc.*")
     )
-    last = placements(counts, sources.where("part > 0"), target).join(sources.select("mark", "whole"), "mark").where("epoch > whole")
-    once = materialise(last.where("id is not null").select("id").distinct(), "last-epoch")
+    last = placements(counts, sources.where("part > 0"), target).join(_small(sources.select("mark", "whole")), "mark").where("epoch > whole")
+    same = ["id", "mark", "text_hash"]
+    once = materialise(last.groupBy(*same).agg(F.count(F.lit(1)).cast("int").alias("times"), F.xxhash64(*same).alias("key")), "last-epoch")
     n = once.count()
     if not n:
         return repeated
-    bits, words = build_filter(once, "id", n)
-    key = F.col(f"`{id_col}`")
-    again = (
-        docs.where(key.isNotNull() & maybe(key, bits, words))
-        .select(F.struct("*").alias("doc"), key.alias("id"))
-        .join(once, "id", "left_semi")
-        .select("doc.*")
+    bits, words = build_filter(once, "key", n)
+    named = docs.select(
+        F.struct("*").alias("doc"),
+        F.col(f"`{id_col}`").alias("id"),
+        _mark(F.col(f"`{source_col}`").cast("string")).alias("mark"),
+        F.xxhash64(F.col(f"`{text_col}`")).alias("text_hash"),
     )
+    # Rows of equal id, source and text collapse before the shuffle.
+    found = named.where(maybe(F.xxhash64(*same), bits, words)).groupBy(*same).agg(F.first("doc").alias("doc")).alias("f")
+    equal = (F.col("f.mark") == F.col("o.mark")) & (F.col("f.text_hash") == F.col("o.text_hash")) & F.col("f.id").eqNullSafe(F.col("o.id"))
+    again = found.join(once.alias("o"), equal).select(F.explode(F.array_repeat("doc", F.col("times"))).alias("doc")).select("doc.*")
     return repeated.unionByName(again)

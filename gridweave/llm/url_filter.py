@@ -13,13 +13,15 @@ exact, and judging takes no join: the filters are broadcast.
 
 Levels are built with grouped ``bit_or`` aggregates; the driver sees filters and counts only. Level 1
 is sized from the numbers of listed keys and of keys in the universe, later levels pass half of the
-wrong keys. If the filters would exceed ``max_bytes``, keys are judged by a shuffled equi-join
-with the rules instead, with the same results.
+wrong keys. A task must hold the filters it asks. If they would exceed ``max_bytes``, which takes
+some 50 million listed keys that the corpus has, keys meet the rules in a shuffled equi-join
+instead, with the same results.
 
 Defined results: a null URL, or one without ``://``, has empty host and path; the empty host has one
 key for each path length, which only a rule of empty host could list. Of fitting rules the longest
-string wins, then the longer host. Without a fitting rule the verdict is ``allow``. Repeated rules count
-once; a rule listed under both verdicts is an error. Repeated rows are judged alike.
+string wins, then the longer host. URLs may have any length and number of labels. Without a fitting rule the verdict is ``allow``. Repeated rules count
+once; a rule listed under both verdicts is an error. Repeated rows are judged alike. Extra columns are
+carried in ``page`` and may have any name.
 """
 
 from __future__ import annotations
@@ -36,8 +38,8 @@ from pyspark.sql import functions as F
 from gridweave.llm.text import UPPER
 from gridweave.plans.staging import materialise
 
-#: Label counts and path lengths of rules are small numbers; a list with more kinds than this is refused.
-MAX_KINDS = 4096
+#: Pairs of label count and path length of rules up to which each has its own expression.
+UNROLLED_KINDS = 64
 
 
 def host_of(url: Column) -> Column:
@@ -68,6 +70,16 @@ def parse_rules(rules: DataFrame) -> DataFrame:
 def candidate_keys(host: Column, path: Column, kinds: list[tuple[int, int]]) -> Column:
     """Keys of one URL, for the ``(labels, path length)`` kinds of the rules; longest first."""
     labels = F.size(F.split(host, r"\."))
+    if len(kinds) > UNROLLED_KINDS:
+        parts = F.split(host, r"\.")
+        table = F.arrays_zip(F.lit([n for n, _ in kinds]).alias("n"), F.lit([reach for _, reach in kinds]).alias("reach"))
+        fits = F.filter(table, lambda k: (labels >= k["n"]) & (F.length(path) >= k["reach"]))
+
+        def named(k: Column) -> Column:
+            key = F.concat(F.array_join(F.slice(parts, -k["n"], k["n"]), "."), F.substring(path, F.lit(1), k["reach"]))
+            return F.struct(F.length(key).alias("size"), k["n"].alias("labels"), key.alias("key"))
+
+        return F.sort_array(F.transform(fits, named), asc=False)["key"]
     options = []
     for n, reach in kinds:
         key = F.concat(F.substring_index(host, ".", -n), F.substring(path, 1, reach))
@@ -185,9 +197,8 @@ def judge(
     """Two structs for each row: ``page``, the row itself, and ``judged(host, path, rule, verdict)``."""
     spark = pages.sparkSession
     listed = materialise(parse_rules(rules), "rules")
-    kinds = [(r["labels"], r["reach"]) for r in listed.select("labels", "reach").distinct().limit(MAX_KINDS + 1).collect()]
-    if len(kinds) > MAX_KINDS:
-        raise ValueError(f"rules have more than {MAX_KINDS} kinds of label count and path length")
+    # At most the labels of a host times the lengths of a path, however many rules there are.
+    kinds = sorted((r["labels"], r["reach"]) for r in listed.select("labels", "reach").distinct().collect())
     if not listed.groupBy("rule").agg(F.count_distinct("verdict").alias("n")).where("n > 1").isEmpty():
         raise ValueError("a rule is listed under two verdicts")
     # Copies of a verdict's name are few: block and allow, or as many as the caller uses.

@@ -71,16 +71,42 @@ def test_mix(spark, monkeypatch, target):
         assert len({(p["id"], p["source"]) for p in placed}) == len({(r[0], r[3]) for r in rows})
 
 
-def test_mixed_rows_are_the_placements(spark):
+@pytest.mark.parametrize("target", [mixing.Target(max_repetition=2.5, block_tokens=64), mixing.Target(None, None, 700, 64), mixing.Target(3.0, None, 5000, 64)])
+def test_mixed_rows_are_the_placements(spark, target):
+    """Null and repeated ids, one id in two sources, and ties included."""
     rows = documents()
-    target = mixing.Target(max_repetition=2.5, block_tokens=64)
-    docs, _, placed = mix(spark, [r for r in rows if r[0] is not None and r[0] != 101], target)
+    again = rows[0][:3] + ("src2",) + rows[0][4:]
+    rows += [again] + [rows[5]] * 5 + [(None, "the same words", "en", "src1", *rows[0][4:])] * 6
+    docs, _, placed = mix(spark, rows, target)
     made = mixing.mixed(docs, target)
     assert made.schema == docs.schema
-    want = {}
+    got, want = {}, {}
+    for x in made.collect():
+        name = (x["doc_id"], x["source"], len((x["text"] or "").split()))
+        got[name] = got.get(name, 0) + 1
     for p in placed:
-        want[p["id"]] = want.get(p["id"], 0) + 1
-    assert {x["doc_id"]: x["count"] for x in made.groupBy("doc_id").count().collect()} == want
+        name = (p["id"], p["source"], p["n_tokens"])
+        want[name] = want.get(name, 0) + 1
+    assert got == want and (target.budget_tokens != 700 or any(i is None for i, *_ in want))
+
+
+def whole_epochs(rows, sources, target):
+    """Placements and tokens of each source's whole epochs, from the weights and plain sums."""
+    out = {}
+    for s in sources:
+        mine = [len((r[1] or "").split()) for r in rows if r[3] == s["source"]]
+        times = math.floor(s["weight"] * target.budget_tokens + 1e-6) // sum(mine) if sum(mine) else 1
+        out[s["source"]] = (times * len(mine), times * sum(mine))
+    return out
+
+
+def test_whole_epochs(spark):
+    rows, target = documents(), mixing.Target(3.0, None, 5000, 64)
+    _, sources, placed = mix(spark, rows, target)
+    for source, (n, tokens) in whole_epochs(rows, sources, target).items():
+        whole = next(s["whole"] for s in sources if s["source"] == source)
+        mine = [p for p in placed if p["source"] == source and p["epoch"] <= whole]
+        assert len(mine) == n and sum(p["n_tokens"] for p in mine) == tokens
 
 
 def test_mix_without_rows(spark):
@@ -129,6 +155,13 @@ def test_rules(spark, max_bytes):
     assert sorted(map(tuple, got), key=key) == sorted(((k, *brute_verdict(u, RULES)) for k, u, *_ in rows), key=key)
 
 
+def test_rules_of_many_kinds(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "UNROLLED_KINDS", 3)
+    rows = list(enumerate(urls()))
+    got = url_filter.judge(spark.createDataFrame(rows, "page_id long, url string"), url_filter.rule_table(spark, RULES)).select("page.page_id", "judged.*").collect()
+    assert sorted(map(tuple, got), key=key) == sorted(((k, *brute_verdict(u, RULES)) for k, u in rows), key=key)
+
+
 def test_cascade_is_exact_over_its_universe(spark):
     universe = spark.range(3000).select(F.concat(F.lit("k"), "id").alias("key"))
     listed = universe.where(F.xxhash64("key") % 9 == 0)
