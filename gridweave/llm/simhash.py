@@ -57,10 +57,19 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
     counts, digest = np.zeros(BITS, dtype=np.int64), xxhash.xxh64_intdigest
     for at in range(0, len(starts), COUNT_BLOCK):
         part = zip(starts[at : at + COUNT_BLOCK].tolist(), ends[at : at + COUNT_BLOCK].tolist())
-        hashes = np.array([digest(joined[a:b], SEED) for a, b in part], dtype="<u8")
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts += bits.sum(axis=0, dtype=np.int32)
-    return int(np.packbits(counts * 2 > len(starts), bitorder="little").view("<u8")[0])
+        counts += bit_counts(np.array([digest(joined[a:b], SEED) for a, b in part], dtype="<u8"))
+    return majority(counts, len(starts))
+
+
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many of the 64-bit hashes set each bit."""
+    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return bits.sum(axis=0, dtype=np.int64)
+
+
+def majority(counts: np.ndarray, n: int) -> int:
+    """The bits that more than half of ``n`` hashes set."""
+    return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:

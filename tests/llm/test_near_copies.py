@@ -75,3 +75,18 @@ def test_shingles_and_jaccard(n):
     other = body + " one more"
     mine, theirs = near_copies.shingles(body.encode()), near_copies.shingles(other.encode())
     assert len(mine) == len(sets(body)) and near_copies.jaccard(mine, theirs) == similarity(body, other)
+
+
+def test_covering_tables_propose_and_the_check_decides(spark):
+    rng = random.Random(7)
+    body = text(rng, 400)
+    rows = [row(1, body), row(2, body + " end"), row(3, text(rng, 400)), row(4, "a b"), row(5, "A  b")]
+    docs = frame(spark, rows)
+    named = near_copies.signatures(docs, "doc_id", "text", 5)
+    ids = {x["node"]: x["id"] for x in named.collect()}
+    edges = near_copies.simhash_links(named.select("node", "fp"), docs, "text", 5, 0.8).collect()
+    assert {frozenset((ids[x["u"]], ids[x["v"]])) for x in edges} == {frozenset((1, 2)), frozenset((4, 5))}
+    fps = {x["id"]: x["fp"] for x in named.collect()}
+    for i, a, *_ in rows:
+        hashes = near_copies.shingle_hashes(a.encode()).tolist()
+        assert fps[i] % (1 << 64) == sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes))
