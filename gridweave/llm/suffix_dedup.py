@@ -52,7 +52,7 @@ from gridweave.operators.membership import build_filter, maybe
 from gridweave.plans.staging import materialise, new_table
 
 LENGTH = 200
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 #: Bytes of texts whose blocks make one bucket of the table of blocks, so one task.
 TABLE_BUCKET_BYTES = 32 << 20
 #: Expected samples, and most suffixes and strings, of a bucket.
@@ -113,11 +113,15 @@ class Block:
 
     def measure(self) -> None:
         n = len(self.data)
-        self.offset = np.arange(n, dtype=np.int32) - np.repeat(self.starts, self.sizes).astype(np.int32)
-        self.left = np.repeat(self.sizes, self.sizes).astype(np.int32) - self.offset
+        self.offset = np.arange(n, dtype=np.int32)
+        self.offset -= np.repeat(self.starts.astype(np.int32), self.sizes)
+        self.left = np.repeat(self.sizes.astype(np.int32), self.sizes)
+        self.left -= self.offset
         powers, self.inverse = _powers(((n >> 18) + 1) << 18)
         self.sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(BYTE_WORDS[self.data] * powers[:n], out=self.sums[1:])
+        BYTE_WORDS.take(self.data, out=self.sums[1:])
+        self.sums[1:] *= powers[:n]
+        np.cumsum(self.sums[1:], out=self.sums[1:])
 
     def names(self, places: np.ndarray, length: int) -> np.ndarray:
         """A 64-bit name of the ``length`` bytes from each place."""
@@ -385,12 +389,18 @@ def _masks(group: pa.Table, sizes: list[int], mask: np.ndarray, more: np.ndarray
     )
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """Rows of a batch, one at a time."""
+    for k in range(batch.num_rows):
+        yield {name: column[k].as_py() for name, column in zip(batch.schema.names, batch.columns)}
+
+
 def _round(blocks: DataFrame, send, answered: list[str], answer, name: str, n_tasks: int) -> DataFrame:
     """``blocks`` with one more column of answers, ``name``; buckets are dealt over ``n_tasks`` tasks."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 sent = list(send(Block(row["payload"], row["sizes"]), row["block"], *[row[x] for x in answered]))
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -414,7 +424,7 @@ def _settle(blocks: DataFrame, job: Job, id_type: str) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             id_kind = batch.column(0).type.value_type
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 block = Block(row["payload"], row["sizes"])
                 gone = job.removed(block, row["answers"])
                 out: list[list] = [[], [], [], [], []]
@@ -437,7 +447,7 @@ def _settle_parts(blocks: DataFrame, job: Job, id_type: str) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             id_kind = batch.column(2).type.value_type
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 block = Block(row["payload"], row["sizes"])
                 starts, ends = _spans(job.removed(block, row["answers"]))
                 columns = [
