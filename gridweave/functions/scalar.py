@@ -135,3 +135,81 @@ def power_of_two_at_least(x: Column) -> Column:
 def short_digest(x: Column, length: int = 5) -> Column:
     """Last characters of the MD5 of a value's JSON or text."""
     return F.right(F.md5(x.cast("binary")), F.lit(length))
+
+
+def clamp_density(density: Column, is_collection: Column, least: float = 0.05) -> Column:
+    """Densities below ``least`` are drawn at it, but for matrices of the general collection."""
+    return F.when(~is_collection & (density < least), F.lit(least)).otherwise(density)
+
+
+def sparsity_range(sparsity: Column, edges: Sequence[float] = (0.7, 0.9, 0.95, 1.0)) -> Column:
+    """Number of the left-closed range; 1 counts to the last range. Below the first edge is an error."""
+    found = bucket_left(F.least(sparsity, F.lit(0.9999999999)), edges)
+    return F.when(sparsity.isNull() | found.isNotNull(), found).otherwise(F.raise_error(F.concat(F.lit("no range for sparsity "), sparsity.cast("string"))).cast("int"))
+
+
+def is_tuned(tuning: Column) -> Column:
+    """Whether a run was a step of a search: its text lists alternatives. Null is none."""
+    return F.coalesce(F.contains(tuning, F.lit("|")), F.lit(False))
+
+
+def is_saved(tuning: Column) -> Column:
+    """Whether a run took a stored configuration; a null text counts as one."""
+    return F.coalesce(F.contains(tuning, F.lit("saved result")), F.lit(True))
+
+
+def pad_numbers(text: Column) -> Column:
+    """A space before each number between underscores, so that names sort by it."""
+    return F.regexp_replace(text, r"_(\d+)(?=_)", r"_ $1")
+
+
+def combinations(n: Column, k: Column) -> Column:
+    """Binomial coefficient as a product of ``k`` exact ratios."""
+    steps = F.sequence(F.lit(1), F.least(k, n - k))
+    product = F.aggregate(steps, F.lit(1).cast("bigint"), lambda acc, i: F.try_divide(acc * (n - F.least(k, n - k) + i), i).cast("bigint"))
+    return F.when((k < 0) | (k > n), F.lit(0).cast("bigint")).when(F.least(k, n - k) == 0, F.lit(1).cast("bigint")).otherwise(product)
+
+
+def counter_ratios(c: Mapping[str, Column]) -> dict[str, Column]:
+    """Shares from counters: hits of the instruction cache and of the second level, and missed branches."""
+    return {
+        "l1i_ratio": F.try_divide((c["l1i_accesses"] - c["l1i_misses"]).cast("double"), c["l1i_accesses"]),
+        "l2_ratio": F.try_divide((c["l1_misses"] - c["l2_misses"]).cast("double"), c["l1_misses"]),
+        "branch_miss_ratio": F.try_divide(c["branch_misses"].cast("double"), c["branches"]),
+    }
+
+
+def loads_per_fma(loads: Column, single: Column, sse: Column, avx: Column, avx_wide: Column) -> Column:
+    """Loads for each multiply-add instruction, which counters count as two."""
+    return F.try_divide(loads.cast("double"), (single + sse + avx + avx_wide) / 2)
+
+
+def nested(document: Column, path: str) -> Column:
+    """Value at a dotted path of a JSON text; null if there is none."""
+    return F.get_json_object(document, "$." + path)
+
+
+def renamed(x: Column, names: Mapping[str, str]) -> Column:
+    """A value's entry in a dictionary; null if it has none."""
+    pairs = [F.lit(y) for pair in names.items() for y in pair]
+    return F.try_element_at(F.create_map(*pairs), x)
+
+
+def tiled_storage_share(recorded: Column, m: Column, k: Column, m_tile: Column, k_tile: Column) -> Column:
+    """Storage of the tiled form as a share of the dense matrix. Records hold eight bytes for a number
+    and 192 bytes of alignment and 40 of flags for each panel that are not needed; eight are."""
+    panels = F.ceil(m / m_tile) * F.ceil(k / k_tile)
+    return ((recorded - panels * 192 - panels * 40 + panels) / 2 + panels * 8) / (m * k * 4)
+
+
+def adler32(text: Column) -> Column:
+    """Checksum of the bytes of a text: two sums modulo 65521."""
+    bytes_ = F.transform(F.sequence(F.lit(1), F.octet_length(text)), lambda i: F.conv(F.hex(F.substring(text.cast("binary"), i, F.lit(1))), 16, 10).cast("bigint"))
+    start = F.struct(F.lit(1).cast("bigint").alias("a"), F.lit(0).cast("bigint").alias("b"))
+
+    def step(acc: Column, byte: Column) -> Column:
+        a = F.pmod(acc["a"] + byte, F.lit(65521))
+        return F.struct(a.alias("a"), F.pmod(acc["b"] + a, F.lit(65521)).alias("b"))
+
+    sums = F.aggregate(bytes_, start, step, lambda acc: acc["b"] * 65536 + acc["a"])
+    return F.when(F.octet_length(text) == 0, F.lit(1).cast("bigint")).otherwise(sums)

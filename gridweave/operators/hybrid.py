@@ -60,3 +60,46 @@ def hybrid_record(stats: DataFrame, height: int, width: int, thresholds: Sequenc
         F.sum(F.when(dense, F.lit(volume) - F.col("nnz")).otherwise(0)).alias("padding"),
         (F.sum(F.when(dense, F.col("nnz")).otherwise(0)) / F.sum("nnz")).alias("dense_ratio"),
     )
+
+
+def hybrid_records(stats: DataFrame, sizes: DataFrame, height: int, width: int, thresholds: Sequence[float], times: DataFrame) -> DataFrame:
+    """One record for each matrix, density threshold and row of ``times``: counts of the split beside the
+    measured times, and the speed-up of the best hybrid form over the dense product.
+
+    ``stats(matrix_id, nnz)`` has the non-empty tiles, ``sizes(matrix_id, m, k)`` the matrices, and
+    ``times(matrix_id, threshold, b_cols, spmm, gemm, sparse_<form>, dense_<form>)`` the measurements of
+    the forms ``blocked``, ``sep`` and ``full``; the hybrid time of a form is the sum of its two parts.
+    """
+    volume = height * width
+    each = stats.select("matrix_id", "nnz", F.explode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("threshold"))
+    dense = F.col("nnz") > F.col("threshold") * volume
+    split = each.groupBy("matrix_id", "threshold").agg(
+        F.sum("nnz").alias("nnz"),
+        F.count(F.lit(1)).alias("filled"),
+        F.sum(F.when(dense, F.lit(volume) - F.col("nnz")).otherwise(0)).alias("padding"),
+        F.sum(F.when(dense, F.col("nnz")).otherwise(0)).alias("dense_nnz"),
+        F.count_if(dense).alias("dense_tiles"),
+        F.min("nnz").alias("least"),
+        F.max("nnz").alias("most"),
+    )
+    tiles = F.ceil(F.col("m") / height) * F.ceil(F.col("k") / width)
+    record = split.join(sizes, "matrix_id").select(
+        "matrix_id", "m", "k", "nnz", "threshold", "padding", "dense_tiles",
+        F.lit(f"{height}x{width}").alias("tile_shape"),
+        F.lit(volume).alias("tile_vol"),
+        F.when(F.col("filled") < tiles, F.lit(0.0)).otherwise(F.col("least") / volume).alias("tile_nnz_pct_min"),
+        (F.col("most") / volume).alias("tile_nnz_pct_max"),
+        (F.col("nnz") / volume / tiles).alias("tile_nnz_pct_mean"),
+        (F.col("dense_nnz") / F.col("nnz")).alias("dense_ratio"),
+    )
+    made = record.join(times, ["matrix_id", "threshold"])
+    forms = ("blocked", "sep", "full")
+    for form in forms:
+        made = made.withColumn(f"total_{form}", F.col(f"sparse_{form}") + F.col(f"dense_{form}"))
+    return made.withColumn("speedup", F.greatest(*[F.try_divide("gemm", f"total_{form}") for form in forms]))
+
+
+def best_records(records: DataFrame) -> DataFrame:
+    """The record of the largest speed-up for each matrix and width of B; ties to the smaller threshold."""
+    order = Window.partitionBy("matrix_id", "b_cols").orderBy(F.desc("speedup"), "threshold")
+    return records.withColumn("_place", F.row_number().over(order)).where("_place = 1").drop("_place")

@@ -73,15 +73,39 @@ def random_matrix(spark, m: int, k: int, sparsity: float, seed: int = 0) -> Data
     return place.where(share < 1 - sparsity).select(F.floor(F.col("id") / k).alias("i"), (F.col("id") % k).alias("j"), value.alias("v"))
 
 
-def codelet_matrix(spark, codes: Sequence[tuple[int, float]], height: int, width: int) -> DataFrame:
-    """A synthetic panel: each code fills ``max(floor(p * width), 1)`` columns, the last code the rest.
+def codelet_widths(codes: Sequence[tuple[int, float]], width: int) -> list[tuple[int, int]]:
+    """``(code, columns)`` of a panel of ``width`` columns: ``max(floor(p * width), 1)`` each, without the
+    empty code; what is missing or over is dealt one by one in the order of the codes, and no code goes
+    below one column."""
+    share = [[code, max(int(p * width), 1)] for code, p in codes if code]
+    if len(share) > width:
+        raise ValueError("there are more codes than columns")
+    over = sum(n for _, n in share) - width
+    while over:
+        for entry in share:
+            if over < 0:
+                entry[1], over = entry[1] + 1, over + 1
+            elif over > 0 and entry[1] > 1:
+                entry[1], over = entry[1] - 1, over - 1
+    return [(code, n) for code, n in share]
+
 
-    ``codes`` are ``(bit pattern, probability)``; bit 0 is the first row.
-    """
-    share = [max(int(p * width), 1) for _, p in codes]
-    share[-1] += max(0, width - sum(share))
-    runs = [(code, sum(share[:n]), sum(share[: n + 1])) for n, (code, _) in enumerate(codes)]
+def codelet_matrix(spark, codes: Sequence[tuple[int, float]], height: int, width: int) -> DataFrame:
+    """A synthetic panel of codes ``(bit pattern, probability)``, side by side in their order; bit 0 is
+    the first row. At most ``2 ** height`` codes, whose widths are dealt on the driver."""
+    share = codelet_widths(codes, width)
+    runs = [(code, sum(n for _, n in share[:at]), sum(n for _, n in share[: at + 1])) for at, (code, _) in enumerate(share)]
     panel = spark.createDataFrame(runs, "code long, first long, stop long")
-    column = panel.select("code", F.explode(F.sequence("first", F.col("stop") - 1)).alias("j")).where(F.col("j") < width)
+    column = panel.select("code", F.explode(F.sequence("first", F.col("stop") - 1)).alias("j"))
     rows = F.filter(F.sequence(F.lit(0), F.lit(height - 1)), lambda b: F.getbit("code", b) == 1)
     return column.select(F.explode(rows).alias("i"), "j").select(F.col("i").cast("long").alias("i"), "j", F.lit(1.0).alias("v"))
+
+
+def ones_panel(spark, nnz: int, cols: int) -> DataFrame:
+    """A synthetic panel of ``cols`` columns whose first ``nnz`` rows are set."""
+    return spark.range(cols).select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nnz - 1).cast("long"))).alias("i"), F.col("id").alias("j"), F.lit(1.0).alias("v"))
+
+
+def by_value(nz: DataFrame) -> DataFrame:
+    """Entries by ascending value, ties by place."""
+    return nz.orderBy("v", "i", "j")

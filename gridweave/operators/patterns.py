@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Constants of the subset cost (fixed values): check, base and entry cost.
 N_CHECK, N_BASE, N_ENTRY = 2.0, 1.15, 0.2
+#: Most groups that pair costs are made for: patterns of eight rows.
+MOST_GROUPS = 256
 
 
 def codes(nz: DataFrame, height: int) -> DataFrame:
@@ -121,6 +123,134 @@ def greedy_mapping(spark: SparkSession, height: int, kernels: Sequence[int], spl
     return spark.createDataFrame(rows, "pattern int, kernels array<int>")
 
 
+def _cheapest_merge(pattern: Column, taken: Column, merges: Sequence[int], split_cost: float, merge_cost: float) -> Column:
+    """``(cost, at, kernel)`` of the merge kernel of the lowest cost among those that meet nothing in
+    ``taken``; ties go to the first listed. Null if there is none."""
+    options = []
+    for at, kernel in enumerate(merges):
+        k = F.lit(kernel)
+        missed = F.bit_count(pattern.bitwiseAND(F.bitwise_not(k)))
+        padded = F.bit_count(k.bitwiseAND(F.bitwise_not(pattern)))
+        cost = (F.lit(split_cost) * missed + F.lit(merge_cost) * padded).alias("cost")
+        options.append(F.when(k.bitwiseAND(taken) == 0, F.struct(cost, F.lit(at).alias("at"), k.alias("kernel"))))
+    return F.array_min(F.array_compact(F.array(*options)))
+
+
+def single_bits(pattern: Column, height: int) -> Column:
+    return F.transform(rows_of(pattern, height), lambda b: F.call_function("shiftleft", F.lit(1), b))
+
+
+def merge_split_mapping(
+    spark: SparkSession, height: int, merges: Sequence[int], split_cost: float = 1.1, merge_cost: float = 1.0, min_merge: int = 2, recursive: bool = False
+) -> DataFrame:
+    """``(pattern, kernels)`` for every pattern of a panel: one merge kernel, the cheapest by ``split_cost``
+    for each entry that it leaves and ``merge_cost`` for each zero that it pads; what it leaves becomes
+    kernels of one bit or, with ``recursive``, is mapped again by merge kernels that meet none chosen.
+    Patterns of fewer than ``min_merge`` entries are their own kernel; so is the empty one.
+    """
+    state = all_patterns(spark, height).select(
+        "pattern", F.col("pattern").alias("left"), F.lit(0).alias("taken"), F.array().cast("array<int>").alias("kernels"), F.lit(False).alias("done")
+    )
+    for step in range(len(merges) if recursive else 1):
+        few = F.bit_count("left") < min_merge
+        own = (F.col("left") == 0) | few if step == 0 else (F.col("left") > 0) & few
+        best = _cheapest_merge(F.col("left"), F.col("taken"), merges, split_cost, merge_cost)["kernel"]
+        state = state.withColumn("best", F.when(~F.col("done") & ~few & (F.col("left") > 0), best))
+        grown = F.when(~F.col("done") & own, F.array_append("kernels", F.col("left"))).when(F.col("best").isNotNull(), F.array_append("kernels", F.col("best"))).otherwise(F.col("kernels"))
+        rest = F.when(F.col("best").isNotNull(), F.col("left").bitwiseAND(F.bitwise_not("best"))).when(own, F.lit(0)).otherwise(F.col("left"))
+        state = state.select(
+            "pattern",
+            rest.alias("left"),
+            F.col("taken").bitwiseOR(F.coalesce("best", F.lit(0))).alias("taken"),
+            grown.alias("kernels"),
+            (F.col("done") | own | (rest == 0)).alias("done"),
+        )
+    return state.select("pattern", F.concat("kernels", single_bits(F.col("left"), height)).alias("kernels"))
+
+
+def elements(spark: SparkSession, height: int) -> DataFrame:
+    """``(pattern, nnz, row)``: the set Q of non-empty patterns and, one row each, the set R of pairs of
+    a pattern and a row that it has."""
+    every = all_patterns(spark, height).where("pattern > 0")
+    return every.select("pattern", F.bit_count("pattern").alias("nnz"), F.explode(rows_of(F.col("pattern"), height)).alias("row"))
+
+
+def merge_subsets(spark: SparkSession, items: Sequence[int]) -> DataFrame:
+    """``(mask, members, union)`` for every non-empty subset of patterns, one row each: for the 15
+    patterns of four rows, 2^15 - 1 candidates of a cover."""
+    members = F.filter(F.lit(list(items)), lambda x, at: F.call_function("shiftright", F.col("mask"), at).bitwiseAND(F.lit(1)) == 1)
+    rows = spark.range(1, 1 << len(items)).select(F.col("id").cast("int").alias("mask"))
+    return rows.select("mask", members.alias("members")).select("mask", "members", _union(F.col("members")).alias("union"))
+
+
+def _union(members: Column) -> Column:
+    return F.aggregate(members, F.lit(0), lambda x, y: x.bitwiseOR(y))
+
+
+#: Offsets of the neighbours whose subsets a pattern is joined with, by the least number of patterns
+#: (fixed values).
+OVERLAP_WINDOWS = {255: [list(range(1, 8)), list(range(1, 32, 4))], 63: [list(range(1, 15))], 15: [list(range(1, 16))]}
+
+
+def overlap_subsets(spark: SparkSession, height: int) -> DataFrame:
+    """``(first, with_first, members, union)``: a smaller family of candidates for a cover. Patterns are
+    ordered by entries and value, both descending; each is joined with the subsets of the patterns
+    near it, which are candidates without it too. From 255 patterns on, runs from a pattern to each later
+    one are candidates as well. The set of all patterns comes last.
+    """
+    items = sorted(range(1, 1 << height), key=lambda x: (x.bit_count(), x), reverse=True)
+    n = len(items)
+    order = F.lit(items)
+    first = spark.range(n).select(F.col("id").cast("int").alias("first"))
+    parts = [first.where("first = 0").select(F.lit(None).cast("int").alias("first"), F.lit(True).alias("with_first"), order.alias("members"))]
+    for offsets in next((w for least, w in OVERLAP_WINDOWS.items() if n >= least), []):
+        near = F.filter(F.transform(F.lit(offsets), lambda o: F.col("first") + o), lambda x: x < n)
+        masks = F.sequence(F.lit(1), F.call_function("shiftleft", F.lit(1), F.size("near")) - 1)
+        chosen = F.filter("near", lambda x, at: F.call_function("shiftright", F.col("mask"), at).bitwiseAND(F.lit(1)) == 1)
+        picks = first.select("first", near.alias("near")).where(F.size("near") > 0).select("first", "near", F.explode(masks).alias("mask"))
+        picks = picks.select("first", F.explode(F.array(F.lit(False), F.lit(True))).alias("with_first"), F.transform(chosen, lambda x: F.get(order, x)).alias("members"))
+        own = F.when(F.col("with_first"), F.array_append("members", F.get(order, F.col("first")))).otherwise(F.col("members"))
+        parts.append(picks.select("first", "with_first", own.alias("members")))
+    if n >= 255:
+        suffix = first.select("first", F.lit(True).alias("with_first"), F.slice(order, F.col("first") + 1, F.lit(n)).alias("members"))
+        stops = F.sequence(F.col("first") + 8, F.lit(n - 1))
+        runs = first.where(F.col("first") + 8 < n).select("first", F.explode(stops).alias("stop"))
+        runs = runs.select("first", F.lit(True).alias("with_first"), F.slice(order, F.col("first") + 1, F.col("stop") - F.col("first")).alias("members"))
+        parts += [suffix, runs]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.withColumn("union", _union(F.col("members")))
+
+
+def alternative_costs(subsets: DataFrame, shares: DataFrame, entry: float = 1.0, base: float = 2.0) -> DataFrame:
+    """Cost of each ``subsets(subset_id, pattern)`` by rows: the share of its distinct patterns is the
+    width of the merged group, and each column costs ``base`` and an entry for each row of the union."""
+    summed = subsets.distinct().join(shares, "pattern").groupBy("subset_id").agg(F.bit_or("pattern").alias("union"), F.sum("share").alias("share"))
+    return summed.select("subset_id", "union", (F.bit_count("union") * F.col("share") * entry + F.col("share") * base).alias("cost"))
+
+
+def consecutive_groups(nz: DataFrame, height: int) -> DataFrame:
+    """``(p, pattern, first_j, cols, nnz)``: runs of neighbouring non-empty columns of a panel that have
+    the same pattern, merged into one group."""
+    order = Window.partitionBy("p").orderBy("j")
+    change = F.coalesce((F.col("pattern") != F.lag("pattern").over(order)).cast("int"), F.lit(1))
+    runs = codes(nz, height).withColumn("new", change).withColumn("run", F.sum("new").over(order))
+    merged = runs.groupBy("p", "run", "pattern").agg(F.min("j").alias("first_j"), F.count(F.lit(1)).alias("cols"))
+    return merged.select("p", "pattern", "first_j", "cols", (F.col("cols") * F.bit_count("pattern")).alias("nnz"))
+
+
+def keyed_counts(nz: DataFrame, shapes: DataFrame, heights: Sequence[int]) -> DataFrame:
+    """``(m_r, sparsity, pattern, cnt)`` over many matrices: ``nz(matrix_id, i, j)`` and their sizes
+    ``shapes(matrix_id, m, k)``; non-empty patterns, by panel height and sparsity in hundredths."""
+    counts = nz.groupBy("matrix_id").agg(F.count(F.lit(1)).alias("n")).join(shapes, "matrix_id")
+    keyed = counts.select("matrix_id", F.bround(1 - F.col("n") / (F.col("m") * F.col("k")), 2).alias("sparsity"))
+    each = nz.select("matrix_id", "i", "j", F.explode(F.lit(list(heights))).alias("m_r"))
+    bit = F.call_function("shiftleft", F.lit(1), (F.col("i") % F.col("m_r")).cast("int"))
+    found = each.groupBy("matrix_id", "m_r", F.floor(F.col("i") / F.col("m_r")).alias("p"), "j").agg(F.bit_or(bit).alias("pattern"))
+    return found.groupBy("matrix_id", "m_r", "pattern").agg(F.count(F.lit(1)).alias("cnt")).join(keyed, "matrix_id").groupBy("m_r", "sparsity", "pattern").agg(F.sum("cnt").alias("cnt"))
+
+
 def kernel_counts(nz: DataFrame, mapping: DataFrame, height: int) -> DataFrame:
     """``(kernel, instances, nnz, padding)``: uses of each kernel over all panel columns."""
     met = codes(nz, height).groupBy("pattern").agg(F.count(F.lit(1)).alias("cnt")).join(mapping, "pattern")
@@ -240,13 +370,18 @@ def greedy_cover(universe: int, sets: Sequence[tuple[int, float]]) -> tuple[list
 
 def group_pair_costs(groups: DataFrame) -> DataFrame:
     """``(a, b, padding)`` for each pair ``a <= b`` of ``groups(group_id, pattern, cnt)``: zeros padded
-    when both take the union of their patterns. Groups are at most the patterns of a panel.
+    when both take the union of their patterns.
+
+    Each group meets its partners by number, so no condition but an equality joins them: groups are the
+    patterns of a panel, at most ``2 ** height`` rows, and their numbers are below ``MOST_GROUPS``.
     """
-    left = groups.select(F.col("group_id").alias("a"), F.col("pattern").alias("pa"), F.col("cnt").alias("ca"))
+    numbers = F.sequence(F.col("group_id"), groups.agg(F.max("group_id")).scalar())
+    bounded = F.when(F.col("group_id") < MOST_GROUPS, numbers).otherwise(F.raise_error(F.lit("too many groups for pairs")).cast("array<int>"))
+    left = groups.select(F.col("group_id").alias("a"), F.col("pattern").alias("pa"), F.col("cnt").alias("ca"), F.explode(bounded).alias("b"))
     right = groups.select(F.col("group_id").alias("b"), F.col("pattern").alias("pb"), F.col("cnt").alias("cb"))
     union = F.bit_count(F.col("pa").bitwiseOR(F.col("pb")))
     padding = F.col("ca") * (union - F.bit_count("pa")) + F.col("cb") * (union - F.bit_count("pb"))
-    return left.join(F.broadcast(right), F.col("a") <= F.col("b")).select("a", "b", F.when(F.col("a") == F.col("b"), 0).otherwise(padding).alias("padding"))
+    return left.join(right, "b").select("a", "b", F.when(F.col("a") == F.col("b"), 0).otherwise(padding).alias("padding"))
 
 
 def greedy_matching(pairs: Sequence[tuple[int, int, float]]) -> list[tuple[int, int]]:

@@ -142,12 +142,21 @@ def heuristic_lookup(queries: DataFrame, heuristic: DataFrame) -> DataFrame:
     """``queries(id, s, n)`` against ``heuristic(lo, hi, n, methods)``: the range ``lo < s <= hi``, and
     of its rows the largest ``n`` that is no larger; null methods if there is none.
 
-    The heuristic is a small table of rules; its size is checked before it is broadcast.
+    The edges of all ranges, which are a small table, cut the line into cells; queries and rules meet by
+    an equi-join on the cell.
     """
     rules = heuristic.select("lo", "hi", F.col("n").alias("rule_n"), "methods")
-    rules = F.broadcast(rules) if rules.count() <= 10_000 else rules
-    met = queries.join(rules, (F.col("s") > F.col("lo")) & (F.col("s") <= F.col("hi")) & (F.col("rule_n") <= F.col("n")), "left")
-    return met.groupBy("id", "s", "n").agg(F.max_by("methods", "rule_n").alias("methods"), F.max("rule_n").alias("rule_n"))
+    edges = heuristic.select(F.explode(F.array("lo", "hi")).alias("edge")).agg(F.sort_array(F.collect_set("edge")))
+
+    def cell(x: str) -> Column:
+        """How many edges lie below a column."""
+        return F.size(F.filter("edges", lambda e: e < F.col(x)))
+
+    # A rule spans the cells from its lower edge to its upper one.
+    spread = rules.withColumn("edges", edges.scalar()).where("lo < hi").withColumn("cell", F.explode(F.sequence(cell("lo") + 1, cell("hi"))))
+    asked = queries.withColumn("edges", edges.scalar()).withColumn("cell", F.when(F.col("s").isNotNull(), cell("s")))
+    met = asked.drop("edges").join(spread.select("cell", "rule_n", "methods"), "cell", "left").withColumn("fits", F.col("rule_n") <= F.col("n"))
+    return met.groupBy("id", "s", "n").agg(F.max_by("methods", F.when(F.col("fits"), F.col("rule_n"))).alias("methods"), F.max(F.when(F.col("fits"), F.col("rule_n"))).alias("rule_n"))
 
 
 def cumulative(df: DataFrame, keys: Sequence[str], order: str, value: str, out: str) -> DataFrame:
@@ -161,6 +170,55 @@ def tuned(runs: DataFrame, keys: Sequence[str], config: Sequence[str], time: str
     return medians.groupBy(*keys).agg(best).select(*keys, "best.*")
 
 
+def upper_medians(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """``keys, upper_med``: element ``n div 2`` of each group's sorted values, from 0. Equal values are
+    counted first, so a window holds a group's distinct values and no task holds a list."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+    group = Window.partitionBy(*keys)
+    held = counts.withColumn("upto", F.sum("n").over(group.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("n").over(group))
+    return held.where(F.col("upto") > F.floor(F.col("all") / 2)).groupBy(*keys).agg(F.min(value).alias("upper_med"))
+
+
+def max_speedups(df: DataFrame, keys: Sequence[str], baseline: str, forms: Sequence[str]) -> DataFrame:
+    """For each key the largest ratio of ``baseline`` to each form's time, and the largest of these."""
+    best = df.groupBy(*keys).agg(*[F.max(F.try_divide(F.col(baseline).cast("double"), F.col(f))).alias(f"max_{f}") for f in forms])
+    return best.withColumn("max_speedup", F.greatest(*[F.col(f"max_{f}") for f in forms]))
+
+
+def fitting_tiles(grid_: DataFrame, limits: dict[str, Column]) -> DataFrame:
+    """Configurations to start from: tiles that are not set, or no larger than the dimension."""
+    for tile, limit in limits.items():
+        grid_ = grid_.where(F.col(tile).isNull() | (F.col(tile) <= limit))
+    return grid_
+
+
+def first_values(grid_: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The first configuration of each key by ``order``."""
+    return keep_first(grid_, keys, order)
+
+
+def profile_shares(events: DataFrame, mapping: dict[str, str], rest: str = "remaining", depth: int = 20) -> DataFrame:
+    """``(kernel, time)`` of a profile: ``events(event, parent, name, total)``, where the total of an event
+    includes its children. Mapped names take their whole total; of the others, children are looked at, and
+    their own time, without the children's, counts as ``rest``. Trees are at most ``depth`` high.
+    """
+    kernel = F.try_element_at(F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair]), F.col("name"))
+    named = events.withColumn("kernel", kernel)
+    children = named.groupBy(F.col("parent").alias("event")).agg(F.sum("total").alias("below"))
+    front, parts = named.where("parent is null"), []
+    for _ in range(depth):
+        parts.append(front.join(children, "event", "left").select(
+            F.coalesce("kernel", F.lit(rest)).alias("kernel"),
+            F.when(F.col("kernel").isNotNull(), F.col("total")).otherwise(F.col("total") - F.coalesce("below", F.lit(0))).alias("time"),
+        ))
+        opened = front.where("kernel is null").select(F.col("event").alias("parent"))
+        front = named.join(opened, "parent", "left_semi")
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.groupBy("kernel").agg(F.sum("time").alias("time"))
+
+
 def grid(spark, axes: dict[str, Sequence]) -> DataFrame:
     """Cross product of parameter values, one row for each configuration."""
     out = spark.range(1).select(*[F.array(*[F.lit(x) for x in values]).alias(k) for k, values in axes.items()])
@@ -179,8 +237,8 @@ def tagged_union(frames: dict[str, DataFrame], tag: str = "source") -> DataFrame
 
 
 def seeded_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """Rows of ``n`` distinct keys, drawn by a hash."""
-    chosen = df.select(key).distinct().orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)
+    """Rows of ``n`` distinct keys, drawn by a hash that other engines have too."""
+    chosen = df.select(key).distinct().orderBy(F.md5(F.concat_ws(":", F.lit(seed), key).cast("binary")), key).limit(n)
     return df.join(chosen, key, "left_semi")
 
 

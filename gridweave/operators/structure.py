@@ -7,6 +7,7 @@ the sizes ``m`` and ``k``.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -87,17 +88,18 @@ def row_differences(nz: DataFrame) -> DataFrame:
     return placed.join(below, ["i", "q"]).select("i", "q", (F.col("below") - F.col("j")).alias("dj"))
 
 
-def stride_runs(nz: DataFrame, longest: int = 8) -> DataFrame:
+def stride_runs(nz: DataFrame, longest: int = 8, by: Sequence[str] = ()) -> DataFrame:
     """``(bin, cnt)``: runs of equal column differences in rows; a run is cut after ``longest``
     differences, and the entry after a cut starts anew, so a cut run takes ``longest + 1`` of them.
     The bin is the run's length less one."""
-    row = Window.partitionBy("i").orderBy("j")
-    step = nz.select("i", "j", (F.lead("j").over(row) - F.col("j")).alias("d")).where("d is not null")
+    keys = [*by, "i"]
+    row = Window.partitionBy(*keys).orderBy("j")
+    step = nz.select(*keys, "j", (F.lead("j").over(row) - F.col("j")).alias("d")).where("d is not null")
     change = step.withColumn("new", F.coalesce((F.col("d") != F.lag("d").over(row)).cast("int"), F.lit(1)))
     island = change.withColumn("island", F.sum("new").over(row))
-    place = island.withColumn("pos", F.row_number().over(Window.partitionBy("i", "island").orderBy("j")) - 1)
-    piece = place.groupBy("i", "island", F.floor(F.col("pos") / (longest + 1)).alias("piece")).agg(F.count(F.lit(1)).alias("n"))
-    return piece.groupBy((F.least("n", F.lit(longest)) - 1).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("cnt"))
+    place = island.withColumn("pos", F.row_number().over(Window.partitionBy(*keys, "island").orderBy("j")) - 1)
+    piece = place.groupBy(*keys, "island", F.floor(F.col("pos") / (longest + 1)).alias("piece")).agg(F.count(F.lit(1)).alias("n"))
+    return piece.groupBy(*by, (F.least("n", F.lit(longest)) - 1).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("cnt"))
 
 
 def weighted_shares(hist: DataFrame, key: str, weight: str = "bin", count: str = "cnt") -> DataFrame:
@@ -305,3 +307,31 @@ def greedy_order(nz: DataFrame, height: int) -> DataFrame:
     alone = rows.groupBy("i").agg(F.lit(0).cast("long").alias("distance"))  # panels of one row have no pair
     alone = alone.select(F.floor(F.col("i") / height).cast("long").alias("p"), F.col("i").alias("i1"), F.col("i").alias("i2"), "distance")
     return pairs.unionByName(alone).groupBy("p").applyInPandas(walk, "p long, i long, place int")
+
+
+def normalised_run_lengths(nz: DataFrame, k: int) -> DataFrame:
+    """Mean and largest column gap as shares of the number of columns."""
+    return run_lengths(nz).select((F.col("avg_gap") / k).alias("avg_share"), (F.col("max_gap") / F.lit(float(k))).alias("max_share"))
+
+
+def histogram_by_range(nz: DataFrame, shapes: DataFrame, height: int, width: int, range_of, bins: int = 50) -> DataFrame:
+    """``(range, bin, cnt)``: tile densities of many matrices together, by the range of each matrix's
+    sparsity. ``nz(matrix_id, i, j)``, ``shapes(matrix_id, m, k)``; ``range_of`` maps a sparsity to a range.
+    Empty tiles are counted in bin 0.
+    """
+    tile = nz.groupBy("matrix_id", F.floor(F.col("i") / height).alias("ti"), F.floor(F.col("j") / width).alias("tj")).agg(F.count(F.lit(1)).alias("nnz"))
+    tile = tile.join(shapes, "matrix_id")
+    rows, cols = F.least(F.lit(height), F.col("m") - F.col("ti") * height), F.least(F.lit(width), F.col("k") - F.col("tj") * width)
+    place = F.least(F.width_bucket(F.col("nnz") / (rows * cols), F.lit(0.0), F.lit(1.0), F.lit(bins)), F.lit(bins)) - 1
+    found = tile.groupBy("matrix_id", "m", "k", place.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("cnt"), F.sum("nnz").alias("nnz"))
+    whole = found.groupBy("matrix_id", "m", "k").agg(F.sum("cnt").alias("filled"), F.sum("nnz").alias("nnz"))
+    whole = whole.withColumn("range", range_of(1 - F.col("nnz") / (F.col("m") * F.col("k"))))
+    empty = (F.ceil(F.col("m") / height) * F.ceil(F.col("k") / width) - F.col("filled")).cast("bigint").alias("cnt")
+    parts = found.join(whole.select("matrix_id", "range"), "matrix_id").select("range", "bin", "cnt").unionByName(whole.select("range", F.lit(0).alias("bin"), empty))
+    return parts.groupBy("range", "bin").agg(F.sum("cnt").alias("cnt"))
+
+
+def pooled_shares(hists: DataFrame, key: str, weight: str = "bin", count: str = "cnt") -> DataFrame:
+    """Weighted shares of each ``key``'s histogram, summed over keys and brought to 1 again."""
+    summed = weighted_shares(hists, key, weight, count).groupBy(weight).agg(F.sum("share").alias("s"))
+    return summed.select(weight, F.try_divide("s", summed.agg(F.sum("s")).scalar()).alias("share"))

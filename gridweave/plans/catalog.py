@@ -316,7 +316,19 @@ def matrix_properties(spark, d):
     return made.select("m", "k", "nnz", *[r(c).alias(c) for c in ("tile_fill_mean", "tile_fill_max", "tile_fill_min")], "empty_tiles")
 
 
-@query()
+@query(
+    f"""WITH a AS (SELECT i, j FROM {{A}}), t AS ({_ROWS}), s AS ({_STATS}), z AS (SELECT {{M}} AS m, {{K}} AS k, count(*) AS nnz, {_TOTAL} AS tiles FROM a),
+    rr AS (SELECT count(*) AS n FROM a GROUP BY i), cc AS (SELECT count(*) AS n FROM a GROUP BY j),
+    rc AS (SELECT sqrt(greatest(sum(n * n) / max(m) - (sum(n) / max(m)) ** 2, 0)) / (sum(n) / max(m)) AS row_cov, max(n) * max(m) - sum(n) AS ell FROM rr, z), ck AS (SELECT sqrt(greatest(sum(n * n) / max(k) - (sum(n) / max(k)) ** 2, 0)) / (sum(n) / max(k)) AS col_cov FROM cc, z),
+    h AS (SELECT (ln(sum(n)) - sum(n * ln(n)) / sum(n)) / ln(sum(n)) AS h_norm, count(*) AS r FROM t),
+    f AS (SELECT sum(x) AS s1, sum(x * x) AS s2, max(x) AS hi, min(x) AS lo, count(*) AS filled, sum(o) AS o1, sum(o * o) AS o2, sum(CASE WHEN nnz > 0.35 * {HEIGHT * WIDTH} THEN nnz ELSE 0 END) / sum(nnz) AS dense_ratio, count(*) FILTER (nnz > 0.35 * {HEIGHT * WIDTH}) AS dense_tiles
+        FROM (SELECT nnz, nnz / {HEIGHT * WIDTH}.0::DOUBLE AS x, (nnz - active_cols) / nnz AS o FROM s)),
+    p AS (SELECT sum(pad) / sum(nnz) AS tile_ell_padding FROM (SELECT max(n) * {HEIGHT} - sum(n) AS pad, sum(n) AS nnz FROM t GROUP BY ti, tj))
+    SELECT CAST(m AS INTEGER) AS m, CAST(k AS INTEGER) AS k, nnz, round(row_cov, 9) AS row_cov, round(col_cov, 9) AS col_cov, CAST(ell AS BIGINT) AS ell_padding, round(h_norm, 9) AS h_norm,
+        round(r / ceil(m / {HEIGHT}.0) / m * (nnz / m) * (1 - h_norm), 9) AS ssf, round(s1 / tiles, 9) AS tile_fill_mean, round(sqrt(greatest(s2 / tiles - (s1 / tiles) ** 2, 0)) / (s1 / tiles), 9) AS tile_fill_cov, round(hi, 9) AS tile_fill_max,
+        round(CASE WHEN filled < tiles THEN 0 ELSE lo END, 9) AS tile_fill_min, CAST(tiles - filled AS BIGINT) AS empty_tiles, round(o1 / tiles, 9) AS col_ovl_mean, round(greatest(o2 / tiles - (o1 / tiles) ** 2, 0) / (o1 / tiles), 9) AS col_ovl_spread,
+        round(tile_ell_padding, 9) AS tile_ell_padding, round(dense_ratio, 9) AS dense_ratio, dense_tiles FROM z, rc, ck, h, f, p"""
+)
 def property_record(spark, d):
     """The whole record; its parts have queries of their own."""
     made = structure.properties(matrix_a(spark, d), *sizes(spark, d), HEIGHT, WIDTH)
@@ -331,7 +343,7 @@ def run_length_stats(spark, d):
 _Q = "SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY j) - 1 AS q FROM {A}"
 
 
-@query(f"WITH p AS ({_Q}) SELECT a.i, CAST(a.q AS INTEGER) AS q, b.j - a.j AS dj FROM p a JOIN p b ON b.i = a.i + 1 AND b.q = a.q")
+@query(f"WITH p AS MATERIALIZED ({_Q}) SELECT a.i, CAST(a.q AS INTEGER) AS q, b.j - a.j AS dj FROM p a JOIN p b ON b.i = a.i + 1 AND b.q = a.q")
 def fopd_dim0(spark, d):
     return structure.row_differences(matrix_a(spark, d))
 
@@ -352,17 +364,18 @@ def hist_weight_normalise(spark, d):
     return structure.weighted_shares(hist, "matrix_id").select("bin", "cnt", r("share").alias("share"))
 
 
-@query(
-    """WITH a AS (SELECT i, j FROM {A} WHERE i < 16), n AS (SELECT i, count(*) AS n FROM a GROUP BY 1)
-    SELECT x.i AS i1, y.i AS i2, any_value(p.n) + any_value(q.n) - 2 * count(*) AS hamming FROM a x JOIN a y ON x.j = y.j AND x.i < y.i JOIN n p ON p.i = x.i JOIN n q ON q.i = y.i GROUP BY 1, 2"""
-)
+_PAIRS = """WITH n AS (SELECT line AS i, line // 16 AS p, count(j) AS n FROM (SELECT unnest(range({M})) AS line) LEFT JOIN {A} ON i = line GROUP BY 1, 2),
+    b AS (SELECT x.i AS i1, y.i AS i2, count(*) AS shared FROM {A} x JOIN {A} y ON x.i // 16 = y.i // 16 AND x.j = y.j AND x.i < y.i GROUP BY 1, 2),
+    h AS (SELECT x.p, x.i AS i1, y.i AS i2, CAST(x.n + y.n - 2 * coalesce(shared, 0) AS BIGINT) AS hamming FROM n x JOIN n y ON x.p = y.p AND x.i < y.i LEFT JOIN b ON i1 = x.i AND i2 = y.i) """
+
+
+@query(_PAIRS + "SELECT i1, i2, hamming FROM h")
 def hamming_pairs(spark, d):
-    a = matrix_a(spark, d)
-    first = spark.range(16).withColumnRenamed("id", "i")
-    return structure.row_pairs(a, first).select("i1", "i2", structure.hamming(F.col("both"), F.col("size1"), F.col("size2")).alias("hamming"))
+    """Hamming distance of every pair of rows that share a panel of 16, over the whole matrix."""
+    return hamming_panels(spark, d).drop("p")
 
 
-@query()
+@query(_PAIRS + "SELECT p, i1, i2, hamming FROM h")
 def hamming_panels(spark, d):
     """Hamming distance of every pair of rows inside each panel of 16 rows of the whole matrix."""
     pairs = structure.panel_pairs(matrix_a(spark, d), sizes(spark, d)[0], 16)
@@ -519,7 +532,12 @@ def average_distribution(spark, d):
     return patterns.average_distribution(hists, "matrix_id", PANEL).select("pattern", r("share", 9).alias("share"))
 
 
-@query()
+@query(
+    """WITH c AS (SELECT i // 2 AS p, j, CAST(bit_or(1 << CAST(i % 2 AS INTEGER)) AS INTEGER) AS pattern FROM {A} GROUP BY 1, 2), k AS (SELECT p, pattern, count(*) AS n FROM c GROUP BY 1, 2),
+    f AS (SELECT p, sum(n)::DOUBLE AS x, sum(n * bit_count(pattern))::DOUBLE AS y, 5 + sum(2 + n * (3 + 4 * bit_count(pattern)))::DOUBLE AS z FROM k GROUP BY 1),
+    g AS (SELECT sum(x * x) AS a, sum(x * y) AS b, sum(y * y) AS c, sum(x * z) AS u, sum(y * z) AS v FROM f)
+    SELECT 'cols' AS feature, round((u * c - v * b) / (a * c - b * b), 4) AS coefficient FROM g UNION ALL SELECT 'nnz', round((a * v - b * u) / (a * c - b * b), 4) FROM g"""
+)
 def lsq_cost_fit(spark, d):
     """Coefficients of cost over panel counts, by least squares; panels of two rows."""
     a = matrix_a(spark, d)
@@ -870,10 +888,9 @@ def classify_first_match(spark, d):
 @query("SELECT user_id, event_type AS name, median(value) AS med, list_sort(list(value))[count(*) // 2 + 1] AS upper_med, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std FROM events GROUP BY 1, 2")
 def repetition_summary(spark, d):
     """Median, upper median, mean and deviation of the repetitions of one method on one matrix."""
-    rows = table(spark, d, "events").groupBy("user_id", F.col("event_type").alias("name"))
-    return rows.agg(
-        F.median("value").alias("med"), scalar.upper_median(F.collect_list("value")).alias("upper_med"), r(F.avg("value")).alias("mean"), r(F.stddev_samp("value")).alias("std")
-    )
+    rows = table(spark, d, "events").select("user_id", F.col("event_type").alias("name"), "value")
+    made = rows.groupBy("user_id", "name").agg(F.median("value").alias("med"), r(F.avg("value")).alias("mean"), r(F.stddev_samp("value")).alias("std"))
+    return made.join(results.upper_medians(rows, ["user_id", "name"], "value"), ["user_id", "name"], "left")
 
 
 @query("SELECT o_orderstatus, o_orderpriority, round(avg(o_totalprice), 4) AS mean_o_totalprice FROM orders GROUP BY 1, 2")
@@ -935,7 +952,7 @@ def leading_features(spark, d):
     return made.withColumn("weight", r("weight", 4))
 
 
-@query()
+@query("SELECT user_id, event_id FROM events WHERE user_id IN (SELECT user_id FROM (SELECT DISTINCT user_id FROM events) ORDER BY md5('42:' || user_id), user_id LIMIT 20)")
 def seeded_sample(spark, d):
     """Rows of twenty users drawn by a hash."""
     return results.seeded_sample(table(spark, d, "events").select("user_id", "event_id"), "user_id", 20)
@@ -948,3 +965,7 @@ def method_components(spark, d):
 
     a = matrix_a(spark, d).select(F.col("i").cast("long").alias("u"), (F.lit(1 << 40) + F.col("j")).cast("long").alias("v"))
     return components(a).groupBy("root").agg(F.count(F.lit(1)).alias("nodes"))
+
+
+# Registers the queries of the other modules.
+from gridweave.plans import extra, files  # noqa: E402, F401

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
@@ -58,6 +59,11 @@ def slice_list(files: DataFrame, low: int, high: int) -> DataFrame:
     return files.where((F.col("ord") >= low) & (F.col("ord") < high))
 
 
+def first_percent(files: DataFrame, percent: float) -> DataFrame:
+    """The first ``percent`` of a list, by its order."""
+    return files.where(F.col("ord") < F.floor(files.agg(F.count(F.lit(1))).scalar() * F.lit(percent / 100.0)))
+
+
 def skip_listed(files: DataFrame, words: Sequence[str]) -> DataFrame:
     """Entries whose path has none of the words."""
     for word in words:
@@ -112,6 +118,32 @@ def read_probabilities(spark: SparkSession, path: str) -> DataFrame:
     return parts.select(F.conv(F.regexp_replace(F.col("p")[0], "^0b", ""), 2, 10).cast("int").alias("pattern"), F.col("p")[1].cast("double").alias("prob"))
 
 
+def probability_lines(shares: DataFrame, height: int) -> DataFrame:
+    """Lines ``(pattern, value)`` of a probability file from ``(pattern, prob)``."""
+    code = F.concat(F.lit("0b"), F.lpad(F.bin(F.col("pattern").cast("long")), height, "0"))
+    return shares.select("pattern", F.concat_ws(", ", code, "prob").alias("value"))
+
+
+def keyed_name(name: Column, keys: Mapping[str, Column]) -> Column:
+    """``name_k1v1_k2v2``: a cache's file name with its keys."""
+    return F.concat_ws("_", name, *[F.concat(F.lit(k), v.cast("string")) for k, v in keys.items()])
+
+
+def name_keys(path: Column, keys: Sequence[str]) -> Column:
+    """``(id, key...)`` out of a path whose file name carries ``keys`` in this order; values are texts,
+    null where the name does not carry them."""
+    file = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "")
+    pattern = "^(.*)" + "".join(f"_{re.escape(k)}([^_]*)" for k in keys) + "$"
+    found = [F.when(file.rlike(pattern), F.regexp_extract(file, pattern, at + 1)).alias(name) for at, name in enumerate(["id", *keys])]
+    return F.struct(*found)
+
+
+def read_keyed(spark: SparkSession, paths: str | Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """CSV caches united, with the keys of their file names as columns."""
+    rows = spark.read.csv(paths, header=True).select("*", name_keys(F.col("_metadata.file_path"), keys).alias("_keys"))
+    return rows.select("*", "_keys.*").drop("_keys")
+
+
 def read_layers(spark: SparkSession, path: str) -> DataFrame:
     """``(name, threads, real_time, layer, layer_time)`` of a timing file with keys ``layer_<n>``."""
     text = spark.read.text(path, wholetext=True).select(F.from_json("value", "struct<benchmarks:array<map<string,string>>>").alias("x"))

@@ -20,10 +20,12 @@ def read_smtx(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """SMTX: sizes, row pointers, column numbers. A pattern only, so every value is 1."""
     lines = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("matrix_id"), F.split("value", r"\r?\n").alias("l"))
     parts = lines.select("matrix_id", _numbers(F.get("l", F.lit(1))).alias("ptr"), _numbers(F.coalesce(F.get("l", F.lit(2)), F.lit(""))).alias("col"))
-    row = parts.select("matrix_id", "ptr", "col", F.posexplode(F.slice("ptr", F.lit(1), F.size("ptr") - 1)).alias("i", "start"))
-    count = F.element_at("ptr", F.col("i") + 2) - F.col("start")
-    cells = row.select("matrix_id", F.col("i").cast("long").alias("i"), F.explode(F.slice("col", (F.col("start") + 1).cast("int"), count.cast("int"))).alias("j"))
-    return cells.withColumn("v", F.lit(1.0))
+    # Rows are cut out of the array before anything is exploded, so no row carries the whole array.
+    at = F.sequence(F.lit(1), F.greatest(F.size("ptr") - 1, F.lit(1)))
+    width = lambda i: F.element_at("ptr", i + 1) - F.element_at("ptr", i)
+    cut = lambda i: F.slice("col", (F.element_at("ptr", i) + 1).cast("int"), width(i).cast("int"))
+    row = parts.where(F.size("ptr") > 1).select("matrix_id", F.posexplode(F.transform(at, cut)).alias("i", "cols"))
+    return row.select("matrix_id", F.col("i").cast("long").alias("i"), F.explode("cols").alias("j"), F.lit(1.0).alias("v"))
 
 
 def smtx_sizes(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
@@ -54,6 +56,44 @@ def read_mtx(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     return cells.select("matrix_id", F.explode(both.otherwise(F.array(F.struct("i", "j")))).alias("p"), "v").select("matrix_id", "p.i", "p.j", "v")
 
 
+def read_mtx_parts(spark: SparkSession, path: str) -> DataFrame:
+    """A folder of part files that are one MatrixMarket matrix in coordinate form, line by line: no task
+    holds more of it than Spark's splits of the files. The banner says whether it is symmetric."""
+    lines = spark.read.text(path)
+    words = F.filter(F.split(F.trim("value"), r"\s+"), lambda x: x != "")
+    mark = F.startswith(F.trim("value"), F.lit("%"))
+    symmetric = lines.where(F.startswith("value", F.lit("%%MatrixMarket"))).agg(F.coalesce(F.bool_or(F.contains(F.lower("value"), F.lit("symmetric"))), F.lit(False)).alias("x")).first()["x"]
+    body = lines.where(~mark & (F.trim("value") != "")).select(words.alias("w"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
+    # The line of sizes is the first one that is no comment, in the file of the smallest name.
+    sizes = body.groupBy("file", "start").agg(F.min("at").alias("at")).agg(F.min(F.struct("file", "start", "at")).alias("x")).first()["x"]
+    if sizes is None:
+        return spark.createDataFrame([], "matrix_id string, i long, j long, v double")
+    cells = body.where((F.col("file") != sizes["file"]) | (F.col("start") != sizes["start"]) | (F.col("at") != sizes["at"])).select(
+        F.lit(path).alias("matrix_id"), (F.get("w", F.lit(0)).cast("long") - 1).alias("i"), (F.get("w", F.lit(1)).cast("long") - 1).alias("j"), F.coalesce(F.get("w", F.lit(2)).cast("double"), F.lit(1.0)).alias("v")
+    )
+    if not symmetric:
+        return cells
+    return cells.unionByName(cells.where("i <> j").select("matrix_id", F.col("j").alias("i"), F.col("i").alias("j"), "v"))
+
+
+def scan_dataset(
+    spark: SparkSession, root: str, pattern: str = "*.smtx", models: Sequence[str] = (), prunings: Sequence[str] = (), sparsities: Sequence[str] = (),
+    sample: int | None = None, seed: int = 42, keyed: bool = False,
+) -> DataFrame:
+    """``(path, model, pruning, sparsity, file)`` of the files below ``root``, by the names of their last
+    folders (``keyed``: folders ``name=value``); empty lists take all. ``sample`` draws so many files by a
+    hash of their path. Contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root).select("path")
+    found = with_path_parts(files, path="path")
+    names = ("model", "pruning", "sparsity")
+    if keyed:
+        found = found.select("path", *[F.regexp_replace(n, "^[^=]*=", "").alias(n) for n in names], "file")
+    for name, wanted in zip(names, (models, prunings, sparsities)):
+        if wanted:
+            found = found.where(F.col(name).isin(list(wanted)))
+    return found if sample is None else found.orderBy(F.xxhash64(F.lit(seed), "path"), "path").limit(sample)
+
+
 #: Readers by file extension.
 READERS: dict[str, Callable[[SparkSession, str | Sequence[str]], DataFrame]] = {".smtx": read_smtx, ".mtx": read_mtx}
 

@@ -90,7 +90,7 @@ def test_merged_and_probabilities(spark, folder):
     assert sorted(x[0] for x in logs.merged_lines(merged).collect()) == ["15,3,12", "7,1"]
     (folder / "p.csv").write_text("0b00000011, 0.12\n0b11111111, 0.5\n")
     assert sorted(map(tuple, logs.read_probabilities(spark, str(folder / "p.csv")).collect())) == [(3, 0.12), (255, 0.5)]
-    assert matrix.codelet_matrix(spark, [(3, 0.12), (255, 0.5)], 8, 10).count() == 2 + 9 * 8
+    assert matrix.codelet_matrix(spark, [(3, 0.12), (255, 0.5)], 8, 10).count() == 3 * 2 + 7 * 8
 
 
 def test_result_log(spark, folder):
