@@ -2,8 +2,7 @@
 
 Rows come in batches. A batch is a memtable: it is reduced to one entry for each digest, with the
 smallest and the largest identifier and the number of rows, sorted by digest and flushed as a run
-with a filter of its digests; the Parquet files of a run carry min/max statistics and Bloom filters
-too. When ``fanout`` runs have gathered, compaction merges them: an entry that no other run's filter
+with a filter of its digests; the Parquet files of a run carry min/max statistics. When ``fanout`` runs have gathered, compaction merges them: an entry that no other run's filter
 passes is new and moves on as it is, the others meet by digest. The largest and the smallest
 identifier of a group are those of its compacted entry.
 
@@ -23,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridweave.llm.text import ascii_lower
+from gridweave.llm.text import ascii_lower, once
 from gridweave.operators.membership import build_filter, maybe
 from gridweave.plans.staging import checkpoint, materialise, new_path
 
@@ -33,7 +32,7 @@ ENTRY = "digest string, smallest {id_type}, largest {id_type}, n bigint"
 BATCHES = 4
 MEMTABLE_ROWS = 500_000_000
 #: Groups of at most so many rows of some 120 bytes are broadcast; more of them are shuffled.
-BROADCAST_GROUPS = 50_000
+BROADCAST_GROUPS = 20_000
 
 
 def sha256(text: Column) -> Column:
@@ -64,7 +63,7 @@ class DigestIndex:
 
     def _write(self, entries: DataFrame, label: str) -> Run:
         path = new_path(self.spark, label)
-        entries.sortWithinPartitions("digest").write.option("parquet.bloom.filter.enabled#digest", "true").parquet(path)
+        entries.sortWithinPartitions("digest").write.parquet(path)
         rows = self.spark.read.schema(self.schema).parquet(path)
         n = rows.count()
         bits, words = build_filter(rows, "digest", n)
@@ -140,7 +139,7 @@ class _Decided:
 
     def texts(self) -> DataFrame:
         """``(id, digest, text)`` of the rows that may be hits; the text is normalised."""
-        rows = self.docs.select(self.id.alias("id"), self.digest(self.text).alias("digest"), self.text.alias("text"))
+        rows = once(self.docs.select(self.id.alias("id"), self.text.alias("text")), digest=self.digest(F.col("text")))
         return rows.where(self.hot())
 
     def _classes(self) -> DataFrame:
@@ -185,7 +184,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     made = _Decided(docs, id_col, text_col, keep, digest)
     if not made.n_hits:
         return docs
-    rows = docs.select(F.struct("*").alias("doc"), made.id.alias("id"), digest(made.text).alias("digest"), made.text.alias("text"))
+    rows = once(docs.select(F.struct("*").alias("doc"), made.id.alias("id"), made.text.alias("text")), digest=digest(F.col("text")))
     stay = rows.where(~made.hot()).select("doc.*")
     # Digests of one row that the filter takes for hits stay with the id of their entry.
     single = made.entries.where("n = 1").where(made.hot()).select("digest", F.col("smallest").alias("keep_id"))

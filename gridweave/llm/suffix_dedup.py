@@ -47,7 +47,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.llm.text import small_batches
+from gridweave.llm.text import once, small_batches
 from gridweave.operators.membership import build_filter, maybe
 from gridweave.plans.staging import materialise, new_table
 
@@ -495,14 +495,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     small_batches(spark)
     id_type = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(
-        F.col(f"`{id_col}`").alias("id"),
-        F.coalesce(F.col(f"`{text_col}`").cast("binary"), F.lit(b"")).alias("text"),
-    ).withColumn("digest", F.sha2("text", 256))
+    text = F.coalesce(F.col(f"`{text_col}`").cast("binary"), F.lit(b"")).alias("text")
+    rows = once(docs.select(F.col(f"`{id_col}`").alias("id"), text), digest=F.sha2("text", 256))
     size = F.octet_length("text").cast("bigint")
     groups = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     groups = materialise(groups, "equal-texts")
-    n_groups, total = groups.count(), rows.agg(F.coalesce(F.sum(size), F.lit(0)).alias("total")).first()["total"]
+    n_groups, total = groups.count(), docs.select(text).agg(F.coalesce(F.sum(size), F.lit(0)).alias("total")).first()["total"]
     distinct = rows.select("digest", "id", "text", F.lit(True).alias("emit"))
     copies = None
     if n_groups:

@@ -19,6 +19,13 @@ def ascii_lower(text: Column) -> Column:
     )
 
 
+def once(rows: DataFrame, **made: Column) -> DataFrame:
+    """``rows`` with more columns that are computed once for each row, however many filters on them
+    follow: a filter is not pushed below the generator, so it names a value and not its expression."""
+    value = F.explode(F.array(F.struct(*[c.alias(n) for n, c in made.items()]))).alias("_made")
+    return rows.select("*", value).select(*[F.col(f"`{c}`") for c in rows.columns], "_made.*")
+
+
 #: Rows and bytes of an Arrow batch of whole documents.
 BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
 
@@ -27,7 +34,8 @@ def small_batches(spark: SparkSession) -> None:
     """Lower the session's Arrow batches, where they are larger, to a size that suits whole documents.
 
     The defaults count rows of any length, and each batch is held several times: by the JVM that
-    sends it, by the worker, and as the worker's answer.
+    sends it, by the worker, and as the worker's answer. Plans are made when their result is asked for,
+    so the settings stay lowered for the rest of the session; they change speed and memory only.
     """
     for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
         key = f"spark.sql.execution.arrow.{key}"

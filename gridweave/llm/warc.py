@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridweave.llm.text import small_batches
+from gridweave.llm.text import once, small_batches
 from gridweave.operators.membership import build_filter, maybe
 from gridweave.plans.staging import materialise, new_path
 
@@ -83,13 +83,8 @@ def record_chunks(id_: str | None, url: str | None, payload: memoryview, size: i
 def decided(pages: DataFrame, id_col: str, url_col: str, payload_col: str, min_revisit: int) -> DataFrame:
     """``(id, url, payload, n_bytes, digest, refers_to)`` for each row; revisits come without payload."""
     payload = F.coalesce(F.col(f"`{payload_col}`").cast("binary"), F.lit(b""))
-    rows = pages.select(
-        F.col(f"`{id_col}`").alias("id"),
-        F.col(f"`{url_col}`").alias("url"),
-        payload.alias("payload"),
-        F.octet_length(payload).cast("bigint").alias("n_bytes"),
-        F.sha2(payload, 256).alias("digest"),
-    )
+    rows = pages.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").alias("url"), payload.alias("payload"))
+    rows = once(rows, n_bytes=F.octet_length("payload").cast("bigint"), digest=F.sha2("payload", 256))
     long = F.col("n_bytes") >= min_revisit
     groups = rows.where(long).groupBy("digest").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n"))
     groups = materialise(groups.where("n > 1").select("digest", "first_id"), "equal-payloads")
