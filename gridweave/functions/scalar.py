@@ -144,7 +144,7 @@ def clamp_density(density: Column, is_collection: Column, least: float = 0.05) -
 
 def sparsity_range(sparsity: Column, edges: Sequence[float] = (0.7, 0.9, 0.95, 1.0)) -> Column:
     """Number of the left-closed range; 1 counts to the last range. Below the first edge is an error."""
-    found = bucket_left(F.least(sparsity, F.lit(0.9999999999)), edges)
+    found = bucket_left(F.when(sparsity.isNotNull(), F.least(sparsity, F.lit(0.9999999999))), edges)
     return F.when(sparsity.isNull() | found.isNotNull(), found).otherwise(F.raise_error(F.concat(F.lit("no range for sparsity "), sparsity.cast("string"))).cast("int"))
 
 

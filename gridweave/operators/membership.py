@@ -35,7 +35,8 @@ def build_filter(keys: DataFrame, key: str, n_keys: int) -> tuple[DataFrame, int
     With no keys the frame is empty, and :func:`maybe` is false for every row.
     """
     words = filter_words(n_keys)
-    bit = keys.where(F.col(key).isNotNull()).select(F.explode(F.array(*_bits(F.col(key), words))).alias("bit"))
+    value = F.col(f"`{key}`")
+    bit = keys.where(value.isNotNull()).select(F.explode(F.array(*_bits(value, words))).alias("bit"))
     word = bit.groupBy((F.col("bit") / 64).cast("long").alias("word")).agg(
         F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("bit") % 64).cast("int"))).alias("value")
     )
@@ -73,5 +74,7 @@ def drop_ids(rows: DataFrame, id_col: str, dropped: DataFrame, n_dropped: int) -
     if n_dropped == 0:
         return rows
     bits, words = build_filter(dropped, id_col, n_dropped)
-    test = maybe(F.col(id_col), bits, words)
-    return rows.where(~test).unionByName(rows.where(test).join(dropped, id_col, "left_anti"))
+    test = maybe(F.col(f"`{id_col}`"), bits, words)
+    gone = dropped.select(F.col(f"`{id_col}`").alias("_gone"))
+    kept = rows.where(test).alias("r").join(gone, F.col(f"r.`{id_col}`") == F.col("_gone"), "left_anti")
+    return rows.where(~test).unionByName(kept)
