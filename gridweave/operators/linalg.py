@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,20 +42,23 @@ def spmm_blocked(a: DataFrame, b: DataFrame, height: int = 64, depth: int = 1024
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                dense = {x["j"]: np.array(x["row"]) for x in row["rows"]}
-                keep = [k for k, j in enumerate(row["j"]) if j in dense]
-                if not keep:
+            for k in range(batch.num_rows):
+                i, j, v, rows = (column[k].values for column in batch.columns)
+                names, lists = pc.struct_field(rows, "j").to_numpy(), pc.struct_field(rows, "row")
+                size = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+                owner = np.repeat(np.arange(len(names)), size)
+                dense = np.zeros((len(names), max(1, int(size.max(initial=0)))))
+                dense[owner, np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)] = lists.flatten().to_numpy()
+                order = np.argsort(names)
+                place = np.minimum(np.searchsorted(names, j.to_numpy(), sorter=order), len(names) - 1)
+                met = names[order[place]] == j.to_numpy()
+                if not met.any():
                     continue
-                i, v = np.array(row["i"])[keep], np.array(row["v"])[keep]
-                width = max(len(x) for x in dense.values())
-                rows = np.array([np.pad(dense[row["j"][k]], (0, width - len(dense[row["j"][k]]))) for k in keep])
-                lines, place = np.unique(i, return_inverse=True)
-                out = np.zeros((len(lines), width))
-                np.add.at(out, place, rows * v[:, None])
-                n = len(lines) * width
+                lines, line = np.unique(i.to_numpy()[met], return_inverse=True)
+                out = np.zeros((len(lines), dense.shape[1]))
+                np.add.at(out, line, dense[order[place[met]]] * v.to_numpy()[met][:, None])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(lines, width)), pa.array(np.tile(np.arange(width, dtype=np.int32), len(lines))), pa.array(out.reshape(n))],
+                    [pa.array(np.repeat(lines, dense.shape[1])), pa.array(np.tile(np.arange(dense.shape[1], dtype=np.int32), len(lines))), pa.array(out.reshape(-1))],
                     names=["i", "c", "x"],
                 )
 

@@ -7,10 +7,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.plans.prefix import exclusive_prefix
+from gridweave.plans.prefix import exclusive_prefix, neighbours
 
 
 def coo(df: DataFrame, i: str, j: str, v: Column | str, by: Sequence[str] = ()) -> DataFrame:
@@ -50,8 +50,7 @@ def pointers(nz: DataFrame, size: int, axis: str = "i") -> DataFrame:
 
 def delta_encode(nz: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Column gaps of each row, the first from column 0."""
-    order = Window.partitionBy(*by, "i").orderBy("j")
-    return nz.select(*by, "i", "j", (F.col("j") - F.lag("j", 1, 0).over(order)).alias("gap"))
+    return neighbours(nz.select(*by, "i", "j"), "j", [*by, "i"]).select(*by, "i", "j", (F.col("j") - F.coalesce("previous", F.lit(0))).alias("gap"))
 
 
 def density_order(nz: DataFrame, size: int, axis: str = "j") -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridweave.operators.matrix import line_counts, tiles
+from gridweave.plans.prefix import exclusive_prefix, neighbours
 
 
 def tile_count(m: int, k: int, height: int, width: int) -> int:
@@ -72,13 +73,13 @@ def moments_with_zeros(df: DataFrame, value: str, total: int, sample: bool = Fal
 
 def run_lengths(nz: DataFrame) -> DataFrame:
     """Mean, smallest and largest column gap; a row's first gap counts from column 0."""
-    gap = F.col("j") - F.lag("j", 1, 0).over(Window.partitionBy("i").orderBy("j"))
-    return nz.select(gap.alias("gap")).agg(F.avg("gap").alias("avg_gap"), F.min("gap").alias("min_gap"), F.max("gap").alias("max_gap"))
+    gap = F.col("j") - F.coalesce("previous", F.lit(0))
+    return neighbours(nz.select("i", "j"), "j", ["i"]).select(gap.alias("gap")).agg(F.avg("gap").alias("avg_gap"), F.min("gap").alias("min_gap"), F.max("gap").alias("max_gap"))
 
 
 def ordinals(nz: DataFrame) -> DataFrame:
     """Adds ``q``, the place of an entry in its row, from 0."""
-    return nz.withColumn("q", F.row_number().over(Window.partitionBy("i").orderBy("j")) - 1)
+    return exclusive_prefix(nz, F.lit(1), "j", by=["i"], out="q").withColumn("q", F.col("q").cast("int"))
 
 
 def row_differences(nz: DataFrame) -> DataFrame:
@@ -93,13 +94,16 @@ def stride_runs(nz: DataFrame, longest: int = 8, by: Sequence[str] = ()) -> Data
     differences, and the entry after a cut starts anew, so a cut run takes ``longest + 1`` of them.
     The bin is the run's length less one."""
     keys = [*by, "i"]
-    row = Window.partitionBy(*keys).orderBy("j")
-    step = nz.select(*keys, "j", (F.lead("j").over(row) - F.col("j")).alias("d")).where("d is not null")
-    change = step.withColumn("new", F.coalesce((F.col("d") != F.lag("d").over(row)).cast("int"), F.lit(1)))
-    island = change.withColumn("island", F.sum("new").over(row))
-    place = island.withColumn("pos", F.row_number().over(Window.partitionBy(*keys, "island").orderBy("j")) - 1)
-    piece = place.groupBy(*keys, "island", F.floor(F.col("pos") / (longest + 1)).alias("piece")).agg(F.count(F.lit(1)).alias("n"))
-    return piece.groupBy(*by, (F.least("n", F.lit(longest)) - 1).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("cnt"))
+    step = neighbours(nz.select(*keys, "j"), "j", keys).where("following is not null")
+    # A run starts where the difference is not that of the entry before.
+    start = F.coalesce(((F.col("following") - F.col("j")) != (F.col("j") - F.col("previous"))).cast("int"), F.lit(1))
+    runs = exclusive_prefix(step.withColumn("start", start), "start", "j", by=keys, out="before")
+    lengths = runs.groupBy(*keys, (F.col("before") + F.col("start")).alias("run")).agg(F.count(F.lit(1)).alias("n"))
+    # A cut run is some whole pieces and what is left of it.
+    whole, rest = F.floor(F.col("n") / (longest + 1)), F.col("n") % (longest + 1)
+    pieces = F.array(F.struct(F.lit(longest - 1).alias("bin"), whole.alias("cnt")), F.struct((rest - 1).cast("int").alias("bin"), (rest > 0).cast("long").alias("cnt")))
+    each = lengths.select(*by, F.explode(pieces).alias("x")).where("x.cnt > 0")
+    return each.groupBy(*by, F.col("x.bin").alias("bin")).agg(F.sum("x.cnt").alias("cnt"))
 
 
 def weighted_shares(hist: DataFrame, key: str, weight: str = "bin", count: str = "cnt") -> DataFrame:

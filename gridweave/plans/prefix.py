@@ -29,3 +29,19 @@ def exclusive_prefix(df: DataFrame, value: str | Column, key: str, coarse: Seque
         .withColumn(out, F.col("_before") + F.coalesce(F.sum("_value").over(inside), F.lit(0)))
         .drop("_value", "_group", "_before")
     )
+
+
+def neighbours(df: DataFrame, key: str, by: Sequence[str], previous: str = "previous", following: str = "following", width: int = WIDTH) -> DataFrame:
+    """``df`` with the next smaller and the next larger value of the integer ``key`` within ``by``, null at
+    the ends; keys are unique within ``by``. A window holds ``width`` keys, however many one ``by`` has."""
+    rows = df.withColumn("_group", F.floor(F.col(key) / F.lit(width)))
+    groups = rows.groupBy(*by, "_group").agg(F.min(key).alias("_low"), F.max(key).alias("_high"))
+    over = Window.partitionBy(*by).orderBy("_group")
+    groups = groups.select(*by, "_group", F.lag("_high").over(over).alias("_before"), F.lead("_low").over(over).alias("_after"))
+    inside = Window.partitionBy(*by, "_group").orderBy(key)
+    return (
+        rows.join(groups, [*by, "_group"])
+        .withColumn(previous, F.coalesce(F.lag(key).over(inside), "_before"))
+        .withColumn(following, F.coalesce(F.lead(key).over(inside), "_after"))
+        .drop("_group", "_before", "_after")
+    )
