@@ -958,7 +958,11 @@ def seeded_sample(spark, d):
     return results.seeded_sample(table(spark, d, "events").select("user_id", "event_id"), "user_id", 20)
 
 
-@query()
+@query(
+    """WITH RECURSIVE e AS MATERIALIZED (SELECT DISTINCT l_suppkey AS u, l_partkey + 1099511627776 AS v FROM lineitem), b AS MATERIALIZED (SELECT u AS x, v AS y FROM e UNION ALL SELECT v, u FROM e),
+    c(node, root) USING KEY (node) AS (SELECT DISTINCT x, x FROM b UNION SELECT b.y, min(c.root) FROM c JOIN b ON b.x = c.node JOIN recurring.c AS r ON r.node = b.y WHERE c.root < r.root GROUP BY b.y)
+    SELECT root, count(*) AS nodes FROM c GROUP BY 1"""
+)
 def method_components(spark, d):
     """Groups of suppliers and parts that lineitems connect, as connected components of all entries."""
     from gridweave.operators.graph import components

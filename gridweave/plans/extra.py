@@ -39,7 +39,14 @@ def merge_split_kernels(spark, d):
     return patterns.merge_split_mapping(spark, PANEL, MERGES)
 
 
-@query()
+@query(
+    """WITH RECURSIVE k(pos, kernel) AS (VALUES (0, 15), (1, 240), (2, 51), (3, 204), (4, 255)),
+    r AS (SELECT x AS pattern, x AS rest, 0 AS taken, []::INTEGER[] AS kernels, 0 AS step FROM (SELECT CAST(unnest(range(256)) AS INTEGER) AS x) UNION ALL
+        SELECT pattern, rest & ~best, taken | best, list_append(kernels, best), step + 1 FROM
+        (SELECT r.pattern, r.rest, r.taken, r.kernels, r.step, arg_min(kernel, (1.1 * bit_count(rest & ~kernel) + 1.0 * bit_count(kernel & ~rest), pos)) AS best FROM r JOIN k ON kernel & taken = 0 WHERE bit_count(rest) >= 2 GROUP BY ALL)),
+    z AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY pattern ORDER BY step DESC) = 1)
+    SELECT pattern, CASE WHEN rest = 0 AND step > 0 THEN kernels WHEN bit_count(rest) < 2 THEN list_append(kernels, rest) ELSE list_concat(kernels, list_transform(list_filter(range(8), lambda x: (rest >> CAST(x AS INTEGER)) & 1 = 1), lambda x: CAST(1 << CAST(x AS INTEGER) AS INTEGER))) END AS kernels FROM z"""
+)
 def merge_recursive_kernels(spark, d):
     """The same with the rest mapped again by kernels that meet none chosen."""
     return patterns.merge_split_mapping(spark, PANEL, MERGES, recursive=True)
@@ -308,9 +315,12 @@ def heights_and_digests(spark, d):
     return rows.select("p_partkey", scalar.power_of_two_at_least(size).alias("height"), scalar.short_digest(F.col("p_name")).alias("digest"), share.alias("storage"))
 
 
-@query()
+@query(
+    """WITH c AS (SELECT p_partkey, length(p_name) AS n, i, ascii(substr(p_name, CAST(i AS INTEGER), 1)) AS x FROM part, unnest(range(1, length(p_name) + 1)) t(i))
+    SELECT p_partkey, CAST((n + sum((n - i + 1) * x)) % 65521 * 65536 + (1 + sum(x)) % 65521 AS BIGINT) AS checksum FROM c GROUP BY p_partkey, n"""
+)
 def file_list_checksum(spark, d):
-    """Adler-32 of every part's name, which SQL has no function for."""
+    """Adler-32 of every part's name."""
     return table(spark, d, "part").select("p_partkey", scalar.adler32(F.col("p_name")).alias("checksum"))
 
 
