@@ -165,8 +165,8 @@ def stride_shares_pooled(spark, d):
     return structure.pooled_shares(hists, "matrix_id").select("bin", r("share", 9).alias("share"))
 
 
-_TIMES = """SELECT matrix_id, t AS threshold, b AS b_cols, 10.0 + b AS spmm, 20.0 + b * t AS gemm, 4.0 + b * t AS sparse_blocked, 9.0 - 10 * t AS dense_blocked, 5.0 + b * t AS sparse_sep, 7.0 - 8 * t AS dense_sep, 6.0 + t AS sparse_full, 8.0 + b / 100.0 AS dense_full
-    FROM (SELECT DISTINCT l_returnflag AS matrix_id FROM lineitem), (VALUES (0.05), (0.1), (0.15)) x(t), (VALUES (32), (128)) y(b)"""
+_TIMES = """SELECT matrix_id, t AS threshold, b AS b_cols, 10.0::DOUBLE + b AS spmm, 20.0 + b * t AS gemm, 4.0 + b * t AS sparse_blocked, 9.0 - 10 * t AS dense_blocked, 5.0 + b * t AS sparse_sep, 7.0 - 8 * t AS dense_sep, 6.0 + t AS sparse_full, 8.0 + b / 100.0 AS dense_full
+    FROM (SELECT DISTINCT l_returnflag AS matrix_id FROM lineitem), (VALUES (0.05::DOUBLE), (0.1::DOUBLE), (0.15::DOUBLE)) x(t), (VALUES (32), (128)) y(b)"""
 
 
 def _times(spark, d):
@@ -179,7 +179,7 @@ def _times(spark, d):
 
 _RECORDS = f"""WITH t AS (SELECT matrix_id, i // {HEIGHT} AS ti, j // {WIDTH} AS tj, count(*) AS n FROM {MANY_SQL} GROUP BY 1, 2, 3), x AS ({_TIMES}), z AS (SELECT ceil({{M}} / {HEIGHT}.0) * ceil({{K}} / {WIDTH}.0) AS tiles),
     s AS (SELECT matrix_id, v AS threshold, sum(n) AS nnz, count(*) AS filled, sum(CASE WHEN n > v * {HEIGHT * WIDTH} THEN {HEIGHT * WIDTH} - n ELSE 0 END) AS padding, sum(CASE WHEN n > v * {HEIGHT * WIDTH} THEN n ELSE 0 END) AS dense_nnz,
-        count(*) FILTER (n > v * {HEIGHT * WIDTH}) AS dense_tiles, min(n) AS least, max(n) AS most FROM t, (VALUES (0.05), (0.1), (0.15)) y(v) GROUP BY 1, 2),
+        count(*) FILTER (n > v * {HEIGHT * WIDTH}) AS dense_tiles, min(n) AS least, max(n) AS most FROM t, (VALUES (0.05::DOUBLE), (0.1::DOUBLE), (0.15::DOUBLE)) y(v) GROUP BY 1, 2),
     f AS (SELECT matrix_id, threshold, b_cols, CAST({{M}} AS INTEGER) AS m, CAST({{K}} AS INTEGER) AS k, CAST(nnz AS BIGINT) AS nnz, CAST(padding AS BIGINT) AS padding, dense_tiles, '{HEIGHT}x{WIDTH}' AS tile_shape, {HEIGHT * WIDTH} AS tile_vol,
         round(CASE WHEN filled < tiles THEN 0 ELSE least / {HEIGHT * WIDTH} END, 6) AS tile_nnz_pct_min, round(most / {HEIGHT * WIDTH}, 6) AS tile_nnz_pct_max, round(nnz / {HEIGHT * WIDTH} / tiles, 6) AS tile_nnz_pct_mean, round(dense_nnz / nnz, 6) AS dense_ratio,
         spmm, gemm, round(sparse_blocked + dense_blocked, 6) AS total_blocked, round(sparse_sep + dense_sep, 6) AS total_sep, round(sparse_full + dense_full, 6) AS total_full,
