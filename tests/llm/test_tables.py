@@ -109,6 +109,14 @@ def test_whole_epochs(spark):
         assert len(mine) == n and sum(p["n_tokens"] for p in mine) == tokens
 
 
+def test_mix_of_a_very_long_text(spark):
+    rows = documents(n=3)[:3] + [(50, "word " * 400_000, "en", "src0", 9, "x", "y", 5, 6, "z", 7, 8, 9)]
+    target = mixing.Target(max_repetition=2.0)
+    docs, sources, placed = mix(spark, rows, target)
+    check_placements(rows, sources, placed, target)
+    assert mixing.mixed(docs, target).count() == len(placed)
+
+
 def test_mix_without_rows(spark):
     assert mixing.mixed(frame(spark, [])).count() == 0
     _, sources, placed = mix(spark, [], mixing.Target())

@@ -185,6 +185,34 @@ def test_held_out_rows_are_not_learned_from(spark):
     assert few.select("id").distinct().count() <= 10
 
 
+def test_columns_of_clashing_names_and_a_long_text(spark):
+    docs, labels = labelled(spark)
+    long = spark.createDataFrame([(7000, "the river falls " * 100_000)], "doc_id long, text string")
+    docs = docs.unionByName(long).withColumns({"id": F.lit(1), "label": F.lit(2), "score": F.lit(3), "held_out": F.lit(True)})
+    labels = labels.withColumn("id", F.lit(1)).withColumn("label", F.lit(0))
+    net = quality.train(docs, labels, quality.Settings(steps=120))
+    scored = {x["id"]: x["score"] for x in quality.score(docs, net).where("id in (0, 1, 7000)").collect()}
+    assert scored[0] < 0.7 <= min(scored[1], scored[7000])
+    assert quality.keep_good(docs, net).columns == docs.columns
+
+
+def test_sampled_bytes_are_bounded(spark):
+    docs, labels = labelled(spark)
+    texts = []
+
+    class Spy(quality.Network):
+        def fit(self, got, marks):
+            texts.extend(got)
+            return super().fit(got, marks)
+
+    original, quality.Network = quality.Network, Spy
+    try:
+        quality.train(docs, labels, quality.Settings(steps=5, sample_bytes=3000))
+    finally:
+        quality.Network = original
+    assert texts and sum(map(len, texts)) <= 3000
+
+
 def test_nothing_to_learn_from(spark):
     docs, labels = labelled(spark)
     assert quality.score(docs.limit(3), quality.train(docs, labels.where("false"))).select("score").distinct().collect() == [(1.0,)]
