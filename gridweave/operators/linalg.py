@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.operators.matrix import tiles
+from gridweave.operators.matrix import delta_decode, delta_rows, tiles
 from gridweave.plans.prefix import exclusive_prefix
 
 FLOAT_EPS, DOUBLE_EPS = 1.1920929e-7, 2.220446049250313e-16
@@ -103,6 +103,11 @@ def spmm_hybrid(a: DataFrame, b: DataFrame, height: int, width: int, threshold:
     return spmm_coord(dense, b).unionByName(spmm_coord(sparse, b)).groupBy("i", "c").agg(F.sum("x").alias("x"))
 
 
+def spmm_delta(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The product from column gaps: ``a`` is encoded, decoded by running sums and multiplied."""
+    return spmm_coord(delta_decode(delta_rows(a)), b)
+
+
 #: Strategies by name; each takes ``(a, b, **options)``.
 STRATEGIES: dict[str, Callable[..., DataFrame]] = {
     "coord": spmm_coord,
@@ -110,6 +115,7 @@ STRATEGIES: dict[str, Callable[..., DataFrame]] = {
     "blocked": spmm_blocked,
     "pattern": spmm_pattern,
     "hybrid": spmm_hybrid,
+    "delta": spmm_delta,
 }
 
 

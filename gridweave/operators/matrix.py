@@ -53,6 +53,17 @@ def delta_encode(nz: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return neighbours(nz.select(*by, "i", "j"), "j", [*by, "i"]).select(*by, "i", "j", (F.col("j") - F.coalesce("previous", F.lit(0))).alias("gap"))
 
 
+def delta_rows(nz: DataFrame) -> DataFrame:
+    """``(i, q, gap, v)``: a row's entries by place, with column gaps in place of columns."""
+    placed = exclusive_prefix(nz.select("i", "j", "v"), F.lit(1), "j", by=["i"], out="q")
+    return neighbours(placed, "j", ["i"]).select("i", "q", (F.col("j") - F.coalesce("previous", F.lit(0))).alias("gap"), "v")
+
+
+def delta_decode(coded: DataFrame) -> DataFrame:
+    """Entries ``(i, j, v)`` of :func:`delta_rows`: columns are the running sums of the gaps."""
+    return exclusive_prefix(coded, "gap", "q", by=["i"], out="before").select("i", (F.col("before") + F.col("gap")).alias("j"), "v")
+
+
 def density_order(nz: DataFrame, size: int, axis: str = "j") -> DataFrame:
     """``(line, n, place)``: lines by ascending number of entries, ties by index; empty ones first."""
     counts = line_counts(nz, size, axis)

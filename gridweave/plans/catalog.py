@@ -109,6 +109,11 @@ def spmm_hybrid_split(spark, d):
     return linalg.spmm(matrix_a(spark, d), part_b(spark, d), "hybrid", height=HEIGHT, width=WIDTH, threshold=0.26).select("i", F.col("x").alias("c"))
 
 
+@query(_SPMM)
+def spmm_delta(spark, d):
+    return linalg.spmm(matrix_a(spark, d), part_b(spark, d), "delta").select("i", F.col("x").alias("c"))
+
+
 @query(
     """SELECT vec_id AS i, c, round(sum(w * ((j * (c + 1)) % 5)), 3) AS x
     FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS w, unnest(range(len(embedding))) AS j FROM embeddings), range(2) t(c) GROUP BY 1, 2"""

@@ -16,7 +16,7 @@ def random_coo(spark, m=37, k=53, density=0.3, seed=1):
     return dense, spark.createDataFrame(rows, "i long, j long, v double")
 
 
-@pytest.mark.parametrize("strategy", ["coord", "vector", "blocked", "pattern", "hybrid"])
+@pytest.mark.parametrize("strategy", ["coord", "vector", "blocked", "pattern", "hybrid", "delta"])
 def test_products_agree_with_numpy(spark, strategy):
     dense, a = random_coo(spark)
     b = np.arange(53 * 3).reshape(53, 3) % 11
@@ -137,6 +137,17 @@ def test_least_squares_needs_independent_features(spark):
         patterns.least_squares(rows.withColumn("b", F.col("a") * 2), ["a", "b"], "y")
 
 
+def test_four_constants_of_the_panel_cost(spark):
+    """Panel, check, base and entry constants are found again from panel costs."""
+    rng = np.random.default_rng(6)
+    rows = sorted({(int(a), int(b)) for a, b in zip(rng.integers(0, 60, 900), rng.integers(0, 50, 900))})
+    a = spark.createDataFrame(rows, "i long, j long")
+    cost = patterns.panel_cost(a, patterns.identity_mapping(spark, 4), 4, panel=5.0, check=2.0, base=3.0, entry=4.0)
+    counts = [F.lit(1.0).alias("panel"), F.count_distinct("pattern").alias("kinds"), F.count(F.lit(1)).alias("cols"), F.sum(F.bit_count("pattern")).alias("nnz")]
+    features = patterns.codes(a, 4).groupBy("p").agg(*counts)
+    assert patterns.least_squares(features.join(cost, "p"), ["panel", "kinds", "cols", "nnz"], "cost") == pytest.approx([5.0, 2.0, 3.0, 4.0])
+
+
 def test_pivot_rejects_repeats_unless_told(spark):
     df = spark.createDataFrame([(1, "a", 2.0), (1, "a", 1.0), (2, "b", 3.0)], "k int, name string, time double")
     with pytest.raises(Exception, match="occurs twice"):
