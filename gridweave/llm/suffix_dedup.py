@@ -527,7 +527,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     packed = _pack_blocks(distinct, id_type, length).repartition(n_files, "block")
     packed.write.bucketBy(n_files, "block").format("parquet").option("path", path).saveAsTable(table)
     v, cover = cover_for(length)
-    job = Job(length, 1 + total * len(cover) // v // SAMPLES, 1 + total // SUFFIXES, 1 + total // STRINGS, SAMPLE_BITS, SUFFIX_BITS)
+    # At least a bucket for each task, so that all have work on small inputs too.
+    buckets = [max(n_files, 1 + n) for n in (total * len(cover) // v // SAMPLES, total // SUFFIXES, total // STRINGS)]
+    job = Job(length, *buckets, SAMPLE_BITS, SUFFIX_BITS)
     blocks = spark.table(table)
     blocks = _round(blocks, job.samples, [], _answer_samples, "sample_answers", n_files)
     blocks = _round(blocks, job.suffixes, ["sample_answers"], _answer_suffixes, "suffix_answers", n_files)
