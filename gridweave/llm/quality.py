@@ -32,14 +32,14 @@ from gridweave.llm.text import small_batches
 
 @dataclass(frozen=True)
 class Settings:
-    width: int = 8
-    filters: int = 16
+    width: int = 6
+    filters: int = 12
     chunk: int = 1024
     rows_per_class: int = 1500
     sample_bytes: int = 64 << 20
-    steps: int = 1200
+    steps: int = 1000
     batch: int = 64
-    rate: float = 0.01
+    rate: float = 0.02
     decay: float = 1e-4
     seed: int = 5
     threshold: float = 0.7
