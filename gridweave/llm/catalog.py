@@ -1,4 +1,4 @@
-"""The ten operators as queries over the driver's tables."""
+"""The operators for training data as queries over the driver's tables."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridweave.llm import bpe, exact_dedup, html_text, mixing, quality, simhash, suffix_dedup, topk, url_filter, warc
+from gridweave.llm import bpe, exact_dedup, html_text, mixing, quality, simhash, suffix_dedup, topk, url_filter, vector_codes, warc
 from gridweave.llm.text import table
 from gridweave.plans.staging import materialise
 
@@ -148,6 +148,48 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select(F.col("id").alias("doc_id"), simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product code of every vector, with its error, its label's error and the digest of the codebooks."""
+    coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings"), scale=1024, parts=4, entries=256, rounds=4)
+    return coded.select(F.col("id").alias("vec_id"), "code", "error", "label_error", F.lit(books.digest()).alias("codebooks_sha256"))
+
+
+def _op11_sql(rounds: int = 4) -> str:
+    """A round is a pair of views: places of the nearest entries, and their means. Whole numbers in doubles are exact here."""
+    out = ["""
+WITH v AS MATERIALIZED (
+    SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) - 1 AS n, vec_id, label,
+        list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS w
+    FROM embeddings
+    WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), p AS MATERIALIZED (
+    SELECT n, part, w[part * (len(w) // 4) + 1 : (part + 1) * (len(w) // 4)] AS x FROM v, range(4) AS r(part)
+), b0 AS MATERIALIZED (SELECT part, n AS entry, x AS c FROM p WHERE n < 256)"""]
+    for k in range(rounds + 1):
+        out.append(f"""a{k} AS MATERIALIZED (
+    SELECT n, part, any_value(x) AS x, min([d, entry])[2] AS entry, CAST(min(d) AS BIGINT) AS d
+    FROM (SELECT n, part, x, entry, list_dot_product(x, x) - 2 * list_dot_product(x, c) + list_dot_product(c, c) AS d FROM p JOIN b{k} USING (part))
+    GROUP BY n, part
+)""")
+        if k < rounds:
+            out.append(f"""m{k} AS MATERIALIZED (
+    SELECT part, entry, list(floor(total / count) ORDER BY place) AS mean
+    FROM (SELECT part, entry, place, sum(value) AS total, count(*) AS count
+        FROM (SELECT part, entry, unnest(x) AS value, generate_subscripts(x, 1) AS place FROM a{k}) GROUP BY part, entry, place)
+    GROUP BY part, entry
+), b{k + 1} AS MATERIALIZED (SELECT part, b.entry, coalesce(mean, c) AS c FROM b{k} b LEFT JOIN m{k} USING (part, entry))""")
+    return ", ".join(out) + f""", s AS (
+    SELECT sha256(string_agg(CAST(CAST(value AS BIGINT) AS VARCHAR), ',' ORDER BY part, entry, place)) AS codebooks_sha256
+    FROM (SELECT part, entry, unnest(c) AS value, generate_subscripts(c, 1) AS place FROM b{rounds})
+), e AS (
+    SELECT n, lower(string_agg(printf('%02x', CAST(entry AS INTEGER)), '' ORDER BY part)) AS code, CAST(sum(d) AS BIGINT) AS error
+    FROM a{rounds} GROUP BY n
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM v JOIN e USING (n), s
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_temperature_mix": op1_temperature_mix,
     "op2_url_filter": op2_url_filter,
@@ -159,8 +201,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_warc": op9_warc,
     "op10_simhash": op10_simhash,
+    "op11_vector_codes": op11_vector_codes,
 }
-SQL = {"op2_url_filter": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op7_topk": OP7_SQL, "op9_warc": OP9_SQL}
+SQL = {"op2_url_filter": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op7_topk": OP7_SQL, "op9_warc": OP9_SQL, "op11_vector_codes": _op11_sql()}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
