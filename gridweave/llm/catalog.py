@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridweave.llm import bpe, exact_dedup, html_text, mixing, quality, simhash, suffix_dedup, topk, url_filter, vector_codes, warc
+from gridweave.llm import bpe, exact_dedup, html_text, mixing, quality, simhash, suffix_dedup, token_alignment, topk, url_filter, vector_codes, warc
 from gridweave.llm.text import table
 from gridweave.plans.staging import materialise
 
@@ -190,6 +190,14 @@ FROM v JOIN e USING (n), s
 """
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the tokens of two tokenizers align in every document, and how common its linked pairs are in all of them."""
+    aligned = token_alignment.align(table(spark, sf_dir, "documents"), vocab="byte_bpe_50k.json", pieces="piece_bpe_32k.model")
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)).alias("groups_sha256")
+    found = token_alignment.with_counts(aligned.select("row", "id", "n_a", "n_b", "n_groups", "n_links", digest, "pairs", "times"))
+    return found.select(F.col("id").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_temperature_mix": op1_temperature_mix,
     "op2_url_filter": op2_url_filter,
@@ -202,6 +210,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc": op9_warc,
     "op10_simhash": op10_simhash,
     "op11_vector_codes": op11_vector_codes,
+    "op12_token_alignment": op12_token_alignment,
 }
 SQL = {"op2_url_filter": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op7_topk": OP7_SQL, "op9_warc": OP9_SQL, "op11_vector_codes": _op11_sql()}
 
