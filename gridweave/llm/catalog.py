@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridweave.llm import bpe, exact_dedup, html_text, mixing, quality, simhash, suffix_dedup, token_alignment, topk, url_filter, vector_codes, warc
+from gridweave.llm import bpe, exact_dedup, html_text, mixing, phrase_dedup, quality, simhash, suffix_dedup, token_alignment, topk, url_filter, vector_codes, warc
 from gridweave.llm.text import table
 from gridweave.plans.staging import materialise
 
@@ -198,6 +198,13 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
+def op13_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every document when words under windows of 20 words that start earlier too go."""
+    made = phrase_dedup.remove_phrases(table(spark, sf_dir, "documents"), length=20)
+    removed = F.aggregate(F.zip_with("ends", "starts", lambda a, b: a - b), F.lit(0).cast("bigint"), lambda a, b: a + b)
+    return made.select(F.col("id").alias("doc_id"), "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_temperature_mix": op1_temperature_mix,
     "op2_url_filter": op2_url_filter,
@@ -211,6 +218,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash": op10_simhash,
     "op11_vector_codes": op11_vector_codes,
     "op12_token_alignment": op12_token_alignment,
+    "op13_phrase_dedup": op13_phrase_dedup,
 }
 SQL = {"op2_url_filter": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op7_topk": OP7_SQL, "op9_warc": OP9_SQL, "op11_vector_codes": _op11_sql()}
 
