@@ -205,6 +205,26 @@ def op13_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select(F.col("id").alias("doc_id"), "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+OP13_SQL = r"""
+WITH d AS MATERIALIZED (
+    SELECT row_number() OVER (ORDER BY doc_id NULLS LAST, sha256(coalesce(text, ''))) AS n, doc_id,
+        regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+    FROM documents
+), w AS (SELECT n, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM d),
+x AS (
+    SELECT n, i, word, count(*) OVER ahead AS held, list(word) OVER ahead AS phrase
+    FROM w WINDOW ahead AS (PARTITION BY n ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)
+), y AS (SELECT n, i, word, held = 20 AND row_number() OVER (PARTITION BY phrase ORDER BY n, i) > 1 AS again FROM x),
+z AS (SELECT n, i, word, bool_or(again) OVER (PARTITION BY n ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM y),
+k AS (
+    SELECT n, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY i) FILTER (NOT gone), '') AS kept
+    FROM z GROUP BY n
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (n)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_temperature_mix": op1_temperature_mix,
     "op2_url_filter": op2_url_filter,
@@ -220,7 +240,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op12_token_alignment": op12_token_alignment,
     "op13_phrase_dedup": op13_phrase_dedup,
 }
-SQL = {"op2_url_filter": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op7_topk": OP7_SQL, "op9_warc": OP9_SQL, "op11_vector_codes": _op11_sql()}
+SQL = {"op2_url_filter": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op7_topk": OP7_SQL, "op9_warc": OP9_SQL, "op11_vector_codes": _op11_sql(), "op13_phrase_dedup": OP13_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
