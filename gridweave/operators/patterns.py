@@ -13,6 +13,8 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gridweave.plans.staging import materialise
+
 #: Constants of the subset cost (fixed values): check, base and entry cost.
 N_CHECK, N_BASE, N_ENTRY = 2.0, 1.15, 0.2
 #: Most groups that pair costs are made for: patterns of eight rows.
@@ -393,3 +395,25 @@ def greedy_matching(pairs: Sequence[tuple[int, int, float]]) -> list[tuple[int,
             taken |= {a, b}
             chosen.append((a, b))
     return chosen
+
+
+def matching(pairs: DataFrame) -> DataFrame:
+    """``(a, b, padding, round)`` of ``pairs(a, b, padding)``: the disjoint pairs that greedy matching takes, by
+    ascending cost, ties by number.
+
+    Nothing is sorted: a pair that is the least of both its groups is taken whatever comes before it, so each
+    round takes all such pairs at once and drops the pairs that meet them. ``round`` tells when. A null cost is
+    no pair, nor is a group with itself.
+    """
+    left = materialise(pairs.where("a <> b and padding is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "padding"), "pairs")
+    chosen, number = None, 0
+    while chosen is None or not left.isEmpty():
+        each = left.select(F.explode(F.array("a", "b")).alias("group"), F.struct("padding", "a", "b").alias("pair"))
+        best = each.groupBy("group").agg(F.min("pair").alias("pair")).groupBy("pair").agg(F.count(F.lit(1)).alias("n"))
+        taken = materialise(best.where("n = 2").select("pair.a", "pair.b", "pair.padding", F.lit(number).alias("round")), "taken")
+        chosen, number = taken if chosen is None else chosen.unionByName(taken), number + 1
+        gone = taken.select(F.explode(F.array("a", "b")).alias("group"))
+        for end in ("a", "b"):
+            left = left.join(gone.withColumnRenamed("group", end), end, "left_anti")
+        left = materialise(left.select("a", "b", "padding"), "pairs")
+    return chosen

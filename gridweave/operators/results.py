@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridweave.functions.scalar import any_of
+from gridweave.operators.order_statistics import elements, medians
+from gridweave.plans.staging import materialise
 
 
 def where_all(df: DataFrame, **wanted) -> DataFrame:
@@ -165,18 +167,14 @@ def cumulative(df: DataFrame, keys: Sequence[str], order: str, value: str, out:
 
 def tuned(runs: DataFrame, keys: Sequence[str], config: Sequence[str], time: str = "time") -> DataFrame:
     """Best configuration of each key by the median over its repetitions, ties to the smaller one."""
-    medians = runs.groupBy(*keys, *config).agg(F.median(time).alias("median_time"))
+    middle = medians(runs, [*keys, *config], time, "median_time")
     best = F.min(F.struct("median_time", *config)).alias("best")
-    return medians.groupBy(*keys).agg(best).select(*keys, "best.*")
+    return middle.groupBy(*keys).agg(best).select(*keys, "best.*")
 
 
 def upper_medians(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """``keys, upper_med``: element ``n div 2`` of each group's sorted values, from 0. Equal values are
-    counted first, so a window holds a group's distinct values and no task holds a list."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
-    group = Window.partitionBy(*keys)
-    held = counts.withColumn("upto", F.sum("n").over(group.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("n").over(group))
-    return held.where(F.col("upto") > F.floor(F.col("all") / 2)).groupBy(*keys).agg(F.min(value).alias("upper_med"))
+    """``keys, upper_med``: element ``n div 2`` of each group's sorted values, from 0."""
+    return elements(df, keys, value, {"upper_med": lambda n: F.floor(n / 2)})
 
 
 def max_speedups(df: DataFrame, keys: Sequence[str], baseline: str, forms: Sequence[str]) -> DataFrame:
@@ -197,26 +195,36 @@ def first_values(grid_: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
     return keep_first(grid_, keys, order)
 
 
-def profile_shares(events: DataFrame, mapping: dict[str, str], rest: str = "remaining", depth: int = 20) -> DataFrame:
+def profile_shares(events: DataFrame, mapping: dict[str, str], rest: str = "remaining") -> DataFrame:
     """``(kernel, time)`` of a profile: ``events(event, parent, name, total)``, where the total of an event
     includes its children. Mapped names take their whole total; of the others, children are looked at, and
-    their own time, without the children's, counts as ``rest``. Trees are at most ``depth`` high.
+    their own time, without the children's, counts as ``rest``. Events below one that is not there count nowhere.
+
+    Trees can have any depth: every event points to an ancestor and knows whether a mapped one stands on the way,
+    and each round doubles the way, so a chain of a million events takes twenty rounds. A cycle is an error.
     """
     kernel = F.try_element_at(F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair]), F.col("name"))
-    named = events.withColumn("kernel", kernel)
+    named = events.select("event", "parent", "total", kernel.alias("kernel"))
     children = named.groupBy(F.col("parent").alias("event")).agg(F.sum("total").alias("below"))
-    front, parts = named.where("parent is null"), []
-    for _ in range(depth):
-        parts.append(front.join(children, "event", "left").select(
-            F.coalesce("kernel", F.lit(rest)).alias("kernel"),
-            F.when(F.col("kernel").isNotNull(), F.col("total")).otherwise(F.col("total") - F.coalesce("below", F.lit(0))).alias("time"),
-        ))
-        opened = front.where("kernel is null").select(F.col("event").alias("parent"))
-        front = named.join(opened, "parent", "left_semi")
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.groupBy("kernel").agg(F.sum("time").alias("time"))
+    # ``inner``: whether the events from here on up to the pointer, this one included, hold a mapped one.
+    way = materialise(named.select("event", F.col("parent").alias("up"), F.col("kernel").isNotNull().alias("inner")), "ways")
+    for _ in range(way.count().bit_length() + 1):
+        if way.where("up is not null").isEmpty():
+            break
+        above = way.select(F.col("event").alias("up"), F.col("up").alias("next"), F.col("inner").alias("more"))
+        # An ancestor that is not there covers what is below it.
+        joined = way.join(above, "up", "left")
+        covered = F.col("up").isNotNull() & F.coalesce("more", F.lit(True))
+        way = materialise(joined.select("event", F.col("next").alias("up"), (F.col("inner") | covered).alias("inner")), "ways")
+    else:
+        if not way.where("up is not null").isEmpty():
+            raise ValueError("the events of the profile form a cycle")
+    # An event counts if no event above it is mapped: its parent's way holds none.
+    above = way.select(F.col("event").alias("parent"), F.col("inner").alias("covered"))
+    open_ = named.join(above, "parent", "left").where(F.col("parent").isNull() | ~F.coalesce("covered", F.lit(True)))
+    time = F.when(F.col("kernel").isNotNull(), F.col("total")).otherwise(F.col("total") - F.coalesce("below", F.lit(0)))
+    parts = open_.join(children, "event", "left").select(F.coalesce("kernel", F.lit(rest)).alias("kernel"), time.alias("time"))
+    return parts.groupBy("kernel").agg(F.sum("time").alias("time"))
 
 
 def grid(spark, axes: dict[str, Sequence]) -> DataFrame:

@@ -20,13 +20,42 @@ def tile_count(m: int, k: int, height: int, width: int) -> int:
     return math.ceil(m / height) * math.ceil(k / width)
 
 
+#: Words of 64 marks that one aggregate has for a side of a tile.
+MOST_WORDS = 16
+
+
+def _marks(at: Column, size: int) -> list[Column]:
+    """Words of 64 bits that mark which places below ``size`` occur."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), (at % 64).cast("int"))
+    return [F.bit_or(bit)] if size <= 64 else [F.bit_or(F.when(F.floor(at / 64) == word, bit)) for word in range(math.ceil(size / 64))]
+
+
+def _marked(prefix: str, n: int) -> Column:
+    out = F.lit(0).cast("bigint")
+    for k in range(n):
+        out = out + F.coalesce(F.bit_count(f"{prefix}{k}"), F.lit(0))
+    return out
+
+
 def tile_stats(nz: DataFrame, m: int, k: int, height: int, width: int) -> DataFrame:
-    """One row for each non-empty tile: entries, active rows and columns, and its clipped size."""
+    """One row for each non-empty tile: entries, active rows and columns, and its clipped size.
+
+    Rows and columns are marked in words of 64 bits while entries are summed, so no entry is copied and no
+    list of rows is held. Tiles of more than ``MOST_WORDS`` words a side are marked in bit maps by segments first.
+    """
+    cells = tiles(nz, height, width)
+    if max(height, width) <= 64 * MOST_WORDS:
+        rows, cols = _marks(F.col("i") % height, height), _marks(F.col("j") % width, width)
+        marked = cells.groupBy("ti", "tj").agg(F.count(F.lit(1)).alias("nnz"), *[x.alias(f"r{k}") for k, x in enumerate(rows)], *[x.alias(f"c{k}") for k, x in enumerate(cols)])
+        made = marked.select("ti", "tj", "nnz", _marked("r", len(rows)).alias("active_rows"), _marked("c", len(cols)).alias("active_cols"))
+    else:
+        made = cells.groupBy("ti", "tj").agg(F.count(F.lit(1)).alias("nnz"))
+        for line, size, out in (("i", height, "active_rows"), ("j", width, "active_cols")):
+            at = F.col(line) % size
+            segments = cells.groupBy("ti", "tj", F.bitmap_bucket_number(at).alias("segment")).agg(F.bitmap_count(F.bitmap_construct_agg(F.bitmap_bit_position(at))).alias("n"))
+            made = made.join(segments.groupBy("ti", "tj").agg(F.sum("n").alias(out)), ["ti", "tj"])
     return (
-        tiles(nz, height, width)
-        .groupBy("ti", "tj")
-        .agg(F.count(F.lit(1)).alias("nnz"), F.count_distinct("i").alias("active_rows"), F.count_distinct("j").alias("active_cols"))
-        .withColumn("tile_h", F.least(F.lit(height), F.lit(m) - F.col("ti") * height).cast("int"))
+        made.withColumn("tile_h", F.least(F.lit(height), F.lit(m) - F.col("ti") * height).cast("int"))
         .withColumn("tile_w", F.least(F.lit(width), F.lit(k) - F.col("tj") * width).cast("int"))
     )
 

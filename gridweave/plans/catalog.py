@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from gridweave.functions import scalar
 from gridweave.operators import hybrid, linalg, matrix, patterns, results, structure
+from gridweave.operators.order_statistics import medians
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -65,7 +66,7 @@ def part_b(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def log(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
-    return events.groupBy("user_id", F.col("event_type").alias("name")).agg(F.median("value").alias("time"))
+    return medians(events.withColumnRenamed("event_type", "name"), ["user_id", "name"], "value", "time")
 
 
 def r(column, places: int = 6):
@@ -894,7 +895,8 @@ def classify_first_match(spark, d):
 def repetition_summary(spark, d):
     """Median, upper median, mean and deviation of the repetitions of one method on one matrix."""
     rows = table(spark, d, "events").select("user_id", F.col("event_type").alias("name"), "value")
-    made = rows.groupBy("user_id", "name").agg(F.median("value").alias("med"), r(F.avg("value")).alias("mean"), r(F.stddev_samp("value")).alias("std"))
+    made = rows.groupBy("user_id", "name").agg(r(F.avg("value")).alias("mean"), r(F.stddev_samp("value")).alias("std"))
+    made = made.join(medians(rows, ["user_id", "name"], "value", "med"), ["user_id", "name"])
     return made.join(results.upper_medians(rows, ["user_id", "name"], "value"), ["user_id", "name"], "left")
 
 
@@ -977,4 +979,4 @@ def method_components(spark, d):
 
 
 # Registers the queries of the other modules.
-from gridweave.plans import extra, files  # noqa: E402, F401
+from gridweave.plans import extra, files, whole  # noqa: E402, F401

@@ -345,7 +345,7 @@ def profile_by_kernel(spark, d):
     top = top.select(F.concat(F.lit("o"), "o_orderkey").alias("event"), F.lit(None).cast("string").alias("parent"), F.lit("order").alias("name"), "total")
     low = table(spark, d, "lineitem").groupBy("l_orderkey", F.col("l_returnflag").alias("name")).agg(F.sum("l_extendedprice").alias("total"))
     low = low.select(F.concat(F.lit("l"), "l_orderkey", "name").alias("event"), F.concat(F.lit("o"), "l_orderkey").alias("parent"), "name", "total")
-    made = results.profile_shares(top.unionByName(low), {"A": "spmm", "R": "gemm"}, depth=2)
+    made = results.profile_shares(top.unionByName(low), {"A": "spmm", "R": "gemm"})
     return made.select("kernel", r("time", 2).alias("time"))
 
 
