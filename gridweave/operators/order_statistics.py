@@ -15,6 +15,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,28 +28,20 @@ MOST, MOST_BROADCAST = 1 << 14, 1 << 12
 DIGIT = 16
 
 
-@F.pandas_udf("bigint")
-def _bits_of_double(x):
+def _bits_of_double(x: pd.Series) -> pd.Series:
     """Bits whose signed order is that of the numbers."""
-    import numpy as np
-    import pandas as pd
-
     bits = (x.to_numpy(np.float64) + 0.0).view(np.int64)
     return pd.Series(np.where(bits < 0, bits ^ np.int64(2**63 - 1), bits))
 
 
-@F.pandas_udf("double")
-def _double_of_bits(x):
-    import numpy as np
-    import pandas as pd
-
+def _double_of_bits(x: pd.Series) -> pd.Series:
     bits = x.to_numpy(np.int64)
     return pd.Series(np.where(bits < 0, bits ^ np.int64(2**63 - 1), bits).view(np.float64))
 
 
 def _as_bits(value: Column, kind: T.DataType) -> Column:
     if isinstance(kind, (T.FloatType, T.DoubleType)):
-        signed = _bits_of_double(value.cast("double"))
+        signed = F.pandas_udf(_bits_of_double, "bigint")(value.cast("double"))
     elif isinstance(kind, T.DecimalType):
         signed = (value * F.lit(10**kind.scale)).cast("bigint")
     else:
@@ -58,7 +52,7 @@ def _as_bits(value: Column, kind: T.DataType) -> Column:
 def _from_bits(bits: Column, kind: T.DataType) -> Column:
     signed = bits.bitwiseXOR(F.lit(-(2**63)))
     if isinstance(kind, (T.FloatType, T.DoubleType)):
-        return _double_of_bits(signed).cast(kind)
+        return F.pandas_udf(_double_of_bits, "double")(signed).cast(kind)
     if isinstance(kind, T.DecimalType):
         return (signed.cast("decimal(38,0)") / F.lit(10**kind.scale)).cast(kind)
     return signed.cast(kind)
