@@ -75,6 +75,5 @@ def drop_ids(rows: DataFrame, id_col: str, dropped: DataFrame, n_dropped: int) -
         return rows
     bits, words = build_filter(dropped, id_col, n_dropped)
     test = maybe(F.col(f"`{id_col}`"), bits, words)
-    gone = dropped.select(F.col(f"`{id_col}`").alias("_gone"))
-    kept = rows.where(test).alias("r").join(gone, F.col(f"r.`{id_col}`") == F.col("_gone"), "left_anti")
+    kept = rows.where(test).alias("r").join(dropped.alias("gone"), F.col(f"r.`{id_col}`") == F.col(f"gone.`{id_col}`"), "left_anti")
     return rows.where(~test).unionByName(kept)

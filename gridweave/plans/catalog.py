@@ -349,7 +349,7 @@ def run_length_stats(spark, d):
 _Q = "SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY j) - 1 AS q FROM {A}"
 
 
-@query(f"WITH p AS MATERIALIZED ({_Q}) SELECT a.i, CAST(a.q AS INTEGER) AS q, b.j - a.j AS dj FROM p a JOIN p b ON b.i = a.i + 1 AND b.q = a.q")
+@query(f"WITH p AS ({_Q}) SELECT i, CAST(q AS INTEGER) AS q, next - j AS dj FROM (SELECT *, lead(i) OVER w AS below, lead(j) OVER w AS next FROM p WINDOW w AS (PARTITION BY q ORDER BY i)) WHERE below = i + 1")
 def fopd_dim0(spark, d):
     return structure.row_differences(matrix_a(spark, d))
 

@@ -257,18 +257,18 @@ def sparsity_ranges(spark, d):
     return table(spark, d, "part").select(s.alias("s")).where("s <= 1").select("s", scalar.sparsity_range(F.col("s")).alias("range"))
 
 
-@query(f"SELECT i, s FROM (SELECT i, round(1 - count(*) / {{K}}, 6) AS s FROM {{A}} GROUP BY 1) ORDER BY s, i LIMIT 50")
+@query(f"SELECT i, s FROM (SELECT i, round(1 - count(*) / {{K}}, 6) AS s FROM {{A}} GROUP BY 1) ORDER BY s, i")
 def sparsest_last(spark, d):
-    """The fifty rows of the lowest sparsity, in order."""
+    """All rows by their sparsity, in order."""
     k = sizes(spark, d)[1]
     rows = matrix_a(spark, d).groupBy("i").agg(r(1 - F.count(F.lit(1)) / k).alias("s"))
-    return rows.orderBy("s", "i").limit(50)
+    return rows.orderBy("s", "i")
 
 
-@query("SELECT i, j, v FROM {A} ORDER BY v, i, j LIMIT 100")
+@query("SELECT i, j, v FROM {A} ORDER BY v, i, j")
 def entries_by_value(spark, d):
-    """The hundred smallest entries."""
-    return matrix.by_value(matrix_a(spark, d)).limit(100)
+    """All entries by their value."""
+    return matrix.by_value(matrix_a(spark, d))
 
 
 @query("SELECT p_partkey, 'bench_ ' || p_size || '_ ' || (p_size % 7) || '_x' AS name, upper(p_type[1:1]) || '|' || p_partkey || '|' || p_size AS id FROM part")

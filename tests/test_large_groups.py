@@ -113,3 +113,13 @@ def test_matching_is_the_sequential_one(spark, seed):
     got = patterns.matching(df).collect()
     assert sorted((r.a, r.b) for r in got) == sorted(patterns.greedy_matching(pairs))
     assert patterns.matching(df.where("false")).collect() == []
+
+
+def test_dropped_ids_and_clashing_names(spark):
+    from gridweave.operators.membership import drop_ids
+
+    rows = spark.createDataFrame([(k, k + 1, "x") for k in range(50)] + [(None, 1, "y")], "doc_id long, _gone long, gone string")
+    dropped = spark.createDataFrame([(k,) for k in range(0, 50, 3)], "doc_id long")
+    got = drop_ids(rows, "doc_id", dropped, 17).collect()
+    assert sorted(r.doc_id for r in got if r.doc_id is not None) == [k for k in range(50) if k % 3] and len(got) == 34
+    assert rows.columns == ["doc_id", "_gone", "gone"] and all(r._gone == r.doc_id + 1 for r in got if r.doc_id is not None)
