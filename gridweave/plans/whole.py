@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 
 from gridweave.operators import patterns, reordering, results, similarity
 from gridweave.operators.order_statistics import percentiles
-from gridweave.plans.catalog import PANEL, matrix_a, query, r, table
+from gridweave.plans.catalog import HEIGHT, PANEL, matrix_a, query, r, sizes, table
+from gridweave.plans.prefix import exclusive_prefix
+from gridweave.plans.staging import new_path
+from gridweave.sources import matrices, split_readers
 
 #: Orders by suppliers: many short rows, with copies.
 O_SQL = "(SELECT DISTINCT l_orderkey AS i, l_suppkey AS j FROM lineitem)"
@@ -46,8 +49,6 @@ def nearest_row_order(spark, d):
 )
 def row_order_gain(spark, d):
     """The order is a permutation of all rows, and its distance is at most three quarters of that of the rows by number."""
-    from gridweave.plans.prefix import exclusive_prefix
-
     rows = matrix_o(spark, d)
     before = exclusive_prefix(rows.select("i").distinct(), F.lit(1), "i", out="place").select("i", "place")
     before = reordering.path_distances(rows, before).agg(F.sum("distance").alias("distance_before"))
@@ -96,3 +97,59 @@ def matched_groups(spark, d):
     hist = patterns.codes(matrix_a(spark, d), PANEL).groupBy("pattern").agg(F.count(F.lit(1)).alias("cnt"))
     costs = patterns.group_pair_costs(hist.select(F.col("pattern").alias("group_id"), "pattern", "cnt"))
     return patterns.matching(costs).select("a", "b", F.col("padding").cast("bigint").alias("padding"))
+
+
+# ---- files by ranges --------------------------------------------------------------------------
+
+
+@query("SELECT i, j, 1.0::DOUBLE AS v FROM {A}")
+def smtx_by_ranges(spark, d):
+    """The matrix through SMTX files that are written and read by parts."""
+    path = new_path(spark, "smtx-parts")
+    split_readers.write_smtx_parts(matrix_a(spark, d), *sizes(spark, d), path)
+    return split_readers.read_smtx_ranges(spark, path, parts=True).select("i", "j", "v")
+
+
+@query("SELECT i, j, 1.0::DOUBLE AS v FROM {A}")
+def smtx_to_mtx(spark, d):
+    """SMTX files made MatrixMarket files in one job, and read back."""
+    source, target = new_path(spark, "smtx-parts"), new_path(spark, "mtx")
+    m, k = sizes(spark, d)
+    split_readers.write_smtx_parts(matrix_a(spark, d), m, k, source)
+    matrices.write_mtx(split_readers.read_smtx_ranges(spark, source, parts=True), m, k, target)
+    return split_readers.read_mtx_ranges(spark, target, parts=True).select("i", "j", "v")
+
+
+@query("SELECT i, j, 1.0::DOUBLE AS v FROM {A} WHERE i >= 3 AND i < 9")
+def smtx_rows(spark, d):
+    """Some rows of a file; the columns of others are dropped by their place."""
+    path = new_path(spark, "smtx-parts")
+    split_readers.write_smtx_parts(matrix_a(spark, d), *sizes(spark, d), path)
+    return split_readers.read_smtx_ranges(spark, path, parts=True, rows=(3, 9)).select("i", "j", "v")
+
+
+@query("SELECT l_suppkey AS i, CAST(l_linenumber - 1 AS BIGINT) AS j, CAST(sum(l_quantity) AS DOUBLE) AS v FROM lineitem GROUP BY 1, 2")
+def mtx_array_file(spark, d):
+    """A dense matrix, suppliers by line numbers, through a MatrixMarket file of the array layout."""
+    path, m = new_path(spark, "mtx"), table(spark, d, "supplier").count()
+    found = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").cast("bigint").alias("i"), (F.col("l_linenumber") - 1).cast("bigint").alias("j")).agg(F.sum("l_quantity").alias("v"))
+    k = found.agg(F.max("j")).first()[0] + 1
+    cells = spark.range(m * k).select((F.col("id") % m).alias("i"), F.floor(F.col("id") / m).alias("j")).join(found, ["i", "j"], "left")
+    body = cells.select(F.struct("j", "i").alias("place"), F.coalesce("v", F.lit(0.0)).cast("string").alias("value"))
+    lines = [("%%MatrixMarket matrix array real general", -2), (f"{m} {k}", -1)]
+    head = spark.createDataFrame(lines, "value string, j bigint").select(F.struct("j", F.lit(0).cast("bigint").alias("i")).alias("place"), "value")
+    head.unionByName(body).orderBy("place").select("value").write.text(path)
+    return split_readers.read_mtx_ranges(spark, path, parts=True).select("i", "j", "v")
+
+
+@query("SELECT i, j, CAST(v AS DOUBLE) AS v FROM {A}")
+def block_tiles_file(spark, d):
+    """The matrix as blocks of two by two in tiles of rows, through a coordinate-block file."""
+    path, (m, k) = new_path(spark, "blocks"), sizes(spark, d)
+    cell = matrix_a(spark, d).select(F.floor(F.col("i") / HEIGHT).alias("tile"), F.floor(F.col("i") / 2).alias("bi"), F.floor(F.col("j") / 2).alias("bj"), (F.col("i") % 2 * 2 + F.col("j") % 2).alias("at"), "v")
+    held = cell.groupBy("tile", "bi", "bj").agg(*[F.coalesce(F.max(F.when(F.col("at") == n, F.col("v"))), F.lit(0)).cast("float").alias(f"v{n}") for n in range(4)])
+    named = exclusive_prefix(held, F.lit(1), "bj", coarse=["bi"], by=["tile"], out="block")
+    pair = lambda c: F.array(F.col(c) * 2, F.col(c) * 2 + 1)
+    blocks = named.select("tile", "block", F.array(*[f"v{n}" for n in range(4)]).alias("values"), pair("bi").alias("rows"), pair("bj").alias("cols"))
+    split_readers.block_lines(blocks, m, k, (2, 2), (HEIGHT, k), -(-m // HEIGHT)).orderBy("place").select("value").write.text(path)
+    return matrices.blocks_to_coo(split_readers.read_tiled_blocks(spark, path, parts=True)).where("v <> 0").select("i", "j", "v")
