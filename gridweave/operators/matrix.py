@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -87,17 +88,22 @@ def codelet_widths(codes: Sequence[tuple[int, float]], width: int) -> list[tuple
     """``(code, columns)`` of a panel of ``width`` columns: ``max(floor(p * width), 1)`` each, without the
     empty code; what is missing or over is dealt one by one in the order of the codes, and no code goes
     below one column."""
-    share = [[code, max(int(p * width), 1)] for code, p in codes if code]
-    if len(share) > width:
+    held = [(code, max(int(p * width), 1)) for code, p in codes if code]
+    if len(held) > width:
         raise ValueError("there are more codes than columns")
-    over = sum(n for _, n in share) - width
-    while over:
-        for entry in share:
-            if over < 0:
-                entry[1], over = entry[1] + 1, over + 1
-            elif over > 0 and entry[1] > 1:
-                entry[1], over = entry[1] - 1, over - 1
-    return [(code, n) for code, n in share]
+    over = sum(n for _, n in held) - width
+    if over <= 0:
+        each, first = divmod(-over, max(1, len(held)))
+        return [(code, n + each + (k < first)) for k, (code, n) in enumerate(held)]
+    # As many whole rounds as fit, in which a code of one column gives none; the rest come from the first codes that have more.
+    taken = lambda rounds: sum(min(n - 1, rounds) for _, n in held)
+    rounds = bisect_right(range(1, width + 1), over, key=taken)
+    more, out = over - taken(rounds), []
+    for code, n in held:
+        one = n - 1 > rounds and more > 0
+        out.append((code, n - min(n - 1, rounds) - one))
+        more -= one
+    return out
 
 
 def codelet_matrix(spark, codes: Sequence[tuple[int, float]], height: int, width: int) -> DataFrame:

@@ -69,6 +69,15 @@ def log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return medians(events.withColumnRenamed("event_type", "name"), ["user_id", "name"], "value", "time")
 
 
+def mined_sql(height: int) -> str:
+    """Different patterns of A's panels of ``height`` rows and how many columns have each."""
+    return f"(SELECT pattern, count(*) AS cnt FROM (SELECT CAST(bit_or(1 << CAST(i % {height} AS INTEGER)) AS INTEGER) AS pattern FROM {A_SQL} GROUP BY i // {height}, j) GROUP BY 1)"
+
+
+def mined(spark: SparkSession, sf_dir: str, height: int) -> DataFrame:
+    return patterns.codes(matrix_a(spark, sf_dir), height).groupBy("pattern").agg(F.count(F.lit(1)).alias("cnt"))
+
+
 def r(column, places: int = 6):
     return F.round(column, places)
 
@@ -479,10 +488,10 @@ def panel_popcounts(spark, d):
     return patterns.panel_popcounts(matrix_a(spark, d), PANEL)
 
 
-@query(f"SELECT CAST(x AS INTEGER) AS pattern, round(0.7 ** ({PANEL} - bit_count(x)) * 0.3 ** bit_count(x), 9) AS prob, '0b' || lpad(bin(x), {PANEL}, '0') AS text FROM (SELECT CAST(unnest(range(256)) AS INTEGER) AS x)")
+@query(f"SELECT x AS pattern, cnt, round(0.7 ** ({PANEL} - bit_count(x)) * 0.3 ** bit_count(x), 9) AS prob, '0b' || lpad(bin(x), {PANEL}, '0') AS text FROM (SELECT pattern AS x, cnt FROM {mined_sql(PANEL)})")
 def pattern_prob_random(spark, d):
-    return patterns.all_patterns(spark, PANEL).select(
-        "pattern", r(patterns.random_probability(F.col("pattern"), 0.7, PANEL), 9).alias("prob"), patterns.text_of(F.col("pattern"), PANEL).alias("text")
+    return mined(spark, d, PANEL).select(
+        "pattern", "cnt", r(patterns.random_probability(F.col("pattern"), 0.7, PANEL), 9).alias("prob"), patterns.text_of(F.col("pattern"), PANEL).alias("text")
     )
 
 
@@ -582,15 +591,16 @@ def group_pair_cost(spark, d):
     return patterns.group_pair_costs(hist.select(F.col("pattern").alias("group_id"), "pattern", "cnt"))
 
 
-@query("SELECT CAST(x AS INTEGER) AS pattern, CAST(((x << 3) | (x >> 5)) & 255 AS INTEGER) AS shifted, list_filter(range(8), lambda b: (x >> b) & 1 = 1)::INTEGER[] AS rows FROM (SELECT CAST(unnest(range(256)) AS INTEGER) AS x)")
+@query(f"SELECT x AS pattern, cnt, CAST(((x << 3) | (x >> 5)) & 255 AS INTEGER) AS shifted, list_filter(range(8), lambda b: (x >> b) & 1 = 1)::INTEGER[] AS rows FROM (SELECT pattern AS x, cnt FROM {mined_sql(PANEL)})")
 def pattern_bits(spark, d):
     p = F.col("pattern")
-    return patterns.all_patterns(spark, PANEL).select(p, patterns.cyclic_shift(p, 3, PANEL).alias("shifted"), patterns.rows_of(p, PANEL).alias("rows"))
+    return mined(spark, d, PANEL).select(p, "cnt", patterns.cyclic_shift(p, 3, PANEL).alias("shifted"), patterns.rows_of(p, PANEL).alias("rows"))
 
 
-@query("SELECT CAST(x AS INTEGER) AS pattern FROM (SELECT unnest(range(256)) AS x) WHERE bit_count(x) = 3")
+@query(f"SELECT CAST(x AS INTEGER) AS pattern, coalesce(cnt, 0) AS cnt FROM (SELECT unnest(range(256)) AS x) LEFT JOIN {mined_sql(PANEL)} m ON m.pattern = x WHERE bit_count(x) = 3")
 def patterns_of_bits(spark, d):
-    return patterns.all_patterns(spark, PANEL, 3)
+    """Every pattern of three rows of a panel, and how often the matrix has it."""
+    return patterns.all_patterns(spark, PANEL, 3).join(mined(spark, d, PANEL), "pattern", "left").select("pattern", F.coalesce("cnt", F.lit(0)).alias("cnt"))
 
 
 # ---- scalars ----------------------------------------------------------------------------------
@@ -849,9 +859,14 @@ def grid_cross_argmin(spark, d):
     return results.tuned(runs, ["user_id"], ["m_tile", "k_tile"])
 
 
-@query("SELECT CAST(m AS INTEGER) AS m_tile, CAST(n AS INTEGER) AS n_tile, s AS strategy FROM (VALUES (4), (8)) a(m), (VALUES (16), (32), (64)) b(n), (VALUES ('x'), ('y')) c(s)")
+@query("SELECT CAST(m AS INTEGER) AS m_tile, s AS strategy, l_suppkey AS matrix FROM (VALUES (4), (8)) a(m), (SELECT DISTINCT l_returnflag AS s FROM lineitem) b, (SELECT DISTINCT l_suppkey FROM lineitem) c")
 def experiment_grid(spark, d):
-    return results.grid(spark, {"m_tile": [4, 8], "n_tile": [16, 32, 64], "strategy": ["x", "y"]})
+    """Every configuration of an experiment for every matrix: return flags as strategies, suppliers as matrices."""
+    rows = table(spark, d, "lineitem")
+    modes = sorted(x[0] for x in rows.select("l_returnflag").distinct().collect())  # three flags
+    axes = results.grid(spark, {"m_tile": [4, 8], "strategy": modes})
+    configs = F.explode(F.array(*[F.struct(F.lit(x.m_tile).alias("m_tile"), F.lit(x.strategy).alias("strategy")) for x in axes.collect()])).alias("x")
+    return rows.select(F.col("l_suppkey").alias("matrix")).distinct().select("matrix", configs).select("x.m_tile", "x.strategy", "matrix")
 
 
 @query("SELECT event_id, event_type AS name, value AS time FROM events ORDER BY value, event_id LIMIT 30")

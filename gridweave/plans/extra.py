@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gridweave.functions import scalar
 from gridweave.operators import hybrid, matrix, patterns, results, structure
-from gridweave.plans.catalog import HEIGHT, PANEL, WIDTH, log, matrix_a, query, r, sizes, table
+from gridweave.plans.catalog import HEIGHT, PANEL, WIDTH, log, matrix_a, mined, mined_sql, query, r, sizes, table
 from gridweave.sources import experiments
 
 #: Three matrices of one table: lineitem by return flag.
@@ -28,20 +28,20 @@ MERGES = [15, 240, 51, 204, 255]
 
 
 @query(
-    """WITH k(pos, kernel) AS (VALUES (0, 15), (1, 240), (2, 51), (3, 204), (4, 255)), p AS (SELECT CAST(unnest(range(256)) AS INTEGER) AS pattern),
+    f"""WITH k(pos, kernel) AS (VALUES (0, 15), (1, 240), (2, 51), (3, 204), (4, 255)), p AS {mined_sql(PANEL)},
     c AS (SELECT pattern, pos, kernel, 1.1 * bit_count(pattern & ~kernel) + 1.0 * bit_count(kernel & ~pattern) AS cost FROM p, k WHERE bit_count(pattern) >= 2),
     b AS (SELECT pattern, kernel FROM (SELECT *, row_number() OVER (PARTITION BY pattern ORDER BY cost, pos) AS n FROM c) WHERE n = 1)
-    SELECT p.pattern, CASE WHEN kernel IS NULL THEN [p.pattern] ELSE list_concat([kernel], list_transform(list_filter(range(8), lambda x: ((p.pattern & ~kernel) >> CAST(x AS INTEGER)) & 1 = 1), lambda x: CAST(1 << CAST(x AS INTEGER) AS INTEGER))) END AS kernels
+    SELECT p.pattern, p.cnt, CASE WHEN kernel IS NULL THEN [p.pattern] ELSE list_concat([kernel], list_transform(list_filter(range(8), lambda x: ((p.pattern & ~kernel) >> CAST(x AS INTEGER)) & 1 = 1), lambda x: CAST(1 << CAST(x AS INTEGER) AS INTEGER))) END AS kernels
     FROM p LEFT JOIN b USING (pattern)"""
 )
 def merge_split_kernels(spark, d):
-    """Kernels of every pattern of eight rows: the cheapest merge kernel, and single bits for the rest."""
-    return patterns.merge_split_mapping(spark, PANEL, MERGES)
+    """Kernels of every pattern of eight rows that the matrix has: the cheapest merge kernel, and single bits for the rest."""
+    return patterns.merge_split_mapping(spark, PANEL, MERGES).join(mined(spark, d, PANEL), "pattern")
 
 
 @query(
-    """WITH RECURSIVE k(pos, kernel) AS (VALUES (0, 15), (1, 240), (2, 51), (3, 204), (4, 255)),
-    r AS (SELECT x AS pattern, x AS rest, 0 AS taken, []::INTEGER[] AS kernels, 0 AS step FROM (SELECT CAST(unnest(range(256)) AS INTEGER) AS x) UNION ALL
+    f"""WITH RECURSIVE k(pos, kernel) AS (VALUES (0, 15), (1, 240), (2, 51), (3, 204), (4, 255)),
+    r AS (SELECT x AS pattern, x AS rest, 0 AS taken, []::INTEGER[] AS kernels, 0 AS step FROM (SELECT pattern AS x FROM {mined_sql(PANEL)}) UNION ALL
         SELECT pattern, rest & ~best, taken | best, list_append(kernels, best), step + 1 FROM
         (SELECT r.pattern, r.rest, r.taken, r.kernels, r.step, arg_min(kernel, (1.1 * bit_count(rest & ~kernel) + 1.0 * bit_count(kernel & ~rest), pos)) AS best FROM r JOIN k ON kernel & taken = 0 WHERE bit_count(rest) >= 2 GROUP BY ALL)),
     z AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY pattern ORDER BY step DESC) = 1)
@@ -49,34 +49,41 @@ def merge_split_kernels(spark, d):
 )
 def merge_recursive_kernels(spark, d):
     """The same with the rest mapped again by kernels that meet none chosen."""
-    return patterns.merge_split_mapping(spark, PANEL, MERGES, recursive=True)
+    return patterns.merge_split_mapping(spark, PANEL, MERGES, recursive=True).join(mined(spark, d, PANEL), "pattern", "left_semi")
 
 
-@query("SELECT CAST(x AS INTEGER) AS pattern, CAST(bit_count(x) AS INTEGER) AS nnz, CAST(b AS INTEGER) AS row FROM (SELECT CAST(unnest(range(1, 256)) AS INTEGER) AS x), (SELECT CAST(unnest(range(8)) AS INTEGER) AS b) WHERE (x >> b) & 1 = 1")
+@query(f"SELECT x AS pattern, cnt, CAST(bit_count(x) AS INTEGER) AS nnz, CAST(b AS INTEGER) AS row FROM (SELECT pattern AS x, cnt FROM {mined_sql(PANEL)}), (SELECT CAST(unnest(range(8)) AS INTEGER) AS b) WHERE (x >> b) & 1 = 1")
 def pattern_elements(spark, d):
-    return patterns.elements(spark, PANEL)
+    """The elements of the patterns that the matrix has."""
+    return patterns.elements(spark, PANEL).join(mined(spark, d, PANEL), "pattern").select("pattern", "cnt", "nnz", "row")
 
 
 @query(
-    """WITH s AS (SELECT CAST(unnest(range(1, 32768)) AS INTEGER) AS mask), e AS (SELECT mask, b + 1 AS x FROM s, (SELECT CAST(unnest(range(15)) AS INTEGER) AS b) WHERE (mask >> b) & 1 = 1)
-    SELECT mask, list(x ORDER BY x)::INTEGER[] AS members, CAST(bit_or(x) AS INTEGER) AS "union" FROM e GROUP BY 1"""
+    f"""WITH q AS (SELECT pattern AS x, cnt, row_number() OVER (ORDER BY pattern) - 1 AS b FROM {mined_sql(4)}), s AS (SELECT CAST(unnest(range(1, 32768)) AS INTEGER) AS mask), e AS (SELECT mask, x, cnt FROM s, q WHERE (mask >> CAST(b AS INTEGER)) & 1 = 1 AND mask < (1 << CAST((SELECT count(*) FROM q) AS INTEGER)))
+    SELECT mask, list(x ORDER BY x)::INTEGER[] AS members, CAST(bit_or(x) AS INTEGER) AS "union", CAST(sum(cnt) AS BIGINT) AS cols FROM e GROUP BY 1"""
 )
 def merge_subsets(spark, d):
-    """Every non-empty set of the fifteen patterns of four rows."""
-    return patterns.merge_subsets(spark, list(range(1, 16)))
+    """Every non-empty set of the patterns of four rows that the matrix has, and the columns of its panels that it is for."""
+    held = sorted(tuple(x) for x in mined(spark, d, 4).collect())  # fifteen patterns at most
+    counts = F.create_map(*[F.lit(v) for pair in held for v in pair])
+    cols = F.aggregate("members", F.lit(0).cast("bigint"), lambda a, x: a + F.element_at(counts, x))
+    return patterns.merge_subsets(spark, [pattern for pattern, _ in held]).withColumn("cols", cols)
 
 
 @query(
-    """WITH q AS (SELECT x, row_number() OVER (ORDER BY bit_count(x) DESC, x DESC) - 1 AS pos FROM (SELECT CAST(unnest(range(1, 16)) AS INTEGER) AS x)),
+    f"""WITH q AS (SELECT x, coalesce(cnt, 0) AS c, row_number() OVER (ORDER BY bit_count(x) DESC, x DESC) - 1 AS pos FROM (SELECT CAST(unnest(range(1, 16)) AS INTEGER) AS x) LEFT JOIN {mined_sql(4)} ON pattern = x),
     m AS (SELECT f, mask FROM (SELECT CAST(unnest(range(15)) AS INTEGER) AS f), (SELECT CAST(unnest(range(1, 16384)) AS INTEGER) AS mask) WHERE mask < (1 << (14 - f))),
-    u AS (SELECT f, mask, count(*) AS n, bit_or(x) AS u FROM m JOIN q ON pos > f AND pos <= 14 AND (mask >> CAST(pos - f - 1 AS INTEGER)) & 1 = 1 GROUP BY 1, 2),
-    a AS (SELECT f AS first, false AS with_first, n AS size, u AS "union" FROM u UNION ALL SELECT f, true, n + 1, u | x FROM u JOIN q ON pos = f UNION ALL SELECT NULL, true, 15, 15)
-    SELECT first, with_first, size, "union", count(*) AS cnt FROM a GROUP BY ALL"""
+    u AS (SELECT f, mask, count(*) AS n, bit_or(x) AS u, sum(c) AS s FROM m JOIN q ON pos > f AND pos <= 14 AND (mask >> CAST(pos - f - 1 AS INTEGER)) & 1 = 1 GROUP BY 1, 2),
+    a AS (SELECT f AS first, false AS with_first, n AS size, u AS "union", s FROM u UNION ALL SELECT f, true, n + 1, u | x, s + c FROM u JOIN q ON pos = f UNION ALL SELECT NULL, true, 15, 15, sum(c) FROM q)
+    SELECT first, with_first, size, "union", count(*) AS cnt, CAST(sum(s) AS BIGINT) AS cols FROM a GROUP BY ALL"""
 )
 def overlap_subsets(spark, d):
-    """The smaller family of sets of the fifteen patterns of four rows, counted by size and union."""
-    made = patterns.overlap_subsets(spark, 4)
-    return made.groupBy("first", "with_first", F.size("members").cast("bigint").alias("size"), "union").agg(F.count(F.lit(1)).alias("cnt"))
+    """The smaller family of sets of the fifteen patterns of four rows, by size and union, with the columns of the matrix's panels that they are for."""
+    counts = mined(spark, d, 4).withColumnRenamed("cnt", "n")
+    each = patterns.overlap_subsets(spark, 4).select("first", "with_first", F.size("members").cast("bigint").alias("size"), "union", F.explode("members").alias("pattern"))
+    return each.join(counts, "pattern", "left").groupBy("first", "with_first", "size", "union").agg(
+        (F.count(F.lit(1)) / F.col("size")).cast("bigint").alias("cnt"), F.sum(F.coalesce("n", F.lit(0))).alias("cols")
+    )
 
 
 _CODES4 = "SELECT i // 4 AS p, j, CAST(bit_or(1 << CAST(i % 4 AS INTEGER)) AS INTEGER) AS pattern FROM {A} GROUP BY 1, 2"
@@ -109,12 +116,12 @@ def pattern_counts_by_key(spark, d):
     return patterns.keyed_counts(many(spark, d), shapes(spark, d), [4, 8])
 
 
-@query("SELECT CAST(x AS INTEGER) AS pattern, row_number() OVER (ORDER BY bit_count(x), x) AS place FROM (SELECT CAST(unnest(range(256)) AS INTEGER) AS x)")
+@query(f"SELECT pattern, cnt, row_number() OVER (ORDER BY bit_count(pattern), pattern) AS place FROM {mined_sql(PANEL)}")
 def patterns_sorted(spark, d):
     from pyspark.sql import Window
 
     order = Window.orderBy(F.bit_count("pattern"), "pattern")  # 2^8 rows
-    return patterns.all_patterns(spark, PANEL).withColumn("place", F.row_number().over(order))
+    return mined(spark, d, PANEL).withColumn("place", F.row_number().over(order))
 
 
 @query(
@@ -278,10 +285,10 @@ def names_padded(spark, d):
     return rows.select("p_partkey", scalar.pad_numbers(raw).alias("name"), scalar.joined_id(F.upper(F.substring("p_type", 1, 1)), F.col("p_partkey"), F.col("p_size")).alias("id"))
 
 
-@query("SELECT CAST(n AS INTEGER) AS n, CAST(k AS INTEGER) AS k, CASE WHEN k > n THEN 0 ELSE CAST(round(factorial(CAST(n AS INTEGER)) / (factorial(CAST(k AS INTEGER)) * factorial(CAST(n - k AS INTEGER)))) AS BIGINT) END AS ncr FROM (SELECT unnest(range(17)) AS n), (SELECT unnest(range(9)) AS k)")
+@query("SELECT p_partkey, CASE WHEN k > n THEN 0 ELSE CAST(round(factorial(CAST(n AS INTEGER)) / (factorial(CAST(k AS INTEGER)) * factorial(CAST(n - k AS INTEGER)))) AS BIGINT) END AS ncr FROM (SELECT p_partkey, p_size % 17 AS n, p_partkey % 9 AS k FROM part)")
 def n_choose_k(spark, d):
-    pairs = spark.range(17).select(F.col("id").cast("int").alias("n"), F.explode(F.sequence(F.lit(0), F.lit(8))).alias("k"))
-    return pairs.select("n", "k", scalar.combinations(F.col("n").cast("bigint"), F.col("k").cast("bigint")).alias("ncr"))
+    n, k = (F.col("p_size") % 17).cast("bigint"), (F.col("p_partkey") % 9).cast("bigint")
+    return table(spark, d, "part").select("p_partkey", scalar.combinations(n, k).alias("ncr"))
 
 
 @query(
@@ -370,7 +377,9 @@ def experiment_runs(spark, d):
 @query(
     """SELECT pack || '_part' || CAST(p AS INTEGER) || '_' || b || '_' || t || '.yaml' AS file, CASE WHEN pack = 'aspt' THEN 'all_aspt_part' ELSE 'all_part' END || CAST(p AS INTEGER) || '.sh' AS script,
     'options:' || chr(10) || '  b_cols: [' || b || ']' || chr(10) || '  n_threads: [' || t || ']' || chr(10) || 'matrices:' || chr(10) || '  filelist: part' || CAST(p AS INTEGER) || '.txt' || chr(10) AS text
-    FROM (VALUES ('nano'), ('aspt')) k(pack), (SELECT unnest(range(1, 4)) AS p), (VALUES (32), (256)) b(b), (VALUES (1), (20)) t(t)"""
+    FROM (SELECT DISTINCT l_returnflag AS pack FROM lineitem UNION ALL SELECT 'aspt') k, (SELECT unnest(range(1, 4)) AS p), (VALUES (32), (256)) b(b), (VALUES (1), (20)) t(t)"""
 )
 def experiment_files(spark, d):
-    return experiments.files(spark, ["nano", "aspt"], 3, [32, 256], [1, 20])
+    """Experiment files for each return flag as a pack of methods, and for the one that has scripts of its own."""
+    packs = sorted(x[0] for x in table(spark, d, "lineitem").select("l_returnflag").distinct().collect())  # three flags
+    return experiments.files(spark, [*packs, "aspt"], 3, [32, 256], [1, 20])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridweave.operators import hybrid, matrix, patterns
-from gridweave.plans.catalog import PANEL, _dense, matrix_a, query, r, sizes, table
+from gridweave.plans.catalog import PANEL, _dense, matrix_a, mined, mined_sql, query, r, sizes, table
 from gridweave.plans.catalog import HEIGHT, WIDTH, _STATS
 from gridweave.plans.staging import new_path
 from gridweave.sources import logs, matrices
@@ -53,10 +53,11 @@ def result_log_file(spark, d):
     return made.where("config is null and nnz is null").select(F.col("m").cast("bigint").alias("m"), "name", "time median")
 
 
-@query("SELECT CAST(x AS INTEGER) AS pattern, 8 AS m_r, [CAST(x AS INTEGER)] AS kernels FROM (SELECT unnest(range(1, 256)) AS x)")
+@query(f"SELECT pattern, 8 AS m_r, [pattern] AS kernels FROM {mined_sql(PANEL)}")
 def mapping_file(spark, d):
+    """The mapping of the patterns that the matrix has, through a file."""
     path = new_path(spark, "mapping")
-    logs.write_mapping(patterns.identity_mapping(spark, PANEL), PANEL, path)
+    logs.write_mapping(patterns.identity_mapping(spark, PANEL).join(mined(spark, d, PANEL), "pattern", "left_semi"), PANEL, path)
     return logs.read_mapping(spark, path).select("pattern", "m_r", "kernels")
 
 
@@ -138,10 +139,17 @@ def rectangle_file(spark, d):
     return spark.read.schema("value string").text(path)
 
 
-@query("SELECT CAST(b AS BIGINT) AS i, j, 1.0::DOUBLE AS v FROM (SELECT unnest(range(60)) AS j), (SELECT unnest(range(4)) AS b), (VALUES (1, 0, 11), (3, 11, 30), (15, 30, 60)) c(code, lo, hi) WHERE j >= lo AND j < hi AND (code >> CAST(b AS INTEGER)) & 1 = 1")
+@query(
+    f"""WITH s AS (SELECT pattern, CAST(floor(round(cnt / (SELECT sum(cnt) FROM {mined_sql(4)}), 9) * 6000) AS BIGINT) AS w, row_number() OVER (ORDER BY pattern) - 1 AS n FROM {mined_sql(4)}),
+    t AS (SELECT count(*) AS k, 6000 - sum(greatest(w, 1)) AS missing FROM s),
+    p AS (SELECT pattern, n, greatest(w, 1) + missing // k + CASE WHEN n < missing % k THEN 1 ELSE 0 END AS w FROM s, t), c AS (SELECT pattern, sum(w) OVER (ORDER BY n) - w AS low, w FROM p)
+    SELECT CAST(b AS BIGINT) AS i, CAST(low + x AS BIGINT) AS j, 1.0::DOUBLE AS v FROM c, (SELECT CAST(unnest(range(6000)) AS BIGINT) AS x), (SELECT CAST(unnest(range(4)) AS INTEGER) AS b) WHERE x < w AND (pattern >> b) & 1 = 1"""
+)
 def codelet_panel(spark, d):
-    """A panel of 60 columns from three codes; the empty code has no columns and its share is dealt out."""
-    return matrix.codelet_matrix(spark, [(0, 0.1), (1, 0.15), (3, 0.31), (15, 0.49)], 4, 60)
+    """A synthetic panel of 6,000 columns with the shares of the patterns of four rows that the matrix has."""
+    counts = mined(spark, d, 4)
+    shares = counts.select("pattern", F.round(F.col("cnt") / counts.agg(F.sum("cnt")).scalar(), 9).alias("p"))
+    return matrix.codelet_matrix(spark, sorted(tuple(x) for x in shares.collect()), 4, 6000)  # fifteen patterns at most
 
 
 @query("SELECT n_name AS path, CASE WHEN n_nationkey % 3 = 0 THEN '/data/' || n_name WHEN n_nationkey % 3 = 1 THEN '/lists/' || n_name END AS found FROM nation")
