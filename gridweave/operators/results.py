@@ -251,8 +251,9 @@ def seeded_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
 
 
 def split_list(df: DataFrame, key: str, parts: int, seed: int = 42) -> DataFrame:
-    """Adds ``part``: keys dealt into ``parts`` shares by a hash."""
-    return df.withColumn("part", F.pmod(F.xxhash64(F.lit(seed), key), F.lit(parts)).cast("int"))
+    """Adds ``part``: keys dealt into ``parts`` shares by a hash that other engines have too."""
+    digest = F.md5(F.concat_ws(":", F.lit(seed), key).cast("binary"))
+    return df.withColumn("part", (F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % parts).cast("int"))
 
 
 def less_baseline(df: DataFrame, keys: Sequence[str], is_baseline: Column, value: str, out: str) -> DataFrame:

@@ -171,3 +171,45 @@ def dataset_scan(spark, d):
     rows.write.partitionBy("model", "pruning", "sparsity").text(path)
     found = matrices.scan_dataset(spark, path, pattern="*", prunings=["magnitude"], sparsities=["1", "2"], keyed=True)
     return found.select("model", F.col("sparsity").cast("int").alias("sparsity"))
+
+
+@query("SELECT user_id, event_type AS name, CAST(value AS DOUBLE) AS \"time median\", CASE WHEN user_id % 3 = 1 THEN CAST(event_id AS VARCHAR) END AS run, CASE WHEN user_id % 3 = 2 THEN 8 END AS m_tile FROM events")
+def growing_log(spark, d):
+    """A log whose columns come up one append after another."""
+    path = new_path(spark, "growing")
+    rows = table(spark, d, "events").select("user_id", F.col("event_type").alias("name"), F.col("value").alias("time median"), F.col("event_id").alias("run"), F.lit(8).alias("m_tile"))
+    for k, without in enumerate((("run", "m_tile"), ("m_tile",), ("run",))):
+        logs.append_growing(rows.where(F.col("user_id") % 3 == k).drop(*without), path)
+    made = logs.read_growing(spark, path)
+    return made.select(F.col("user_id").cast("bigint").alias("user_id"), "name", "time median", "run", "m_tile")
+
+
+@query(
+    """WITH g AS (SELECT l_returnflag AS method, 'm_r:4|m_tile:' || m || '|k_tile:64' AS config FROM (SELECT DISTINCT l_returnflag FROM lineitem), (VALUES (4), (8)) a(m) UNION ALL SELECT 'mkl', 'inspector:true')
+    SELECT s_suppkey AS matrix, method, config, CAST(b AS INTEGER) AS b_cols, CAST(t AS INTEGER) AS n_threads FROM g, supplier, (VALUES (32), (128)) b(b), (VALUES (1), (8)) c(t)"""
+)
+def experiment_from_file(spark, d):
+    """The runs of an experiment that a YAML file states: return flags as methods with a grid, suppliers as matrices."""
+    from gridweave.sources import experiments
+
+    path = new_path(spark, "spec")
+    flags = sorted(x[0] for x in table(spark, d, "lineitem").select("l_returnflag").distinct().collect())  # three flags
+    text = ["options:", "  b_cols: [32, 128]", "  n_threads: [1, 8]", "tuning_grids:", "  - name: g4", "    m_tile: [4, 8]", "    k_tile: [64]", "methods:"]
+    for flag in flags:
+        text += [f"  - name: '{flag}'", "    tune: {grid: g4}", "    options: {m_r: 4}"]
+    text += ["  - name: mkl", "    options: {inspector: true}"]
+    spark.createDataFrame([("\n".join(text),)], "value string").coalesce(1).write.text(path)
+    return experiments.runs(spark, experiments.read_spec(spark, path), table(spark, d, "supplier").select(F.col("s_suppkey").alias("matrix")))
+
+
+@query("SELECT part, ord - min(ord) OVER (PARTITION BY part) AS after, path FROM (SELECT CAST(CAST('0x' || substr(md5('42:' || p_name || p_partkey), 1, 8) AS BIGINT) % 6 AS INTEGER) AS part, p_partkey AS ord, p_name || p_partkey AS path FROM part)")
+def list_partitions(spark, d):
+    """A list dealt into six lists, through files in a folder for each, and read back."""
+    from gridweave.operators import results
+
+    path = new_path(spark, "lists")
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("ord"), F.concat("p_name", "p_partkey").alias("path"))
+    logs.write_partitioned(results.split_list(rows, "path", 6), path, ["part"])
+    made = spark.read.parquet(path)
+    first = made.groupBy("part").agg(F.min("ord").alias("first"))
+    return made.join(first, "part").select("part", (F.col("ord") - F.col("first")).alias("after"), "path")

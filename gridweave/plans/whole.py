@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridweave.operators import patterns, reordering, results, similarity
+from gridweave.operators import covers, patterns, reordering, results, similarity
 from gridweave.operators.order_statistics import percentiles
-from gridweave.plans.catalog import HEIGHT, PANEL, matrix_a, query, r, sizes, table
+from gridweave.plans.catalog import HEIGHT, PANEL, matrix_a, mined, mined_sql, query, r, sizes, table
 from gridweave.plans.prefix import exclusive_prefix
-from gridweave.plans.staging import new_path
+from gridweave.plans.staging import materialise, new_path
 from gridweave.sources import matrices, split_readers
 
 #: Orders by suppliers: many short rows, with copies.
@@ -153,3 +153,43 @@ def block_tiles_file(spark, d):
     blocks = named.select("tile", "block", F.array(*[f"v{n}" for n in range(4)]).alias("values"), pair("bi").alias("rows"), pair("bj").alias("cols"))
     split_readers.block_lines(blocks, m, k, (2, 2), (HEIGHT, k), -(-m // HEIGHT)).orderBy("place").select("value").write.text(path)
     return matrices.blocks_to_coo(split_readers.read_tiled_blocks(spark, path, parts=True)).where("v <> 0").select("i", "j", "v")
+
+
+# ---- covers -----------------------------------------------------------------------------------
+
+
+def pattern_family(spark, d, height):
+    """``members, costs`` of the candidate groups of the patterns that the matrix has: the smaller family, and each alone."""
+    counts = patterns.codes(matrix_a(spark, d), height).groupBy("pattern").agg(F.count(F.lit(1)).alias("cnt"))
+    shares = materialise(counts.select("pattern", (F.col("cnt") / counts.agg(F.sum("cnt")).scalar()).alias("share")), "shares")
+    sets = patterns.overlap_subsets(spark, height).select("members").unionByName(shares.select(F.array("pattern").alias("members")))
+    # Patterns that the matrix lacks cost nothing; sets that differ in them only are one.
+    each = sets.select(F.monotonically_increasing_id().alias("n"), "members").select("n", F.explode("members").alias("pattern")).join(shares.select("pattern"), "pattern", "left_semi")
+    whole = each.groupBy("n").agg(F.sort_array(F.collect_list("pattern")).alias("patterns")).select("patterns").distinct()  # at most 2^height patterns
+    named = materialise(whole.select(F.monotonically_increasing_id().alias("subset_id"), "patterns"), "family")
+    members = named.select("subset_id", F.explode("patterns").alias("pattern"))
+    return named, members.withColumnRenamed("pattern", "element"), patterns.subset_costs(members, shares).select("subset_id", "cost")
+
+
+@query()
+def pattern_cover(spark, d):
+    """Groups of the patterns of eight rows that share a kernel, at nearly the least cost: the groups, and how far the whole is from the bound."""
+    named, members, costs = pattern_family(spark, d, PANEL)
+    chosen, bound = covers.cover(members, costs)
+    chosen = materialise(chosen, "cover")
+    total = chosen.agg(F.sum("cost").alias("total_cost"))
+    return chosen.join(named, "subset_id").crossJoin(total).select("patterns", "cost", "total_cost", F.lit(bound).alias("lower_bound"), ((F.col("total_cost") - F.lit(bound)) / F.col("total_cost")).alias("gap"))
+
+
+@query(f"SELECT pattern, cnt, CAST(1 AS BIGINT) AS groups, true AS priced, true AS near FROM {mined_sql(4)}")
+def pattern_cover_of_four(spark, d):
+    """The patterns of four rows: each is in one group of the cover, no group costs more than its patterns alone, and the whole is within a quarter of the bound."""
+    counts = mined(spark, d, 4)
+    named, members, costs = pattern_family(spark, d, 4)
+    chosen, bound = covers.cover(members, costs)
+    held = chosen.join(named, "subset_id").select("cost", "patterns", F.explode("patterns").alias("pattern"))
+    single = named.where(F.size("patterns") == 1).join(costs, "subset_id").select(F.col("patterns")[0].alias("pattern"), F.col("cost").alias("alone"))
+    priced = held.join(single, "pattern").groupBy("patterns", "cost").agg((F.first("cost") <= F.sum("alone") + 1e-9).alias("priced")).select("patterns", "priced")
+    total = chosen.agg((F.sum("cost") * 0.75 <= F.lit(bound)).alias("near"))
+    each = held.join(priced, "patterns").groupBy("pattern").agg(F.count(F.lit(1)).alias("groups"), F.bool_and("priced").alias("priced"))
+    return counts.join(each, "pattern").crossJoin(total).select("pattern", "cnt", "groups", "priced", "near")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import hashlib
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,6 +45,25 @@ def append_results(rows: DataFrame, path: str, columns: Sequence[str]) -> None:
     rows.select(*filled).write.mode("append").csv(path, header=True, emptyValue="")
 
 
+def append_growing(rows: DataFrame, path: str) -> None:
+    """Adds rows to a log that takes any columns: rows of one set of columns share a folder, so no file is written
+    anew when columns come up later."""
+    names = sorted(rows.columns)
+    header = hashlib.md5("\n".join(names).encode()).hexdigest()
+    filled = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in names]
+    rows.select(*filled).write.mode("append").csv(f"{path}/header={header}", header=True, emptyValue="")
+
+
+def read_growing(spark: SparkSession, path: str) -> DataFrame:
+    """All rows of a growing log under all columns that it has; those that a row came without are null.
+    Folders are listed by Spark, and there is one read for each set of columns."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").load(path)
+    folders = sorted(r[0] for r in files.select(F.regexp_extract("path", "^(.*/header=[0-9a-f]+)/", 1)).distinct().collect())
+    if not folders:
+        raise ValueError(f"{path} is no log")
+    return read_results(spark, folders)
+
+
 def read_file_list(spark: SparkSession, path: str, names: Sequence[str] = ()) -> DataFrame:
     """``(ord, path, b_cols, options)`` of lines ``path[,b_cols[,option...]]``; shorter than three
     characters are skipped. ``names`` name the options."""

@@ -116,3 +116,16 @@ def test_blocks_go_through_files(small_ranges, tmp_path):
     got = sr.read_tiled_blocks(small_ranges, str(tmp_path / "b"), parts=True)
     assert sorted((r.tile, r.block, r["values"], r.rows, r.cols) for r in got.collect()) == rows
     assert cells(matrices.blocks_to_coo(got))[0] == (3, 4, 1.0)
+
+
+def test_log_that_grows(spark, tmp_path):
+    from gridweave.sources import logs
+
+    path = str(tmp_path / "log")
+    logs.append_growing(spark.createDataFrame([("a", 1), ("b", None)], "name string, nnz int"), path)
+    logs.append_growing(spark.createDataFrame([("c", 0.5, "x,y")], "name string, `time median` double, note string"), path)
+    logs.append_growing(spark.createDataFrame([("d", 4)], "name string, nnz int"), path)
+    made = logs.read_growing(spark, path)
+    assert sorted(made.columns) == ["name", "nnz", "note", "time median"]
+    got = sorted((r.name, r.nnz, r["time median"], r.note) for r in made.collect())
+    assert got == [("a", 1, None, None), ("b", None, None, None), ("c", None, 0.5, "x,y"), ("d", 4, None, None)]
