@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridweave.plans.staging import materialise
+
 
 def dense_tiles(stats: DataFrame, height: int, width: int, threshold: float) -> DataFrame:
     """Tiles whose nominal density is above the threshold."""
@@ -103,3 +105,30 @@ def best_records(records: DataFrame) -> DataFrame:
     """The record of the largest speed-up for each matrix and width of B; ties to the smaller threshold."""
     order = Window.partitionBy("matrix_id", "b_cols").orderBy(F.desc("speedup"), "threshold")
     return records.withColumn("_place", F.row_number().over(order)).where("_place = 1").drop("_place")
+
+
+def entry_rectangles(nz: DataFrame, rectangles: DataFrame) -> DataFrame:
+    """``nz`` with ``rectangle``, the largest of ``rectangles(rectangle, i0, i1, j0, j1)`` (ends excluded) that holds the entry,
+    ties to the smaller number; null in the remainder. Rectangles stand anywhere and may overlap.
+
+    The range join is made of equalities: a rectangle has the grid of the powers of two that its sides do not
+    exceed, where it meets four cells at most, and an entry has one cell in each grid that occurs. Grids are
+    at most the product of the sides' bit lengths, whatever the matrix. Entries of one place are told from
+    each other by nothing and share their rectangle; rectangles without an area, and nulls, hold nothing.
+    """
+    held = rectangles.where("i0 < i1 and j0 < j1")
+    side = lambda low, high: F.ceil(F.log2((F.col(high) - F.col(low)).cast("double"))).cast("int")
+    held = materialise(held.select("rectangle", "i0", "i1", "j0", "j1", side("i0", "i1").alias("gi"), side("j0", "j1").alias("gj")), "rectangles")
+    grids = held.select("gi", "gj").distinct().collect()
+    if not grids:
+        return nz.withColumn("rectangle", F.lit(None).cast(rectangles.schema["rectangle"].dataType))
+    at = lambda c, g: F.call_function("shiftright", F.col(c).cast("bigint"), F.col(g))
+    # Sides are at most the grid's, so a rectangle begins and ends in the same cell or in neighbouring ones.
+    cell = lambda low, high, g: F.explode(F.sequence(at(low, g), F.call_function("shiftright", (F.col(high) - 1).cast("bigint"), F.col(g))))
+    cells = held.withColumn("ci", cell("i0", "i1", "gi")).withColumn("cj", cell("j0", "j1", "gj"))
+    each = nz.select("i", "j", F.explode(F.array(*[F.struct(F.lit(x.gi).alias("gi"), F.lit(x.gj).alias("gj")) for x in grids])).alias("g")).select("i", "j", "g.gi", "g.gj")
+    each = each.withColumn("ci", at("i", "gi")).withColumn("cj", at("j", "gj"))
+    met = each.join(cells, ["gi", "gj", "ci", "cj"]).where("i >= i0 and i < i1 and j >= j0 and j < j1")
+    area = -((F.col("i1") - F.col("i0")) * (F.col("j1") - F.col("j0")))
+    best = met.groupBy("i", "j").agg(F.min(F.struct(area.alias("less"), "rectangle")).alias("x")).select("i", "j", "x.rectangle")
+    return nz.join(best, ["i", "j"], "left")

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridweave.operators import covers, patterns, reordering, results, similarity
+from gridweave.operators import covers, hybrid, linalg, patterns, reordering, results, similarity
 from gridweave.operators.order_statistics import percentiles
-from gridweave.plans.catalog import HEIGHT, PANEL, matrix_a, mined, mined_sql, query, r, sizes, table
+from gridweave.plans.catalog import HEIGHT, PANEL, matrix_a, mined, mined_sql, part_b, query, r, sizes, table
 from gridweave.plans.prefix import exclusive_prefix
 from gridweave.plans.staging import materialise, new_path
 from gridweave.sources import matrices, split_readers
@@ -193,3 +193,28 @@ def pattern_cover_of_four(spark, d):
     total = chosen.agg((F.sum("cost") * 0.75 <= F.lit(bound)).alias("near"))
     each = held.join(priced, "patterns").groupBy("pattern").agg(F.count(F.lit(1)).alias("groups"), F.bool_and("priced").alias("priced"))
     return counts.join(each, "pattern").crossJoin(total).select("pattern", "cnt", "groups", "priced", "near")
+
+
+# ---- rectangles -------------------------------------------------------------------------------
+
+
+@query(
+    """WITH r AS (SELECT s_suppkey AS rectangle, s_suppkey * 7 % {M} AS i0, s_suppkey * 7 % {M} + 1 + s_suppkey % 9 AS i1, s_suppkey * 131 % {K} AS j0, s_suppkey * 131 % {K} + 1 + s_suppkey * 37 % 500 AS j1 FROM supplier),
+    h AS (SELECT i, j, arg_min(rectangle, (-(i1 - i0) * (j1 - j0), rectangle)) AS rectangle FROM {A} JOIN r ON i >= i0 AND i < i1 AND j >= j0 AND j < j1 GROUP BY 1, 2)
+    SELECT i, j, v, rectangle FROM {A} LEFT JOIN h USING (i, j)"""
+)
+def entry_rectangles(spark, d):
+    """Every entry with the largest of free rectangles, one for each supplier, that holds it."""
+    m, k = sizes(spark, d)
+    s = F.col("s_suppkey")
+    i0, j0 = s * 7 % m, s * 131 % k
+    free = table(spark, d, "supplier").select(s.alias("rectangle"), i0.alias("i0"), (i0 + 1 + s % 9).alias("i1"), j0.alias("j0"), (j0 + 1 + s * 37 % 500).alias("j1"))
+    return hybrid.entry_rectangles(matrix_a(spark, d), free)
+
+
+@query("SELECT i, 0 AS c, round(sum(v * p_size), 4) AS x FROM {A} JOIN part ON j = p_partkey GROUP BY 1")
+def spmm_rectangles(spark, d):
+    """The product by its parts: entries inside free rectangles, and the remainder."""
+    parts = entry_rectangles(spark, d)
+    inside, rest = (linalg.spmm_coord(parts.where(test).select("i", "j", "v"), part_b(spark, d)) for test in ("rectangle is not null", "rectangle is null"))
+    return inside.unionByName(rest).groupBy("i", "c").agg(r(F.sum("x"), 4).alias("x"))

@@ -7,7 +7,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from gridweave.operators import order_statistics, patterns, results, structure
+from gridweave.operators import hybrid, order_statistics, patterns, results, structure
 
 
 def values(kind, seed):
@@ -123,3 +123,25 @@ def test_dropped_ids_and_clashing_names(spark):
     got = drop_ids(rows, "doc_id", dropped, 17).collect()
     assert sorted(r.doc_id for r in got if r.doc_id is not None) == [k for k in range(50) if k % 3] and len(got) == 34
     assert rows.columns == ["doc_id", "_gone", "gone"] and all(r._gone == r.doc_id + 1 for r in got if r.doc_id is not None)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_entries_in_free_rectangles(spark, seed):
+    rng = random.Random(seed)
+    cells = sorted({(rng.randrange(60), rng.randrange(90)) for _ in range(700)})
+    free = [(k, i, i + rng.choice([0, 1, 2, 7, 30]), j, j + rng.choice([1, 3, 8, 64])) for k, i, j in ((k, rng.randrange(60), rng.randrange(90)) for k in range(25))]
+    free += [(40, 5, 13, 5, 13), (41, 5, 13, 5, 13), (42, 0, None, 0, 9)]
+    nz = spark.createDataFrame([(i, j, 1.0, k) for k, (i, j) in enumerate(cells)], "i long, j long, v double, gi long")
+    got = hybrid.entry_rectangles(nz, spark.createDataFrame(free, "rectangle long, i0 long, i1 long, j0 long, j1 long")).collect()
+    want = {}
+    for i, j in cells:
+        inside = [(-(b - a) * (d - c), k) for k, a, b, c, d in free if b is not None and a <= i < b and c <= j < d]
+        want[i, j] = min(inside)[1] if inside else None
+    assert {(r.i, r.j): r.rectangle for r in got} == want and len(got) == len(cells)
+    assert hybrid.entry_rectangles(nz, spark.createDataFrame([], "rectangle long, i0 long, i1 long, j0 long, j1 long")).where("rectangle is null").count() == len(cells)
+
+
+def test_rectangles_meet_entries_by_equality(spark):
+    nz = spark.createDataFrame([(1, 2, 1.0)], "i long, j long, v double")
+    plan = hybrid.entry_rectangles(nz, spark.createDataFrame([(1, 0, 3, 0, 9)], "rectangle long, i0 long, i1 long, j0 long, j1 long"))._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
