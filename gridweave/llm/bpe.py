@@ -24,7 +24,7 @@ package of public tokenizers; every executor reads its own copy.
 Defined results: a null text counts as empty and has no tokens. The text of a special token counts
 as that token, as in the library. Rows that repeat an id are encoded row by row. The ids of a text
 are one value of a row, four bytes for each token, so texts go up to Spark's 2 GB of a value. Extra
-columns are not read and may have any name.
+columns are not read and may have any name. An empty table gives an empty result.
 """
 
 from __future__ import annotations

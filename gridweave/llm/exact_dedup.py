@@ -12,7 +12,8 @@ them counts as a copy; where different texts share a digest, only equal texts do
 Defined results: a null text counts as empty. A null id never wins over another id; in a group of
 null ids only, the null id is the one that stays. Rows that repeat an id and a text are counted in
 ``group_size`` and share their fate; :func:`exact_dedup` keeps one of them. An empty input gives an
-empty result. Extra columns are carried along and may have any name.
+empty result. Texts are hashed and compared as values, so they go up to Spark's 2 GB of a value. Extra columns are
+carried along and may have any name.
 """
 
 from __future__ import annotations

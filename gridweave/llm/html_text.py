@@ -21,8 +21,8 @@ Defined results: a null or empty page gives the empty text. Character references
 space inside a block becomes one space; blocks are joined in page order by an empty line. Broken
 markup is read like a browser would: open paragraphs end at the next block, unknown end tags are
 skipped, an unended comment or script takes the rest of the page. A page is read in one piece, in
-memory of some ten times its size. Repeated rows give repeated results. Extra columns are not read and
-may have any name.
+memory of some ten times its size. Repeated rows give repeated results. An empty table gives an empty
+result. Extra columns are not read and may have any name.
 """
 
 from __future__ import annotations

@@ -17,7 +17,8 @@ each bucket is settled. So of two rows of a bucket that are similar, one at most
 
 Defined results: a null text counts as empty; texts without words are copies of each other; fewer
 words than a shingle make one shingle. Ids name documents: rows that repeat an id stay or go together,
-null ids always stay. Empty input gives an empty result.
+null ids always stay. A text is read whole in one task, so texts go up to Spark's 2 GB of a value. Extra columns
+are carried along and may have any name. Empty input gives an empty result.
 """
 
 from __future__ import annotations

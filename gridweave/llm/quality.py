@@ -14,7 +14,8 @@ Defined results: a null text counts as empty; an empty text is one chunk of padd
 repeat an id are scored alike, and the first of them by text is learned from. If the labelled rows hold
 label 0 only, every score is 0; if they hold label 1 only, or none, it is 1, so nothing is rejected.
 Labels other than 0 and 1, null labels and null ids are not learned from; of two labels of an id the
-smaller counts. Extra columns are not read and may have any name.
+smaller counts. A text is scored chunk by chunk, whatever its length, and is one value of a row, so it goes up to
+Spark's 2 GB. An empty table gives no scores. Extra columns are not read and may have any name.
 """
 
 from __future__ import annotations

@@ -18,7 +18,8 @@ for each free bit, so no group grows with the data.
 Defined results: a null text counts as empty; texts without words have fingerprint zero and link
 like any other; fewer words than a shingle make one shingle. Rows that repeat an id are judged row
 by row. A null id takes part in links but is never a component id unless the whole component has
-none. Empty input gives an empty result.
+none. A text is read whole in one task, so texts go up to Spark's 2 GB of a value. Extra columns are
+not read, those of :func:`near_dedup` are carried along, and they may have any name. Empty input gives an empty result.
 """
 
 from __future__ import annotations

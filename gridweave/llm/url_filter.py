@@ -20,7 +20,8 @@ instead, with the same results.
 Defined results: a null URL, or one without ``://``, has empty host and path; the empty host has one
 key for each path length, which only a rule of empty host could list. Of fitting rules the longest
 string wins, then the longer host. URLs may have any length and number of labels. Without a fitting rule the verdict is ``allow``. Repeated rules count
-once; a rule listed under both verdicts is an error. Repeated rows are judged alike. Extra columns are
+once; a rule listed under both verdicts is an error. Repeated rows are judged alike. An empty table gives an
+empty result. Extra columns are
 carried in ``page`` and may have any name.
 """
 

@@ -15,7 +15,8 @@ null; it never is the record that others refer to, unless the group has no other
 of the group are responses. Rows that repeat the smallest id and its payload are responses each. White
 space in a URL is written percent-encoded. Ids may have any type whose values Spark casts to strings
 and back; the smallest is the smallest of that type. Extra columns are not read and may have any name.
-A payload is one value of a row, so it goes up to Spark's 2 GB; records are never put together.
+A payload is one value of a row, so it goes up to Spark's 2 GB; records are never put together. An empty table
+gives archives without records and an empty result.
 """
 
 from __future__ import annotations
