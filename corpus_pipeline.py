@@ -1,7 +1,13 @@
 """The corpus pipeline: five stages from raw documents to token ids.
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; it is written as Parquet and read
-again before the next one starts. All but the last keep the columns of ``documents``.
+again before the next one starts. All but the last keep the columns of ``documents``, extra ones too,
+whatever their names.
+
+Defined results of all stages: a null text counts as empty, and empty documents give empty results. Equal texts are
+one document after the second stage; of rows that repeat an id, those that the stages judge by text are judged
+row by row, and near copies by id. Rows whose id is null are kept unless their text is rejected or a copy. Texts go
+up to Spark's 2 GB of a value.
 """
 
 from __future__ import annotations
