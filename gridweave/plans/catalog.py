@@ -413,7 +413,14 @@ def panel_distance(spark, d):
     return made.withColumn("avg_distance", r("avg_distance"))
 
 
-@query()
+@query(
+    """WITH RECURSIVE e AS MATERIALIZED (SELECT i // 16 AS p, i, j FROM {A}), n AS MATERIALIZED (SELECT p, i, count(*) AS n FROM e GROUP BY 1, 2),
+    b AS MATERIALIZED (SELECT x.i AS a, y.i AS b, count(*) AS shared FROM e x JOIN e y ON x.p = y.p AND x.j = y.j AND x.i <> y.i GROUP BY 1, 2),
+    d AS MATERIALIZED (SELECT x.p, x.i AS a, y.i AS b, x.n + y.n - 2 * coalesce(shared, 0) AS dist FROM n x JOIN n y ON x.p = y.p AND x.i <> y.i LEFT JOIN b ON b.a = x.i AND b.b = y.i),
+    w AS (SELECT p, [min(i)] AS seen, min(i) AS i, 0 AS place FROM n GROUP BY p UNION ALL
+        SELECT p, list_append(seen, k.b), k.b, place + 1 FROM (SELECT w.p, seen, place, min(struct_pack(dist := dist, b := b)) AS k FROM w JOIN d ON d.p = w.p AND d.a = w.i AND NOT list_contains(seen, d.b) GROUP BY w.p, seen, place))
+    SELECT p, i, CAST(place AS INTEGER) AS place FROM w"""
+)
 def greedy_reorder(spark, d):
     return structure.greedy_order(matrix_a(spark, d), 16)
 
@@ -967,7 +974,17 @@ def layer_speedups(spark, d):
     return made.select("name", "threads", "layer", r("running", 4).alias("running"), r("speedup").alias("speedup"))
 
 
-@query()
+@query(
+    """WITH RECURSIVE f AS (SELECT unnest(['l_quantity', 'l_extendedprice', 'l_discount', 'l_tax', 'l_linenumber']) AS feature, unnest(range(5)) AS n),
+    x AS (SELECT CAST(l_quantity AS DOUBLE) AS q, CAST(l_extendedprice AS DOUBLE) AS e, CAST(l_discount AS DOUBLE) AS d, CAST(l_tax AS DOUBLE) AS t, CAST(l_linenumber AS DOUBLE) AS l FROM lineitem),
+    c AS MATERIALIZED (SELECT [[1, corr(q, e), corr(q, d), corr(q, t), corr(q, l)], [corr(q, e), 1, corr(e, d), corr(e, t), corr(e, l)], [corr(q, d), corr(e, d), 1, corr(d, t), corr(d, l)],
+        [corr(q, t), corr(e, t), corr(d, t), 1, corr(t, l)], [corr(q, l), corr(e, l), corr(d, l), corr(t, l), 1]] AS m FROM x),
+    u AS (SELECT 0 AS step, m::DOUBLE[][] AS m FROM c UNION ALL
+        SELECT step + 1, list_transform(m, lambda row: list_transform(m, lambda other: list_dot_product(row, other) / t)) FROM (SELECT step, m, list_sum(list_transform(m, lambda row: list_dot_product(row, row))) AS t FROM u WHERE step < 50)),
+    g AS (SELECT m, list_transform(range(5), lambda k: m[k + 1][k + 1]) AS diagonal FROM u WHERE step = 50), h AS (SELECT m[list_position(diagonal, list_max(diagonal))] AS v FROM g),
+    z AS (SELECT feature, v[n + 1] / sqrt(list_dot_product(v, v)) AS w FROM h, f), s AS (SELECT sign(arg_max(w, abs(w))) AS s FROM z)
+    SELECT feature, round(w * s, 4) AS weight FROM z, s ORDER BY abs(w) DESC LIMIT 3"""
+)
 def leading_features(spark, d):
     """Weights of lineitem's columns in their first principal direction."""
     made = results.leading_features(table(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"], 3)
