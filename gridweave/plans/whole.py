@@ -218,3 +218,24 @@ def spmm_rectangles(spark, d):
     parts = entry_rectangles(spark, d)
     inside, rest = (linalg.spmm_coord(parts.where(test).select("i", "j", "v"), part_b(spark, d)) for test in ("rectangle is not null", "rectangle is null"))
     return inside.unionByName(rest).groupBy("i", "c").agg(r(F.sum("x"), 4).alias("x"))
+
+
+# ---- fits -------------------------------------------------------------------------------------
+
+
+@query(
+    f"""WITH RECURSIVE k AS (SELECT i // 4 AS p, pattern, count(*) AS n FROM (SELECT i // 4 AS p4, i // 4 * 4 AS i, j, bit_or(1 << CAST(i % 4 AS INTEGER)) AS pattern FROM {O_SQL} GROUP BY 1, 2, 3) GROUP BY 1, 2),
+    f AS (SELECT p, 1::DOUBLE AS a, count(*)::DOUBLE AS b, sum(n)::DOUBLE AS c, sum(n * bit_count(pattern))::DOUBLE AS d FROM k GROUP BY 1), t AS (SELECT l_orderkey // 4 AS p, CAST(sum(l_extendedprice) AS DOUBLE) AS y FROM lineitem GROUP BY 1),
+    g AS (SELECT [[sum(a * a), sum(a * b), sum(a * c), sum(a * d), sum(a * y)], [sum(a * b), sum(b * b), sum(b * c), sum(b * d), sum(b * y)], [sum(a * c), sum(b * c), sum(c * c), sum(c * d), sum(c * y)], [sum(a * d), sum(b * d), sum(c * d), sum(d * d), sum(d * y)]] AS m FROM f JOIN t USING (p)),
+    s AS (SELECT 1 AS step, m FROM g UNION ALL SELECT step + 1, list_transform(range(1, 5), lambda r: CASE WHEN r = step THEN list_transform(m[step], lambda x: x / m[step][step]) ELSE list_transform(range(1, 6), lambda q: m[r][q] - m[r][step] * m[step][q] / m[step][step]) END) FROM s WHERE step < 5)
+    SELECT feature, round(m[n][5], 2) AS coefficient FROM s, (SELECT unnest(['base', 'codes', 'cols', 'nnz']) AS feature, unnest(range(1, 5)) AS n) WHERE step = 5"""
+)
+def cost_fit_of_panels(spark, d):
+    """What a panel of four orders costs by a base, its different patterns, its columns and its entries: a least-squares
+    fit of prices."""
+    found = patterns.codes(matrix_o(spark, d), 4).groupBy("p", "pattern").agg(F.count(F.lit(1)).alias("n"))
+    features = found.groupBy("p").agg(F.lit(1.0).alias("base"), F.count(F.lit(1)).cast("double").alias("codes"), F.sum("n").cast("double").alias("cols"), F.sum(F.col("n") * F.bit_count("pattern")).cast("double").alias("nnz"))
+    price = table(spark, d, "lineitem").groupBy(F.floor(F.col("l_orderkey") / 4).alias("p")).agg(F.sum("l_extendedprice").cast("double").alias("price"))
+    names = ["base", "codes", "cols", "nnz"]
+    fit = patterns.least_squares(features.join(price, "p"), names, "price")
+    return spark.createDataFrame([(n, round(x, 2)) for n, x in zip(names, fit)], "feature string, coefficient double")
