@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 
 def sparsity(nnz: Column, m: Column, k: Column) -> Column:
-    return 1 - nnz / (m * k)
+    """Sizes are multiplied as doubles: as integers, those of a large matrix exceed 32 bits."""
+    return 1 - nnz / (m.cast("double") * k)
 
 
 def rounded(x: Column, places: int = 2) -> Column:
