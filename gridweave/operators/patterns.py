@@ -13,6 +13,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gridweave.functions.scalar import sparsity
 from gridweave.plans.staging import materialise
 
 #: Constants of the subset cost (fixed values): check, base and entry cost.
@@ -246,7 +247,7 @@ def keyed_counts(nz: DataFrame, shapes: DataFrame, heights: Sequence[int]) -> Da
     """``(m_r, sparsity, pattern, cnt)`` over many matrices: ``nz(matrix_id, i, j)`` and their sizes
     ``shapes(matrix_id, m, k)``; non-empty patterns, by panel height and sparsity in hundredths."""
     counts = nz.groupBy("matrix_id").agg(F.count(F.lit(1)).alias("n")).join(shapes, "matrix_id")
-    keyed = counts.select("matrix_id", F.bround(1 - F.col("n") / (F.col("m") * F.col("k")), 2).alias("sparsity"))
+    keyed = counts.select("matrix_id", F.bround(sparsity(F.col("n"), F.col("m"), F.col("k")), 2).alias("sparsity"))
     each = nz.select("matrix_id", "i", "j", F.explode(F.lit(list(heights))).alias("m_r"))
     bit = F.call_function("shiftleft", F.lit(1), (F.col("i") % F.col("m_r")).cast("int"))
     found = each.groupBy("matrix_id", "m_r", F.floor(F.col("i") / F.col("m_r")).alias("p"), "j").agg(F.bit_or(bit).alias("pattern"))
