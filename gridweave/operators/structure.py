@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridweave.functions.scalar import sparsity
 from gridweave.operators.matrix import line_counts, tiles
 from gridweave.plans.prefix import exclusive_prefix, neighbours
 
@@ -358,7 +359,7 @@ def histogram_by_range(nz: DataFrame, shapes: DataFrame, height: int, width: int
     place = F.least(F.width_bucket(F.col("nnz") / (rows * cols), F.lit(0.0), F.lit(1.0), F.lit(bins)), F.lit(bins)) - 1
     found = tile.groupBy("matrix_id", "m", "k", place.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("cnt"), F.sum("nnz").alias("nnz"))
     whole = found.groupBy("matrix_id", "m", "k").agg(F.sum("cnt").alias("filled"), F.sum("nnz").alias("nnz"))
-    whole = whole.withColumn("range", range_of(1 - F.col("nnz") / (F.col("m") * F.col("k"))))
+    whole = whole.withColumn("range", range_of(sparsity(F.col("nnz"), F.col("m"), F.col("k"))))
     empty = (F.ceil(F.col("m") / height) * F.ceil(F.col("k") / width) - F.col("filled")).cast("bigint").alias("cnt")
     parts = found.join(whole.select("matrix_id", "range"), "matrix_id").select("range", "bin", "cnt").unionByName(whole.select("range", F.lit(0).alias("bin"), empty))
     return parts.groupBy("range", "bin").agg(F.sum("cnt").alias("cnt"))
