@@ -14,7 +14,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,12 +25,17 @@ from gridweave.plans.staging import materialise
 
 #: Files whose sizes are broadcast.
 MOST_FILES = 10_000
+#: Places of a stretch in which entries look for their row, and lines for their tile.
+ROW_STRETCH, TILE_STRETCH = 256, 4096
+
+
+def _words() -> Column:
+    return F.filter(F.split("value", r"[,\s]+"), lambda x: x != "")
 
 
 def _records(spark: SparkSession, paths: str | Sequence[str], separator: str | None) -> DataFrame:
     reader = spark.read if separator is None else spark.read.option("lineSep", separator)
-    words = F.filter(F.split("value", r"[,\s]+"), lambda x: x != "")
-    return reader.text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value", words.alias("words"))
+    return reader.text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value", _words().alias("words"))
 
 
 def _numbered(records: DataFrame, weight: Column, matrix_id: Column, whole: bool) -> DataFrame:
@@ -36,23 +43,34 @@ def _numbered(records: DataFrame, weight: Column, matrix_id: Column, whole: bool
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, before = None, 0
         for batch in batches:
-            file, start, weights = batch.column(0), batch.column(1), batch.column(3).to_pylist()
-            ranges = zip(file.to_pylist(), start.to_pylist())
-            at = []
-            for place, n in zip(ranges, weights):
-                if place != here:  # the records of a range come one after another, in their order
-                    here, before = place, 0
-                at.append(before)
-                before += n
-            yield pa.RecordBatch.from_arrays([file, start, batch.column(2), pa.array(at, pa.int64())], names=["file", "start", "words", "at"])
-
-    inside = records.select("file", "start", "words", weight.alias("weight"))
+            if not batch.num_rows:
+                continue
+            file, start, weights = batch.column(0), batch.column(1).to_numpy(), batch.column(3).to_numpy().astype(np.int64)
+            # The records of a range come one after another, in their order.
+            other = (start[1:] != start[:-1]) | pc.not_equal(file[1:], file[:-1]).to_numpy(zero_copy_only=False)
+            first = np.concatenate(([0], np.flatnonzero(other) + 1))
+            at = np.cumsum(weights) - weights
+            base = -at[first]
+            base[0] = before if (file[0].as_py(), start[0]) == here else 0
+            at += np.repeat(base, np.diff(np.append(first, len(at))))
+            here, before = (file[-1].as_py(), start[-1]), int(at[-1] + weights[-1])
+            yield pa.RecordBatch.from_arrays([file, batch.column(1), batch.column(2), pa.array(at)], names=["file", "start", "value", "at"])
+
+    inside = records.select("file", "start", "value", weight.cast("int").alias("weight"))
     ranges = inside.groupBy("file", "start").agg(F.sum("weight").alias("n"))
     # One row for each range of a file, whatever it holds.
     order = Window.partitionBy(F.lit(0) if whole else F.col("file")).orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1)
     ranges = materialise(ranges.withColumn("base", F.coalesce(F.sum("n").over(order), F.lit(0))).drop("n"), "ranges")
-    placed = inside.mapInArrow(scan, "file string, start bigint, words array<string>, at bigint").join(ranges, ["file", "start"])
-    return placed.select(matrix_id.alias("matrix_id"), (F.col("base") + F.col("at")).alias("at"), "words")
+    placed = inside.mapInArrow(scan, "file string, start bigint, value string, at bigint").join(ranges, ["file", "start"])
+    return placed.select(matrix_id.alias("matrix_id"), (F.col("base") + F.col("at")).alias("at"), _words().alias("words"))
+
+
+def _located(rows: DataFrame, spans: DataFrame, width: int) -> DataFrame:
+    """``rows(matrix_id, at, ...)`` with the columns of the one of ``spans(matrix_id, low, high, ...)`` that holds ``at``; others are
+    dropped. Spans do not overlap. They are cut into stretches of ``width`` places, so rows meet few spans and none is made for each place."""
+    stretch = F.floor(F.col("at") / width).alias("stretch")
+    cut = F.explode(F.sequence(F.floor(F.col("low") / width), F.floor((F.col("high") - 1) / width))).alias("stretch")
+    return rows.select("*", stretch).join(spans.where("low < high").select("*", cut), ["matrix_id", "stretch"]).where("at >= low and at < high").drop("stretch")
 
 
 def _lines(spark: SparkSession, paths: str | Sequence[str], parts: bool) -> tuple[DataFrame, DataFrame, Column]:
@@ -77,6 +95,7 @@ def read_smtx_ranges(spark: SparkSession, paths: str | Sequence[str], parts: boo
     of other rows are dropped by their place, before they are shuffled."""
     numbers = _numbered(_records(spark, paths, " ").where(F.size("words") > 0), F.size("words"), F.lit(paths) if parts else F.col("file"), parts)
     numbers = numbers.select("matrix_id", "at", F.posexplode("words").alias("k", "word")).select("matrix_id", (F.col("at") + F.col("k")).alias("at"), F.col("word").cast("bigint").alias("x"))
+    numbers = materialise(numbers, "numbers")
     heads = _small(numbers.where("at = 0").select("matrix_id", F.col("x").alias("m")))
     placed = numbers.join(heads, "matrix_id")
     pointer = placed.where((F.col("at") >= 3) & (F.col("at") <= F.col("m") + 3)).select("matrix_id", (F.col("at") - 3).alias("i"), F.col("x").alias("low"))
@@ -86,8 +105,19 @@ def read_smtx_ranges(spark: SparkSession, paths: str | Sequence[str], parts: boo
         spans = spans.where((F.col("i") >= rows[0]) & (F.col("i") < rows[1]))
         kept = _small(spans.groupBy("matrix_id").agg(F.min("low").alias("low"), F.max("high").alias("high")))
         column = column.join(kept, "matrix_id").where("at >= low and at < high").select("matrix_id", "at", "j")
-    places = spans.select("matrix_id", "i", F.explode(F.sequence("low", F.col("high") - 1)).alias("at"))
-    return places.join(column, ["matrix_id", "at"]).select("matrix_id", "i", "j", F.lit(1.0).alias("v"))
+    return _located(column, spans, ROW_STRETCH).select("matrix_id", "i", "j", F.lit(1.0).alias("v"))
+
+
+def smtx_sizes(spark: SparkSession, paths: str | Sequence[str], parts: bool = False) -> DataFrame:
+    """``(matrix_id, m, k, nnz)`` of SMTX files, from their first three numbers; no task holds a line."""
+    found = _records(spark, paths, " ").where(F.size("words") > 0)
+    # The first three ranges that have records hold the first three numbers.
+    ranges = found.select("file", "start").distinct()
+    order = Window.partitionBy(F.lit(0) if parts else F.col("file")).orderBy("file", "start")
+    first = materialise(ranges.withColumn("place", F.row_number().over(order)).where("place <= 3").select("file", "start", "place"), "first-ranges")
+    numbered = _numbered(found.join(F.broadcast(first.select("file", "start")), ["file", "start"], "left_semi"), F.size("words"), F.lit(paths) if parts else F.col("file"), parts)
+    numbers = numbered.where("at < 3").select("matrix_id", "at", F.posexplode("words").alias("k", "word")).select("matrix_id", (F.col("at") + F.col("k")).alias("at"), F.col("word").cast("bigint").alias("x"))
+    return numbers.groupBy("matrix_id").agg(*[F.max(F.when(F.col("at") == k, F.col("x"))).alias(n) for k, n in enumerate(("m", "k", "nnz"))])
 
 
 def read_mtx_ranges(spark: SparkSession, paths: str | Sequence[str], parts: bool = False) -> DataFrame:
@@ -140,9 +170,9 @@ def read_tiled_blocks(spark: SparkSession, paths: str | Sequence[str], parts: bo
         jump = materialise(jump.join(jump.select("matrix_id", F.col("at").alias("to"), F.col("to").alias("next")), ["matrix_id", "to"]).select("matrix_id", "at", F.col("next").alias("to")), "jumps")
         steps *= 2
     heads = reached.join(alone, ["matrix_id", "at"]).join(tiles, "matrix_id").where("tile < tiles")
-    places = heads.select("matrix_id", "tile", "at", F.explode(F.when(F.col("blocks") > 0, F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).alias("block"))
-    places = places.select("matrix_id", "tile", "block", F.posexplode(F.array(*[F.col("at") + 1 + 3 * F.col("block") + k for k in range(3)])).alias("k", "at"))
-    held = places.join(body, ["matrix_id", "at"]).groupBy("matrix_id", "tile", "block").agg(*[F.max(F.when(F.col("k") == k, F.col("words"))).alias(n) for k, n in enumerate(("values", "rows", "cols"))])
+    spans = heads.select("matrix_id", "tile", (F.col("at") + 1).alias("low"), (F.col("at") + 1 + 3 * F.col("blocks")).alias("high"))
+    inside = _located(body, spans, TILE_STRETCH).withColumn("line", F.col("at") - F.col("low"))
+    held = inside.groupBy("matrix_id", "tile", F.floor(F.col("line") / 3).alias("block")).agg(*[F.max(F.when(F.col("line") % 3 == k, F.col("words"))).alias(n) for k, n in enumerate(("values", "rows", "cols"))])
     cast = lambda c, kind: F.transform(c, lambda x: x.cast(kind)).alias(c)
     return held.select("matrix_id", "tile", "block", cast("values", "float"), cast("rows", "bigint"), cast("cols", "bigint"))
 
@@ -150,6 +180,7 @@ def read_tiled_blocks(spark: SparkSession, paths: str | Sequence[str], parts: bo
 def write_smtx_parts(nz: DataFrame, m: int, k: int, path: str) -> None:
     """One matrix as a folder whose files, one after another, are an SMTX file: records end in a blank, and the
     first number of a line brings the line end along."""
+    nz = materialise(nz.select("i", "j"), "entries")
     place = lambda section, at, low: F.struct(F.lit(section).alias("section"), at.cast("bigint").alias("at"), low.cast("bigint").alias("low"))
     zero = F.lit(0)
     head = nz.agg(F.concat(F.lit(f"{m}, {k}, "), F.count(F.lit(1))).alias("value")).select(place(0, zero, zero).alias("place"), "value")
@@ -159,13 +190,13 @@ def write_smtx_parts(nz: DataFrame, m: int, k: int, path: str) -> None:
     mark = nz.sparkSession.range(1).select(place(2, F.lit(-1), zero).alias("place"), F.lit("\n").alias("value"))
     columns = nz.select(place(2, F.col("i"), F.col("j")).alias("place"), F.col("j").cast("string").alias("value"))
     lines = head.unionByName(starts).unionByName(mark).unionByName(columns)
-    lines.orderBy("place").select("value").write.option("lineSep", " ").text(path)
+    lines.orderBy("place.section", "place.at", "place.low").select("value").write.option("lineSep", " ").text(path)
 
 
 def block_lines(blocks: DataFrame, m: int, k: int, block: tuple[int, int], tile: tuple[int, int], tiles: int) -> DataFrame:
     """``(place, value)`` lines of one coordinate-block file of ``blocks(tile, block, values, rows, cols)``; empty tiles are written too."""
     place = lambda at, b, line: F.struct(at.cast("bigint").alias("tile"), b.cast("bigint").alias("block"), F.lit(line).alias("line"))
-    spark = blocks.sparkSession
+    spark, blocks = blocks.sparkSession, materialise(blocks, "blocks")
     head = spark.createDataFrame([(k_, f"{a} {b}".strip()) for k_, (a, b) in enumerate(((m, k), block, tile, (tiles, "")))], "at int, value string")
     head = head.select(F.struct(F.lit(-1).cast("bigint").alias("tile"), F.col("at").cast("bigint").alias("block"), F.lit(0).alias("line")).alias("place"), "value")
     counts = blocks.groupBy("tile").agg(F.count(F.lit(1)).alias("n"))

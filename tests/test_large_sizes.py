@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from gridweave.functions import scalar
 from gridweave.operators import patterns, structure
+from gridweave.sources import split_readers
 
 M, K = 60_000, 1_200_000  # their product exceeds 32 bits
 
@@ -28,3 +29,17 @@ def test_tile_densities_of_a_large_matrix(large):
 def test_sparsity_of_a_large_matrix(spark):
     row = spark.range(1).select(scalar.sparsity(F.lit(7_200_000), F.lit(M), F.lit(K)).alias("s")).first()
     assert row.s == 1 - 7_200_000 / (M * K)
+
+
+def test_located_rows_have_the_span_that_holds_them(spark):
+    spans = spark.createDataFrame([("a", 2, 5, 0), ("a", 5, 5, 1), ("a", 5, 40, 2), ("b", 0, 1, 3)], "matrix_id string, low long, high long, i int")
+    rows = spark.range(50).selectExpr("'a' as matrix_id", "id as at").unionByName(spark.range(3).selectExpr("'b' as matrix_id", "id as at"))
+    got = {(x.matrix_id, x["at"], x.i) for x in split_readers._located(rows, spans, 4).collect()}
+    assert got == {("a", x, 0) for x in range(2, 5)} | {("a", x, 2) for x in range(5, 40)} | {("b", 0, 3)}
+
+
+def test_sizes_of_smtx_by_ranges(spark, tmp_path):
+    (tmp_path / "m.smtx").write_text("3, 40, 5\n0 2 2 5\n1 39 0 1 7\n")
+    (tmp_path / "n.smtx").write_text("2,2,0\n0 0 0\n\n")
+    got = {x.matrix_id.rsplit("/", 1)[1]: (x.m, x.k, x.nnz) for x in split_readers.smtx_sizes(spark, str(tmp_path)).collect()}
+    assert got == {"m.smtx": (3, 40, 5), "n.smtx": (2, 2, 0)}
