@@ -151,7 +151,7 @@ def block_tiles_file(spark, d):
     named = exclusive_prefix(held, F.lit(1), "bj", coarse=["bi"], by=["tile"], out="block")
     pair = lambda c: F.array(F.col(c) * 2, F.col(c) * 2 + 1)
     blocks = named.select("tile", "block", F.array(*[f"v{n}" for n in range(4)]).alias("values"), pair("bi").alias("rows"), pair("bj").alias("cols"))
-    split_readers.block_lines(blocks, m, k, (2, 2), (HEIGHT, k), -(-m // HEIGHT)).orderBy("place").select("value").write.text(path)
+    split_readers.block_lines(blocks, m, k, (2, 2), (HEIGHT, k), -(-m // HEIGHT)).orderBy("place.tile", "place.block", "place.line").select("value").write.text(path)
     return matrices.blocks_to_coo(split_readers.read_tiled_blocks(spark, path, parts=True)).where("v <> 0").select("i", "j", "v")
 
 

@@ -10,6 +10,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridweave.plans.staging import materialise
+
 
 def _numbers(text: Column) -> Column:
     """Integers of a line, whatever blanks or commas stand between."""
@@ -145,7 +147,7 @@ def mtx_lines(nz: DataFrame, m: int, k: int, kind: str = "general") -> DataFrame
 
 def write_mtx(nz: DataFrame, m: int, k: int, path: str, kind: str = "general") -> None:
     """One matrix, column by column; the parts of the folder in their order are the file."""
-    mtx_lines(nz, m, k, kind).orderBy("place").select("value").write.text(path)
+    mtx_lines(materialise(nz.select("i", "j", "v"), "entries"), m, k, kind).orderBy("place.j", "place.i").select("value").write.text(path)
 
 
 def write_smtx(nz: DataFrame, m: int, k: int, path: str) -> None:
