@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridweave.functions.scalar import sparsity
+from gridweave.plans.prefix import dealt
 from gridweave.plans.staging import materialise
 
 #: Constants of the subset cost (fixed values): check, base and entry cost.
@@ -238,7 +239,7 @@ def consecutive_groups(nz: DataFrame, height: int) -> DataFrame:
     the same pattern, merged into one group."""
     order = Window.partitionBy("p").orderBy("j")
     change = F.coalesce((F.col("pattern") != F.lag("pattern").over(order)).cast("int"), F.lit(1))
-    runs = codes(nz, height).withColumn("new", change).withColumn("run", F.sum("new").over(order))
+    runs = dealt(codes(nz, height), "p").withColumn("new", change).withColumn("run", F.sum("new").over(order))
     merged = runs.groupBy("p", "run", "pattern").agg(F.min("j").alias("first_j"), F.count(F.lit(1)).alias("cols"))
     return merged.select("p", "pattern", "first_j", "cols", (F.col("cols") * F.bit_count("pattern")).alias("nnz"))
 

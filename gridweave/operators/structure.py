@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from gridweave.functions.scalar import sparsity
 from gridweave.operators.matrix import line_counts, tiles
-from gridweave.plans.prefix import exclusive_prefix, neighbours
+from gridweave.plans.prefix import dealt, exclusive_prefix, neighbours
 
 
 def tile_count(m: int, k: int, height: int, width: int) -> int:
@@ -156,7 +156,7 @@ def line_cov(nz: DataFrame, size: int, axis: str) -> DataFrame:
 
 def tile_rows(nz: DataFrame, height: int, width: int) -> DataFrame:
     """Entries of each row of each tile, without the empty ones."""
-    return tiles(nz, height, width).groupBy("ti", "tj", "i").agg(F.count(F.lit(1)).alias("n"))
+    return dealt(tiles(nz, height, width), "ti", "tj").groupBy("ti", "tj", "i").agg(F.count(F.lit(1)).alias("n"))
 
 
 def entropy(rows: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,6 +10,17 @@ from pyspark.sql import functions as F
 
 #: Integer keys that one window partition sums.
 WIDTH = 4096
+#: Bytes of input files for each partition of :func:`dealt`.
+DEALT_BYTES = 4 << 20
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` partitioned by ``keys``, in partitions whose number grows with the files that it reads: left to
+    itself, Spark joins small partitions again, and a task's sorts grow with the table until it stops."""
+    spark = df.sparkSession
+    files = df.inputFiles()
+    size = spark.read.format("binaryFile").load(files).agg(F.sum("length")).first()[0] if files else 0
+    return df.repartition(max(spark.sparkContext.defaultParallelism, math.ceil(size / DEALT_BYTES)), *keys)
 
 
 def exclusive_prefix(df: DataFrame, value: str | Column, key: str, coarse: Sequence[str] = (), by: Sequence[str] = (), out: str = "before", width: int = WIDTH) -> DataFrame:
@@ -18,8 +30,8 @@ def exclusive_prefix(df: DataFrame, value: str | Column, key: str, coarse: Seque
     Rows are summed in groups of ``width`` keys; one window runs over the groups, another inside each.
     """
     value = F.col(value) if isinstance(value, str) else value
-    rows = df.withColumn("_value", value).withColumn("_group", F.floor(F.col(key) / F.lit(width)))
     keys = [*by, *coarse, "_group"]
+    rows = dealt(df.withColumn("_value", value).withColumn("_group", F.floor(F.col(key) / F.lit(width))), *keys)
     groups = rows.groupBy(*keys).agg(F.sum("_value").alias("_sum"))
     over = Window.partitionBy(*by).orderBy(*coarse, "_group").rowsBetween(Window.unboundedPreceding, -1)
     groups = groups.select(*keys, F.coalesce(F.sum("_sum").over(over), F.lit(0)).alias("_before"))
@@ -34,7 +46,7 @@ def exclusive_prefix(df: DataFrame, value: str | Column, key: str, coarse: Seque
 def neighbours(df: DataFrame, key: str, by: Sequence[str], previous: str = "previous", following: str = "following", width: int = WIDTH) -> DataFrame:
     """``df`` with the next smaller and the next larger value of the integer ``key`` within ``by``, null at
     the ends; keys are unique within ``by``. A window holds ``width`` keys, however many one ``by`` has."""
-    rows = df.withColumn("_group", F.floor(F.col(key) / F.lit(width)))
+    rows = dealt(df.withColumn("_group", F.floor(F.col(key) / F.lit(width))), *by, "_group")
     groups = rows.groupBy(*by, "_group").agg(F.min(key).alias("_low"), F.max(key).alias("_high"))
     over = Window.partitionBy(*by).orderBy("_group")
     groups = groups.select(*by, "_group", F.lag("_high").over(over).alias("_before"), F.lead("_low").over(over).alias("_after"))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from gridweave.functions import scalar
 from gridweave.operators import patterns, structure
+from gridweave.plans import prefix
 from gridweave.sources import split_readers
 
 M, K = 60_000, 1_200_000  # their product exceeds 32 bits
@@ -43,3 +44,12 @@ def test_sizes_of_smtx_by_ranges(spark, tmp_path):
     (tmp_path / "n.smtx").write_text("2,2,0\n0 0 0\n\n")
     got = {x.matrix_id.rsplit("/", 1)[1]: (x.m, x.k, x.nnz) for x in split_readers.smtx_sizes(spark, str(tmp_path)).collect()}
     assert got == {"m.smtx": (3, 40, 5), "n.smtx": (2, 2, 0)}
+
+
+def test_partitions_of_windows_grow_with_the_input(spark, tmp_path, monkeypatch):
+    spark.range(20_000).selectExpr("id div 100 as i", "id * id % 9973 as j").write.parquet(str(tmp_path / "nz"))
+    nz = spark.read.parquet(str(tmp_path / "nz"))
+    monkeypatch.setattr(prefix, "DEALT_BYTES", 4096)
+    assert prefix.dealt(nz, "i").rdd.getNumPartitions() > 4 * spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(prefix, "DEALT_BYTES", 1 << 30)
+    assert prefix.dealt(nz, "i").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
