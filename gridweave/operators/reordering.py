@@ -1,22 +1,23 @@
 """Order of all rows of a sparse matrix in which neighbours share many columns.
 
 Rows are vertices, distances are Hamming distances of their columns, and the order is a path made of
-fragments. At first each row is a fragment. In a round, the ends of fragments are sorted by minimal hashes
-of their columns, once for each of several hash functions; rows of many shared columns come to stand near each
-other, and ``NEAR`` neighbours in a sort are candidates at their exact distance. Half of the fragments
-ask their nearest end if it is one that answers, those that answer take the nearest that asks, and the two join. Fragments that are left when
-they fit one task (``FINISH`` fragments and ``FINISH_ENTRIES`` entries of their ends, both counted first) are joined
-there by the same rule over all pairs of ends.
+fragments. At first each row is a fragment. In a round, fragments are sorted by minimal hashes of the columns of
+one of their ends, by another hash function each round; rows of many shared columns come to stand near each other. The sort is cut
+into blocks of ``BLOCK`` fragments, and those of a block are joined, nearest free ends first, until ``SHARE`` of the joins that
+would leave one path are made. Joins of far ends so wait for another sort. A fragment is in one block of a round, with both of its ends,
+so no join closes a circle. Fragments that are left when they fit one task (``FINISH`` fragments and
+``FINISH_ENTRIES`` entries of their ends, both counted first) are joined there by the same rule over all pairs of ends.
 
 A round works on fragments, not rows: their number falls by a constant factor a round, and where
 rows stand is composed once, from the last round back to the first. No task holds a column's rows
-or more than a few neighbours of a sort, so hot columns cost nothing.
+or more than a few blocks of a sort, so hot columns cost nothing.
 
 Rows without entries are no rows here: any place serves them. Nulls take no part; row numbers are integers.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,9 +27,15 @@ from pyspark.sql import functions as F
 
 from gridweave.plans.staging import materialise
 
-#: Hash functions, their least values that order the ends, and neighbours that are candidates.
-ORDERS, HASHES, NEAR = 4, 4, 8
+#: Least values of a hash function that order the ends.
+HASHES = 4
+#: Fragments and entries of a block, the share of its joins that are made, and the nearest ends that one end may join.
+BLOCK, BLOCK_ENTRIES, SHARE, NEAR = 256, 1 << 18, 0.75, 8
+#: Fragments and entries of a task of a round.
+TASK, TASK_ENTRIES = 1 << 15, 1 << 21
 FINISH, FINISH_ENTRIES = 1024, 1 << 20
+#: Rows of a column from which it is compared by a product of dense matrices, and columns of one product.
+DENSE, PRODUCT = 32, 4096
 
 
 def row_columns(nz: DataFrame) -> DataFrame:
@@ -37,110 +44,69 @@ def row_columns(nz: DataFrame) -> DataFrame:
     return cells.groupBy("i").agg(F.sort_array(F.collect_set("j")).alias("columns"))
 
 
-def shared_columns(columns: pa.Array, shift: int) -> np.ndarray:
-    """How many columns rows ``k`` and ``k + shift`` of a list column share, for each ``k``."""
-    n = len(columns) - shift
-    _, code = np.unique(columns.flatten().to_numpy(), return_inverse=True)
-    row = np.repeat(np.arange(len(columns)), np.diff(columns.offsets.to_numpy()))
-    width = int(code.max(initial=0)) + 1
-    left, right = row < n, row >= shift
-    both = np.intersect1d(row[left] * width + code[left], (row[right] - shift) * width + code[right], assume_unique=True)
-    return np.bincount(both // width, minlength=n)
-
-
-def _edges(ends: DataFrame, seeds: list[int], near: int, partitions: int) -> DataFrame:
-    """``u, v, a, b, distance``: ends ``u, v`` of fragments ``a, b`` that stand near each other in a sort; each seed makes one."""
-    each = ends.select("end", "fragment", "columns", F.explode(F.array(*[F.lit(s) for s in seeds])).alias("seed"))
-    hashes = F.slice(F.sort_array(F.transform("columns", lambda j: F.xxhash64("seed", j))), 1, HASHES)
-    placed = each.withColumn("hashes", hashes).repartitionByRange(partitions, "seed", "hashes", "end")
-    placed = placed.sortWithinPartitions("seed", "hashes", "end").select("end", "fragment", "columns", "seed")
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carried = None
-        for batch in batches:
-            rows = pa.Table.from_batches([batch] if carried is None else [carried, batch]).combine_chunks()
-            old = 0 if carried is None else carried.num_rows
-            rows = rows.to_batches()[0] if rows.num_rows else batch
-            end, fragment, seed = (rows.column(c).to_numpy() for c in (0, 1, 3))
-            sizes = np.diff(rows.column(2).offsets.to_numpy())
-            for shift in range(1, min(near, rows.num_rows - 1) + 1):
-                # Pairs of rows that both came with the batch before are known already.
-                k = np.arange(rows.num_rows - shift)
-                distance = sizes[:-shift] + sizes[shift:] - 2 * shared_columns(rows.column(2), shift)
-                take = k[(k + shift >= old) & (fragment[:-shift] != fragment[shift:]) & (seed[:-shift] == seed[shift:])]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x, pa.int64()) for x in (end[take], end[take + shift], fragment[take], fragment[take + shift], distance[take])],
-                    names=["u", "v", "a", "b", "distance"],
-                )
-            carried = rows.slice(max(0, rows.num_rows - near))
-
-    return placed.mapInArrow(scan, "u bigint, v bigint, a bigint, b bigint, distance bigint")
-
-
-def _ends(fragments: DataFrame, sets: DataFrame) -> DataFrame:
-    ends = fragments.select("fragment", F.explode(F.array_distinct(F.array("head", "tail"))).alias("end"))
-    return ends.join(sets.withColumnRenamed("i", "end"), "end")
-
-
-def _both_ways(edges: DataFrame) -> DataFrame:
-    """Edges from either side, with a mark that tells equal distances apart and is the same from both."""
-    one = edges.select("a", "b", "u", "v", "distance")
-    other = edges.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("v").alias("u"), F.col("u").alias("v"), "distance")
-    return one.unionByName(other).withColumn("mark", F.xxhash64(F.least("u", "v"), F.greatest("u", "v")))
-
-
-def _accepted(edges: DataFrame, seed: int) -> DataFrame:
-    """Pairs of fragments ``a, b`` that join, and their ends ``u, v``. A hash makes half of all fragments ask and the others
-    answer: one asks for its nearest end if that answers, and one that answers takes the nearest that asks."""
-    asks = lambda c: F.xxhash64(F.lit(seed), c) % 2 == 0
-    # A fragment's nearest end of all, and the nearest of those that answer.
-    rank = F.struct("distance", "mark", "b", "u", "v")
-    asked = _both_ways(edges).where(asks("a")).groupBy("a").agg(F.min("distance").alias("nearest"), F.min(F.when(~asks("b"), rank)).alias("x"))
-    asked = asked.where(F.col("x.distance") == F.col("nearest")).select("x.b", F.struct("x.distance", "x.mark", "a", "x.u", "x.v").alias("y"))
-    return asked.groupBy("b").agg(F.min("y").alias("y")).select("y.a", "b", "y.u", "y.v")
-
-
-def _mutual(edges: DataFrame) -> DataFrame:
-    """Pairs of fragments that choose each other, of which any set of edges has one."""
-    low, high = F.least("u", "v"), F.greatest("u", "v")
-    rank = F.struct("distance", "mark", low.alias("low"), high.alias("high"), "b", "u", "v")
-    best = _both_ways(edges).groupBy("a").agg(F.min(rank).alias("x")).select("a", "x.low", "x.high", "x.b", "x.u", "x.v")
-    back = best.select(F.col("b").alias("a"), F.col("a").alias("b"), "low", "high")
-    return best.join(back, ["a", "b", "low", "high"]).where("a < b").select("a", "b", "u", "v")
-
-
-def _finished(ends: DataFrame, fragments: DataFrame) -> DataFrame:
-    """``fragment, start, flipped``: all fragments joined in one task, nearest free ends first."""
-    held = ends.agg(F.collect_list(F.struct("end", "columns")).alias("ends"))
-    whole = fragments.agg(F.collect_list(F.struct("fragment", "head", "tail", "n")).alias("fragments"))
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                placed = joined_ends([(x["end"], x["columns"]) for x in row["ends"]], [(x["fragment"], x["head"], x["tail"], x["n"]) for x in row["fragments"]])
-                yield pa.RecordBatch.from_pydict(dict(zip(("fragment", "start", "flipped"), map(list, zip(*placed)))))
-
-    return held.crossJoin(whole).select("ends", "fragments").mapInArrow(join, "fragment bigint, start bigint, flipped boolean")  # one row by one
-
-
-def joined_ends(ends: list[tuple], fragments: list[tuple]) -> list[tuple[int, int, bool]]:
-    """``(fragment, start, flipped)``: joins the nearest ends of different fragments until one path is left."""
-    ends = sorted(ends)
-    names = [e for e, _ in ends]
-    columns = pa.array([c for _, c in ends], pa.list_(pa.int64()))
-    sizes = np.array([len(c) for _, c in ends])
-    pairs = []
-    for shift in range(1, len(ends)):
-        distance = sizes[:-shift] + sizes[shift:] - 2 * shared_columns(columns, shift)
-        pairs += zip(distance.tolist(), range(len(ends) - shift), range(shift, len(ends)))
+def shared_columns(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """How many columns each two of some rows share; ``values`` are the rows' different columns one after another."""
+    n = len(sizes)
+    row = np.repeat(np.arange(n), sizes)
+    order = np.argsort(values, kind="stable")
+    row, column = row[order], values[order]
+    new = np.concatenate(([True], column[1:] != column[:-1])) if len(column) else np.zeros(0, dtype=bool)
+    code = np.cumsum(new) - 1
+    held = np.bincount(code)
+    hot = held[code] > DENSE
+    # Columns of few rows by pairs of entries that stand next to each other, then one further apart, and so on.
+    light, of = row[~hot], code[~hot]
+    met = []
+    for shift in range(1, DENSE):
+        same = np.flatnonzero(of[shift:] == of[:-shift])
+        if not len(same):
+            break
+        met.append(light[same] * n + light[same + shift])
+    shared = np.bincount(np.concatenate(met), minlength=n * n).reshape(n, n) if met else np.zeros((n, n), dtype=np.int64)
+    shared = shared + shared.T
+    # Those of many rows by dense products, a bounded number of columns at a time.
+    names = np.flatnonzero(held > DENSE)
+    place, of = row[hot], np.searchsorted(names, code[hot])
+    for at in range(0, len(names), PRODUCT):
+        low, high = np.searchsorted(of, (at, at + PRODUCT))
+        dense = np.zeros((n, min(PRODUCT, len(names) - at)), dtype=np.float32)
+        dense[place[low:high], of[low:high] - at] = 1
+        shared += (dense @ dense.T).astype(np.int64)
+    return shared
+
+
+def _nearest_pairs(values: np.ndarray, sizes: np.ndarray, fragment: np.ndarray, near: int | None) -> list[tuple[int, int]]:
+    """Pairs ``x < y`` of ends of different fragments by ascending distance, ties by place: all, or those that are
+    among the ``near`` nearest of one of both."""
+    n = len(sizes)
+    distance = sizes[:, None] + sizes[None, :] - 2 * shared_columns(values, sizes)
+    far = np.iinfo(np.int64).max
+    distance[fragment[:, None] == fragment[None, :]] = far
+    if near is None or near >= n - 1:
+        x, y = np.triu_indices(n, 1)
+    else:
+        best = np.argpartition(distance, near - 1, axis=1)[:, :near]
+        x, y = np.repeat(np.arange(n), near), best.reshape(-1)
+        x, y = np.divmod(np.unique(np.minimum(x, y) * n + np.maximum(x, y)), n)
+    keep = distance[x, y] < far
+    x, y = x[keep], y[keep]
+    order = np.argsort(distance[x, y], kind="stable")
+    return list(zip(x[order].tolist(), y[order].tolist()))
+
+
+def _paths(names: list[int], pairs: list[tuple[int, int]], fragments: list[tuple], joins: int) -> list[tuple[list[tuple[int, bool]], int, int]]:
+    """Paths ``([(fragment, flipped), ...], head, tail)`` after at most ``joins`` joins of ``pairs`` in their order."""
     of = {e: f for f, head, tail, _ in fragments for e in (head, tail)}
     paths = {f: [(f, False)] for f, *_ in fragments}
     outer = {f: [head, tail] for f, head, tail, _ in fragments}
-    for _, x, y in sorted(pairs):
+    for x, y in pairs:
+        if not joins:
+            break
         u, v = names[x], names[y]
-        a, b = of.get(u), of.get(v)
+        a, b = of[u], of[v]
         if a is None or b is None or a == b:
             continue
+        joins -= 1
         if outer[a][1] != u:
             paths[a], outer[a] = [(f, not flip) for f, flip in reversed(paths[a])], outer[a][::-1]
         if outer[b][0] != v:
@@ -151,67 +117,137 @@ def joined_ends(ends: list[tuple], fragments: list[tuple]) -> list[tuple[int, in
             if e not in outer[a]:
                 of[e] = None
         of[outer[a][0]] = of[outer[a][1]] = a
-    (path,) = paths.values() if paths else ([],)
+    return [(path, *outer[f]) for f, path in paths.items()]
+
+
+def joined_ends(ends: list[tuple], fragments: list[tuple]) -> list[tuple[int, int, bool]]:
+    """``(fragment, start, flipped)``: joins the nearest ends of different fragments until one path is left."""
+    if not fragments:
+        return []
+    ends = sorted(ends)
+    names = [e for e, _ in ends]
+    of = {e: f for f, head, tail, _ in fragments for e in (head, tail)}
+    values = np.array([j for _, c in ends for j in c], dtype=np.int64)
+    pairs = _nearest_pairs(values, np.array([len(c) for _, c in ends]), np.array([of[e] for e in names]), None)
+    ((path, _, _),) = _paths(names, pairs, fragments, len(fragments))
     size = {f: n for f, _, _, n in fragments}
     starts = np.cumsum([0] + [size[f] for f, _ in path])
     return [(f, int(start), flip) for (f, flip), start in zip(path, starts)]
 
 
-def nearest_order(nz: DataFrame, orders: int = ORDERS, near: int = NEAR, finish: int = FINISH) -> DataFrame:
+_STEP = pa.schema(
+    [("fragment", pa.int64()), ("n", pa.int64()), ("parent", pa.int64()), ("before", pa.int64()), ("flip", pa.bool_()), ("whole", pa.int64()), ("head", pa.int64()), ("tail", pa.int64())]
+    + [(c, pa.list_(pa.int64())) for c in ("head_columns", "tail_columns")]
+)
+
+
+def _block(rows: pa.RecordBatch, near: int) -> pa.RecordBatch:
+    """A row of the round for each fragment of a block: where it stands in the path that it is in now, which is named
+    after its first fragment; that one's row has the ends of the path too."""
+    fragment, head, tail, n = (rows.column(c).to_numpy() for c in range(4))
+    two = np.flatnonzero(head != tail)
+    lists = pa.concat_arrays([rows.column(4), rows.column(5).take(pa.array(two))])
+    names = np.concatenate((head, tail[two]))
+    sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+    pairs = _nearest_pairs(lists.flatten().to_numpy(), sizes, np.concatenate((fragment, fragment[two])), near)
+    each = list(zip(fragment.tolist(), head.tolist(), tail.tolist(), n.tolist()))
+    place, size = {e: k for k, e in enumerate(names.tolist())}, {f: k for f, _, _, k in each}
+    out, ends = [], []
+    for path, first, last in _paths(names.tolist(), pairs, each, max(1, math.ceil(SHARE * (len(each) - 1)))):
+        at, whole, parent = 0, sum(size[f] for f, _ in path), path[0][0]
+        for f, flip in path:
+            new = f == parent
+            out.append((f, size[f], parent, at, flip, whole, first if new else None, last if new else None))
+            ends.append((place[first] if new else None, place[last] if new and first != last else None))
+            at += size[f]
+    columns = [pa.array(x, t) for x, t in zip(zip(*out), _STEP.types)]
+    return pa.RecordBatch.from_arrays(columns + [lists.take(pa.array(x, pa.int64())) for x in zip(*ends)], schema=_STEP)
+
+
+def _round(fragments: DataFrame, seed: int, partitions: int, near: int) -> DataFrame:
+    """The joins of one round, a row of :data:`_STEP` for each fragment."""
+    # The end that places the fragment, by a hash.
+    first = F.col("tail_columns").isNull() | (F.pmod(F.xxhash64(F.lit(seed), "fragment"), F.lit(2)) == 0)
+    hashes = F.slice(F.sort_array(F.transform(F.when(first, F.col("head_columns")).otherwise(F.col("tail_columns")), lambda j: F.xxhash64(F.lit(seed), j))), 1, HASHES)
+    placed = fragments.withColumn("hashes", hashes).repartitionByRange(partitions, "hashes", "fragment").sortWithinPartitions("hashes", "fragment")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks().to_batches()
+            held = None
+            if rows:
+                held, made = _cut(rows[0], near, False)
+                yield from made
+        if held is not None:
+            yield from _cut(held, near, True)[1]
+
+    return placed.select("fragment", "head", "tail", "n", "head_columns", "tail_columns").mapInArrow(
+        scan, "fragment bigint, n bigint, parent bigint, before bigint, flip boolean, whole bigint, head bigint, tail bigint, head_columns array<bigint>, tail_columns array<bigint>"
+    )
+
+
+def _cut(rows: pa.RecordBatch, near: int, last: bool) -> tuple[pa.RecordBatch | None, list[pa.RecordBatch]]:
+    """Blocks of ``rows``, and the rows after the last one that is full. A block has two fragments at least, if there are as many."""
+    entries = sum(np.diff(rows.column(c).offsets.to_numpy()).astype(np.int64) for c in (4, 5))
+    total, at, made = np.concatenate(([0], np.cumsum(entries))), 0, []
+    while at < rows.num_rows:
+        full = int(np.searchsorted(total, total[at] + BLOCK_ENTRIES, side="right")) - 1
+        stop = min(at + BLOCK, max(full, at + 2))
+        if stop >= rows.num_rows and not last:
+            return rows.slice(at), made
+        made.append(_block(rows.slice(at, stop - at), near))
+        at = stop
+    return None, made
+
+
+def _finished(fragments: DataFrame) -> DataFrame:
+    """``fragment, start, flipped``: all fragments joined in one task, nearest free ends first."""
+    whole = fragments.agg(F.collect_list(F.struct("fragment", "head", "tail", "n", "head_columns", "tail_columns")).alias("fragments")).select("fragments")
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for (rows,) in (x.values() for x in batch.to_pylist()):
+                ends = [(x[e], x[f"{e}_columns"]) for x in rows for e in ("head", "tail") if x[f"{e}_columns"] is not None]
+                placed = joined_ends(ends, [(x["fragment"], x["head"], x["tail"], x["n"]) for x in rows])
+                yield pa.RecordBatch.from_pydict(dict(zip(("fragment", "start", "flipped"), map(list, zip(*placed)))))
+
+    return whole.mapInArrow(join, "fragment bigint, start bigint, flipped boolean")
+
+
+def nearest_order(nz: DataFrame, near: int = NEAR, finish: int = FINISH) -> DataFrame:
     """``(i, place)``: a permutation of all rows that have entries, places from 0."""
-    spark = nz.sparkSession
-    sets = materialise(row_columns(nz), "row-columns")
-    one, no = F.lit(1).cast("bigint"), F.lit(False)
-    fragments = materialise(sets.select(F.col("i").alias("fragment"), F.col("i").alias("head"), F.col("i").alias("tail"), one.alias("n")), "fragments")
+    one, none = F.lit(1).cast("bigint"), F.lit(None).cast("array<bigint>")
+    names = [F.col("i").alias(c) for c in ("fragment", "head", "tail")]
+    fragments = materialise(row_columns(nz).select(*names, one.alias("n"), F.col("columns").alias("head_columns"), none.alias("tail_columns")), "fragments")
+    cores = nz.sparkSession.sparkContext.defaultParallelism
+    entries = F.size("head_columns") + F.coalesce(F.size("tail_columns"), F.lit(0))
     steps = []
-    count, cores = fragments.count(), int(spark.conf.get("spark.sql.shuffle.partitions"))
-    while count > 1:
-        ends = materialise(_ends(fragments, sets), "ends")
-        if count <= finish and ends.agg(F.sum(F.size("columns"))).first()[0] <= FINISH_ENTRIES:
+    while True:
+        count, held = fragments.agg(F.count(F.lit(1)), F.sum(F.when(F.col("tail_columns").isNull(), F.size("head_columns")).otherwise(entries))).first()
+        if count < 2 or count <= finish and held <= FINISH_ENTRIES:
             break
-        seeds = [len(steps) * orders + k for k in range(orders)]
-        chosen = materialise(_accepted(_edges(ends, seeds, near, max(1, min(cores, count // 1000))), len(steps)), "chosen")
-        if chosen.isEmpty():
-            # Ends in one sort: those of two fragments stand next to each other somewhere, so some pair is mutual.
-            chosen = materialise(_mutual(_edges(ends, seeds, near, 1)), "chosen")
-        a, b = (fragments.select(*[F.col(c).alias(f"{side}_{c}") for c in fragments.columns]) for side in "ab")
-        joins = chosen.join(a, F.col("a") == F.col("a_fragment")).join(b, F.col("b") == F.col("b_fragment"))
-        turned = [(F.col("a_tail") != F.col("u")).alias("a_flip"), (F.col("b_head") != F.col("v")).alias("b_flip")]
-        joins = materialise(joins.select("a", "b", "a_n", "b_n", "a_head", "a_tail", "b_head", "b_tail", *turned), "joins")
-        step = joins.select(F.col("a").alias("fragment"), F.col("a").alias("parent"), F.lit(0).cast("bigint").alias("before"), F.col("a_flip").alias("flip"), F.col("a_n").alias("n"))
-        step = step.unionByName(joins.select(F.col("b").alias("fragment"), F.col("a").alias("parent"), F.col("a_n").alias("before"), F.col("b_flip").alias("flip"), F.col("b_n").alias("n")))
-        made = joins.select(
-            F.col("a").alias("fragment"),
-            F.when(F.col("a_flip"), F.col("a_tail")).otherwise(F.col("a_head")).alias("head"),
-            F.when(F.col("b_flip"), F.col("b_head")).otherwise(F.col("b_tail")).alias("tail"),
-            (F.col("a_n") + F.col("b_n")).alias("n"),
-        )
-        alone = fragments.join(step.select("fragment"), "fragment", "left_anti")
-        left = count - joins.count()
-        now = materialise(alone.unionByName(made), "fragments")
-        steps.append((step, fragments, now))
-        fragments, count = now, left
-    placed = _finished(ends, fragments) if count > 1 else fragments.select("fragment", F.lit(0).cast("bigint").alias("start"), no.alias("flipped"))
-    for step, before, after in reversed(steps):
-        placed = _opened(materialise(placed, "placed"), step, before, after)
-    return placed.select(F.col("fragment").alias("i"), F.col("start").alias("place"))
-
-
-def _opened(placed: DataFrame, step: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+        # Some task has four fragments, so that some are joined, and small tables occupy all cores.
+        tasks = max(math.ceil(count / TASK), math.ceil(held / TASK_ENTRIES), min(cores, count // (4 * BLOCK)))
+        step = materialise(_round(fragments, len(steps), max(1, min(tasks, count // 4)), near), "joins")
+        steps.append(step.select("fragment", "n", "parent", "before", "flip", "whole"))
+        fragments = step.where("fragment = parent").select("fragment", "head", "tail", F.col("whole").alias("n"), "head_columns", "tail_columns")
+    placed = _finished(fragments) if count > 1 else fragments.select("fragment", F.lit(0).cast("bigint").alias("start"), F.lit(False).alias("flipped"))
+    for step in reversed(steps):
+        placed = _opened(materialise(placed, "placed"), step)
+    return materialise(placed.select(F.col("fragment").alias("i"), F.col("start").alias("place")), "places")
+
+
+def _opened(placed: DataFrame, step: DataFrame) -> DataFrame:
     """Places of the fragments before a round, from those of the fragments after it."""
-    whole = placed.join(after.select("fragment", F.col("n").alias("whole")), "fragment")
-    old = before.select("fragment", "n").join(step.drop("n"), "fragment", "left")
-    old = old.select("fragment", "n", F.coalesce("parent", "fragment").alias("parent"), F.coalesce("before", F.lit(0)).alias("before"), F.coalesce("flip", F.lit(False)).alias("flip"))
-    joined = old.join(whole.withColumnRenamed("fragment", "parent"), "parent")
+    joined = step.join(placed.withColumnRenamed("fragment", "parent"), "parent")
     start = F.when(F.col("flipped"), F.col("start") + F.col("whole") - F.col("before") - F.col("n")).otherwise(F.col("start") + F.col("before"))
     return joined.select("fragment", start.alias("start"), (F.col("flip") != F.col("flipped")).alias("flipped"))
 
 
 def path_distances(nz: DataFrame, order: DataFrame) -> DataFrame:
     """``(place, i, distance)``: Hamming distance of each row of an order to the one before, null for the first."""
-    cells = nz.select(F.col("i").cast("bigint").alias("i"), F.col("j").cast("bigint").alias("j")).distinct().join(order, "i")
-    sizes = cells.groupBy("place", "i").agg(F.count(F.lit(1)).alias("n"))
-    both = cells.select("place", "j").join(cells.select((F.col("place") + 1).alias("place"), "j"), ["place", "j"]).groupBy("place").agg(F.count(F.lit(1)).alias("both"))
-    last = sizes.select((F.col("place") + 1).alias("place"), F.col("n").alias("last"))
-    joined = sizes.join(last, "place", "left").join(both, "place", "left")
-    return joined.select("place", "i", (F.col("n") + F.col("last") - 2 * F.coalesce("both", F.lit(0))).alias("distance"))
+    rows = materialise(row_columns(nz).join(order, "i"), "placed-rows")
+    last = rows.select((F.col("place") + 1).alias("place"), F.col("columns").alias("last"))
+    distance = F.size("columns") + F.size("last") - 2 * F.size(F.array_intersect("columns", "last"))
+    return rows.join(last, "place", "left").select("place", "i", F.when(F.col("last").isNotNull(), distance.cast("bigint")).alias("distance"))

@@ -1,7 +1,9 @@
 """Similarity join and order of all rows of a matrix against plain loops."""
 
 import random
+import time
 
+import numpy as np
 import pytest
 
 from gridweave.operators import reordering, similarity
@@ -95,3 +97,28 @@ def test_order_of_the_small_table(spark, small_dir):
     assert [p for p, _ in got] == list(range(len(rows))) and sorted(order) == sorted(rows)
     theirs = walk(rows, between)
     assert sum(map(between, order, order[1:])) <= 1.1 * sum(map(between, theirs, theirs[1:]))
+
+
+def test_shared_columns_of_rare_and_common_ones():
+    rng = random.Random(3)
+    rows = [{j for j in range(60) if rng.random() < (0.9 if j < 5 else 0.2)} for _ in range(100)] + [set()]
+    values = [j for row in rows for j in sorted(row)]
+    got = reordering.shared_columns(np.array(values, dtype=np.int64), np.array([len(r) for r in rows]))
+    assert all(got[x, y] == len(rows[x] & rows[y]) for x in range(101) for y in range(101) if x != y)
+
+
+def test_last_fragments_of_long_rows_are_joined_fast():
+    rng = random.Random(4)
+    ends = [(k, sorted(rng.sample(range(100_000), 500))) for k in range(800)]
+    start = time.monotonic()
+    placed = reordering.joined_ends(ends, [(k, k, k, 1) for k in range(800)])
+    assert sorted(f for f, _, _ in placed) == list(range(800)) and time.monotonic() - start < 20
+
+
+def test_rounds_are_few(spark, monkeypatch):
+    labels, write = [], reordering.materialise
+    monkeypatch.setattr(reordering, "materialise", lambda df, label: labels.append(label) or write(df, label))
+    rows = some_rows(9, 3000, 60)
+    placed = reordering.nearest_order(frame(spark, rows), finish=30).collect()
+    assert sorted(r.place for r in placed) == list(range(len(rows))) and sorted(r.i for r in placed) == sorted(rows)
+    assert labels.count("joins") <= 6
