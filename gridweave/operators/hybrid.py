@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridweave.operators.membership import build_filter, maybe
 from gridweave.plans.staging import materialise
 
 
@@ -113,7 +114,8 @@ def entry_rectangles(nz: DataFrame, rectangles: DataFrame) -> DataFrame:
 
     The range join is made of equalities: a rectangle has the grid of the powers of two that its sides do not
     exceed, where it meets four cells at most, and an entry has one cell in each grid that occurs. Grids are
-    at most the product of the sides' bit lengths, whatever the matrix. Entries of one place are told from
+    at most the product of the sides' bit lengths, whatever the matrix; a bit filter of the rectangles' cells drops most of an
+    entry's cells before the join. Entries of one place are told from
     each other by nothing and share their rectangle; rectangles without an area, and nulls, hold nothing.
     """
     held = rectangles.where("i0 < i1 and j0 < j1")
@@ -125,9 +127,11 @@ def entry_rectangles(nz: DataFrame, rectangles: DataFrame) -> DataFrame:
     at = lambda c, g: F.call_function("shiftright", F.col(c).cast("bigint"), F.col(g))
     # Sides are at most the grid's, so a rectangle begins and ends in the same cell or in neighbouring ones.
     cell = lambda low, high, g: F.explode(F.sequence(at(low, g), F.call_function("shiftright", (F.col(high) - 1).cast("bigint"), F.col(g))))
-    cells = held.withColumn("ci", cell("i0", "i1", "gi")).withColumn("cj", cell("j0", "j1", "gj"))
+    cells = materialise(held.withColumn("ci", cell("i0", "i1", "gi")).withColumn("cj", cell("j0", "j1", "gj")), "cells")
+    place = F.xxhash64("gi", "gj", "ci", "cj")
+    bits, words = build_filter(cells.select(place.alias("place")), "place", cells.count())
     each = nz.select("i", "j", F.explode(F.array(*[F.struct(F.lit(x.gi).alias("gi"), F.lit(x.gj).alias("gj")) for x in grids])).alias("g")).select("i", "j", "g.gi", "g.gj")
-    each = each.withColumn("ci", at("i", "gi")).withColumn("cj", at("j", "gj"))
+    each = each.withColumn("ci", at("i", "gi")).withColumn("cj", at("j", "gj")).where(maybe(place, bits, words))
     met = each.join(cells, ["gi", "gj", "ci", "cj"]).where("i >= i0 and i < i1 and j >= j0 and j < j1")
     area = -((F.col("i1") - F.col("i0")) * (F.col("j1") - F.col("j0")))
     best = met.groupBy("i", "j").agg(F.min(F.struct(area.alias("less"), "rectangle")).alias("x")).select("i", "j", "x.rectangle")

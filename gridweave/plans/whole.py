@@ -215,7 +215,7 @@ def entry_rectangles(spark, d):
 @query("SELECT i, 0 AS c, round(sum(v * p_size), 4) AS x FROM {A} JOIN part ON j = p_partkey GROUP BY 1")
 def spmm_rectangles(spark, d):
     """The product by its parts: entries inside free rectangles, and the remainder."""
-    parts = entry_rectangles(spark, d)
+    parts = materialise(entry_rectangles(spark, d), "parts")
     inside, rest = (linalg.spmm_coord(parts.where(test).select("i", "j", "v"), part_b(spark, d)) for test in ("rectangle is not null", "rectangle is null"))
     return inside.unionByName(rest).groupBy("i", "c").agg(r(F.sum("x"), 4).alias("x"))
 

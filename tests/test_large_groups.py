@@ -145,3 +145,10 @@ def test_rectangles_meet_entries_by_equality(spark):
     nz = spark.createDataFrame([(1, 2, 1.0)], "i long, j long, v double")
     plan = hybrid.entry_rectangles(nz, spark.createDataFrame([(1, 0, 3, 0, 9)], "rectangle long, i0 long, i1 long, j0 long, j1 long"))._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_cells_without_a_rectangle_are_not_joined(spark):
+    nz = spark.createDataFrame([(1, 2, 1.0)], "i long, j long, v double")
+    free = spark.createDataFrame([(k, 0, 1 + k, 0, 1 + 3 * k) for k in range(9)], "rectangle long, i0 long, i1 long, j0 long, j1 long")
+    plan = hybrid.entry_rectangles(nz, free)._jdf.queryExecution().optimizedPlan().toString()
+    assert "getbit" in plan.lower() or "bit_get" in plan.lower()
