@@ -35,10 +35,10 @@ def row_sets(nz: DataFrame) -> DataFrame:
 
 def classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(i, class_id)``, the smallest row of equal columns; and the columns of one row of each class."""
-    named = sets.select("i", "columns", F.sha2(F.to_json("columns"), 256).alias("digest"))
+    named = sets.select("i", "columns", F.unhex(F.md5(F.to_json("columns"))).alias("digest"))
     first = named.groupBy("digest").agg(F.min("i").alias("class_id"))
-    members = named.select("i", "digest").join(first, "digest").select("i", "class_id")
-    return members, sets.join(first.select(F.col("class_id").alias("i")), "i", "left_semi")
+    held = materialise(named.join(first, "digest").select("i", "class_id", "columns"), "classes")
+    return held.select("i", "class_id"), held.where("i = class_id").select("i", "columns")
 
 
 def _required(size: Column, threshold: float) -> Column:
@@ -52,7 +52,7 @@ def candidates(sets: DataFrame, threshold: float, common: int = COMMON, depth: i
     rows = sets.select("i", size.alias("n"), _required(size, threshold).alias("needs"), "columns")
     # Keys are the first columns that are shared, as an array, and where the last one stands in the row.
     at = F.explode(F.sequence(F.lit(1), F.col("n") - F.col("needs") + 1))
-    keys = rows.select("i", "n", "needs", at.alias("at")).join(rows.select("i", "columns"), "i")
+    keys = rows.select("i", "n", "needs", at.alias("at"), "columns")
     keys = keys.select("i", "n", "needs", "at", F.array(F.element_at("columns", F.col("at"))).alias("key"), "columns")
     made = None
     for level in range(1, depth + 1):
@@ -88,7 +88,6 @@ def similar_rows(nz: DataFrame, threshold: float, common: int = COMMON, depth: i
     if not 0 < threshold <= 1:
         raise ValueError("the threshold is above 0 and at most 1")
     members, sets = classes(materialise(row_sets(nz), "row-sets"))
-    sets = materialise(sets, "class-sets")
     met = candidates(sets, threshold, common, depth)
     one, two = (sets.select(F.col("i").alias(f"i{k}"), F.col("columns").alias(f"columns{k}")) for k in (1, 2))
     both = F.size(F.array_intersect("columns1", "columns2"))

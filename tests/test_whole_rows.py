@@ -122,3 +122,10 @@ def test_rounds_are_few(spark, monkeypatch):
     placed = reordering.nearest_order(frame(spark, rows), finish=30).collect()
     assert sorted(r.place for r in placed) == list(range(len(rows))) and sorted(r.i for r in placed) == sorted(rows)
     assert labels.count("joins") <= 6
+
+
+def test_keys_of_rows_are_made_without_a_join(spark, monkeypatch):
+    plans, write = {}, similarity.materialise
+    monkeypatch.setattr(similarity, "materialise", lambda df, label: plans.setdefault(label, df._jdf.queryExecution().optimizedPlan().toString()) and write(df, label))
+    similarity.similar_rows(frame(spark, some_rows(5)), 0.8)
+    assert "Join" not in plans["prefix-keys"]
