@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.plans.prefix import exclusive_prefix, neighbours
+from gridweave.plans.prefix import dealt, exclusive_prefix, neighbours
 
 
 def coo(df: DataFrame, i: str, j: str, v: Column | str, by: Sequence[str] = ()) -> DataFrame:
@@ -20,8 +20,9 @@ def coo(df: DataFrame, i: str, j: str, v: Column | str, by: Sequence[str] = ())
 
 
 def coalesce(nz: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Adds up the values of repeated coordinates."""
-    return nz.groupBy(*by, "i", "j").agg(F.sum("v").alias("v"))
+    """Adds up the values of repeated coordinates. Few repeat, so rows are dealt before they are added up: a table of
+    all coordinates of a split of the files would save no shuffle."""
+    return dealt(nz, *by, "i", "j").groupBy(*by, "i", "j").agg(F.sum("v").alias("v"))
 
 
 def transpose(nz: DataFrame, by: Sequence[str] = ()) -> DataFrame:

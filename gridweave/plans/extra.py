@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from gridweave.functions import scalar
 from gridweave.operators import hybrid, matrix, patterns, results, structure
 from gridweave.plans.catalog import HEIGHT, PANEL, WIDTH, log, matrix_a, mined, mined_sql, query, r, sizes, table
+from gridweave.plans.prefix import dealt
 from gridweave.sources import experiments
 
 #: Three matrices of one table: lineitem by return flag.
@@ -14,7 +15,8 @@ MANY_SQL = "(SELECT DISTINCT l_returnflag AS matrix_id, l_suppkey AS i, l_partke
 
 
 def many(spark, d):
-    return table(spark, d, "lineitem").select(F.col("l_returnflag").alias("matrix_id"), F.col("l_suppkey").alias("i"), F.col("l_partkey").alias("j")).distinct()
+    rows = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("matrix_id"), F.col("l_suppkey").alias("i"), F.col("l_partkey").alias("j"))
+    return dealt(rows, "matrix_id", "i", "j").distinct()
 
 
 def shapes(spark, d):
@@ -194,7 +196,8 @@ _RECORDS = f"""WITH t AS (SELECT matrix_id, i // {HEIGHT} AS ti, j // {WIDTH} AS
 
 
 def _records(spark, d):
-    tile = many(spark, d).groupBy("matrix_id", F.floor(F.col("i") / HEIGHT).alias("ti"), F.floor(F.col("j") / WIDTH).alias("tj")).agg(F.count(F.lit(1)).alias("nnz"))
+    cells = many(spark, d).select("matrix_id", F.floor(F.col("i") / HEIGHT).alias("ti"), F.floor(F.col("j") / WIDTH).alias("tj"))
+    tile = dealt(cells, "matrix_id", "ti", "tj").groupBy("matrix_id", "ti", "tj").agg(F.count(F.lit(1)).alias("nnz"))
     return hybrid.hybrid_records(tile, shapes(spark, d), HEIGHT, WIDTH, [0.05, 0.1, 0.15], _times(spark, d))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gridweave.operators import covers, hybrid, linalg, patterns, reordering, results, similarity
 from gridweave.operators.order_statistics import percentiles
 from gridweave.plans.catalog import HEIGHT, PANEL, matrix_a, mined, mined_sql, part_b, query, r, sizes, table
-from gridweave.plans.prefix import exclusive_prefix
+from gridweave.plans.prefix import dealt, exclusive_prefix
 from gridweave.plans.staging import materialise, new_path
 from gridweave.sources import matrices, split_readers
 
@@ -69,6 +69,16 @@ def price_percentiles(spark, d):
     return prices.join(percentiles(rows, ["f"], "l_linenumber", {"line": 0.5}), "f").select("f", *[r(c, 4).alias(c) for c in ("q1", "q2", "p99")], "line")
 
 
+def _chains(spark, d):
+    """Orders as events, each below the one before it of the same customer."""
+    from pyspark.sql import Window
+
+    by = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")  # one customer's orders
+    total = F.sum("o_totalprice").over(by.rowsBetween(0, Window.unboundedFollowing))
+    orders = dealt(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority", "o_totalprice"), "o_custkey")
+    return orders.select(F.col("o_orderkey").alias("event"), F.lag("o_orderkey").over(by).alias("parent"), F.col("o_orderpriority").alias("name"), total.alias("total"))
+
+
 @query(
     """WITH o AS (SELECT *, o_orderpriority = '1-URGENT' AS hit, row_number() OVER w AS n FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
     t AS (SELECT hit, o_totalprice AS own, sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS total,
@@ -77,12 +87,7 @@ def price_percentiles(spark, d):
 )
 def profile_of_chains(spark, d):
     """Each customer's orders as a chain of events, each below the one before, rolled up by mapped name."""
-    from pyspark.sql import Window
-
-    by = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")  # one customer's orders
-    total = F.sum("o_totalprice").over(by.rowsBetween(0, Window.unboundedFollowing))
-    events = table(spark, d, "orders").select(F.col("o_orderkey").alias("event"), F.lag("o_orderkey").over(by).alias("parent"), F.col("o_orderpriority").alias("name"), total.alias("total"))
-    return results.profile_shares(events, {"1-URGENT": "urgent"}).select("kernel", r("time", 1).alias("time"))
+    return results.profile_shares(_chains(spark, d), {"1-URGENT": "urgent"}).select("kernel", r("time", 1).alias("time"))
 
 
 @query(

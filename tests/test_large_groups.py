@@ -152,3 +152,11 @@ def test_cells_without_a_rectangle_are_not_joined(spark):
     free = spark.createDataFrame([(k, 0, 1 + k, 0, 1 + 3 * k) for k in range(9)], "rectangle long, i0 long, i1 long, j0 long, j1 long")
     plan = hybrid.entry_rectangles(nz, free)._jdf.queryExecution().optimizedPlan().toString()
     assert "getbit" in plan.lower() or "bit_get" in plan.lower()
+
+
+@pytest.mark.parametrize("name, dealt", [("hybrid_records", 2), ("profile_of_chains", 1), ("coalesce", 1)])
+def test_rows_are_dealt_by_the_files_before_they_are_held(spark, small_dir, name, dealt):
+    from gridweave.plans import catalog, extra, whole  # noqa: F401
+
+    made = extra._records(spark, small_dir) if name == "hybrid_records" else catalog.matrix_a(spark, small_dir) if name == "coalesce" else whole._chains(spark, small_dir)
+    assert made._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") >= dealt
