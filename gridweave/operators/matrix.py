@@ -85,17 +85,19 @@ def random_matrix(spark, m: int, k: int, sparsity: float, seed: int = 0) -> Data
     return place.where(share < 1 - sparsity).select(F.floor(F.col("id") / k).alias("i"), (F.col("id") % k).alias("j"), value.alias("v"))
 
 
-def codelet_widths(codes: Sequence[tuple[int, float]], width: int) -> list[tuple[int, int]]:
+def codelet_widths(codes: Sequence[tuple[int, float]], width: int, lower: bool = True) -> list[tuple[int, int]]:
     """``(code, columns)`` of a panel of ``width`` columns: ``max(floor(p * width), 1)`` each, without the
     empty code; what is missing or over is dealt one by one in the order of the codes, and no code goes
-    below one column."""
+    below one column. Without ``lower`` what is over stays, in a wider panel."""
     held = [(code, max(int(p * width), 1)) for code, p in codes if code]
-    if len(held) > width:
+    if len(held) > width and lower:
         raise ValueError("there are more codes than columns")
     over = sum(n for _, n in held) - width
     if over <= 0:
         each, first = divmod(-over, max(1, len(held)))
         return [(code, n + each + (k < first)) for k, (code, n) in enumerate(held)]
+    if not lower:
+        return held
     # As many whole rounds as fit, in which a code of one column gives none; the rest come from the first codes that have more.
     taken = lambda rounds: sum(min(n - 1, rounds) for _, n in held)
     rounds = bisect_right(range(1, width + 1), over, key=taken)
@@ -107,10 +109,10 @@ def codelet_widths(codes: Sequence[tuple[int, float]], width: int) -> list[tuple
     return out
 
 
-def codelet_matrix(spark, codes: Sequence[tuple[int, float]], height: int, width: int) -> DataFrame:
+def codelet_matrix(spark, codes: Sequence[tuple[int, float]], height: int, width: int, lower: bool = True) -> DataFrame:
     """A synthetic panel of codes ``(bit pattern, probability)``, side by side in their order; bit 0 is
-    the first row. At most ``2 ** height`` codes, whose widths are dealt on the driver."""
-    share = codelet_widths(codes, width)
+    the first row. At most ``2 ** height`` codes, whose widths (:func:`codelet_widths`) are dealt on the driver."""
+    share = codelet_widths(codes, width, lower)
     runs = [(code, sum(n for _, n in share[:at]), sum(n for _, n in share[: at + 1])) for at, (code, _) in enumerate(share)]
     panel = spark.createDataFrame(runs, "code long, first long, stop long")
     column = panel.select("code", F.explode(F.sequence("first", F.col("stop") - 1)).alias("j"))

@@ -4,7 +4,9 @@ import random
 import zlib
 from collections import Counter
 
+import duckdb
 import pytest
+from oracle import assert_same
 
 from gridweave.functions import scalar
 from gridweave.operators import matrix, patterns, structure
@@ -156,6 +158,17 @@ def test_codelet_widths():
         matrix.codelet_widths([(k, 0.1) for k in range(1, 12)], 10)
 
 
+def test_codelet_panel_of_rare_patterns(spark, tmp_path):
+    """Rare patterns that get a column each take the panel beyond 6,000 columns, as in the SQL."""
+    cells = [(k % 4, 10 + k) for k in range(40_000)] + [(i, j) for j, code in enumerate((3, 5, 6, 7, 9, 10, 11, 12, 13, 14)) for i in range(4) if code >> i & 1]
+    spark.createDataFrame([(i, j, 1.0) for i, j in cells], "l_suppkey long, l_partkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    made = catalog.queries()["codelet_panel"](spark, str(tmp_path))
+    assert made.select("j").distinct().count() > 6000
+    assert_same(made, db, catalog.oracle_sql()["codelet_panel"])
+
+
 def test_sparsity_below_the_ranges_is_an_error(spark):
     rows = spark.createDataFrame([(0.7,), (1.0,), (None,)], "s double")
     assert [x["r"] for x in rows.select(scalar.sparsity_range(rows.s).alias("r")).collect()] == [0, 2, None]
