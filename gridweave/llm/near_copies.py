@@ -11,9 +11,10 @@ the radius are thousands and shorter keys meet at random. So there are, second,
 of 4: a pair of similarity 0.8 shares a band with a chance of 1 - (1 - 0.8^4)^16 = 0.9998, one of 0.9
 with more.
 
-Buckets are never expanded into pairs. All rows of a bucket are compared with its smallest members
-(leaders); rows that no leader settles meet the next leaders, eight times as many each round, until
-each bucket is settled. So of two rows of a bucket that are similar, one at most is left without a link.
+A bucket of at most ``CROWD`` rows is judged by its smallest member first; pairs with a row that this does
+not settle follow. A crowded bucket is never expanded into pairs (:func:`crowd_links`): its rows are sets that
+differ from a common set, and two rows that are not settled can only be similar if they differ from it in the
+same way in many places. Both lose no link of rows that share a bucket.
 
 Defined results: a null text counts as empty; texts without words are copies of each other; fewer
 words than a shingle make one shingle. Ids name documents: rows that repeat an id stay or go together,
@@ -24,6 +25,7 @@ are carried along and may have any name. Empty input gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +44,14 @@ BANDS, ROWS = 16, 4
 BLOCK = 1024
 #: Pairs that meet one copy of a leader's text.
 SPREAD = 256
+#: Rows of a bucket, or pairs for each row, that are still compared pair by pair.
+CROWD = 32
+#: Rows that make a group's common set, and rows that say which of its differences are frequent.
+CENTRAL, SAMPLE = 15, 64
+#: Times that groups are formed within groups before pairs are compared whatever their number.
+DEPTH = 4
+#: Slack of bounds that are computed in doubles; pairs are judged exactly.
+SLACK = 1e-6
 
 _RNG = np.random.default_rng(42)
 _XOR = _RNG.integers(0, 1 << 64, size=(BANDS * ROWS, 1), dtype=np.uint64)
@@ -140,24 +150,135 @@ def _judged(pairs: DataFrame, docs: DataFrame, text_col: str, shingle: int, simi
     return both.mapInArrow(judge, "u binary, v binary, near boolean")
 
 
+def bucket_links(member: DataFrame, docs: DataFrame, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """Edges ``(u, v)`` between similar rows of one bucket of ``member(key, node)``."""
+    heads = member.groupBy("key").agg(F.min("node").alias("u"))
+    met = checkpoint(member.join(heads, "key").where("u < node").select("key", "u", F.col("node").alias("v")))
+    first = checkpoint(_judged(checkpoint(met.select("u", "v").distinct()), docs, text_col, shingle, similarity))
+    open_rows = met.join(first.where("not near"), ["u", "v"]).select("key", F.col("v").alias("a"))
+    pairs = open_rows.join(met.select("key", F.col("v").alias("b")), "key").where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
+    asked = checkpoint(pairs.distinct().join(first, ["u", "v"], "left_anti"))
+    return first.unionByName(_judged(asked, docs, text_col, shingle, similarity)).where("near").select("u", "v")
+
+
+def _sets(wanted: DataFrame, docs: DataFrame, text_col: str, shingle: int) -> DataFrame:
+    """``(node, items)``: the shingles of each text of ``wanted(node)``."""
+    bits, words = build_filter(wanted, "node", wanted.count())
+    rows = docs.select(_node(_bytes(text_col)).alias("node"), _bytes(text_col).alias("text"))
+    rows = rows.where(maybe(F.col("node"), bits, words)).join(wanted, "node", "left_semi").dropDuplicates(["node"])
+    small_batches(docs.sparkSession)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            items = [shingles(x.as_py(), shingle).view(np.int64) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(items, pa.list_(pa.int64()))], names=["node", "items"])
+
+    return materialise(rows.mapInArrow(scan, "node binary, items array<bigint>"), "sets")
+
+
+def _core(rows: pa.Table) -> pa.Table:
+    """Of a group's sample: the items that most central rows hold, and what rows often differ in, the rarest first."""
+    sets = [np.array(x, dtype=np.int64) for x in rows.column("items").to_pylist()]
+    central = rows.column("central").to_pylist()
+    items, counts = np.unique(np.concatenate([x for x, c in zip(sets, central) if c]), return_counts=True)
+    core = items[2 * counts > sum(central)]
+    other = [np.setxor1d(x, core, assume_unique=True) for x, c in zip(sets, central) if not c]
+    items, counts = np.unique(np.concatenate(other), return_counts=True)
+    common = items[np.argsort(counts, kind="stable")][np.sort(counts) > 1]
+    columns = [rows.column("g").combine_chunks()[:1], pa.array([core], pa.list_(pa.int64())), pa.array([common], pa.list_(pa.int64()))]
+    return pa.Table.from_arrays(columns, names=["g", "core", "common"])
+
+
+def _differences(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """``(g, node, part, n, holes, core, v, items)`` for each of ``rows(g, node, w)``: in what it differs from the
+    common set of its group, frequent ones last, of these what it lacks, and the weight ``v`` of :func:`crowd_links`."""
+    ranked = lambda *order: rows.withColumn("at", F.row_number().over(Window.partitionBy("g").orderBy(*order)))
+    sample = ranked(F.desc("w"), "node").where(F.col("at") <= CENTRAL).withColumn("central", F.lit(True))
+    sample = sample.unionByName(ranked("node").where(F.col("at") <= SAMPLE).withColumn("central", F.lit(False)))
+    cores = sample.join(sets, "node").select("g", "central", "items").groupBy("g").applyInArrow(_core, "g binary, core array<bigint>, common array<bigint>")
+    copies = checkpoint(rows.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / SPREAD).cast("int").alias("copies")))
+    cores = cores.join(copies, "g").select("g", "core", "common", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("part"))
+    dealt = rows.join(copies, "g").select("g", "node", F.pmod(F.xxhash64("node"), F.col("copies")).cast("int").alias("part"))
+    dealt = dealt.join(sets, "node").join(cores, ["g", "part"]).select("g", "node", "part", "items", "core", "common")
+    small_batches(rows.sparkSession)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, holes, size, made = [], [], [], []
+            for items, core, common in zip(*batch.columns[3:]):
+                items, core, common = (x.values.to_numpy() for x in (items, core, common))
+                less, more = np.setdiff1d(core, items, assume_unique=True), np.setdiff1d(items, core, assume_unique=True)
+                both = np.concatenate([more, less])
+                rank = np.zeros(len(both), dtype=np.int64)
+                if len(common):
+                    order = np.argsort(common)
+                    at = np.minimum(np.searchsorted(common, both, sorter=order), len(common) - 1)
+                    rank = np.where(common[order[at]] == both, order[at] + 1, 0)
+                n.append(len(items)), holes.append(len(less)), size.append(len(core))
+                made.append(both[np.lexsort((both, rank))])
+            counts = [pa.array(x, pa.int32()) for x in (n, holes, size)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *counts, pa.array(made, pa.list_(pa.int64()))], names=["g", "node", "part", "n", "holes", "core", "items"])
+
+    made = dealt.mapInArrow(scan, "g binary, node binary, part int, n int, holes int, core int, items array<bigint>")
+    v = F.col("holes") + similarity * (F.size("items") - F.col("holes")) - F.col("core") * (1 - similarity) / 2
+    return materialise(made.withColumn("v", v), "differences")
+
+
+def crowd_links(member: DataFrame, docs: DataFrame, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """Edges ``(u, v)`` that connect all similar rows of one bucket of ``member(key, node, n)``.
+
+    Buckets with the same most central row (that of the most bucket mates) are one group. Any set ``C`` can be a
+    group's common set. With ``D`` the items in which a row differs from it, ``h`` of them items that it lacks and
+    ``a`` others, and with ``v = h + s a - |C| (1 - s) / 2``, two rows have similarity ``s`` or more exactly if
+    ``(1 + s) |D1 & D2| >= v1 + v2``. All rows are compared with the row of the smallest ``v``. Two rows that
+    are not both similar to it must then share an item of ``D``, and so many that one is among the first
+    items of both: keys of a prefix filter. Keys of many pairs are buckets of a next round."""
+    found, sets = [], _sets(checkpoint(member.select("node").distinct()), docs, text_col, shingle)
+    for depth in range(DEPTH):
+        weight = member.groupBy("node").agg(F.sum("n").alias("w"))
+        weighed = checkpoint(member.join(weight, "node"))
+        hubs = weighed.groupBy("key").agg(F.max(F.struct("w", "node")).getField("node").alias("g"))
+        rows = _differences(checkpoint(weighed.join(hubs, "key").select("g", "node", "w").distinct()), sets, similarity)
+        best = rows.groupBy("g").agg(F.min(F.struct("v", "node", "n", "holes", "items")).alias("m"), F.max("part").alias("last"))
+        best = best.select("g", "m", F.explode(F.sequence(F.lit(0), "last")).alias("part"))
+        same = lambda a, b: F.expr(f"core - {a}.holes - {b}.holes + size(array_intersect({a}.items, {b}.items))")
+        row = F.struct("v", "node", "n", "holes", "items").alias("x")
+        near = lambda a, b: F.col("c") / (F.col(f"{a}.n") + F.col(f"{b}.n") - F.col("c")) >= similarity
+        edge = lambda a, b: (F.least(f"{a}.node", f"{b}.node").alias("u"), F.greatest(f"{a}.node", f"{b}.node").alias("v"))
+        met = rows.select("g", "part", "core", row).join(best, ["g", "part"]).withColumn("c", same("x", "m"))
+        met = materialise(met.select("g", "core", "x", "m.v", F.col("m.node").alias("head"), near("x", "m").alias("settled")).withColumnRenamed("v", "least"), "met")
+        found.append(met.where("settled and x.node <> head").select(F.least("x.node", "head").alias("u"), F.greatest("x.node", "head").alias("v")))
+        unsettled = met.where("not settled").groupBy("g").agg(F.min("x.v").alias("open"))
+        first = lambda bound: F.greatest(F.lit(0), F.size("x.items") + 1 - F.greatest(F.lit(1), F.ceil((F.col("x.v") + F.col(bound)) / (1 + similarity) - SLACK))).cast("int")
+        wide = met.join(unsettled, "g").select("g", F.col("x.node").alias("node"), "settled", first("open").alias("close"), F.when(F.col("settled"), first("open")).otherwise(first("least")).alias("some"), "x.items")
+        keyed = wide.select("g", "node", "settled", "close", F.posexplode(F.slice("items", F.lit(1), F.col("some"))).alias("at", "e"))
+        keyed = materialise(keyed.select("g", "e", "node", "settled", (F.col("at") < F.col("close")).alias("close")), "keyed")
+        counts = keyed.groupBy("g", "e").agg(F.count_if("settled").alias("s"), F.count_if(~F.col("settled")).alias("o"), F.count_if(~F.col("settled") & F.col("close")).alias("q"))
+        pairs = F.col("s") * F.col("o") + F.col("q") * (F.col("q") - 1) / 2
+        counts = counts.where(pairs > 0).select("g", "e", (F.col("s") + F.col("o")).alias("n"), (pairs > CROWD * (F.col("s") + F.col("o"))).alias("crowded"))
+        keyed = checkpoint(keyed.join(counts, ["g", "e"]))
+        plain = keyed if depth + 1 == DEPTH else keyed.where("not crowded")
+        one = plain.select("g", "e", F.col("node").alias("a"), "settled", "close")
+        two = plain.where("not settled").select("g", "e", F.col("node").alias("b"), F.col("close").alias("close_b"))
+        asked = checkpoint(one.join(two, ["g", "e"]).where("settled or (close and close_b and a < b)").select("g", "a", "b").distinct())
+        ends = {k: met.select("g", F.col("x.node").alias(k), F.col("x").alias(f"{k}x"), *(["core"] if k == "a" else [])) for k in "ab"}
+        judged = asked.join(ends["a"], ["g", "a"]).join(ends["b"], ["g", "b"]).withColumn("c", same("ax", "bx"))
+        found.append(checkpoint(judged.where(near("ax", "bx")).select(*edge("ax", "bx")).distinct()))
+        if depth + 1 < DEPTH:
+            member = checkpoint(keyed.where("crowded").select(F.xxhash64("g", "e").alias("key"), "node", "n").distinct())
+            if member.isEmpty():
+                break
+    return reduce(DataFrame.unionByName, found)
+
+
 def links(nodes: DataFrame, docs: DataFrame, text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """Edges ``(u, v)`` between similar ones of ``nodes(node, keys)``, the texts of ``docs``."""
-    member = nodes.select(F.explode("keys").alias("key"), "node")
-    full = checkpoint(member.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
-    open_rows, known, leaders = checkpoint(member.join(full, "key").distinct()), None, 1
-    while not open_rows.isEmpty():
-        order = Window.partitionBy("key").orderBy("node")
-        heads = checkpoint(open_rows.withColumn("at", F.row_number().over(order)).where(F.col("at") <= leaders).select("key", F.col("node").alias("u")))
-        met = checkpoint(open_rows.join(heads, "key").where("u < node").select("key", "u", F.col("node").alias("v")))
-        asked = met.select("u", "v").distinct()
-        asked = checkpoint(asked if known is None else asked.join(known, ["u", "v"], "left_anti"))
-        judged = _judged(asked, docs, text_col, shingle, similarity)
-        known = checkpoint(judged if known is None else known.unionByName(judged))
-        settled = met.join(known.where("near"), ["u", "v"]).select("key", F.col("v").alias("node")).unionByName(heads.select("key", F.col("u").alias("node")))
-        rest = checkpoint(open_rows.join(settled.distinct(), ["key", "node"], "left_anti"))
-        open_rows = checkpoint(rest.join(rest.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "key"))
-        leaders *= 8
-    return nodes.select(F.col("node").alias("u"), F.col("node").alias("v")).limit(0) if known is None else known.where("near").select("u", "v")
+    """Edges ``(u, v)`` that connect all similar ones of ``nodes(node, keys)`` with a key in common, the texts of ``docs``."""
+    member = nodes.select(F.explode("keys").alias("key"), "node").distinct()
+    sizes = checkpoint(member.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    member = checkpoint(member.join(sizes, "key").select("key", "node", "n"))
+    found = bucket_links(member.where(F.col("n") <= CROWD).select("key", "node"), docs, text_col, shingle, similarity)
+    crowded = member.where(F.col("n") > CROWD)
+    return found if crowded.isEmpty() else found.unionByName(crowd_links(crowded, docs, text_col, shingle, similarity))
 
 
 def simhash_links(nodes: DataFrame, docs: DataFrame, text_col: str, shingle: int, similarity: float, radius: int = 2) -> DataFrame:

@@ -60,6 +60,48 @@ def test_crowded_bucket_of_several_groups(spark, monkeypatch):
     assert sorted(x["ids"] for x in groups) == want
 
 
+def brute(bodies):
+    """Components of pairs of similarity 0.8 or more."""
+    root = list(range(len(bodies)))
+    for b in range(len(bodies)):
+        for a in range(b):
+            if similarity(bodies[a], bodies[b]) >= 0.8:
+                low, high = sorted((root[a], root[b]))
+                root = [low if x == high else x for x in root]
+    return root
+
+
+def edited(rng, words, n):
+    words = list(words)
+    for at in rng.sample(range(len(words)), n):
+        words[at] = f"w{rng.randint(0, 10**6)}"
+    return " ".join(words)
+
+
+@pytest.mark.parametrize("crowd", [4, 1])
+def test_crowded_bucket_asks_few_pairs_and_loses_no_link(spark, monkeypatch, crowd):
+    """One bucket of copies from near to far, of versions of the text, of texts without a copy and of short ones."""
+    rng = random.Random(11)
+    base = [f"b{k}" for k in range(120)]
+    version, other = edited(rng, base, 12).split(), edited(rng, base, 14).split()
+    bodies = [edited(rng, base, k % 13) for k in range(110)] + [edited(rng, version, k % 5) for k in range(30)] + [edited(rng, other, 2 + k % 3) for k in range(20)]
+    bodies += [" ".join(base[: 120 - k]) for k in range(0, 60, 4)] + [text(rng, 100) for _ in range(10)] + ["a b", "b", "a b c d e f", "", "A  B"]
+    bodies = list(dict.fromkeys(bodies))
+    docs = frame(spark, [row(k, body) for k, body in enumerate(bodies)])
+    named = docs.select("doc_id", near_copies._node(near_copies._bytes("text")).alias("node"))
+    monkeypatch.setattr(near_copies, "CROWD", crowd)
+    monkeypatch.setattr(near_copies, "SPREAD", 16)
+    asked, judged = [], near_copies._judged
+    monkeypatch.setattr(near_copies, "_judged", lambda pairs, *rest: asked.append(pairs.count()) or judged(pairs, *rest))
+    edges = near_copies.links(named.selectExpr("node", "array(1L) as keys"), docs)
+    groups = components(edges).join(named, "node").groupBy("root").agg(F.sort_array(F.collect_list("doc_id")).alias("ids")).collect()
+    want = {}
+    for k, root in enumerate(brute(bodies)):
+        want.setdefault(root, []).append(k)
+    assert sorted(x["ids"] for x in groups) == sorted(x for x in want.values() if len(x) > 1)
+    assert sum(asked) <= 2 * len(bodies)
+
+
 def test_odd_rows(spark):
     rng = random.Random(1)
     one = text(rng, 80)
