@@ -232,7 +232,11 @@ def crowd_links(member: DataFrame, docs: DataFrame, text_col: str, shingle: int,
     ``a`` others, and with ``v = h + s a - |C| (1 - s) / 2``, two rows have similarity ``s`` or more exactly if
     ``(1 + s) |D1 & D2| >= v1 + v2``. All rows are compared with the row of the smallest ``v``. Two rows that
     are not both similar to it must then share an item of ``D``, and so many that one is among the first
-    items of both: keys of a prefix filter. Keys of many pairs are buckets of a next round."""
+    items of both: keys of a prefix filter. Of two rows that of the smaller ``v`` is found by its index, the few first
+    items that partners of no smaller ``v`` ask for; the other one probes with more, and of these only what some
+    index of the group holds (a bit filter) is made a key. The first item that two rows share has all others
+    behind it in both, so what is left of the rows there (``reach``) bounds what they share. Keys of many
+    pairs are buckets of a next round."""
     found, sets = [], _sets(checkpoint(member.select("node").distinct()), docs, text_col, shingle)
     for depth in range(DEPTH):
         weight = member.groupBy("node").agg(F.sum("n").alias("w"))
@@ -249,18 +253,29 @@ def crowd_links(member: DataFrame, docs: DataFrame, text_col: str, shingle: int,
         met = materialise(met.select("g", "core", "x", "m.v", F.col("m.node").alias("head"), near("x", "m").alias("settled")).withColumnRenamed("v", "least"), "met")
         found.append(met.where("settled and x.node <> head").select(F.least("x.node", "head").alias("u"), F.greatest("x.node", "head").alias("v")))
         unsettled = met.where("not settled").groupBy("g").agg(F.min("x.v").alias("open"))
-        first = lambda bound: F.greatest(F.lit(0), F.size("x.items") + 1 - F.greatest(F.lit(1), F.ceil((F.col("x.v") + F.col(bound)) / (1 + similarity) - SLACK))).cast("int")
-        wide = met.join(unsettled, "g").select("g", F.col("x.node").alias("node"), "settled", first("open").alias("close"), F.when(F.col("settled"), first("open")).otherwise(first("least")).alias("some"), "x.items")
-        keyed = wide.select("g", "node", "settled", "close", F.posexplode(F.slice("items", F.lit(1), F.col("some"))).alias("at", "e"))
-        keyed = materialise(keyed.select("g", "e", "node", "settled", (F.col("at") < F.col("close")).alias("close")), "keyed")
-        counts = keyed.groupBy("g", "e").agg(F.count_if("settled").alias("s"), F.count_if(~F.col("settled")).alias("o"), F.count_if(~F.col("settled") & F.col("close")).alias("q"))
-        pairs = F.col("s") * F.col("o") + F.col("q") * (F.col("q") - 1) / 2
-        counts = counts.where(pairs > 0).select("g", "e", (F.col("s") + F.col("o")).alias("n"), (pairs > CROWD * (F.col("s") + F.col("o"))).alias("crowded"))
+        first = lambda bound: F.greatest(F.lit(0), F.size("x.items") + 1 - F.greatest(F.lit(1), F.ceil((F.col("x.v") + bound) / (1 + similarity) - SLACK))).cast("int")
+        index = first(F.when(F.col("settled"), F.greatest("x.v", "open")).otherwise(F.col("x.v")))
+        probe = first(F.when(F.col("settled"), F.col("open")).otherwise(F.col("least")))
+        entries = F.transform("x.items", lambda e, at: F.struct(e.alias("e"), (F.size("x.items") - at).alias("reach")))
+        wide = met.join(unsettled, "g").select("g", "x.node", "settled", "x.v", index.alias("index"), probe.alias("probe"), entries.alias("entries"))
+        indexed = materialise(wide.select("g", "node", "settled", "v", F.inline(F.slice("entries", F.lit(1), F.col("index")))), "index")
+        bits, words = build_filter(indexed.select(F.xxhash64("g", "e").alias("hash")), "hash", indexed.count(), probes=1)
+        rest = F.slice("entries", F.col("index") + 1, F.col("probe") - F.col("index"))
+        met_by = F.filter(rest, lambda x: maybe(F.xxhash64("g", x["e"]), F.col("bits"), words, probes=1))
+        probing = wide.withColumn("bits", bits.scalar()).select("g", "node", "settled", "v", F.inline(met_by))
+        keyed = materialise(indexed.withColumn("first", F.lit(True)).unionByName(probing.withColumn("first", F.lit(False))), "keyed")
+        number = lambda settled, first: F.count_if((F.col("settled") == settled) & (F.col("first") == first))
+        counts = keyed.groupBy("g", "e").agg(F.count(F.lit(1)).alias("n"), number(True, True).alias("si"), number(True, False).alias("sp"), number(False, True).alias("oi"), number(False, False).alias("op"))
+        pairs = F.col("oi") * (F.col("oi") - 1) / 2 + F.col("oi") * (F.col("si") + F.col("sp")) + (F.col("oi") + F.col("si")) * F.col("op")
+        counts = counts.where(pairs > 0).select("g", "e", "n", (pairs > CROWD * F.col("n")).alias("crowded"))
         keyed = checkpoint(keyed.join(counts, ["g", "e"]))
         plain = keyed if depth + 1 == DEPTH else keyed.where("not crowded")
-        one = plain.select("g", "e", F.col("node").alias("a"), "settled", "close")
-        two = plain.where("not settled").select("g", "e", F.col("node").alias("b"), F.col("close").alias("close_b"))
-        asked = checkpoint(one.join(two, ["g", "e"]).where("settled or (close and close_b and a < b)").select("g", "a", "b").distinct())
+        end = lambda k: F.struct("v", "node", "settled", "reach").alias(k)
+        met_at = lambda one, two: plain.where(one).select("g", "e", end("a")).join(plain.where(two).select("g", "e", end("b")), ["g", "e"])
+        both = met_at("first", "not settled").unionByName(met_at("first and not settled", "settled"))
+        enough = F.least("a.reach", "b.reach") >= (F.col("a.v") + F.col("b.v")) / (1 + similarity) - SLACK
+        both = both.where("(a.v, a.node) < (b.v, b.node)").where(enough)
+        asked = checkpoint(both.select("g", F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct())
         ends = {k: met.select("g", F.col("x.node").alias(k), F.col("x").alias(f"{k}x"), *(["core"] if k == "a" else [])) for k in "ab"}
         judged = asked.join(ends["a"], ["g", "a"]).join(ends["b"], ["g", "b"]).withColumn("c", same("ax", "bx"))
         found.append(checkpoint(judged.where(near("ax", "bx")).select(*edge("ax", "bx")).distinct()))

@@ -25,18 +25,18 @@ def filter_words(n_keys: int) -> int:
     return min(max(1, chunks) * CHUNK_WORDS, MAX_WORDS)
 
 
-def _bits(key: Column, words: int) -> list[Column]:
-    return [F.pmod(F.xxhash64(F.lit(probe), key), F.lit(words * 64)) for probe in range(PROBES)]
+def _bits(key: Column, words: int, probes: int) -> list[Column]:
+    return [F.pmod(F.xxhash64(F.lit(probe), key), F.lit(words * 64)) for probe in range(probes)]
 
 
-def build_filter(keys: DataFrame, key: str, n_keys: int) -> tuple[DataFrame, int]:
+def build_filter(keys: DataFrame, key: str, n_keys: int, probes: int = PROBES) -> tuple[DataFrame, int]:
     """One row ``(words array<bigint>)`` that holds every non-null ``key``; and its word count.
 
     With no keys the frame is empty, and :func:`maybe` is false for every row.
     """
     words = filter_words(n_keys)
     value = F.col(f"`{key}`")
-    bit = keys.where(value.isNotNull()).select(F.explode(F.array(*_bits(value, words))).alias("bit"))
+    bit = keys.where(value.isNotNull()).select(F.explode(F.array(*_bits(value, words, probes))).alias("bit"))
     word = bit.groupBy((F.col("bit") / 64).cast("long").alias("word")).agg(
         F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("bit") % 64).cast("int"))).alias("value")
     )
@@ -54,11 +54,12 @@ def build_filter(keys: DataFrame, key: str, n_keys: int) -> tuple[DataFrame, int
     )
 
 
-def maybe(key: Column, bits: DataFrame, words: int) -> Column:
-    """True if ``key`` may be in the filter; null keys give true, so that the exact step decides."""
-    array = bits.scalar()
+def maybe(key: Column, bits: DataFrame | Column, words: int, probes: int = PROBES) -> Column:
+    """True if ``key`` may be in the filter; null keys give true, so that the exact step decides. Inside a
+    function of array elements the filter must be a column, as subqueries are not allowed there."""
+    array = bits if isinstance(bits, Column) else bits.scalar()
     tests = None
-    for bit in _bits(key, words):
+    for bit in _bits(key, words, probes):
         value = F.element_at(array, (bit / 64).cast("int") + 1)
         hit = F.getbit(value, (bit % 64).cast("int")) == 1
         tests = hit if tests is None else tests & hit

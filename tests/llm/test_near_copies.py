@@ -102,6 +102,33 @@ def test_crowded_bucket_asks_few_pairs_and_loses_no_link(spark, monkeypatch, cro
     assert sum(asked) <= 2 * len(bodies)
 
 
+def test_crowded_group_keeps_few_keys(spark, monkeypatch):
+    """Differences that no other row of a crowded group has are not all made keys; copies among the far rows are still found."""
+    rng = random.Random(3)
+    base = [f"b{k}" for k in range(150)]
+    bodies = [edited(rng, base, k % 4 if k % 10 == 0 else 5 + k % 4) for k in range(160)]
+    bodies += [edited(rng, bodies[k].split(), 1) for k in range(1, 160, 8)]
+    bodies = list(dict.fromkeys(bodies))
+    docs = frame(spark, [row(k, body) for k, body in enumerate(bodies)])
+    named = docs.select("doc_id", near_copies._node(near_copies._bytes("text")).alias("node"))
+    written, materialise = {}, near_copies.materialise
+
+    def counted(made, label, **options):
+        out = materialise(made, label, **options)
+        size = F.sum(F.size("items")) if label == "differences" else F.count(F.lit(1))
+        written[label] = written.get(label, 0) + out.agg(size).first()[0]
+        return out
+
+    monkeypatch.setattr(near_copies, "materialise", counted)
+    edges = near_copies.links(named.selectExpr("node", "array(1L) as keys"), docs)
+    groups = components(edges).join(named, "node").groupBy("root").agg(F.sort_array(F.collect_list("doc_id")).alias("ids")).collect()
+    want = {}
+    for k, root in enumerate(brute(bodies)):
+        want.setdefault(root, []).append(k)
+    assert sorted(x["ids"] for x in groups) == sorted(x for x in want.values() if len(x) > 1)
+    assert written["keyed"] < 0.5 * written["differences"]
+
+
 def test_odd_rows(spark):
     rng = random.Random(1)
     one = text(rng, 80)
