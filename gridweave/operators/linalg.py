@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridweave.operators.matrix import delta_decode, delta_rows, tiles
-from gridweave.plans.prefix import exclusive_prefix
+from gridweave.plans.prefix import exclusive_prefix, parts
 
 FLOAT_EPS, DOUBLE_EPS = 1.1920929e-7, 2.220446049250313e-16
 
@@ -33,36 +33,63 @@ def spmm_vector(a: DataFrame, b: DataFrame) -> DataFrame:
 def spmm_blocked(a: DataFrame, b: DataFrame, height: int = 64, depth: int = 1024) -> DataFrame:
     """Blocks of ``a`` against row blocks of ``b(j, row array)``; numpy multiplies a pair at a time.
 
-    A block holds at most ``height * depth`` entries and ``depth`` rows of ``b``.
+    A block is what ``depth`` columns hold in some rows, ``height * depth`` entries at most: ``height`` rows where all
+    places are taken, more where few are. So ``b`` is sent once for that many entries, and not once for each tile that has any.
     """
-    blocks = tiles(a, height, depth).groupBy("ti", "tj").agg(
-        F.collect_list(F.col("i").cast("long")).alias("i"), F.collect_list(F.col("j").cast("long")).alias("j"), F.collect_list(F.col("v").cast("double")).alias("v")
-    )
-    panels = b.groupBy(F.floor(F.col("j") / depth).cast("long").alias("tj")).agg(F.collect_list(F.struct(F.col("j").cast("long").alias("j"), F.col("row").cast("array<double>").alias("row"))).alias("rows"))
+    most = height * depth
+
+    def panelled(rows: DataFrame) -> DataFrame:
+        """``j`` within its panel, and the panel's first column."""
+        at = F.pmod(F.col("j").cast("long"), F.lit(depth))
+        return rows.where("j is not null").withColumn("panel", F.col("j").cast("long") - at).withColumn("j", at.cast("int"))
+
+    def packed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        panel, *columns = pa.concat_batches(held).columns
+        first = np.flatnonzero(np.diff(panel.to_numpy(), prepend=panel[0].as_py() - 1))
+        ends = pa.array(np.append(first, len(panel)).astype(np.int32))
+        return pa.RecordBatch.from_arrays([panel.take(pa.array(first)), *[pa.ListArray.from_arrays(ends, column) for column in columns]], names=["panel", "i", "j", "v"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            while batch.num_rows:
+                held.append(batch.slice(0, most - size))
+                size += held[-1].num_rows
+                batch = batch.slice(held[-1].num_rows)
+                if size == most:
+                    yield packed(held)
+                    held, size = [], 0
+        if held:
+            yield packed(held)
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 i, j, v, rows = (column[k].values for column in batch.columns)
-                names, lists = pc.struct_field(rows, "j").to_numpy(), pc.struct_field(rows, "row")
-                size = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-                owner = np.repeat(np.arange(len(names)), size)
-                dense = np.zeros((len(names), max(1, int(size.max(initial=0)))))
-                dense[owner, np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)] = lists.flatten().to_numpy()
-                order = np.argsort(names)
-                place = np.minimum(np.searchsorted(names, j.to_numpy(), sorter=order), len(names) - 1)
-                met = names[order[place]] == j.to_numpy()
-                if not met.any():
-                    continue
-                lines, line = np.unique(i.to_numpy()[met], return_inverse=True)
-                out = np.zeros((len(lines), dense.shape[1]))
-                np.add.at(out, line, dense[order[place[met]]] * v.to_numpy()[met][:, None])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(lines, dense.shape[1])), pa.array(np.tile(np.arange(dense.shape[1], dtype=np.int32), len(lines))), pa.array(out.reshape(-1))],
-                    names=["i", "c", "x"],
-                )
-
-    part = blocks.join(panels, "tj").select("i", "j", "v", "rows").mapInArrow(multiply, "i bigint, c int, x double")
+                lists = pc.struct_field(rows, "row")
+                size = pc.list_value_length(lists).to_numpy()
+                width = max(1, int(size.max()))
+                cell = np.repeat(pc.struct_field(rows, "j").to_numpy() * width, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                w = lists.flatten()
+                # of each place of the panel: the sum of its values, how many are not null, and how many rows are long enough for it
+                dense, known, reached = (np.bincount(cell, x, depth * width).reshape(depth, width) for x in (w.fill_null(0), w.is_valid(), None))
+                lines, ok, j, v = i.dictionary_encode("encode"), v.is_valid().to_numpy(zero_copy_only=False), j.to_numpy(), v.fill_null(0).to_numpy()
+                line, step = lines.indices.to_numpy(), max(1, most // width)
+                for some in (slice(start, start + step) for start in range(0, len(line), step)):
+                    first = np.flatnonzero(np.diff(line[some], prepend=-1))
+                    real = (known[j[some]] > 0) & ok[some, None]
+                    with np.errstate(invalid="ignore"):
+                        out = np.add.reduceat(np.where(real, dense[j[some]] * v[some, None], 0), first)
+                    at, c = np.nonzero(np.logical_or.reduceat(reached[j[some]] > 0, first))
+                    none = ~np.logical_or.reduceat(real, first)
+                    yield pa.RecordBatch.from_arrays(
+                        [lines.dictionary.take(pa.array(line[some][first][at])), pa.array(c.astype(np.int32)), pa.array(out[at, c], mask=none[at, c])], names=["i", "c", "x"]
+                    )
+
+    entries = panelled(a).select("panel", F.col("i").cast("long").alias("i"), "j", F.col("v").cast("double").alias("v"))
+    blocks = entries.repartitionByRange(parts(entries), "panel", "i").sortWithinPartitions("panel", "i").mapInArrow(pack, "panel bigint, i array<bigint>, j array<int>, v array<double>")
+    panels = panelled(b.where("row is not null")).groupBy("panel").agg(F.collect_list(F.struct("j", F.col("row").cast("array<double>").alias("row"))).alias("rows"))
+    part = blocks.join(panels, "panel").select("i", "j", "v", "rows").mapInArrow(multiply, "i bigint, c int, x double")
     return part.groupBy("i", "c").agg(F.sum("x").alias("x"))
 
 

@@ -10,17 +10,22 @@ from pyspark.sql import functions as F
 
 #: Integer keys that one window partition sums.
 WIDTH = 4096
-#: Bytes of input files for each partition of :func:`dealt`.
+#: Bytes of input files for each of :func:`parts`.
 DEALT_BYTES = 4 << 20
 
 
-def dealt(df: DataFrame, *keys: str) -> DataFrame:
-    """``df`` partitioned by ``keys``, in partitions whose number grows with the files that it reads: left to
-    itself, Spark joins small partitions again, and a task's sorts grow with the table until it stops."""
+def parts(df: DataFrame) -> int:
+    """Partitions for what ``df`` reads, in number by the size of its files."""
     spark = df.sparkSession
     files = df.inputFiles()
     size = spark.read.format("binaryFile").load(files).agg(F.sum("length")).first()[0] if files else 0
-    return df.repartition(max(spark.sparkContext.defaultParallelism, math.ceil(size / DEALT_BYTES)), *keys)
+    return max(spark.sparkContext.defaultParallelism, math.ceil(size / DEALT_BYTES))
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` partitioned by ``keys``, in partitions whose number grows with the files that it reads: left to
+    itself, Spark joins small partitions again, and a task's sorts grow with the table until it stops."""
+    return df.repartition(parts(df), *keys)
 
 
 def exclusive_prefix(df: DataFrame, value: str | Column, key: str, coarse: Sequence[str] = (), by: Sequence[str] = (), out: str = "before", width: int = WIDTH) -> DataFrame:

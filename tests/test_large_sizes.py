@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridweave.functions import scalar
-from gridweave.operators import patterns, structure
+from gridweave.operators import linalg, patterns, structure
 from gridweave.plans import prefix
 from gridweave.sources import split_readers
 
@@ -53,3 +53,32 @@ def test_partitions_of_windows_grow_with_the_input(spark, tmp_path, monkeypatch)
     assert prefix.dealt(nz, "i").rdd.getNumPartitions() > 4 * spark.sparkContext.defaultParallelism
     monkeypatch.setattr(prefix, "DEALT_BYTES", 1 << 30)
     assert prefix.dealt(nz, "i").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def joined_rows(plan):
+    """Rows out of the joins of a plan that has run."""
+    name = plan.nodeName()
+    if name.startswith("AdaptiveSparkPlan"):
+        return joined_rows(plan.executedPlan())
+    below = [plan.plan()] if "QueryStage" in name else [plan.children().apply(k) for k in range(plan.children().size())]
+    own = [plan.metrics().apply("numOutputRows").value()] if "Join" in name else []
+    return own + [n for child in below for n in joined_rows(child)]
+
+
+def test_panels_are_sent_for_many_tiles(spark):
+    a = spark.range(2000).selectExpr("id * 8 as i", "id * 7 % 48 as j", "double(id % 5) as v")  # 2,000 tiles of one entry
+    b = spark.range(48).selectExpr("id as j", "array(double(id), 1.0) as row")
+    made = linalg.spmm_blocked(a, b, 8, 16)
+    got = {(x.i, x.c): x.x for x in made.collect()}
+    assert got == {(k * 8, c): float(k % 5 * (k * 7 % 48 if c == 0 else 1)) for k in range(2000) for c in range(2)}
+    assert 16 <= sum(joined_rows(made._jdf.queryExecution().executedPlan())) < 60
+
+
+@pytest.mark.parametrize("height, depth", [(64, 1024), (2, 3), (1, 1)])
+def test_blocks_of_odd_values_agree_with_the_join(spark, height, depth):
+    inf, far = float("inf"), 2**40 + 5
+    entries = [(0, 0, 1.0), (0, 5, None), (1, 5, None), (None, 3, 2.0), (2, None, 1.0), (3, 99, 1.0), (4, 7, inf), (4, 3, 1.0), (5, 8, 2.0), (5, 2, 3.0), (6, -3, 4.0), (7, 9, 1.0), (8, far, 1.5), (9, 10, 3.0)]
+    rows = [(0, [1.0, 2.0, 3.0]), (5, [1.0]), (3, [1.0, None]), (7, [1.0, 0.5]), (8, []), (2, [None, 5.0]), (-3, [1.0, 1.0, 1.0, 1.0]), (9, None), (far, [2.0]), (10, [1.0]), (10, [1.0, 7.0]), (None, [1.0])]
+    a, b = spark.createDataFrame(entries, "i long, j long, v double"), spark.createDataFrame(rows, "j long, row array<double>")
+    assert {tuple(x) for x in linalg.spmm_blocked(a, b, height, depth).collect()} == {tuple(x) for x in linalg.spmm_vector(a, b).collect()}
+    assert linalg.spmm_blocked(a.where("i > 99"), b).count() == linalg.spmm_blocked(a, b.where("j < -9")).count() == 0
